@@ -202,3 +202,47 @@ def spread(key, known, seed, counter):
 def gather(batches, names):
     parts = [[ints(b, n) if n != "known" else b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches if b.num_rows]
     return [np.concatenate([p[i] for p in parts]) for i in range(len(names))] if parts else None
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: planes of zeros cost nothing once compressed."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _unplanes(raw: memoryview, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T).view(kind).ravel()
+
+
+def pack(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, check: np.ndarray, known: np.ndarray, parts: int):
+    """Places (key, doc, pos and 16 more bits of the key) in one packed row for each of
+    ``parts`` ranges of the key: about a third of the bytes that single rows take."""
+    key = key.view(U64)
+    order = np.argsort(key)
+    key, doc, pos, check, known = key[order], doc[order], pos[order], check[order], known[order]
+    border = np.searchsorted(((key >> U64(32)) * U64(parts)) >> U64(32), np.arange(parts + 1, dtype=U64))
+    rows = ([], [])
+    for p in np.flatnonzero(np.diff(border)):
+        s = slice(border[p], border[p + 1])
+        ids, which = np.unique(doc[s], return_inverse=True)
+        head = np.array([len(which), len(ids)], "<i8").tobytes()
+        body = [_planes(np.diff(key[s], prepend=U64(0))), _planes(np.diff(ids, prepend=0)), _planes(which.astype("<u4")), _planes(pos[s].astype("<u4")), check[s].astype("<u2").tobytes(), known[s].astype(np.uint8).tobytes()]
+        rows[0].append(int(p))
+        rows[1].append(head + b"".join(body))
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["part", "places"])
+
+
+def unpack(blobs):
+    """key, doc, pos, check and known of all packed rows."""
+    parts = []
+    for blob in blobs:
+        raw = memoryview(blob.as_buffer())
+        n, m = np.frombuffer(raw, "<i8", 2)
+        at, out = 16, []
+        for kind, size in (("<u8", n), ("<i8", m), ("<u4", n), ("<u4", n)):
+            out.append(_unplanes(raw[at:], size, kind))
+            at += size * np.dtype(kind).itemsize
+        check = np.frombuffer(raw[at:], "<u2", n)
+        known = np.frombuffer(raw[at + 2 * n :], np.uint8, n) > 0
+        parts.append((np.cumsum(out[0], dtype=U64).view(np.int64), np.cumsum(out[1])[out[2]], out[3].astype(np.int64), check, known))
+    return [np.concatenate([p[i] for p in parts]) for i in range(5)]

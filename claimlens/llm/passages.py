@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-_ANCHOR = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
-_WINDOW = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+_PACKED = "part int, places binary"
 _PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
 
 
@@ -47,7 +46,7 @@ def _word_values(batch: pa.RecordBatch):
     return K.span_hashes(data, start, end), first
 
 
-def _anchors(window: int, period: int):
+def _anchors(window: int, period: int, parts: int):
     size, residues = window - period + 1, K.lut(difference_cover(period))[:period]
 
     def settle(columns, seed, counter):
@@ -57,7 +56,7 @@ def _anchors(window: int, period: int):
         new = K.group_starts(h)
         known = K.run_lengths(new) > 1
         # the first of a run still looks for partners in other tasks, as they look for it
-        return K.table(_ANCHOR, K.spread(h, known & ~new, seed, counter), doc, pos, known)
+        return K.pack(K.spread(h, known & ~new, seed, counter), doc, pos, np.zeros(len(h), np.uint16), known, parts)
 
     def run(batches):
         seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(3)
@@ -78,26 +77,23 @@ def _anchors(window: int, period: int):
     return run
 
 
-def _repeated(batches):
+def _repeated(table: pa.Table) -> pa.Table:
     """Places of anchors whose key occurs twice, or that a task has found to repeat."""
-    got = K.gather(batches, ["key", "doc_id", "pos", "known"])
-    if got is None:
-        return
-    key, doc, pos, known = got
+    key, doc, pos, _, known = K.unpack(table.column("places"))
     order = np.argsort(key)
     keep = (K.run_lengths(K.group_starts(key[order])) > 1) | known[order]
     order = order[keep]
-    yield K.table(_PLACE, doc[order], pos[order].astype(np.int32))
+    return pa.Table.from_batches([K.table(_PLACE, doc[order], pos[order].astype(np.int32))])
 
 
-def _windows(window: int, period: int):
+def _windows(window: int, period: int, parts: int):
     def settle(columns, seed, counter):
         h, h2, doc, pos = columns
         order = np.lexsort((pos, doc, h2, h))
         order = order[K.group_starts(h[order], h2[order], doc[order], pos[order])]  # a place counts once
         h, h2, doc, pos = h[order], h2[order], doc[order], pos[order]
         known = ~K.group_starts(h, h2)
-        return K.table(_WINDOW, K.spread(h, known, seed, counter), h2, doc, pos.astype(np.int32), known)
+        return K.pack(K.spread(h, known, seed, counter), doc, pos, h2, known, parts)
 
     def run(batches):
         seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(4)
@@ -115,7 +111,8 @@ def _windows(window: int, period: int):
                 ok &= np.cumsum(wanted[:-1])[: len(ok)] > 0
                 at = np.flatnonzero(ok)
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))[at]
-                h, h2 = (K.window_hashes(values, window, i)[at].view(np.int64) for i in (0, 1))
+                h = K.window_hashes(values, window)[at].view(np.int64)
+                h2 = (K.window_hashes(values, window, 1)[at] >> K.U64(48)).astype(np.uint16)
                 if buffer.add(h, h2, K.ints(part, "doc_id")[row], at - first[row]):
                     yield settle(buffer.take(), seed, counter)
                     counter += 4 * K.BUFFER_ROWS
@@ -125,19 +122,21 @@ def _windows(window: int, period: int):
     return run
 
 
-def _later(batches):
+def _later(table: pa.Table) -> pa.Table:
     """Places of windows with an earlier equal one."""
-    got = K.gather(batches, ["key", "key2", "doc_id", "pos", "known"])
-    if got is None:
-        return
-    key, key2, doc, pos, known = got
-    order = np.lexsort((pos, doc, key2, key))
-    new = K.group_starts(key[order], key2[order])
+    key, doc, pos, check, known = K.unpack(table.column("places"))
+    order = np.lexsort((pos, doc, check, key))
+    new = K.group_starts(key[order], check[order])
     # the same place twice (repeated rows) is one occurrence
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     same = (doc[order] == doc[order][head]) & (pos[order] == pos[order][head])
     order = order[~same | known[order]]
-    yield K.table(_PLACE, doc[order], pos[order].astype(np.int32))
+    return pa.Table.from_batches([K.table(_PLACE, doc[order], pos[order].astype(np.int32))])
+
+
+def _parts(docs: DataFrame) -> int:
+    """Ranges of keys: a few for each shuffle partition, which the session sizes for its data."""
+    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def repeated_passages(docs: DataFrame, window: int = 20, period: int = 13) -> DataFrame:
@@ -148,14 +147,22 @@ def repeated_passages(docs: DataFrame, window: int = 20, period: int = 13) -> Da
     cannot be ordered and take no part.  Rows that repeat a doc_id with the same text
     are the same place and do not count against each other.
     """
-    if not 1 <= period <= window:
-        raise ValueError("period must be between 1 and window")
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    anchors = docs.mapInArrow(_anchors(window, period), "key long, doc_id long, pos int, known boolean")
-    hits = anchors.repartition("key").mapInArrow(_repeated, "doc_id long, pos int")
-    near = docs.join(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
-    full = near.mapInArrow(_windows(window, period), "key long, key2 long, doc_id long, pos int, known boolean")
-    return full.repartition("key").mapInArrow(_later, "doc_id long, pos int")
+    if not 1 <= period < window:
+        raise ValueError("period must be at least 1 and less than window")
+    return _repeated_passages(_by_document(docs), docs, window, period)
+
+
+def _by_document(docs: DataFrame) -> DataFrame:
+    """The texts dealt out by document; both joins with them read this one exchange."""
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").repartition("doc_id")
+
+
+def _repeated_passages(dealt: DataFrame, docs: DataFrame, window: int, period: int) -> DataFrame:
+    parts, place = _parts(docs), "doc_id long, pos int"
+    scanned = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    hits = scanned.mapInArrow(_anchors(window, period, parts), _PACKED).groupBy("part").applyInArrow(_repeated, place)
+    near = dealt.join(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
+    return near.mapInArrow(_windows(window, period, parts), _PACKED).groupBy("part").applyInArrow(_later, place)
 
 
 def _cut(window: int):
@@ -192,6 +199,8 @@ def dedup_passages(docs: DataFrame, window: int = 20, period: int = 13) -> DataF
     A null or blank text gives zero words and the hash of nothing; a null doc_id keeps
     all its words.  Other columns of ``docs`` are ignored, whatever their names.
     """
-    found = repeated_passages(docs, window, period).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    dealt = _by_document(docs)
+    found = _repeated_passages(dealt, docs, window, period).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", "places")
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("places"))
+    return joined.union(nameless).mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
