@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import dealt_texts, texts
 
 _PACKED = "part int, places binary"
 _PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -149,17 +150,12 @@ def repeated_passages(docs: DataFrame, window: int = 20, period: int = 13) -> Da
     """
     if not 1 <= period < window:
         raise ValueError("period must be at least 1 and less than window")
-    return _repeated_passages(_by_document(docs), docs, window, period)
-
-
-def _by_document(docs: DataFrame) -> DataFrame:
-    """The texts dealt out by document; both joins with them read this one exchange."""
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").repartition("doc_id")
+    return _repeated_passages(dealt_texts(docs), docs, window, period)
 
 
 def _repeated_passages(dealt: DataFrame, docs: DataFrame, window: int, period: int) -> DataFrame:
     parts, place = _parts(docs), "doc_id long, pos int"
-    scanned = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    scanned = texts(docs).where("doc_id is not null")
     hits = scanned.mapInArrow(_anchors(window, period, parts), _PACKED).groupBy("part").applyInArrow(_repeated, place)
     near = dealt.join(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
     return near.mapInArrow(_windows(window, period, parts), _PACKED).groupBy("part").applyInArrow(_later, place)
@@ -199,7 +195,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, period: int = 13) -> DataF
     A null or blank text gives zero words and the hash of nothing; a null doc_id keeps
     all its words.  Other columns of ``docs`` are ignored, whatever their names.
     """
-    dealt = _by_document(docs)
+    dealt = dealt_texts(docs)
     found = _repeated_passages(dealt, docs, window, period).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", "places")
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("places"))
