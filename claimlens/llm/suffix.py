@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import dealt_texts, texts
 
 GRAM = 32
 LOT_ROWS = 10_000
@@ -357,17 +358,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 4_000) -> Data
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    anchors = docs.mapInArrow(_anchors(length), "key long, gram long, doc_id long, pos int, known boolean")
+    return _repeated_spans(dealt_texts(docs), docs, length, hot)
+
+
+def _repeated_spans(dealt: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
+    scanned = texts(docs).where("doc_id is not null")
+    anchors = scanned.mapInArrow(_anchors(length), "key long, gram long, doc_id long, pos int, known boolean")
     hits = anchors.repartition("key").mapInArrow(_repeated, "gram long, doc_id long, pos int")
     crowd = hits.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
     marked = hits.join(crowd, "gram", "left").select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
-    near = docs.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
+    near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
     return near.mapInArrow(_around(length), _AROUND_SQL).repartition("key").mapInArrow(_spans(length), "doc_id long, start int, end int")
 
 
-def _cut(carry):
-    out = pa.schema([("doc_id", pa.int64()), *[(c, pa.string()) for c in carry], ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def _cut():
+    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         for batch in batches:
@@ -392,21 +397,21 @@ def _cut(carry):
                         text = data[off[i] : off[i + 1]][~gone].tobytes()
                     texts.append(text.decode("utf-8", "ignore"))
                     rows.append((int(off[i + 1] - off[i]), removed, spans, hashlib.sha256(text).hexdigest()))
-                yield K.table(out, part.column("doc_id"), *[part.column(c) for c in carry], texts, *map(list, zip(*rows)))
+                yield K.table(out, part.column("doc_id"), texts, *map(list, zip(*rows)))
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 4_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 4_000) -> DataFrame:
     """Every document without its repeated strings: ``doc_id``, ``text`` (what is left;
     characters cut in two at a border are dropped), ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept_sha256`` (of the bytes left, before that drop).
 
-    A null text is empty; a null doc_id loses nothing.  Of the other
-    columns the strings named in ``carry`` come along.
+    A null text is empty; a null doc_id loses nothing.  Other columns are ignored.
     """
-    found = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    dealt = dealt_texts(docs)
+    found = _repeated_spans(dealt, docs, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     none = F.array().cast("array<int>")
-    joined = docs.join(found, "doc_id", "left").select("doc_id", *carry, "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"))
-    return joined.mapInArrow(_cut(carry), "doc_id long, " + "".join(f"{c} string, " for c in carry) + "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"))
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"))
+    return joined.union(nameless).mapInArrow(_cut(), "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

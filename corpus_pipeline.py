@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut strings of 200 bytes that occur more than once; documents of which nothing is left go."""
-    cut = suffix.dedup_substrings(docs, carry=("lang", "source"))
-    return cut.where("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix.dedup_substrings(docs).where("text <> ''").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
