@@ -8,12 +8,10 @@ whatever the partition holds.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BUFFER_ROWS = 1_500_000
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15  # odd multipliers of the polynomial hashes
@@ -28,21 +26,26 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^j and base^-j modulo 2^64 for j < 2^log2."""
-
-    def run(b: int) -> np.ndarray:
-        out = np.ones(1 << log2, U64)
-        for k in range(log2):
-            out[1 << k : 2 << k] = out[: 1 << k] * U64(pow(b, 1 << k, 1 << 64))
-        return out
-
-    return run(base), run(pow(base, -1, 1 << 64))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, max(16, int(n).bit_length()))
+    """base^j and base^-j modulo 2^64 for j < n; the longest so far is kept for each base."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = 1 << 16
+        while size < n:
+            size += size >> 1
+
+        def run(b: int) -> np.ndarray:
+            out, done = np.ones(size, U64), 1
+            while done < size:
+                more = min(done, size - done)
+                out[done : done + more] = out[:more] * U64(pow(b, done, 1 << 64))
+                done += more
+            return out
+
+        _POWERS[base] = run(base), run(pow(base, -1, 1 << 64))
+    up, down = _POWERS[base]
     return up[:n], down[:n]
 
 

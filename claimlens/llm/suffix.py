@@ -29,7 +29,7 @@ from . import kernels as K
 from .shared import dealt_texts, texts
 
 GRAM = 32
-LOT_ROWS = 10_000
+LOT_ROWS = 5_000
 _ANCHOR = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
 _HIT = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _AROUND = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("around", pa.binary()), ("known", pa.bool_())])
@@ -349,7 +349,7 @@ def _spans(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 4_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> DataFrame:
     """Byte spans (``doc_id, start, end``; they may overlap) that together cover every
     string of ``length`` UTF-8 bytes that also starts anywhere else.
 
@@ -402,7 +402,7 @@ def _cut():
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 4_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500) -> DataFrame:
     """Every document without its repeated strings: ``doc_id``, ``text`` (what is left;
     characters cut in two at a border are dropped), ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept_sha256`` (of the bytes left, before that drop).
