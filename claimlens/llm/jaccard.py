@@ -308,16 +308,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("cls"), F.col("component").alias("label"))
+def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cls, label`` after joining the components that ``edges`` (between labels) connect."""
+    found = components(edges).withColumnRenamed("node", "label")
+    merged = labels.join(found, "label", "left").select("cls", F.coalesce("component", "label").alias("label"))
+    new = found.join(labels.select("cls", F.lit(True).alias("_has")), found.label == F.col("cls"), "left").where("_has is null").select(F.col("label").alias("cls"), F.col("component").alias("label"))
+    return materialise(merged.union(new), "labels")
 
 
-def _family_links(lists: DataFrame, links: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """Links among the members of long lists (``key, cls, n, light``): rounds of pivots, then
-    every pair that still lies across components."""
+def _merge_families(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """Work off the long lists (``key, cls, n, light``): rounds of pivots, then every pair that
+    still lies across components.  Links found are edges between the labels so far."""
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) and not (light = 1 and plight = 1)")
     for turn in range(rounds + 1):
-        labelled = lists.join(_labels(links), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        labelled = lists.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        labelled = materialise(labelled, "lists")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("cls", "n", "light", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).where("lo <> hi")
         if not mixed.limit(1).count():
             break
@@ -327,9 +332,12 @@ def _family_links(lists: DataFrame, links: DataFrame, sets: DataFrame, percent:
             open_ = labelled.join(mixed.select("key"), "key", "left_semi")
             pivots = open_.select("key", F.col("cls").alias("pcls"), F.col("n").alias("pn"), F.col("light").alias("plight"), F.col("label").alias("plabel"))
         met = labelled.join(pivots, "key").where((F.col("label") != F.col("plabel")) & fits)
-        met = met.select(F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b")).distinct()
-        links = materialise(links.select("a", "b").union(_linked(met, sets, percent)), "links")
-    return links
+        met = met.groupBy(F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b")).agg(F.min("label").alias("u"), F.min("plabel").alias("v"), F.max("label").alias("u2"), F.max("plabel").alias("v2"))
+        # u and v are the labels of the pair, whichever of the two was the pivot
+        met = materialise(met.select("a", "b", F.least("u", "v").alias("u"), F.greatest("u2", "v2").alias("v")), "met")
+        found = _linked(met, sets, percent).join(met, ["a", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        labels = _merge(labels, found)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds: int = 3, boundary: int | None = None) -> DataFrame:
@@ -364,13 +372,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(lists.select("cls")).distinct()
     sets = docs.mapInArrow(_wanted_sets(size, _bitmap(spark, wanted)), "cls long, tokens binary")
     sets = materialise(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")).join(wanted, "cls", "left_semi"), "sets")
-    links = materialise(_linked(pairs, sets, percent), "links")
+    labels = materialise(components(_linked(pairs, sets, percent)).select(F.col("node").alias("cls"), F.col("component").alias("label")), "labels")
     if lists.limit(1).count():
-        links = _family_links(lists, links, sets, percent, rounds)
-    ends = classes.select("cls", "rep")
-    by_doc = links.join(ends.withColumnRenamed("cls", "a").withColumnRenamed("rep", "u"), "a").join(ends.withColumnRenamed("cls", "b").withColumnRenamed("rep", "v"), "b")
-    found = components(by_doc.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    named = ends.join(found, ends.rep == found.node, "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
+        labels = _merge_families(lists, labels, sets, percent, rounds)
+    ends = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    lowest = ends.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = ends.join(lowest, "label").select("cls", "component_id")
     out = signed.join(named, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
