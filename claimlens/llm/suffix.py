@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,8 @@ def _anchors(length: int):
         h, doc, pos = h[order], doc[order], pos[order]
         new = K.group_starts(h)
         known = K.run_lengths(new) > 1
-        return K.table(_ANCHOR, K.spread(h, known & ~new, seed, counter), h, doc, pos, known)
+        key = K.spread(h, known & ~new, seed, counter)
+        return K.table(_ANCHOR, key, pa.array(h, pa.int64(), mask=key == h), doc, pos, known)  # null: the gram is the key
 
     def run(batches):
         seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(3)
@@ -93,7 +95,8 @@ def _anchors(length: int):
 
 
 def _repeated(batches):
-    got = K.gather(batches, ["key", "gram", "doc_id", "pos", "known"])
+    named = (pa.RecordBatch.from_arrays([pc.coalesce(b.column("gram"), b.column("key")) if n == "gram" else b.column(n) for n in b.schema.names], names=b.schema.names) for b in batches)
+    got = K.gather(named, ["key", "gram", "doc_id", "pos", "known"])
     if got is None:
         return
     key, gram, doc, pos, known = got
