@@ -61,34 +61,30 @@ class Automaton:
     with a link to the next shorter one."""
 
     def __init__(self, vocabulary: Vocabulary):
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, int] = {}
-        for number, piece in enumerate(vocabulary.pieces):
-            state = 0
-            for b in piece:
-                nxt = children[state].get(b)
-                if nxt is None:
-                    nxt = children[state][b] = len(children)
-                    children.append({})
-                state = nxt
-            ends[state] = number
-        n = len(children)
+        pieces = vocabulary.pieces
+        size = np.array([len(p) for p in pieces], np.int64)
+        data, start = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        # trie states level by level: a state is a (state above, byte) that some piece takes
+        at, levels, n = np.zeros(len(pieces), np.int64), [], 1
+        for depth in range(int(size.max(initial=0))):
+            deep = np.flatnonzero(size > depth)
+            keys, which = np.unique(at[deep] * 256 + data[start[deep] + depth], return_inverse=True)
+            at[deep] = n + which
+            levels.append((keys >> 8, keys & 255, np.arange(n, n + len(keys))))
+            n += len(keys)
+        piece_of = np.full(n, -1, np.int32)
+        piece_of[at] = np.arange(len(pieces))
         self.go = np.zeros((n, 256), np.int32)
-        fail, link, piece_of = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        for state, number in ends.items():
-            piece_of[state] = number
-        for b, child in children[0].items():
-            self.go[0, b] = child
-        queue = list(children[0].values())
-        for state in queue:
+        fail, link = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+        for depth, (above, byte, state) in enumerate(levels):
+            if depth:  # the longest proper suffix lies in a shallower level, which is complete
+                fail[state] = self.go[fail[above], byte]
             f = fail[state]
-            self.go[state] = self.go[f]
-            link[state] = f if piece_of[f] >= 0 else link[f]
-            for b, child in children[state].items():
-                fail[child] = self.go[f, b]
-                self.go[state, b] = child
-                queue.append(child)
-        self.first = np.where(piece_of >= 0, np.arange(n), link)  # state that names the longest piece here, or -1
+            link[state] = np.where(piece_of[f] >= 0, f, link[f])
+            self.go[above, byte] = state
+            for lot in range(0, len(state), 4096):
+                self.go[state[lot : lot + 4096]] = self.go[f[lot : lot + 4096]]
+        self.first = np.where(piece_of >= 0, np.arange(n, dtype=np.int32), link)  # state that names the longest piece here, or -1
         self.link, self.piece_of = link, piece_of
         self.length = np.array([len(p) for p in vocabulary.pieces], np.int64)
         self.score = np.array(vocabulary.scores, np.float64)
@@ -244,9 +240,10 @@ def _lists(ids: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (array of int) of each whole text under the SentencePiece model file
-    at the path ``model`` (read on the driver).
+    at the path ``model`` (read on the driver); with ``decoded`` also ``text``, what the ids
+    decode to, from the same task.
 
     Null and empty texts have no ids.  Characters that no piece covers become byte pieces
     (or the unknown piece if the model has none); so does a written U+2581, which would
@@ -259,14 +256,17 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for part in K.slices(batch):
                 ids, off = encode_texts(machine, vocabulary, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, off)], names=["doc_id", "ids"])
+                columns = [part.column("doc_id"), _lists(ids, off)]
+                if decoded:
+                    columns.append(pa.array([t.decode("utf-8", "replace") for t in decode_ids(vocabulary, ids, off)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: 2 + decoded])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
-def decode(encoded: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
+def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id, text`` of each list of ``ids``; a null list gives an empty text.  Bytes that
-    do not form UTF-8 become U+FFFD, ids outside the model nothing.  ``keep_ids`` returns ``ids`` as well."""
+    do not form UTF-8 become U+FFFD, ids outside the model nothing."""
     vocabulary = Vocabulary.load(model)
 
     def run(batches):
@@ -281,6 +281,6 @@ def decode(encoded: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
             run_ = np.concatenate(([0], np.cumsum(keep)))
             texts = decode_ids(vocabulary, ids[keep], run_[off - off[0]])
             columns = [batch.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, column] if keep_ids else columns, names=["doc_id", "text", "ids"][: 2 + keep_ids])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string" + ", ids array<int>" * keep_ids)
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -62,8 +62,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
-    model = default_model()
-    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents"), model), model, keep_ids=True)
+    coded = pieces.encode(read(spark, sf_dir, "documents"), default_model(), decoded=True)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
