@@ -15,7 +15,9 @@ is kept only if the shared first tokens leave room for the overlap, and is then
 on whole sets.  Equal sets are one class from the start, so copies never form pairs.  Lists
 longer than the frequency bound hold large families; they are worked off by pivots: all
 members are compared with one of them, linked members fall into one component, and only
-pairs across components remain.
+pairs across components remain.  Members carry a bitmap of token parities: two bitmaps
+differ in at most as many bits as the sets differ in tokens, so pairs whose bitmaps differ
+too much cannot link and the join of the list with itself does not emit them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, materialise
+from .shared import components, discard, materialise
 
 RARE = 16  # tokens in more classes than this count as frequent
 MAX_FREQUENT = 1_000_000  # frequent tokens sent to the tasks: 12 MB at most
@@ -38,6 +40,8 @@ _FREQUENT = pa.schema([("token", pa.int64()), ("df", pa.int64())])
 _FIRST = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("frequent", pa.int32()), ("kind", pa.int8())])
 _MET = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("shared", pa.int32()), ("room", pa.int32())])
 _SET = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
+_BITS = pa.schema([("cls", pa.int64()), ("bits", pa.list_(pa.int64()))])
+PARITY_WORDS = 16  # longs of a set's parity bitmap
 HEAVY, LIGHT_IN_LIST, SUBSET = 0, 1, 2
 
 
@@ -301,6 +305,17 @@ def _verify(percent: int):
     return run
 
 
+def _parities(batches):
+    """A bitmap of each set: bit ``i`` is the parity of the number of tokens that fall on it."""
+    for batch in batches:
+        bits = []
+        for tokens in batch.column("tokens"):
+            slot = (K.mix(np.frombuffer(tokens.as_buffer(), K.U64), 21) % K.U64(64 * PARITY_WORDS)).astype(np.int64)
+            odd = (np.bincount(slot, minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
+            bits.append(np.packbits(odd, bitorder="little").view(np.int64))
+        yield K.table(_BITS, batch.column("cls"), bits)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b"))
@@ -319,18 +334,24 @@ def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def _merge_families(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     """Work off the long lists (``key, cls, n, light``): rounds of pivots, then every pair that
     still lies across components.  Links found are edges between the labels so far."""
-    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) and not (light = 1 and plight = 1)")
+    differ = " + ".join(f"bit_count(bits[{i}] ^ pbits[{i}])" for i in range(PARITY_WORDS))
+    most = f"n + pn - 2 * (({percent} * (n + pn) + {99 + percent}) div {100 + percent})"  # tokens in which linked sets may differ
+    fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) and not (light = 1 and plight = 1) and {differ} <= {most}")
+    lists = lists.join(sets.mapInArrow(_parities, "cls long, bits array<long>"), "cls")
+    before = None
     for turn in range(rounds + 1):
         labelled = lists.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         labelled = materialise(labelled, "lists")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("cls", "n", "light", "label"), F.xxhash64("cls", F.lit(turn))).alias("p")).where("lo <> hi")
+        discard(before)
+        before, lists = labelled, labelled.drop("label")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("cls", "n", "light", "label", "bits"), F.xxhash64("cls", F.lit(turn))).alias("p")).where("lo <> hi")
         if not mixed.limit(1).count():
             break
         if turn < rounds:
-            pivots = mixed.select("key", F.col("p.cls").alias("pcls"), F.col("p.n").alias("pn"), F.col("p.light").alias("plight"), F.col("p.label").alias("plabel"))
+            pivots = mixed.select("key", F.col("p.cls").alias("pcls"), F.col("p.n").alias("pn"), F.col("p.light").alias("plight"), F.col("p.label").alias("plabel"), F.col("p.bits").alias("pbits"))
         else:
             open_ = labelled.join(mixed.select("key"), "key", "left_semi")
-            pivots = open_.select("key", F.col("cls").alias("pcls"), F.col("n").alias("pn"), F.col("light").alias("plight"), F.col("label").alias("plabel"))
+            pivots = open_.select("key", F.col("cls").alias("pcls"), F.col("n").alias("pn"), F.col("light").alias("plight"), F.col("label").alias("plabel"), F.col("bits").alias("pbits"))
         met = labelled.join(pivots, "key").where((F.col("label") != F.col("plabel")) & fits)
         met = met.groupBy(F.least("cls", "pcls").alias("a"), F.greatest("cls", "pcls").alias("b")).agg(F.min("label").alias("u"), F.min("plabel").alias("v"), F.max("label").alias("u2"), F.max("plabel").alias("v2"))
         # u and v are the labels of the pair, whichever of the two was the pivot
