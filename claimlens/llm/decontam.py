@@ -121,7 +121,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, span
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>, hits array<int>"
-    parts = [docs.mapInArrow(_scanner(lot, window, spans), kind) for lot in _blocks(benchmark, most_bytes)]
+    parts = [docs.mapInArrow(K.lean(_scanner(lot, window, spans)), kind) for lot in _blocks(benchmark, most_bytes)]
     if len(parts) == 1:
         return parts[0].withColumn("items", F.array_distinct("items"))
     merged = parts[0]

@@ -101,7 +101,12 @@ def _token_counts(size: int, parts: int):
     """Counts of token prefixes (40 bits) by range of the token, as packed differences."""
 
     def settle(tokens):
-        short, count = np.unique(np.concatenate(tokens) >> K.U64(24), return_counts=True)
+        every = np.concatenate(tokens)
+        tokens.clear()
+        every >>= K.U64(24)
+        every.sort()
+        at = np.flatnonzero(K.group_starts(every))
+        short, count = every[at], np.diff(at, append=len(every))
         group = (short * K.U64(parts)) >> K.U64(40)
         border = np.searchsorted(group, np.arange(parts + 1, dtype=K.U64))
         rows = ([], [], [])
@@ -123,7 +128,7 @@ def _token_counts(size: int, parts: int):
                     many += len(mine)
                 if many >= 2 * K.BUFFER_ROWS:
                     yield settle(tokens)
-                    tokens, many = [], 0
+                    many = 0
         if tokens:
             yield settle(tokens)
 
@@ -132,19 +137,23 @@ def _token_counts(size: int, parts: int):
 
 def _frequent(rare: int):
     def run(table: pa.Table) -> pa.Table:
-        short, many = [], []
+        parts = []  # 40 bits of token and 8 bits of count in one number
         for steps, counts in zip(table.column("tokens"), table.column("counts")):
             n = np.frombuffer(counts.as_buffer(), np.uint8)
             wide = np.zeros((len(n), 8), np.uint8)
             wide[:, :5] = np.frombuffer(steps.as_buffer(), np.uint8).reshape(5, -1).T
-            short.append(np.cumsum(wide.view("<u8").ravel()))
-            many.append(n.astype(np.int64))
-        token, count = np.concatenate(short), np.concatenate(many)
-        order = np.argsort(token)
-        new = np.flatnonzero(K.group_starts(token[order]))
-        df = np.add.reduceat(count[order], new)
+            parts.append(np.cumsum(wide.view("<u8").ravel()) << K.U64(8) | n)
+        both = np.concatenate(parts)
+        parts.clear()
+        both.sort()
+        at = np.flatnonzero(K.group_starts(both >> K.U64(8)))
+        token = both[at] >> K.U64(8)
+        both &= K.U64(255)
+        df = np.add.reduceat(both, at).astype(np.int64)
         keep = df > rare
-        return pa.Table.from_batches([K.table(_FREQUENT, token[order][new][keep].view(np.int64), df[keep])])
+        out = pa.Table.from_batches([K.table(_FREQUENT, token[keep].view(np.int64), df[keep])])
+        K.give_back()
+        return out
 
     return run
 
@@ -154,7 +163,7 @@ def frequent_tokens(docs: DataFrame, total: int, size: int, rare: int = RARE, mo
     count that was left out.  Counts cover all documents; if more than ``most`` tokens are
     frequent, the most frequent are kept.  The choice orders tokens, it drops none."""
     parts = max(1, -(-total // RANGE_TOKENS))
-    counted = docs.mapInArrow(_token_counts(size, parts), "part int, tokens binary, counts binary").groupBy("part").applyInArrow(_frequent(rare), "token long, df long")
+    counted = docs.mapInArrow(K.lean(_token_counts(size, parts)), "part int, tokens binary, counts binary").groupBy("part").applyInArrow(_frequent(rare), "token long, df long")
     top = counted.orderBy(F.desc("df"), "token").limit(most + 1).toPandas()
     left_out = int(top["df"].iloc[-1]) if len(top) > most else rare
     top = top.iloc[:most].sort_values("token")
@@ -320,7 +329,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "tokens_a", "tokens_b")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    return both.mapInArrow(K.lean(_verify(percent)), "a long, b long")
 
 
 def _merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -337,7 +346,7 @@ def _merge_families(lists: DataFrame, labels: DataFrame, sets: DataFrame, percen
     differ = " + ".join(f"bit_count(bits[{i}] ^ pbits[{i}])" for i in range(PARITY_WORDS))
     most = f"n + pn - 2 * (({percent} * (n + pn) + {99 + percent}) div {100 + percent})"  # tokens in which linked sets may differ
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn) and not (light = 1 and plight = 1) and {differ} <= {most}")
-    lists = lists.join(sets.mapInArrow(_parities, "cls long, bits array<long>"), "cls")
+    lists = lists.join(sets.mapInArrow(K.lean(_parities), "cls long, bits array<long>"), "cls")
     before = None
     for turn in range(rounds + 1):
         labelled = lists.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
@@ -373,7 +382,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = materialise(docs.mapInArrow(_signatures(size), "doc_id long, n long, cls long, cls2 long"), "signatures")
+    signed = materialise(docs.mapInArrow(K.lean(_signatures(size)), "doc_id long, n long, cls long, cls2 long"), "signatures")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("cls2").alias("lo"), F.max("cls2").alias("hi"))
     classes = materialise(classes, "classes")
     top = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.expr("lo <> hi"))).first()
@@ -384,14 +393,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
         boundary = choose_boundary([(r[0], r[1]) for r in small], percent)
     token, df, left_out = frequent_tokens(docs, int(top[0]), size)
     frequent = spark.sparkContext.broadcast((token, df))
-    keyed = docs.mapInArrow(_first_tokens(size, percent, boundary, frequent), "key long, cls long, n int, frequent int, kind byte")
-    met = materialise(keyed.repartition("key").mapInArrow(_meet(percent, left_out), "key long, a long, b long, na int, nb int, shared int, room int"), "met")
+    keyed = docs.mapInArrow(K.lean(_first_tokens(size, percent, boundary, frequent)), "key long, cls long, n int, frequent int, kind byte")
+    met = materialise(keyed.repartition("key").mapInArrow(K.lean(_meet(percent, left_out)), "key long, a long, b long, na int, nb int, shared int, room int"), "met")
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     pairs = materialise(pairs.where(F.col("shared") + F.col("room") >= needed).select("a", "b"), "pairs")
     lists = met.where("shared < 0").select("key", F.col("a").alias("cls"), F.col("na").alias("n"), F.col("b").alias("light"))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(lists.select("cls")).distinct()
-    sets = docs.mapInArrow(_wanted_sets(size, _bitmap(spark, wanted)), "cls long, tokens binary")
+    sets = docs.mapInArrow(K.lean(_wanted_sets(size, _bitmap(spark, wanted))), "cls long, tokens binary")
     sets = materialise(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")).join(wanted, "cls", "left_semi"), "sets")
     labels = materialise(components(_linked(pairs, sets, percent)).select(F.col("node").alias("cls"), F.col("component").alias("label")), "labels")
     if lists.limit(1).count():

@@ -8,6 +8,8 @@ whatever the partition holds.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,6 +54,26 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_P), 0x5851F42D4C957F2D)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and would
+    keep it while the executor's JVM needs room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run):
+    """The task function ``run``, giving back memory at its end."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def lut(members) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True

@@ -112,7 +112,7 @@ def language_prototypes(labelled: DataFrame, n: int = 3, dimensions: int = 1024)
     with a null in either are skipped).  The sums are built per task and added in Spark;
     the driver gets one vector per language, at most ``MAX_LANGUAGES``."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    summed = rows.mapInArrow(_profiler(n, dimensions), "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total"))
+    summed = rows.mapInArrow(K.lean(_profiler(n, dimensions)), "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     vectors = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "total"))), lambda x: x["total"]).alias("v"))
     found = vectors.limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -155,4 +155,4 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int
     dimensions = len(next(iter(prototypes.values()), np.zeros(1024)))
     docs = docs.select(*carry)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predictor(prototypes, n, dimensions), f"{kind}, lang_pred string, lang_score double")
+    return docs.mapInArrow(K.lean(_predictor(prototypes, n, dimensions)), f"{kind}, lang_pred string, lang_score double")

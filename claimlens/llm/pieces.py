@@ -261,7 +261,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
                     columns.append(pa.array([t.decode("utf-8", "replace") for t in decode_ids(vocabulary, ids, off)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: 2 + decoded])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.lean(run), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -283,4 +283,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(K.lean(run), "doc_id long, text string")

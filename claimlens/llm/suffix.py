@@ -366,12 +366,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Data
 
 def _repeated_spans(dealt: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
     scanned = texts(docs).where("doc_id is not null")
-    anchors = scanned.mapInArrow(_anchors(length), "key long, gram long, doc_id long, pos int, known boolean")
-    hits = anchors.repartition("key").mapInArrow(_repeated, "gram long, doc_id long, pos int")
+    anchors = scanned.mapInArrow(K.lean(_anchors(length)), "key long, gram long, doc_id long, pos int, known boolean")
+    hits = anchors.repartition("key").mapInArrow(K.lean(_repeated), "gram long, doc_id long, pos int")
     crowd = hits.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
     marked = hits.join(crowd, "gram", "left").select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
     near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
-    return near.mapInArrow(_around(length), _AROUND_SQL).repartition("key").mapInArrow(_spans(length), "doc_id long, start int, end int")
+    return near.mapInArrow(K.lean(_around(length)), _AROUND_SQL).repartition("key").mapInArrow(K.lean(_spans(length)), "doc_id long, start int, end int")
 
 
 def _cut():
@@ -417,4 +417,4 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Da
     none = F.array().cast("array<int>")
     joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"))
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"))
-    return joined.union(nameless).mapInArrow(_cut(), "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.union(nameless).mapInArrow(K.lean(_cut()), "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
