@@ -1,13 +1,17 @@
-"""Licence scan: lines against licence templates by the Dice coefficient over word bigrams.
+"""Licence scan: lines and word windows against licence templates by the Dice coefficient over
+word bigrams.
 
 Built from DataFrame functions only.  Every line of a text is normalised to lower-case words;
 its distinct bigrams are compared with those of each template whose size lets the coefficient
-reach the threshold.  The templates are literals of the plan, so nothing is joined, and
-only matches reach the shuffle.
+reach the threshold.  Windows of words of the whole text are compared in the same way, so a notice
+counts however it is wrapped and whatever stands around it.  The templates are literals of the
+plan, so nothing is joined, and only matches reach the shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +37,15 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 _OTHER = "[^a-z0-9]+"
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub(_OTHER, " ", text.lower()).split()
+
+
 def template_bigrams(templates=TEMPLATES) -> list[tuple[str, list[str]]]:
     """Licence and distinct word bigrams of each template; those of one word are refused."""
-    import re
-
     out = []
     for name, text in templates:
-        words = re.sub(_OTHER, " ", text.lower()).split()
+        words = template_words(text)
         grams = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
         if not grams:
             raise ValueError(f"template of {name} has no two words")
@@ -78,13 +84,66 @@ def scan_lines(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) ->
     return found.select("doc_id", "line_no", F.col("best.license").alias("license"), (-F.col("best.less")).alias("dice"), "line")
 
 
+def scan_windows(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """Notices in the words of the whole text, across line ends and inside sentences: ``doc_id, license,
+    dice, first, last`` (numbers of bigrams, from 0).
+
+    Every run of words counts that is at most ``(2 - t) / t`` times as long as its template (longer ones cannot
+    reach ``t`` unless they repeat themselves).  The best run of a template begins and ends with one of its
+    bigrams, so only those are scored.  Of matches that overlap, the one with the largest coefficient
+    stays (ties: the longer, then the name that sorts first).  Rows with a null doc_id are left out.
+    """
+    grams = template_bigrams(templates)
+    needs = [int(-(-threshold * len(g) // (2 - threshold))) for _, g in grams]
+    # a match lacks at most size - need bigrams, so one of any size - need + 1 stands in the text
+    seeds = sorted({x for (_, g), need in zip(grams, needs) for x in sorted(g, key=lambda x: (-len(x), x))[: len(g) - need + 1]})
+    known = sorted({x for _, g in grams for x in g})
+    lengths = [len(template_words(text)) - 1 for _, text in templates]
+    literal = F.array(*[
+        F.struct(F.lit(name).alias("license"), F.array(*[F.lit(x) for x in g]).alias("grams"), F.lit(need).alias("need"), F.lit(int(n * (2 - threshold) / threshold)).alias("most"))
+        for (name, g), need, n in zip(grams, needs, lengths)
+    ])
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    rows = rows.select("doc_id", F.explode(F.array(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), _OTHER, " ")), F.lit(" ")))).alias("norm"))
+    rows = rows.where(F.col("norm").rlike(f" (?:{'|'.join(seeds)}) "))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(F.split(F.trim("norm"), " "))).alias("words"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
+    rows = rows.select("row", "doc_id", F.explode(F.array(pairs)).alias("grams"))
+    rows = rows.select("row", "doc_id", "grams", F.explode(F.array(F.filter(F.sequence(F.lit(0), F.size("grams") - 1), lambda i: F.get("grams", i).isin(known)))).alias("hits"))
+    rows = rows.select("row", "doc_id", "grams", "hits", F.explode(literal).alias("t"))
+    rows = rows.select("row", "doc_id", "grams", "t", F.explode(F.array(F.filter("hits", lambda i: F.array_contains(F.col("t.grams"), F.get("grams", i))))).alias("mine")).where(F.size("mine") >= F.col("t.need"))
+    fits = F.filter(F.sequence(F.lit(0), F.size("mine") - F.col("t.need")), lambda k: F.get("mine", k + F.col("t.need") - 1) - F.get("mine", k) < F.col("t.most"))
+    rows = rows.select("row", "doc_id", "grams", "t", "mine", F.explode(fits).alias("k"))
+    first = F.get("mine", F.col("k"))
+    ends = F.filter(F.slice("mine", F.col("k") + F.col("t.need"), F.col("t.most")), lambda p: p - first < F.col("t.most"))
+    rows = rows.select("row", "doc_id", "t", first.alias("first"), F.slice("grams", first + 1, F.col("t.most")).alias("part"), F.transform(ends, lambda p: p - first + 1).alias("sizes"))
+    rows = rows.select("row", "doc_id", "t", "first", "part", F.explode("sizes").alias("size"))
+    rows = rows.select("row", "doc_id", "t", "first", "size", F.explode(F.array(F.array_distinct(F.slice("part", 1, F.col("size"))))).alias("own"))
+    a, b = F.size("own"), F.size("t.grams")
+    rows = rows.where(F.lit(threshold) * (a + b) <= 2 * F.least(a, b))
+    rows = rows.select("row", "doc_id", F.col("t.license").alias("license"), "first", "size", F.explode(F.array(2.0 * F.size(F.array_intersect("own", "t.grams")) / (a + b))).alias("dice")).where(F.col("dice") >= threshold)
+    # the best of each first bigram, then the best of those that overlap
+    best = rows.groupBy("row", "doc_id", "license", "first").agg(F.min(F.struct((-F.col("dice")).alias("less"), (-F.col("size")).alias("shorter"))).alias("m"))
+    one = F.struct(F.col("m.less").alias("less"), F.col("m.shorter").alias("shorter"), "license", "first", (F.col("first") - F.col("m.shorter") - 1).alias("last"))
+    kind = "array<struct<less:double,shorter:int,license:string,first:int,last:int>>"
+
+    def add(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda y: (x["first"] <= y["last"]) & (y["first"] <= x["last"])), kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = best.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(one)).cast(kind).alias("all"))
+    kept = kept.select("doc_id", F.explode(F.aggregate("all", F.array().cast(kind), add)).alias("m"))
+    return kept.select("doc_id", "m.license", (-F.col("m.less")).alias("dice"), "m.first", "m.last")
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """One row per document: ``doc_id, n_lines`` (that match), ``licenses`` (distinct, sorted,
-    comma-joined; empty where there is none) and ``best`` (largest coefficient, else 0).
+    """One row per document: ``doc_id, n_lines`` (that match as a whole), ``licenses`` (of lines and of
+    windows, so also of wrapped notices and of grants inside a line; distinct, sorted, comma-joined;
+    empty where there is none) and ``best`` (largest coefficient of both, else 0).
 
     Rows with a null doc_id come back without matches; rows of one doc_id share theirs.
     """
-    found = scan_lines(docs, templates, threshold).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.max("dice").alias("top"))
+    both = scan_lines(docs, templates, threshold).select("doc_id", "license", "dice", F.lit(1).alias("line")).unionByName(scan_windows(docs, templates, threshold).select("doc_id", "license", "dice", F.lit(0).alias("line")))
+    found = both.groupBy("doc_id").agg(F.sum("line").alias("n"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("names"), F.max("dice").alias("top"))
     ids = docs.select(F.col("doc_id").cast("long"))
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("names", F.lit("")).alias("licenses"), F.coalesce("top", F.lit(0.0)).alias("best"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -261,6 +262,22 @@ def test_licenses(spark):
     assert got == [(1, "MIT", 1.0), (0, "", 0.0), (0, "", 0.0), (0, "", 0.0), (3, "Apache-2.0,CC-BY-NC-4.0", 1.0)]
 
 
+def test_licenses_wrapped_and_in_sentences(spark):
+    """Notices over several lines and inside sentences; no line of them reaches the threshold."""
+    by = {}
+    for name, text in licenses.TEMPLATES:
+        by[name] = max(by.get(name, ""), text, key=len)
+    texts = ["Copyright 2020 X\n\n" + "\n".join(f" * {x}" for x in textwrap.wrap(by[n], 72)) + "\n\nmore words follow here" for n in sorted(by)]
+    got = [tuple(r)[2:] for r in licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [(n, 1.0) for n in sorted(by)]
+    inside = ["This file is released under the MIT License.", "We wrote it last year. Released under the MIT License. Ask us about it.", "the mit license", "released under the old licence", "a", None]
+    df = frame(spark, inside).union(spark.createDataFrame([(None, inside[0]), (1, inside[1])], EMPTY))
+    got = [tuple(r)[1:] for r in licenses.scan_licenses(df).orderBy("doc_id").collect()]
+    assert got == [(0, "", 0.0), (0, "MIT", 1.0), (0, "MIT", 1.0), (0, "MIT", 1.0), (0, "", 0.0), (0, "", 0.0), (0, "", 0.0), (0, "", 0.0)]
+    dnl = "\n".join(f"dnl {x}" for x in textwrap.wrap(by["ISC"], 72))  # words of a comment mark stand in between
+    assert [r.licenses for r in licenses.scan_licenses(frame(spark, [dnl])).collect()] == ["ISC"]
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://WWW.Example.com/en/1?x", None), (2, "http://example.com/en/77", ""), (3, "no scheme", None), (4, None, None), (5, "https://a.net/de/x#y", None),
