@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import discard, materialise
 
 _KEEP = bytes(c if not K.NOT_ALNUM[c] else 0x20 for c in K.LOWER_TABLE)  # lower-cased, the rest a space
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -138,5 +139,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _clean(items: list[tuple[object, str | None]], window: int):
+    windows = item_windows(items, window)
+
+    def run(batches):
+        automaton = build_automaton(windows) if windows else None
+        for batch in batches:
+            for part in K.slices(batch):
+                data, off = K.flat(part.column("text"))
+                raw = data.tobytes()
+                yield part.filter(pa.array([not scan(automaton, raw[off[i] : off[i + 1]])[0].any() for i in range(part.num_rows)], pa.bool_()))
+
+    return run
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` that hold no window of a benchmark item, with all their columns.
+
+    Each row is judged by its own text, so a doc_id may repeat or be null.  A larger benchmark
+    takes several passes; each but the last is written as a table before the next lot is read.
+    """
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    passed = written = None
+    for lot in _blocks(benchmark, most_bytes):
+        if passed is not None:
+            docs = materialise(passed, "clean")
+            discard(written)
+            written = docs
+        passed = docs.mapInArrow(K.lean(_clean(lot, window)), kind)
+    return docs if passed is None else passed
+
+
 def sha256_of(ids: list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()

@@ -70,14 +70,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return inner.union(now.select("v", "v").distinct())
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (long) and ``text``.  A doc_id that is a long already stays the very column:
+def texts(docs: DataFrame, carry=()) -> DataFrame:
+    """``doc_id`` (long), ``text`` and the columns ``carry``.  A doc_id that is a long already stays the very column:
     plans that differ by an alias do not share an exchange."""
     own = docs.schema["doc_id"].dataType.simpleString() == "bigint"
-    return docs.select("doc_id" if own else F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select("doc_id" if own else F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
 
-def dealt_texts(docs: DataFrame) -> DataFrame:
+def dealt_texts(docs: DataFrame, carry=()) -> DataFrame:
     """Texts with a doc_id, dealt out by it: joins on doc_id that read the same columns of it
     use one exchange."""
-    return texts(docs).where("doc_id is not null").repartition("doc_id")
+    return texts(docs, carry).where("doc_id is not null").repartition("doc_id")

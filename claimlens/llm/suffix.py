@@ -365,16 +365,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Data
 
 
 def _repeated_spans(dealt: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
+    """All columns of ``dealt`` go to the tasks: both joins then read one exchange."""
     scanned = texts(docs).where("doc_id is not null")
     anchors = scanned.mapInArrow(K.lean(_anchors(length)), "key long, gram long, doc_id long, pos int, known boolean")
     hits = anchors.repartition("key").mapInArrow(K.lean(_repeated), "gram long, doc_id long, pos int")
     crowd = hits.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
     marked = hits.join(crowd, "gram", "left").select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
-    near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
+    near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select(*dealt.columns, "anchors")
     return near.mapInArrow(K.lean(_around(length)), _AROUND_SQL).repartition("key").mapInArrow(K.lean(_spans(length)), "doc_id long, start int, end int")
 
 
-def _cut():
+def _cut(carry):
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
@@ -400,21 +401,24 @@ def _cut():
                         text = data[off[i] : off[i + 1]][~gone].tobytes()
                     texts.append(text.decode("utf-8", "ignore"))
                     rows.append((int(off[i + 1] - off[i]), removed, spans, hashlib.sha256(text).hexdigest()))
-                yield K.table(out, part.column("doc_id"), texts, *map(list, zip(*rows)))
+                cut = K.table(out, part.column("doc_id"), texts, *map(list, zip(*rows)))
+                yield pa.RecordBatch.from_arrays([*cut.columns, *[part.column(c) for c in carry]], names=[*out.names, *carry])
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without its repeated strings: ``doc_id``, ``text`` (what is left;
     characters cut in two at a border are dropped), ``n_bytes``, ``n_removed``, ``n_spans``
     (maximal removed runs) and ``kept_sha256`` (of the bytes left, before that drop).
 
-    A null text is empty; a null doc_id loses nothing.  Other columns are ignored.
+    A null text is empty; a null doc_id loses nothing.  The columns ``carry`` follow; others are
+    ignored.  Every row comes back once, also those that repeat a doc_id.
     """
-    dealt = dealt_texts(docs)
+    dealt = dealt_texts(docs, carry)
     found = _repeated_spans(dealt, docs, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     none = F.array().cast("array<int>")
-    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"))
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"))
-    return joined.union(nameless).mapInArrow(K.lean(_cut()), "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), *carry)
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"), *carry)
+    kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.union(nameless).mapInArrow(K.lean(_cut(carry)), f"doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kind}")

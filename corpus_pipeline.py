@@ -18,7 +18,8 @@ MIN_LANGUAGE_SCORE = 0.05
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without letters and those that no language's prototype resembles."""
+    """Reject documents without letters and those that no language's prototype resembles; row by row, so
+    a doc_id may repeat or be null."""
     prototypes = langid.language_prototypes(docs.where(~held_out()).select("text", "lang"))
     rest = docs.select(*COLUMNS)
     found = langid.predict_language(rest, prototypes, carry=COLUMNS)
@@ -26,25 +27,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    kept = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep the document with the smallest id of each group of near duplicates.
+
+    Rows with one doc_id and one text are one document and leave one row (that with the least ``lang``,
+    ``source`` and ``n_chars``); different texts under one doc_id stay or go together.  Rows with a null doc_id cannot
+    be told apart and are all kept.
+    """
+    found = jaccard.jaccard_components(docs).where("doc_id is not null")
+    kept = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"), (F.count("*") > 1).alias("_again"))
+    kept = materialise(kept.where("_kept").select("doc_id", "_again"), "kept")
+    out = docs.join(kept.where("not _again"), "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    again = kept.where("_again")
+    if again.limit(1).count():
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        once = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("m"))
+        out = out.union(once.select("doc_id", "text", "m.*").select(*COLUMNS))
+    return out
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 200 bytes that occur more than once; documents of which nothing is left go."""
-    cut = suffix.dedup_substrings(docs).where("text <> ''").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    """Cut strings of 200 bytes that occur more than once; documents of which nothing is left go.
+
+    Every row is cut for itself: rows that repeat come back as often as they came, and those with
+    a null doc_id lose nothing.
+    """
+    cut = suffix.dedup_substrings(docs, carry=("lang", "source")).where("text <> ''")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop documents that hold a window of a benchmark item; each row is judged by its own text, also
+    where its doc_id is null or repeats."""
+    return decontam.clean_rows(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each row, also where its doc_id is null or repeats."""
     coded = pieces.encode(docs, default_model())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 

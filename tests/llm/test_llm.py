@@ -334,3 +334,35 @@ def test_pipeline(spark, sf_dir):
     for i in clean:
         out = pieces.decode_ids(vocabulary, np.array(got[i], np.int64), np.array([0, len(got[i])]))
         assert out[0].decode() == cut[i].text
+
+
+def test_pipeline_stages_keep_null_ids_and_drop_repeats_once(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = queries.read(spark, sf_dir, "documents").select(*P.COLUMNS).where("lang = 'en' and n_chars between 300 and 3000").orderBy("doc_id").limit(12)
+    one, two, three = docs.collect()[:3]
+    bench = queries.read(spark, sf_dir, "benchmark").where("length(text) > 100").first().text
+    nulls = [(None, "A wholly other text, told by nobody else in this table.", "en", "n", 0), (None, bench, "en", "n", 0)]
+    rows = [*map(tuple, docs.collect()), tuple(one), tuple(one), (two.doc_id, two.text, "aa", "s", two.n_chars), *nulls]
+    df = spark.createDataFrame(rows, docs.schema)
+    count = lambda x, i: x.where(F.col("doc_id").eqNullSafe(F.lit(i))).count()
+    assert P.language_id(spark, df, sf_dir).count() == len(rows)
+    near = P.near_duplicates(spark, df, sf_dir)
+    assert (count(near, one.doc_id), count(near, two.doc_id), count(near, three.doc_id), count(near, None)) == (1, 1, 1, 2)
+    assert near.where(F.col("doc_id") == two.doc_id).first().lang == "aa"
+    cut = P.repeated_strings(spark, df, sf_dir)
+    assert (count(cut, one.doc_id), count(cut, two.doc_id), count(cut, None)) == (3, 2, 2)
+    assert {r.text for r in cut.where("doc_id is null").collect()} == {n[1] for n in nulls}
+    assert sorted((r.lang, r.source) for r in cut.where(F.col("doc_id") == two.doc_id).collect()) == sorted([("aa", "s"), (two.lang, two.source)])
+    left = P.decontaminate(spark, df, sf_dir)
+    assert (count(left, one.doc_id) in (0, 3), count(left, None)) == (True, 1)
+    assert P.encode(spark, df, sf_dir).count() == len(rows)
+
+
+def test_clean_rows_in_several_passes(spark):
+    items = [(1, "tiny one"), (2, "other two"), (3, "third three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(None, "a tiny one"), (None, "plain"), (1, "plain"), (1, "a third three"), (1, "plain")], EMPTY)
+    for most in (1, 8 << 20):
+        got = decontam.clean_rows(df, bench, most_bytes=most).collect()
+        assert sorted(map(str, got)) == sorted(map(str, [df.collect()[i] for i in (1, 2, 4)]))
