@@ -189,3 +189,16 @@ def test_streams(spark, tmp_path):
     jobs.stream_reviews(spark, str(reviews), str(tmp_path / "rec"), str(tmp_path / "audit"), str(tmp_path / "cp3")).awaitTermination()
     got = {r.review_id: r.status for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
     assert got == {1: "override without reason", 2: "accepted", 3: "already reviewed", 4: "accepted"}
+
+
+def test_large_query_sets_are_dealt_into_blocks(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3] if i % 7 else None, i * 37 % 101 / 101, [float(i % 5), 1.0, float(i % 3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, x double, v array<double>")
+    q, r = df.where("id % 2 = 0"), df.where("id % 3 = 1")
+    runs = [
+        lambda: similar.gower_dcr(q, r, "id", ["a", "b"], ["x"]), lambda: similar.max_matching(q, r, "id", ["a", "b", "x"]),
+        lambda: similar.similar_claims(q, df, "id", "v", 3), lambda: similar.similar_claims(q, df, "id", "v", 3, "a"),
+    ]
+    whole = [sorted(map(tuple, f().collect())) for f in runs]
+    monkeypatch.setattr(similar, "MAX_QUERIES", 7)
+    assert [sorted(map(tuple, f().collect())) for f in runs] == whole
