@@ -202,3 +202,22 @@ def test_large_query_sets_are_dealt_into_blocks(spark, monkeypatch):
     whole = [sorted(map(tuple, f().collect())) for f in runs]
     monkeypatch.setattr(similar, "MAX_QUERIES", 7)
     assert [sorted(map(tuple, f().collect())) for f in runs] == whole
+
+
+def test_grouped_gower_equals_all_pairs(spark):
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3] if i % 7 else None, None if i % 11 == 10 else i * 37 % 101 / 101) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, x double")
+    q, r = df.where("id % 2 = 0"), df.where("id % 3 = 1")
+    want = {i: d for i, d in similar.gower_dcr(q, r, "id", ["a", "b"], ["x"]).collect()}
+    for cells in (1, 4, 4096):
+        got = {i: d for i, d in similar.gower_dcr_grouped(q, r, "id", ["a", "b"], "x", cells).collect()}
+        assert got.keys() == want.keys() and all(got[i] == want[i] or abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_distances_for_every_synthetic_row(spark, sf_dir):
+    from claimlens.plans.registry import QUERIES
+    from claimlens.plans import scoring_queries  # noqa: F401
+    from claimlens.sources import adapters
+
+    n = adapters.cases(spark, sf_dir).where("split = 'synthetic'").count()
+    assert QUERIES["f02_gower_all"](spark, sf_dir).count() == QUERIES["f04_max_matching_all"](spark, sf_dir).count() == n
