@@ -121,7 +121,7 @@ def language_prototypes(labelled: DataFrame, n: int = 3, dimensions: int = 1024)
     return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted(got.items())}
 
 
-def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int):
+def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int, count_letters: bool):
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names]).reshape(len(names), dimensions)
 
@@ -141,13 +141,17 @@ def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int):
                 columns = [pa.array(["und" if x is None else x for x in lang], pa.string()), pa.array(np.where(blank, 0.0, score))]
                 kept = [part.column(i) for i in range(part.num_columns)]
                 names_ = [*part.schema.names, "lang_pred", "lang_score"]
+                if count_letters:
+                    columns.append(pa.array(letters, pa.int64()))
+                    names_.append("n_letters")
                 yield pa.RecordBatch.from_arrays([*kept, *columns], names=names_)
 
     return run
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, carry=("doc_id", "text")) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with ``lang_pred`` and ``lang_score`` (cosine, 0 to 1).
+def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, carry=("doc_id", "text"), count_letters: bool = False) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with ``lang_pred`` and ``lang_score`` (cosine, 0 to 1), and ``n_letters``
+    where ``count_letters`` is set.
 
     Only ``text`` decides.  ``und`` with score 0 where the text is null or has no letter,
     or where nothing was learned.  Equal cosines go to the name that sorts first.
@@ -155,4 +159,4 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int
     dimensions = len(next(iter(prototypes.values()), np.zeros(1024)))
     docs = docs.select(*carry)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(K.lean(_predictor(prototypes, n, dimensions)), f"{kind}, lang_pred string, lang_score double")
+    return docs.mapInArrow(K.lean(_predictor(prototypes, n, dimensions, count_letters)), f"{kind}, lang_pred string, lang_score double" + ", n_letters long" * count_letters)

@@ -15,15 +15,22 @@ from claimlens.llm.shared import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.05
+#: Texts of fewer letters cannot be judged; from so many on, three times the noise is asked for.
+SHORT_LETTERS, LONG_LETTERS, LONG_LANGUAGE_SCORE = 32, 128, 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without letters and those that no language's prototype resembles; row by row, so
-    a doc_id may repeat or be null."""
+    a doc_id may repeat or be null.
+
+    The noise of a cosine in 1,024 dimensions is about 0.03, and few letters give few n-grams.  So texts of fewer
+    than 32 letters are kept whatever their score, those of fewer than 128 need 0.05, all others 0.1.
+    """
     prototypes = langid.language_prototypes(docs.where(~held_out()).select("text", "lang"))
     rest = docs.select(*COLUMNS)
-    found = langid.predict_language(rest, prototypes, carry=COLUMNS)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_LANGUAGE_SCORE)).select(*COLUMNS)
+    found = langid.predict_language(rest, prototypes, carry=COLUMNS, count_letters=True)
+    limit = F.when(F.col("n_letters") < SHORT_LETTERS, 0.0).when(F.col("n_letters") < LONG_LETTERS, MIN_LANGUAGE_SCORE).otherwise(LONG_LANGUAGE_SCORE)
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= limit)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

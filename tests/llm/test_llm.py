@@ -366,3 +366,15 @@ def test_clean_rows_in_several_passes(spark):
     for most in (1, 8 << 20):
         got = decontam.clean_rows(df, bench, most_bytes=most).collect()
         assert sorted(map(str, got)) == sorted(map(str, [df.collect()[i] for i in (1, 2, 4)]))
+
+
+def test_short_documents_of_each_language_are_kept(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = queries.read(spark, sf_dir, "documents").select(*P.COLUMNS)
+    short = ["A.", "Avec.", "Y.", "Und.", "I", "à", "Erö.", "qzx kwv jjq", "A.\nAll rights reserved."]
+    bad = [None, "", "12 34 !!", "Tämä on suomenkielinen lause, jossa puhutaan säästä ja kahvista. " * 5, "xkcd qqqq zzzz wvwv" * 20]
+    more = spark.createDataFrame([(-1 - i, t, "en", "x", 0) for i, t in enumerate(short + bad)], docs.schema)
+    # the added rows are all held out or few, so the prototypes are those of the table
+    kept = {r.text for r in P.language_id(spark, docs.union(more), sf_dir).where("doc_id < 0").collect()}
+    assert set(short) <= kept and not kept & set(bad[1:3]) and bad[4] not in kept
