@@ -12,6 +12,7 @@ dealt out as blocks of it, each pair of blocks to a task of its own: nothing is
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,11 +169,21 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95, trees: int = 6, leaf
 
     Thresholds come from at most ``sample`` vectors (smallest md5 of the id), which bounds
     what the driver holds; every vector is assigned.  ``spill`` is the margin in standard
-    deviations of a difference at the threshold, along a random direction.
+    deviations of a difference at the threshold, along a random direction.  Widths are worked off in
+    groups of ``MAX_WIDTHS``, each with its own forests, as vectors of different width never pair.
     """
-    widths = [r[0] for r in vectors.groupBy("size").count().limit(MAX_WIDTHS + 1).collect()]
-    if len(widths) > MAX_WIDTHS:
-        raise ValueError(f"vectors have more than {MAX_WIDTHS} widths")
+    widths = sorted(r[0] for r in vectors.groupBy("size").count().collect())
+    found = []
+    for at in range(0, max(1, len(widths)), MAX_WIDTHS):
+        part = widths[at : at + MAX_WIDTHS]
+        mine = vectors if len(widths) <= MAX_WIDTHS else vectors.where(F.col("size").isin(part))
+        found.append(_near_pairs(mine, part, threshold, trees, leaf, spill, sample, most_leaf, seed))
+        if len(widths) > MAX_WIDTHS:
+            found[-1] = materialise(found[-1], "width-pairs")
+    return reduce(DataFrame.union, found)
+
+
+def _near_pairs(vectors, widths, threshold, trees, leaf, spill, sample, most_leaf, seed) -> DataFrame:
     forests = {}
     for width in widths:
         mine = vectors.where(F.col("size") == width)

@@ -183,6 +183,17 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_many_widths(spark):
+    rows = [(3 * w + i, [1.0 * (w % 5), 1.0, *[float(i == 2)] * 9][: w + 1]) for w in range(1, 9) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = sorted(map(tuple, embed_dedup.near_duplicates(df).collect()))
+    few, embed_dedup.MAX_WIDTHS = embed_dedup.MAX_WIDTHS, 3
+    try:
+        assert sorted(map(tuple, embed_dedup.near_duplicates(df).collect())) == want and any(r[1] for r in want)
+    finally:
+        embed_dedup.MAX_WIDTHS = few
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (300, 200), (300, 250)]
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
