@@ -152,18 +152,25 @@ def score_claims(df: DataFrame, p: str, high: float, medium: float) -> DataFrame
 
 
 def adversarial_validation(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, folds: int = 3, seed: int = 1) -> DataFrame:
-    """Out-of-fold probability that a row belongs to ``right``, over as many rows of each split:
-    ``key, fold, is_right, p``."""
+    """Probability that a row belongs to ``right``, for all rows of both splits: ``key, fold, is_right, p``.
+
+    The fold models learn from as many rows of each split; those rows get an out-of-fold value.  The
+    surplus of the larger split is learned by no model: it gets the mean of all of them and a null ``fold``.
+    """
     guard_features([*nominal, *numeric])
     both = df.where(F.col(split).isin(left, right)).withColumn("is_right", (F.col(split) == right).cast("int"))
     least = both.groupBy("is_right").count().agg(F.min("count")).first()[0] or 0
-    rows = stratum_numbers(both, key, ["is_right"]).where(F.col("_row") <= least).withColumn("fold", F.pmod("_row", F.lit(folds))).drop("_row", "_size")
+    numbered = stratum_numbers(both, key, ["is_right"])
+    rows = numbered.where(F.col("_row") <= least).withColumn("fold", F.pmod("_row", F.lit(folds))).drop("_row", "_size")
+    rest = numbered.where(F.col("_row") > least).drop("_row", "_size")
     out = None
     for k in range(folds):
         model = fit_scorer(rows.where(F.col("fold") != k), nominal, numeric, "is_right", "boosted", seed=seed)
         part = score(model, rows.where(F.col("fold") == k)).select(key, "fold", "is_right", "p")
         out = part if out is None else out.unionByName(part)
-    return out
+        rest = score(model, rest, f"_p{k}")
+    mean = sum((F.col(f"_p{k}") for k in range(1, folds)), F.col("_p0")) / folds
+    return out.unionByName(rest.select(key, F.lit(None).cast(out.schema["fold"].dataType).alias("fold"), "is_right", mean.alias("p")))
 
 
 def utility_experiment(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[str, float, float, bool]], key: str, split: str, label: str, nominal, numeric, family: str = "logistic") -> DataFrame:

@@ -221,3 +221,12 @@ def test_distances_for_every_synthetic_row(spark, sf_dir):
 
     n = adapters.cases(spark, sf_dir).where("split = 'synthetic'").count()
     assert QUERIES["f02_gower_all"](spark, sf_dir).count() == QUERIES["f04_max_matching_all"](spark, sf_dir).count() == n
+
+
+def test_adversarial_validation_scores_the_surplus(spark):
+    rows = [(i, "r" if i % 3 == 0 else "s", "ab"[i % 2], float(i % 3) + i / 90) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, split string, a string, x double")
+    out = model.adversarial_validation(df, "id", "split", "r", "s", ["a"], ["x"], 2).collect()
+    assert sorted(r.id for r in out) == list(range(90)) and all(r.p is not None for r in out)
+    surplus = [r for r in out if r.fold is None]
+    assert len(surplus) == 30 and {r.is_right for r in surplus} == {1}
