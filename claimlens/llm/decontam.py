@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,22 @@ def scan(automaton, text: bytes):
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _scanner(items: list[tuple[object, str | None]], window: int, spans: bool):
+def _bounds(text: bytes, at: np.ndarray) -> list[list[int]]:
+    """Byte ranges of the runs of the words ``at``."""
+    if not len(at):
+        return []
+    places = [m.span() for m in _WORD.finditer(text.translate(K.LOWER_TABLE))]
+    breaks = np.flatnonzero(np.diff(at) > 1)
+    return [[places[a][0], places[b][1]] for a, b in zip(at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]])]
+
+
+def _scanner(items: list[tuple[object, str | None]], window: int, spans: bool, row: bool = False):
     windows = item_windows(items, window)
     names = [str(i) for i, _ in items]
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("hits", pa.list_(pa.int32()))])
 
+    names_out = [*out.names, "_row"] if row else out.names
+
     def run(batches):
         automaton = build_automaton(windows) if windows else None
         for batch in batches:
@@ -84,20 +96,25 @@ def _scanner(items: list[tuple[object, str | None]], window: int, spans: bool):
                     text = raw[off[i] : off[i + 1]]
                     mask, got = scan(automaton, text)
                     at = np.flatnonzero(mask)
-                    bounds = []
-                    if spans and len(at):
-                        places = [m.span() for m in _WORD.finditer(text.translate(K.LOWER_TABLE))]
-                        breaks = np.flatnonzero(np.diff(at) > 1)
-                        bounds = [[places[a][0], places[b][1]] for a, b in zip(at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]])]
+                    bounds = _bounds(text, at) if spans else []
                     for column, value in zip(rows, (len(mask), len(at), sorted(names[x] for x in got), bounds, at.tolist())):
                         column.append(value)
-                yield K.table(out, part.column("doc_id"), *rows)
+                found = K.table(out, part.column("doc_id"), *rows)
+                yield pa.RecordBatch.from_arrays([*found.columns, *([part.column("_row")] if row else [])], names=names_out)
 
     return run
 
 
+def _span_finder(batches):
+    """Spans of the words ``hits``."""
+    for batch in batches:
+        bounds = [_bounds((t or "").encode(), np.array(h, np.int64)) for t, h in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist())]
+        columns = [batch.column("_row"), pa.array(bounds, pa.list_(pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["_row", "spans"])
+
+
 def _blocks(benchmark: DataFrame, most_bytes: int):
-    """The items in lots of bounded size; the driver holds one lot at a time."""
+    """The items in lots of bounded size, read one after the other."""
     lot, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         lot.append((row[0], row[1]))
@@ -116,20 +133,34 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, span
     ranges of the original UTF-8 text, end exclusive) and ``hits`` (word numbers).
 
     The automaton of at most ``most_bytes`` of item text goes to the tasks; a larger
-    benchmark is scanned in several passes whose rows are merged by document.  Null or
+    benchmark is scanned in several passes.  Each pass is written as a table before the next lot is read, so the
+    driver holds two lots at most, and passes are merged by a key of the row: every row comes
+    back once, also where its doc_id repeats or is null.  Null or
     empty texts have no words and no hits; items without words match nothing; an empty
     benchmark hits nothing; repeated items count once per id; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>, hits array<int>"
-    parts = [docs.mapInArrow(K.lean(_scanner(lot, window, spans)), kind) for lot in _blocks(benchmark, most_bytes)]
-    if len(parts) == 1:
-        return parts[0].withColumn("items", F.array_distinct("items"))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-    return merged.withColumn("n_hit", F.size("hits").cast("long")).select("doc_id", "n_words", "n_hit", "items", "spans", "hits")
+    lots = _blocks(benchmark, most_bytes)
+    lot, after = next(lots, []), next(lots, None)
+    if after is None:
+        return docs.mapInArrow(K.lean(_scanner(lot, window, spans)), kind).withColumn("items", F.array_distinct("items"))
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    parts = []
+    while lot is not None:
+        found = rows.mapInArrow(K.lean(_scanner(lot, window, False, True)), f"{kind}, _row long")
+        # the first pass names every row, the others add what they find
+        parts.append(materialise((found.where("n_hit > 0") if parts else found).select("_row", "doc_id", "n_words", "items", "hits"), "pass"))
+        lot, after = after, next(lots, None)
+    merged = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    merged = merged.withColumn("n_hit", F.size("hits").cast("long"))
+    none = F.array().cast("array<array<bigint>>")
+    if spans:
+        texts = rows.select("_row", "text").join(merged.where("n_hit > 0").select("_row", "hits"), "_row")
+        merged = merged.join(texts.mapInArrow(K.lean(_span_finder), "_row long, spans array<array<bigint>>"), "_row", "left").withColumn("spans", F.coalesce("spans", none))
+    else:
+        merged = merged.withColumn("spans", none)
+    return merged.select("doc_id", "n_words", "n_hit", "items", "spans", "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 8 << 20) -> DataFrame:

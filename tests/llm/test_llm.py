@@ -370,6 +370,14 @@ def test_pipeline_stages_keep_null_ids_and_drop_repeats_once(spark, sf_dir):
     assert P.encode(spark, df, sf_dir).count() == len(rows)
 
 
+def test_decontamination_passes_keep_rows_apart(spark):
+    bench = spark.createDataFrame([(1, "tiny one"), (2, "one two"), (3, "third three")], "item_id long, text string")
+    df = spark.createDataFrame([(None, "a tiny  one, two"), (None, "plain"), (1, "plain"), (1, "third three"), (1, "third three"), (None, None)], EMPTY)
+    for spans in (True, False):
+        one, many = (sorted(map(str, decontam.scan_documents(df, bench, spans=spans, most_bytes=most).collect())) for most in (8 << 20, 1))
+        assert len(one) == 6 and one == many
+
+
 def test_clean_rows_in_several_passes(spark):
     items = [(1, "tiny one"), (2, "other two"), (3, "third three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
