@@ -38,6 +38,25 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 1000) -> DataFrame:
+    """``big`` joined with ``small`` by ``key``, where keys with more than a thousandth of the rows of ``big`` (and
+    more than ``least``) are dealt out in shares, each with its own copy of their rows of ``small``.
+
+    Fewer than a thousand keys can hold so many, so the table of them is broadcast.  ``big``
+    is read twice and should be a written table; a null key is dealt out like any other.
+    """
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    bound = max(least, big.count() // 1000)
+    crowd = [(r[0], -(-r[1] // bound)) for r in counts.where(F.col("_n") > bound).collect()]  # fewer than 1,000 rows
+    if not crowd:
+        return big.join(small, key, how)
+    crowd = F.broadcast(big.sparkSession.createDataFrame(crowd, f"_hot {big.schema[key].dataType.simpleString()}, _shares long"))
+    row = F.xxhash64(*[F.col(c) for c in big.columns])
+    many = big.join(crowd, F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn("_share", F.pmod(row, F.coalesce("_shares", F.lit(1).cast("long")))).drop("_hot", "_shares")
+    few = small.join(crowd, F.col(key) == F.col("_hot"), "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1).cast("long")) - 1))).drop("_hot", "_shares")
+    return many.join(few, [key, "_share"], how).drop("_share")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Label the nodes of an undirected graph (columns ``a`` and ``b``, long) with the
     smallest node that can be reached: columns ``node`` and ``component``.

@@ -136,17 +136,48 @@ def brute_components(texts, percent=75, size=5):
     return [(i, len(s), label[i]) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("boundary,rare", [(None, 16), (64, 16), (12, 1)])
-def test_jaccard(spark, boundary, rare, monkeypatch):
-    texts = corpus(3, 70, 60)
+def families():
+    """Families whose lists are long: variants of two texts that share most words, and of a longer one."""
+    rng = random.Random(8)
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen".split()
-    for i in range(40):  # a family whose lists are long
-        texts.append(" ".join([*base, *base[:8], f"v{i % 11}", f"w{i % 3}"]))
-    monkeypatch.setattr(jaccard.frequent_tokens, "__defaults__", (rare, jaccard.MAX_FREQUENT))
-    got = jaccard.jaccard_components(frame(spark, texts, True), boundary=boundary).orderBy("doc_id").collect()
+    long = [f"w{i}" for i in range(80)]
+    out = [" ".join([*base, *base[:8], f"v{i % 11}", f"w{i % 3}"]) for i in range(40)]
+    for i in range(60):
+        text = list(long) if i % 2 else [*long[:66], *(f"x{j}" for j in range(14))]
+        for _ in range(i % 5):
+            text[rng.randrange(80)] = f"e{rng.randrange(30)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"boundary": 64}, {"boundary": 12, "rare": 1}, {"rare": 2, "rounds": 0, "block": 4}, {"rare": 2, "rounds": 1, "block": 7}, {"rare": 3, "most_frequent": 4}, {"class_bits": 6, "rare": 4}],
+    ids=str,
+)
+def test_jaccard(spark, options):
+    texts = corpus(3, 70, 60) + families()
+    got = jaccard.jaccard_components(frame(spark, texts, True), **options).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == brute_components(texts)
 
 
+def test_jaccard_of_long_texts_that_share_a_shingle(spark):
+    """Texts of 2,000 words: a frequent shingle in all, near copies of a few."""
+    rng = random.Random(9)
+    texts = [" ".join(["all of them say this", *(f"{i}w{j}" for j in range(1995))]) for i in range(40)]
+    texts += [" ".join(["all of them say this", *(w if rng.random() > 0.02 else "z" for w in texts[i].split()[5:])]) for i in range(5)]
+    got = jaccard.jaccard_components(frame(spark, texts), rare=4).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute_components(texts) and got[40].component_id == 0
+
+
+def test_hot_joins_keep_all_rows(spark):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 9 == 0, None).otherwise(F.col("id")).alias("key"), F.col("id").alias("x")).cache()
+    small = spark.createDataFrame([(7, "a"), (7, "b"), (3, "c"), (None, "d")], "key long, y string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "key", how).collect()))
+        assert sorted(map(str, shared.join_hot(big, small, "key", how, 50).collect())) == want
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], EMPTY)).count() == 0
     df = spark.createDataFrame([(None, "a b c"), (3, "A b c"), (3, "A b c"), (2, "a b c")], EMPTY)
