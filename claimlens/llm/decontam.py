@@ -78,14 +78,14 @@ def _bounds(text: bytes, at: np.ndarray) -> list[list[int]]:
     return [[places[a][0], places[b][1]] for a, b in zip(at[np.r_[0, breaks + 1]], at[np.r_[breaks, len(at) - 1]])]
 
 
-def _scanner(items: list[tuple[object, str | None]], window: int, spans: bool, row: bool = False):
-    windows = item_windows(items, window)
-    names = [str(i) for i, _ in items]
+def _scanner(items, window: int, spans: bool, row: bool = False):
+    """``items`` is a broadcast list of (item_id, text)."""
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("hits", pa.list_(pa.int32()))])
 
     names_out = [*out.names, "_row"] if row else out.names
 
     def run(batches):
+        windows, names = item_windows(items.value, window), [None if i is None else str(i) for i, _ in items.value]
         automaton = build_automaton(windows) if windows else None
         for batch in batches:
             for part in K.slices(batch):
@@ -97,7 +97,7 @@ def _scanner(items: list[tuple[object, str | None]], window: int, spans: bool, r
                     mask, got = scan(automaton, text)
                     at = np.flatnonzero(mask)
                     bounds = _bounds(text, at) if spans else []
-                    for column, value in zip(rows, (len(mask), len(at), sorted(names[x] for x in got), bounds, at.tolist())):
+                    for column, value in zip(rows, (len(mask), len(at), sorted({names[x] for x in got} - {None}), bounds, at.tolist())):
                         column.append(value)
                 found = K.table(out, part.column("doc_id"), *rows)
                 yield pa.RecordBatch.from_arrays([*found.columns, *([part.column("_row")] if row else [])], names=names_out)
@@ -137,20 +137,24 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, span
     driver holds two lots at most, and passes are merged by a key of the row: every row comes
     back once, also where its doc_id repeats or is null.  Null or
     empty texts have no words and no hits; items without words match nothing; an empty
-    benchmark hits nothing; repeated items count once per id; other columns are ignored.
+    benchmark hits nothing; repeated items count once per id; an item with a null id hits words but
+    is not listed; other columns are ignored.
     """
+    share = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<bigint>>, hits array<int>"
     lots = _blocks(benchmark, most_bytes)
     lot, after = next(lots, []), next(lots, None)
     if after is None:
-        return docs.mapInArrow(K.lean(_scanner(lot, window, spans)), kind).withColumn("items", F.array_distinct("items"))
+        return docs.mapInArrow(K.lean(_scanner(share(lot), window, spans)), kind)
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     parts = []
     while lot is not None:
-        found = rows.mapInArrow(K.lean(_scanner(lot, window, False, True)), f"{kind}, _row long")
+        sent = share(lot)
+        found = rows.mapInArrow(K.lean(_scanner(sent, window, False, True)), f"{kind}, _row long")
         # the first pass names every row, the others add what they find
         parts.append(materialise((found.where("n_hit > 0") if parts else found).select("_row", "doc_id", "n_words", "items", "hits"), "pass"))
+        sent.unpersist()
         lot, after = after, next(lots, None)
     merged = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
     merged = merged.withColumn("n_hit", F.size("hits").cast("long"))
@@ -170,10 +174,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _clean(items: list[tuple[object, str | None]], window: int):
-    windows = item_windows(items, window)
-
+def _clean(items, window: int):
     def run(batches):
+        windows = item_windows(items.value, window)
         automaton = build_automaton(windows) if windows else None
         for batch in batches:
             for part in K.slices(batch):
@@ -197,7 +200,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_byt
             docs = materialise(passed, "clean")
             discard(written)
             written = docs
-        passed = docs.mapInArrow(K.lean(_clean(lot, window)), kind)
+        passed = docs.mapInArrow(K.lean(_clean(docs.sparkSession.sparkContext.broadcast(lot), window)), kind)
     return docs if passed is None else passed
 
 

@@ -53,8 +53,9 @@ def bind(codes: np.ndarray, n: int, dimensions: int) -> np.ndarray:
 def gram_counts(texts: pa.Array, n: int):
     """Rows (text number, n-gram code, count) of all texts, and how many letters each has.
     Runs of what is no letter count as one space; a text has a space at either end."""
-    data = np.frombuffer("\x00".join(t or "" for t in texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t or "") for t in texts.to_pylist()], np.int64)
+    rows = [t or "" for t in texts.to_pylist()]
+    data = np.frombuffer("\x00".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) for t in rows], np.int64)
     slot = _slots()[data]
     row = np.repeat(np.arange(len(lengths)), lengths + 1)[: len(slot)]
     letters = np.bincount(row[slot > 0], minlength=len(lengths))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import dealt_texts, texts
+from .shared import dealt_texts, own_places, texts
 
 _PACKED = "part int, places binary"
 _PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -135,9 +135,10 @@ def _later(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([K.table(_PLACE, doc[order], pos[order].astype(np.int32))])
 
 
-def _parts(docs: DataFrame) -> int:
-    """Ranges of keys: a few for each shuffle partition, which the session sizes for its data."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _parts(docs: DataFrame, size: int) -> int:
+    """Ranges of keys: a few for each shuffle partition, and one for each 128 MB of text at least, as a group is
+    held in memory."""
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 27)
 
 
 def repeated_passages(docs: DataFrame, window: int = 20, period: int = 13) -> DataFrame:
@@ -146,22 +147,24 @@ def repeated_passages(docs: DataFrame, window: int = 20, period: int = 13) -> Da
 
     Texts that are null or shorter than a window have none.  Rows with a null doc_id
     cannot be ordered and take no part.  Rows that repeat a doc_id with the same text
-    are the same place and do not count against each other.
+    are the same place and do not count against each other.  Here each doc_id must have one text;
+    ``dedup_passages`` takes any.
     """
-    if not 1 <= period < window:
-        raise ValueError("period must be at least 1 and less than window")
-    return _repeated_passages(dealt_texts(docs), docs, window, period)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _repeated_passages(dealt_texts(docs), docs, window, period, size)
 
 
-def _repeated_passages(dealt: DataFrame, docs: DataFrame, window: int, period: int) -> DataFrame:
-    parts, place = _parts(docs), "doc_id long, pos int"
+def _repeated_passages(dealt: DataFrame, docs: DataFrame, window: int, period: int, size: int) -> DataFrame:
+    if not 1 <= period < window:
+        raise ValueError("period must be at least 1 and less than window")
+    parts, place = _parts(docs, size), "doc_id long, pos int"
     scanned = texts(docs).where("doc_id is not null")
     hits = scanned.mapInArrow(_anchors(window, period, parts), _PACKED).groupBy("part").applyInArrow(_repeated, place)
     near = dealt.join(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors")), "doc_id").select("doc_id", "text", "anchors")
     return near.mapInArrow(_windows(window, period, parts), _PACKED).groupBy("part").applyInArrow(_later, place)
 
 
-def _cut(window: int):
+def _cut(window: int, given: tuple[str, ...]):
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
@@ -183,7 +186,7 @@ def _cut(window: int):
                         removed[-1] = int(len(found) - keep.sum())
                         found = list(compress(found, keep.tolist()))
                     kept.append(b" ".join(found))
-                yield K.table(out, part.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), total, removed, [hashlib.sha256(x).hexdigest() for x in kept])
+                yield K.table(out, part.column(given[0] if given else "doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), total, removed, [hashlib.sha256(x).hexdigest() for x in kept])
 
     return run
 
@@ -193,10 +196,15 @@ def dedup_passages(docs: DataFrame, window: int = 20, period: int = 13) -> DataF
     joined by one space), ``n_words``, ``n_removed`` and ``kept_sha256``.
 
     A null or blank text gives zero words and the hash of nothing; a null doc_id keeps
-    all its words.  Other columns of ``docs`` are ignored, whatever their names.
+    all its words.  Rows with one doc_id and one text are one place; different texts under one doc_id
+    are documents of their own, in the order of a hash of the text.  Other columns of ``docs``
+    are ignored, whatever their names.
     """
-    dealt = dealt_texts(docs)
-    found = _repeated_passages(dealt, docs, window, period).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", "places")
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("places"))
-    return joined.union(nameless).mapInArrow(_cut(window), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    rows, size = own_places(docs)
+    given = ("_given",) if "_given" in rows.columns else ()
+    dealt = dealt_texts(rows, given)
+    found = _repeated_passages(dealt, rows, window, period, size).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
+    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", "places", *given)
+    none = F.lit(None).cast("long")
+    nameless = docs.where("doc_id is null").select(none.alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("places"), *[none.alias(c) for c in given])
+    return joined.union(nameless).mapInArrow(_cut(window, given), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")

@@ -4,7 +4,9 @@ An Aho-Corasick automaton over the bytes of all pieces drives the Viterbi search
 over the text, and at each byte the output links give every piece that ends there, each of
 which relaxes the best score of its end.  Pieces never cross the border between a word
 and the mark of the next, so a slice of texts is cut into words with their marks, and
-the search runs over all distinct words of the slice at once, byte by byte.
+the search runs over all distinct words of the slice at once, byte by byte.  In words of more
+than ``LONG`` bytes (texts without spaces) the automaton runs over many stretches of the word at
+once, each begun a piece's length early, and only the relaxation goes from byte to byte.
 
 Scores are those that the model file holds.  For a file made by merging pairs they are
 ranks, so the result is the segmentation of the largest total, not the merge order.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 MARK = "▁".encode()
+LONG, STRETCH, BLOCK = 512, 1024, 1 << 16
 
 
 class Vocabulary:
@@ -90,6 +93,7 @@ class Automaton:
         self.score = np.array(vocabulary.scores, np.float64)
         self.id = np.array(vocabulary.ids, np.int64)
         self.fallback = (min(vocabulary.scores, default=0.0)) - 10.0  # of a byte that no piece covers
+        self.lists = self.length.tolist(), self.score.tolist()
 
 
 @lru_cache(maxsize=2)
@@ -97,13 +101,92 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
     return Automaton(vocabulary)
 
 
-def viterbi(machine: Automaton, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray):
+def viterbi(machine: Automaton, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray, long: int = LONG):
     """Best segmentation of each span of ``data``: the pieces' numbers back to back (-1 - byte
     for a byte of its own) and how many each span has.
 
     ``plain`` marks bytes that no piece may cover.  Whole characters fall back to bytes, at
-    ``fallback`` each character; ties keep the longer last piece.
+    ``fallback`` each character; ties keep the longer last piece.  Spans of more than ``long`` bytes go one by one.
     """
+    far = np.flatnonzero(size > long)
+    if not len(far):
+        return _together(machine, data, start, size, plain)
+    near = np.flatnonzero(size <= long)
+    pieces, many = _together(machine, data, start[near], size[near], plain)
+    parts = np.split(pieces, np.cumsum(many)[:-1]) if len(near) else []
+    out: list = [None] * len(start)
+    for i, part in zip(near, parts):
+        out[i] = part
+    for i in far:
+        at = slice(start[i], start[i] + size[i])
+        out[i] = _alone(machine, data[at], plain[at])
+    return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+
+def _states(machine: Automaton, data: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """The automaton's state after each byte.  It depends on the last bytes only, as many as the longest
+    piece has, so stretches of the text run side by side."""
+    n, early = len(data), int(machine.length.max(initial=0))
+    first = np.arange(0, n, STRETCH)
+    out, state = np.zeros(n, np.int32), np.zeros(len(first), np.int32)
+    for step in range(-early, STRETCH):
+        at = first + step
+        ok = (at >= 0) & (at < n)
+        at = np.where(ok, at, 0)
+        state = np.where(ok & ~plain[at], machine.go[state, data[at]], 0)
+        if step >= 0:
+            out[at[ok]] = state[ok]
+    return out
+
+
+def _alone(machine: Automaton, data: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Best segmentation of one long span, as numbers of pieces."""
+    n = len(data)
+    states = _states(machine, data, plain)
+    leads = (data & 0xC0) != 0x80
+    closes = np.append(leads[1:], True).tolist()
+    lead = np.maximum.accumulate(np.where(leads, np.arange(n), 0)).tolist()
+    length, score = machine.lists
+    best, back = [0.0], [0]
+    for low in range(0, n, BLOCK):
+        node = machine.first[states[low : low + BLOCK]]
+        ends, pieces = [], []
+        live = np.flatnonzero(node >= 0)
+        while live.size:
+            ends.append(live)
+            pieces.append(machine.piece_of[node[live]])
+            node[live] = machine.link[node[live]]
+            live = live[node[live] >= 0]
+        end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        order = np.argsort(end, kind="stable")  # longer pieces stay in front
+        piece = np.concatenate(pieces)[order].tolist() if ends else []
+        border = np.searchsorted(end[order], np.arange(len(node) + 1)).tolist()
+        for at in range(len(node)):
+            place = low + at + 1
+            top, won = -np.inf, 0
+            for p in piece[border[at] : border[at + 1]]:
+                value = best[place - length[p]] + score[p]
+                if value > top:
+                    top, won = value, p
+            if closes[place - 1]:
+                value = best[lead[place - 1]] + machine.fallback
+                if value > top:
+                    top, won = value, lead[place - 1] - place - 1
+            best.append(top)
+            back.append(won)
+    out, where = [], n
+    while where > 0:
+        step = back[where]
+        if step >= 0:
+            out.append(step)
+            where -= length[step]
+        else:
+            out.extend((-1 - data[where + step + 1 : where][::-1].astype(np.int64)).tolist())
+            where += step + 1
+    return np.array(out[::-1], np.int64)
+
+
+def _together(machine: Automaton, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray):
     n = len(start)
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
@@ -205,8 +288,12 @@ def encode_texts(machine: Automaton, vocabulary: Vocabulary, texts: list[str | N
     start = np.flatnonzero(head)
     size = np.diff(np.append(start, len(data)))
     # word hashes tell the distinct words; written marks differ from spaces
-    h = K.span_hashes(np.where(plain, 1, data).astype(np.uint8), start, start + size)
-    _, lead, which = np.unique(h, return_index=True, return_inverse=True)
+    shown = np.where(plain, 1, data).astype(np.uint8)
+    _, lead, which = np.unique(K.span_hashes(shown, start, start + size), return_index=True, return_inverse=True)
+    twin = lead[which]
+    if (size != size[twin]).any() or (shown != shown[K.ranges(start[twin], size)]).any():  # a hash has lied
+        raw = shown.tobytes()
+        _, lead, which = np.unique(np.array([raw[a : a + b] for a, b in zip(start, size)], object), return_index=True, return_inverse=True)
     pieces, many = viterbi(machine, data, start[lead], size[lead], plain)
     first = np.cumsum(many) - many
     numbers = pieces[K.ranges(first[which], many[which])]

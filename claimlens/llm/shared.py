@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -96,6 +98,24 @@ def texts(docs: DataFrame, carry=()) -> DataFrame:
     return docs.select("doc_id" if own else F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
 
+def own_places(docs: DataFrame, carry=()) -> tuple[DataFrame, int]:
+    """``doc_id, text`` and ``carry`` of the rows with a doc_id, and the bytes of all texts.  If one doc_id has several texts, the
+    rows get new numbers as ``doc_id``, in the order of doc_id and then of a hash of the text, and the given
+    one as ``_given``.  So a doc_id of the result is one text, however often it repeats.
+    """
+    rows = texts(docs, carry).where("doc_id is not null")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    each = rows.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"), F.sum(F.octet_length("text")).alias("size"))
+    found = each.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("lo") != F.col("hi"))).first()
+    if not found[1]:
+        return rows, int(found[0])
+    marked = rows.withColumn("_digest", digest)
+    ordered = marked.select("doc_id", "_digest").distinct().repartitionByRange("doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    numbers = materialise(ordered.withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    named = marked.join(numbers, ["doc_id", "_digest"]).select(F.col("_number").alias("doc_id"), "text", *carry, F.col("doc_id").alias("_given"))
+    return materialise(named, "numbered"), int(found[0])
+
+
 def dealt_texts(docs: DataFrame, carry=()) -> DataFrame:
     """Texts with a doc_id, dealt out by it: joins on doc_id that read the same columns of it
     use one exchange."""

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import dealt_texts, texts
+from .shared import dealt_texts, join_hot, materialise, own_places, texts
 
 GRAM = 32
 LOT_ROWS = 5_000
-_ANCHOR = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
+MOST_HOT = 100_000  # hot grams that are broadcast: 2 MB
+_ANCHOR = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("many", pa.int32())])
 _HIT = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 _AROUND = pa.schema([("key", pa.int64()), ("key2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("around", pa.binary()), ("known", pa.bool_())])
 _AROUND_SQL = "key long, key2 long, doc_id long, pos int, left int, around binary, known boolean"
@@ -73,9 +74,9 @@ def _anchors(length: int):
         order = np.argsort(h)
         h, doc, pos = h[order], doc[order], pos[order]
         new = K.group_starts(h)
-        known = K.run_lengths(new) > 1
-        key = K.spread(h, known & ~new, seed, counter)
-        return K.table(_ANCHOR, key, pa.array(h, pa.int64(), mask=key == h), doc, pos, known)  # null: the gram is the key
+        key = K.spread(h, ~new, seed, counter)
+        # the first of a run stands for all of it, the others are known to repeat
+        return K.table(_ANCHOR, key, pa.array(h, pa.int64(), mask=key == h), doc, pos, np.where(new, K.run_lengths(new), 0).astype(np.int32))  # null: the gram is the key
 
     def run(batches):
         seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(3)
@@ -94,15 +95,26 @@ def _anchors(length: int):
     return run
 
 
-def _repeated(batches):
-    named = (pa.RecordBatch.from_arrays([pc.coalesce(b.column("gram"), b.column("key")) if n == "gram" else b.column(n) for n in b.schema.names], names=b.schema.names) for b in batches)
-    got = K.gather(named, ["key", "gram", "doc_id", "pos", "known"])
-    if got is None:
-        return
-    key, gram, doc, pos, known = got
-    order = np.argsort(key)
-    order = order[(K.run_lengths(K.group_starts(key[order])) > 1) | known[order]]
-    yield K.table(_HIT, gram[order], doc[order], pos[order].astype(np.int32))
+def _repeated(hot: int):
+    """Anchors whose gram occurs again, and a row without a place for each gram of more than ``hot`` occurrences."""
+
+    def run(batches):
+        named = (pa.RecordBatch.from_arrays([pc.coalesce(b.column("gram"), b.column("key")) if n == "gram" else b.column(n) for n in b.schema.names], names=b.schema.names) for b in batches)
+        got = K.gather(named, ["key", "gram", "doc_id", "pos", "many"])
+        if got is None:
+            return
+        key, gram, doc, pos, many = got
+        order = np.argsort(key)
+        new = K.group_starts(key[order])
+        at = np.flatnonzero(new)
+        crowded = gram[order[at[np.add.reduceat(many[order], at) > hot]]]
+        order = order[(K.run_lengths(new) > 1) | (many[order] != 1)]
+        yield K.table(_HIT, gram[order], doc[order], pos[order].astype(np.int32))
+        if len(crowded):
+            none = [None] * len(crowded)
+            yield K.table(_HIT, crowded, pa.array(none, pa.int64()), pa.array(none, pa.int32()))
+
+    return run
 
 
 def _around(length: int):
@@ -357,7 +369,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Data
     string of ``length`` UTF-8 bytes that also starts anywhere else.
 
     Matches never cross documents; null and short texts have none.  Rows with a null
-    doc_id take no part; rows that repeat a doc_id with the same text are one place.
+    doc_id take no part; rows that repeat a doc_id with the same text are one place.  Here each doc_id
+    must have one text; ``dedup_substrings`` takes any.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -367,10 +380,14 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Data
 def _repeated_spans(dealt: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
     """All columns of ``dealt`` go to the tasks: both joins then read one exchange."""
     scanned = texts(docs).where("doc_id is not null")
-    anchors = scanned.mapInArrow(K.lean(_anchors(length)), "key long, gram long, doc_id long, pos int, known boolean")
-    hits = anchors.repartition("key").mapInArrow(K.lean(_repeated), "gram long, doc_id long, pos int")
-    crowd = hits.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram", F.lit(True).alias("hot"))
-    marked = hits.join(crowd, "gram", "left").select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
+    anchors = scanned.mapInArrow(K.lean(_anchors(length)), "key long, gram long, doc_id long, pos int, many int")
+    hits = materialise(anchors.repartition("key").mapInArrow(K.lean(_repeated(hot)), "gram long, doc_id long, pos int"), "hits")
+    crowd = hits.where("doc_id is null").select("gram", F.lit(True).alias("hot"))
+    if crowd.count() <= MOST_HOT:
+        marked = hits.where("doc_id is not null").join(F.broadcast(crowd), "gram", "left")
+    else:
+        marked = join_hot(hits, crowd, "gram", "left").where("doc_id is not null")
+    marked = marked.select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
     near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select(*dealt.columns, "anchors")
     return near.mapInArrow(K.lean(_around(length)), _AROUND_SQL).repartition("key").mapInArrow(K.lean(_spans(length)), "doc_id long, start int, end int")
 
@@ -413,12 +430,21 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500, carry
     (maximal removed runs) and ``kept_sha256`` (of the bytes left, before that drop).
 
     A null text is empty; a null doc_id loses nothing.  The columns ``carry`` follow; others are
-    ignored.  Every row comes back once, also those that repeat a doc_id.
+    ignored.  Every row comes back once.  Rows with one doc_id and one text are one place; different
+    texts under one doc_id are places of their own, like different documents.
     """
-    dealt = dealt_texts(docs, carry)
-    found = _repeated_spans(dealt, docs, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    places, _ = own_places(docs, carry)
+    given = ("_given",) if "_given" in places.columns else ()
+    out = _dedup(places, docs, length, hot, (*carry, *given))
+    return out if not given else out.withColumn("doc_id", F.coalesce("_given", "doc_id")).drop("_given")
+
+
+def _dedup(places: DataFrame, docs: DataFrame, length: int, hot: int, carry: tuple[str, ...]) -> DataFrame:
+    dealt = dealt_texts(places, carry)
+    found = _repeated_spans(dealt, places, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     none = F.array().cast("array<int>")
     joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), *carry)
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"), *carry)
-    kind = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    own = [F.lit(None).cast("long").alias(c) if c == "_given" else F.col(c) for c in carry]
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"), *own)
+    kind = "".join(f", {c} {places.schema[c].dataType.simpleString()}" for c in carry)
     return joined.union(nameless).mapInArrow(K.lean(_cut(carry)), f"doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kind}")

@@ -1,10 +1,10 @@
 """URL filter: rules first, then trust and distrust propagated over the host graph.
 
 A url is judged by the longest rule that fits its host (or a domain above it) and the start
-of its path.  Urls without a rule get the verdict of their host.  Hosts on which the rules
-allow most pages are trusted seeds, those on which they block most are blocked seeds.
-Personalised PageRank spreads trust from the trusted along links, and distrust from the
-blocked against them (who links to the blocked is suspect); a host whose distrust reaches the
+of its path.  Urls without a rule get the verdict of their host.  A host is a trusted seed as far as
+the rules allow its pages and a blocked seed as far as they block them: the two shares are its
+teleport weights.  Personalised PageRank spreads trust from the trusted along links, and distrust from
+the blocked against them (who links to the blocked is suspect); a host whose distrust reaches the
 threshold and exceeds its trust is blocked.
 """
 
@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialise
+from .shared import discard, join_hot, materialise
 
-MAX_RULES = 10_000
 # Fixed values: (verdict, host, path prefix).
 RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "com", "/en/"),
@@ -44,8 +43,6 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     The rules lie in a map by host, and a url looks up its host and every domain above it,
     so the work for a url grows with the labels of its host, not with the rules.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     by_host: dict[str, list] = {}
     for verdict, name, prefix in rules:
         entry = F.struct(F.lit(len(name + prefix)).alias("size"), F.lit(name + prefix).alias("rule"), F.lit(prefix).alias("path"), F.lit(verdict).alias("verdict"))
@@ -81,34 +78,36 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     base = seeds.select("host", ((1 - damping) * F.col("trusted")).alias("t0"), ((1 - damping) * F.col("blocked")).alias("b0"))
     now = seeds.select("host", F.col("trusted").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust"))
     now = materialise(now, "ranks")
-    if not links.limit(1).count():
-        return now
-    for _ in range(rounds):
+    # without links the first round is the last that changes anything
+    for _ in range(rounds if links.limit(1).count() else min(rounds, 1)):
         forward = links.join(now, links.src == now.host).select(F.col("dst").alias("host"), (damping * F.col("trust") / F.col("n_out")).alias("trust"), F.lit(0.0).alias("distrust"))
         backward = links.join(now, links.dst == now.host).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") / F.col("n_in")).alias("distrust"))
         flow = forward.union(backward).union(base.select("host", F.col("t0"), F.col("b0"))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         before, now = now, materialise(flow, "ranks")
         discard(before)
+    discard(links)
     return now
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.1, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.075, damping: float = 0.85, rounds: int = 10) -> DataFrame:
     """One row per page: ``page_id, host, path, rule`` (null where none fits), ``verdict``,
     ``trust`` and ``distrust`` of its host.
 
-    A null url or one without ``://`` has an empty host and path, no rule, and is allowed.  A null
-    html has no links.  Repeated rows come back as often as they came; other columns are
-    ignored.
+    A host without links keeps ``1 - damping`` of its two shares, so the threshold blocks it if at least half of its
+    pages are blocked.  A null url or one without ``://`` has an empty host and path, no rule, and is
+    allowed.  A null html has no links.  Repeated rows come back as often as they came and count as
+    often; other columns are ignored.  The rules are literals of the plan, so they must be few.
     """
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = urls.withColumn("match", match_rule(F.col("host"), F.col("path"), rules))
+    judged = materialise(urls.withColumn("match", match_rule(F.col("host"), F.col("path"), rules)), "judged")
     named = judged.where("host <> ''")
     share = lambda v: F.avg(F.coalesce((F.col("match.verdict") == v).cast("double"), F.lit(0.0)))
-    counts = named.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("barred"))
-    seeds = materialise(counts.select("host", (F.col("allowed") > 0.5).cast("double").alias("trusted"), (F.col("barred") > 0.5).cast("double").alias("blocked")), "seeds")
-    links = host_links(pages)
+    seeds = materialise(named.groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "seeds")
+    links = materialise(host_links(pages), "host-links")
     outside = links.select(F.col("dst").alias("host")).distinct().join(seeds, "host", "left_anti").select("host", F.lit(0.0).alias("trusted"), F.lit(0.0).alias("blocked"))
     ranks = propagate(materialise(seeds.union(outside), "seeds"), links, damping, rounds)
-    out = judged.join(ranks, "host", "left").select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    nameless = judged.where("host = ''").select("*", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    ranked = join_hot(named, ranks, "host", "left").select(*judged.columns, "trust", "distrust").union(nameless)
+    out = ranked.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("verdict", method))

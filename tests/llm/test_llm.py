@@ -109,6 +109,48 @@ def test_suffixes_edges(spark):
     assert {(r.doc_id, r.n_removed) for r in suffix.dedup_substrings(df).collect()} == {(None, 0), (1, 0)}
 
 
+CLASHING = [(1, "long"), (1, None), (1, "short text here"), (1, "other"), (1, "long"), (2, "long"), (2, "short text here"), (3, ""), (None, "long"), (None, "long"), (0, "other")]
+
+
+def clashing(spark):
+    """One doc_id with several texts, null ones and repeated rows."""
+    words = {"long": " ".join(f"w{i} é" for i in range(80)), "other": "x " + " ".join(f"w{i} é" for i in range(30, 70))}
+    return spark.createDataFrame([(i, words.get(t, t)) for i, t in CLASHING], EMPTY)
+
+
+def test_strings_of_clashing_ids(spark):
+    df = clashing(spark)
+    texts = sorted({(r.doc_id, r.text or "") for r in df.collect() if r.doc_id is not None})
+    brute = {t: r[1:] for t, r in zip(texts, brute_strings([t for _, t in texts], 200))}
+    got = suffix.dedup_substrings(df.withColumn("tag", F.coalesce("text", F.lit(""))), carry=("tag",)).collect()
+    assert len(got) == len(CLASHING) and any(b[1] for b in brute.values())
+    for r in got:
+        want = brute[r.doc_id, r.tag] if r.doc_id is not None else (len(r.tag.encode()), 0, 0, hashlib.sha256(r.tag.encode()).hexdigest())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+
+
+def test_passages_of_clashing_ids(spark):
+    df = clashing(spark)
+    rows = {(r.doc_id, r.d, r.text or "") for r in df.withColumn("d", F.xxhash64(F.coalesce("text", F.lit("")))).collect() if r.doc_id is not None}
+    rows = sorted(rows)
+    brute = [(k[0], *b[1:]) for k, b in zip(rows, brute_passages([k[2] for k in rows], 20))]
+    again = brute[[k[0] for k in rows].index(1) + sorted(k[1] for k in rows if k[0] == 1).index(next(k[1] for k in rows if k[0] == 1 and k[2].startswith("w0")))]
+    blank = hashlib.sha256(" ".join(f"w{i} é" for i in range(80)).encode()).hexdigest()
+    want = sorted(map(str, [*brute, again, (None, 160, 0, blank), (None, 160, 0, blank)]))
+    assert sorted(str(tuple(r)) for r in passages.dedup_passages(df).drop("text").collect()) == want
+
+
+def test_very_long_text(spark):
+    """A text of 3 MB that repeats a part of itself and of another."""
+    rng = random.Random(6)
+    part = " ".join(str(rng.randrange(10**9)) for _ in range(30_000))
+    rest = " ".join(str(rng.randrange(10**9)) for _ in range(250_000))
+    df = frame(spark, [part, f"{rest} {part} end {part[:5000]}", "x"])
+    got = suffix.dedup_substrings(df).orderBy("doc_id").collect()
+    assert [r.n_removed >= n for r, n in zip(got, (len(part), len(part) + 5000, 0))] == [True] * 3 and got[1].n_bytes - got[1].n_removed <= len(rest) + 6
+    assert [r.n_removed for r in passages.dedup_passages(df).orderBy("doc_id").collect()][:2] == [0, 30_000 + len(part[:5000].rsplit(" ", 1)[0].split())]
+
+
 def test_suffix_order_sorts_like_bytes():
     rng = np.random.default_rng(5)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -267,6 +309,21 @@ def test_pieces_round_trip_and_best_score(spark):
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first().text == ""
 
 
+def test_long_words_are_cut_like_short_ones(spark):
+    vocabulary = pieces.Vocabulary.load(queries.default_model())
+    machine, rng = pieces.automaton(vocabulary), random.Random(2)
+    for size in (1, 511, 1025, 4000):
+        text = "".join(rng.choice("aàb ▁😀名thein\n1") for _ in range(size))
+        data, _, plain = pieces._marked([text])
+        whole = np.array([0]), np.array([len(data)])
+        near, far = (pieces.viterbi(machine, data, *whole, plain, long=n)[0].tolist() for n in (1 << 40, 0))
+        assert near == far
+    texts = ["x" * 200_000, "名前" * 30_000, "short " * 3 + "y" * 600, None]
+    coded = pieces.encode(frame(spark, texts), queries.default_model(), decoded=True).orderBy("doc_id").collect()
+    assert [r.text for r in coded] == [t or "" for t in texts]
+    assert pieces.encode(frame(spark, []), queries.default_model()).count() == 0
+
+
 def test_languages(spark, sf_dir):
     docs = queries.read(spark, sf_dir, "documents")
     got = queries.op1_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -330,15 +387,76 @@ def test_urls(spark):
     got = {r.page_id: tuple(r)[1:5] for r in urls.judge_urls(df).collect()}
     assert got[1] == ("www.example.com", "/en/1", "com/en/", "block") and got[2][2:] == ("example.com/en/7", "allow")
     assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("net/de/", "allow") and got[6][2:] == ("example.net/de/8", "block")
-    assert got[9] == ("bad.org", "/fr/2", None, "block") and got[7][2:] == (None, "block") and got[12][2:] == (None, "block") and got[11] == ("h", "", None, "allow")
-    brute = {"bad.org": 1.0, "good.io": 0.0, "far.io": 0.0}
+    assert got[9] == ("bad.org", "/fr/2", None, "block") and got[7][2:] == (None, "block") and got[12][2:] == (None, "allow") and got[11] == ("h", "", None, "allow")
+    brute = {"bad.org": 2 / 3, "good.io": 0.0, "far.io": 0.0}
     for _ in range(10):  # against the links: good -> bad, far -> good, far -> else
-        brute = {"bad.org": 0.15, "good.io": 0.85 * brute["bad.org"], "far.io": 0.85 * brute["good.io"]}
+        brute = {"bad.org": 0.15 * 2 / 3, "good.io": 0.85 * brute["bad.org"], "far.io": 0.85 * brute["good.io"]}
     score = {r.host: r.distrust for r in urls.judge_urls(df).select("host", "distrust").distinct().collect()}
     assert all(abs(score[h] - v) < 1e-9 for h, v in brute.items())
     assert urls.judge_urls(df.where("false")).count() == 0
 
 
+def brute_verdicts(rows, rules, threshold=0.075, damping=0.85, rounds=10):
+    """Verdict, trust and distrust of every page, by loops over dictionaries."""
+    def split(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, default=(0, None, None))[1:]
+
+    links, share = set(), {}
+    for _, url, html in rows:
+        host = split(url)[0]
+        if host:
+            share.setdefault(host, []).append(rule(*split(url))[1])
+        for target in re.findall(r"""(?i)(?:href|src)\s*=\s*["']?((?:https?:)?//[^"'\s>]+)""", html or ""):
+            to = split("http:" + target if target.startswith("//") else target)[0]
+            if host and to and host != to:
+                links.add((host, to))
+    hosts = set(share) | {x for link in links for x in link}
+    seed = {v: {h: (share.get(h, []).count(v) / len(share[h]) if h in share else 0.0) for h in hosts} for v in ("allow", "block")}
+    score = {v: dict(seed[v]) for v in seed}
+    for _ in range(rounds):
+        new = {v: {h: (1 - damping) * seed[v][h] for h in hosts} for v in seed}
+        for a, b in links:
+            new["allow"][b] += damping * score["allow"][a] / sum(x == a for x, _ in links)
+            new["block"][a] += damping * score["block"][b] / sum(y == b for _, y in links)
+        score = new
+    out = []
+    for page, url, _ in rows:
+        host, path = split(url)
+        name, verdict = rule(host, path)
+        good, bad = (score[v].get(host, 0.0) for v in ("allow", "block"))
+        out.append((page, host, path, name, verdict or ("block" if bad >= threshold and bad > good else "allow"), round(good, 9), round(bad, 9)))
+    return sorted(out)
+
+
+def judged(df, **options):
+    return sorted((*tuple(r)[:5], round(r.trust, 9), round(r.distrust, 9)) for r in urls.judge_urls(df, **options).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust").collect())
+
+
+@pytest.mark.parametrize("damping", [0.85, 0.95])
+def test_urls_of_linked_hosts_match_brute_force(spark, damping):
+    rng = random.Random(3)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'io'])}" for i in range(25)]
+    rows = []
+    for i in range(300):
+        html = " ".join(f'<a href="{rng.choice(["http:", "https:", ""])}//{rng.choice(hosts)}/x">' for _ in range(rng.choice([0, 0, 1, 3])))
+        rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randint(1, 9)}?q", html))
+    rows += [(300, None, html), (301, "no scheme", None), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = judged(df, damping=damping)
+    assert got == brute_verdicts(rows, urls.RULES, damping=damping) and {g[4] for g in got if g[3] is None} == {"allow", "block"}
+    # one link elsewhere changes nothing for the rest, as without any link
+    alone = [(p, u, None) for p, u, _ in rows]
+    other = [(900, "http://a.xyz/", '<a href="http://b.xyz/">')]
+    want = brute_verdicts(alone, urls.RULES, damping=damping)
+    assert judged(spark.createDataFrame(alone, df.schema), damping=damping) == want
+    assert [r for r in judged(spark.createDataFrame(alone + other, df.schema), damping=damping) if r[0] != 900] == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_sql(name, spark, sf_dir, duck):
     assert_same(queries.QUERIES[name](spark, sf_dir), duck, queries.ORACLES[name])
@@ -409,6 +527,15 @@ def test_decontamination_passes_keep_rows_apart(spark):
         assert len(one) == 6 and one == many
 
 
+def test_decontamination_edges(spark):
+    bench = spark.createDataFrame([(None, "tiny one"), (2, "one two"), (2, "one two")], "item_id long, text string")
+    assert decontam.decontaminate(spark.createDataFrame([], EMPTY), bench).count() == 0
+    df = spark.createDataFrame([(1, "a tiny one two"), (1, "a tiny one two"), (None, "tiny one")], EMPTY).withColumn("items", F.lit(1)).withColumn("n_hit", F.lit("x"))
+    for most in (1, 8 << 20):
+        got = sorted((r.doc_id or 0, r.n_hit, r.n_items, r.items_sha256) for r in decontam.decontaminate(df, bench, most_bytes=most).collect())
+        assert got == [(0, 2, 0, decontam.sha256_of([])), (1, 3, 1, decontam.sha256_of([2])), (1, 3, 1, decontam.sha256_of([2]))]
+
+
 def test_clean_rows_in_several_passes(spark):
     items = [(1, "tiny one"), (2, "other two"), (3, "third three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
