@@ -41,10 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     be told apart and are all kept.
     """
     found = jaccard.jaccard_components(docs).where("doc_id is not null")
-    kept = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"), (F.count("*") > 1).alias("_again"))
-    kept = materialise(kept.where("_kept").select("doc_id", "_again"), "kept")
-    out = docs.join(kept.where("not _again"), "doc_id", "left_semi").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
-    again = kept.where("_again")
+    each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"), (F.count("*") > 1).alias("_again"))
+    each = materialise(each.where("not _kept or _again"), "dropped")  # the fewer ids: most documents have no copy
+    out = docs.join(each.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    again = each.where("_kept and _again").select("doc_id")
     if again.limit(1).count():
         rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
         once = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("m"))
