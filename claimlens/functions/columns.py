@@ -123,6 +123,10 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(ok, F.greatest(F.lit(0.0), centre - half)), F.when(ok, F.least(F.lit(1.0), centre + half))
 
 
+def any_of(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 

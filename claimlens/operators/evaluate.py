@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .metrics import safe_ratio
+from .metrics import exact_percentiles, safe_ratio
 from .model import stratum_numbers
 from .rules import unpivot
 
@@ -61,7 +61,7 @@ def agreement_table(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def process_metrics(df: DataFrame, by: str, latency: str) -> DataFrame:
     """Runs, their share, and mean, median and 95 % latency."""
-    out = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"), F.percentile(latency, 0.5).alias("p50"), F.percentile(latency, 0.95).alias("p95"))
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(latency).alias("mean")).join(exact_percentiles(df, latency, [0.5, 0.95], [by], ["p50", "p95"]), by, "left")
     return out.join(F.broadcast(df.agg(F.count("*").alias("_t")))).select(by, "n", (F.col("n") / F.col("_t")).alias("share"), "mean", "p50", "p95")
 
 
@@ -94,6 +94,31 @@ def compare_modes(left: DataFrame, right: DataFrame, key: str, decision: str) ->
     return met.where(~F.col("before").eqNullSafe(F.col("after"))).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def mode_deltas(left: DataFrame, right: DataFrame, label: str, decision: str) -> DataFrame:
+    """Recall, false-flag, approval and request rates under two modes, and right less left."""
+    parts = left.select(label, F.lit("left").alias("mode"), decision).unionByName(right.select(label, F.lit("right").alias("mode"), decision))
+    cells = {"recall": (F.col(label) == 1, FLAG), "false_flag_rate": (F.col(label) == 0, FLAG), "approve_rate": (F.lit(True), OK), "info_rate": (F.lit(True), INFO)}
+    mean = lambda mode, on, what: F.avg(F.when((F.col("mode") == mode) & on, (F.col(decision) == what).cast("double")))
+    row = parts.agg(*[mean(m, *cells[c]).alias(f"{c}_{m}") for c in cells for m in ("left", "right")])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"{c}_left").alias("left"), F.col(f"{c}_right").alias("right"), (F.col(f"{c}_right") - F.col(f"{c}_left")).alias("delta")) for c in cells])).alias("x")).select("x.*")
+
+
+def flags_by_category(df: DataFrame, label: str, decision: str, category: str) -> DataFrame:
+    """Flags of each category, and how many of them are true."""
+    flags = df.where(F.col(decision) == FLAG)
+    return flags.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("positives"))
+
+
+def judge_means(df: DataFrame, by: str, scores: Sequence[str]) -> DataFrame:
+    """Rows and mean of every score column of existing judgements."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in scores])
+
+
+def verification_rows(df: DataFrame, keys: Sequence[str], checks: str) -> DataFrame:
+    """The audit store's long table: one row for each check of a map column ``checks``."""
+    return df.select(*keys, F.explode(checks).alias("check_id", "result"))
+
+
 def usage(df: DataFrame, calls: str, columns: Sequence[str]) -> DataFrame:
     """Means over the runs that made calls."""
     return df.where(F.col(calls) > 0).agg(F.count("*").alias("n_runs"), *[F.avg(c).alias(f"mean_{c}") for c in columns])

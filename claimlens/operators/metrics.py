@@ -2,7 +2,7 @@
 
 Curves are built on distinct scores: rows are first counted by score, and the running counts of
 those go through ``running_counts``, which sorts by range over all tasks and adds the totals of
-the earlier ranges; no window runs over the whole table in one task.
+the earlier ranges.  Ranks of rows number the rows of one score in one task.
 """
 
 from __future__ import annotations
@@ -20,30 +20,52 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    n, pos = (F.sum(weight), F.sum(F.col(weight) * F.col(label))) if weight else (F.count("*"), F.sum(label))
+    return df.groupBy(*by, F.col(score).alias("s")).agg(n.cast("long").alias("n"), pos.cast("long").alias("pos"))
 
 
-def running_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """Per distinct score: rows and positives at or above it (``n_ge, pos_ge``), and in total.
+def running_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = 64, weight: str | None = None) -> DataFrame:
+    """Per distinct score: rows and positives at or above it (``n_ge, pos_ge``), and in total; rows
+    count ``weight`` times if it is given.
 
-    Scores fall into equal-width buckets between the extremes; a window runs within each
-    bucket, and the totals of the higher buckets (at most ``buckets`` rows a group) are added.
+    Buckets hold about equally many distinct scores, however these are spread; a window runs within
+    each, and the totals of the higher buckets (at most ``buckets`` rows a group) are added.  Where the
+    borders lie does not change the result.
     """
-    counts = score_counts(df, label, score, by)
-    span = counts.groupBy(*by).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"), F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
-    counts = counts.join(F.broadcast(span), list(by)) if by else counts.join(F.broadcast(span))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    counts = counts.withColumn("_b", bucket)
+    counts = score_counts(df, label, score, by, weight)
+    borders = F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000)
+    span = counts.groupBy(*by).agg(borders.alias("_borders"), F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
+    counts = counts.join(span, list(by)) if by else counts.join(F.broadcast(span))
+    counts = counts.withColumn("_b", F.size(F.filter("_borders", lambda x: x <= F.col("s")))).drop("_borders")
     totals = counts.groupBy(*by, "_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_b", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_on"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_op"))
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.join(offsets, [*by, "_b"])
+    out = counts.join(offsets, [*by, "_b"])  # at most ``buckets`` rows of each group
     return out.select(*by, "s", "n", "pos", (F.sum("n").over(inside) + F.col("_on")).alias("n_ge"), (F.sum("pos").over(inside) + F.col("_op")).alias("pos_ge"), "n_all", "pos_all")
 
 
+def exact_percentiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Linearly interpolated percentiles of each group, one column for each share (``p0, p1, ..``).
+
+    The values next to a rank are picked from the running counts, so no task holds the distinct values of a
+    group.  Null values do not count; a group of nulls only is left out.
+    """
+    names = list(names or [f"p{i}" for i in range(len(shares))])
+    run = running_counts(df.where(F.col(column).isNotNull()).withColumn("_none", F.lit(0)), "_none", column, by)
+    below, upto = F.col("n_all") - F.col("n_ge"), F.col("n_all") - F.col("n_ge") + F.col("n")
+    picked = []
+    for name, share in zip(names, shares):
+        rank = F.lit(share) * (F.col("n_all") - 1)
+        for end, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
+            picked.append(F.max(F.when((below <= r) & (r < upto), F.col("s").cast("double"))).alias(f"_{name}_{end}"))
+    found = run.groupBy(*by).agg(F.max("n_all").alias("_n"), *picked).where("_n is not null")
+    rank = lambda share: F.lit(share) * (F.col("_n") - 1)
+    inside = [(F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * (rank(q) - F.floor(rank(q)))).alias(n) for n, q in zip(names, shares)]
+    return found.select(*by, *inside)
+
+
 def confusion(label: str, flagged: Column) -> list[Column]:
     y = F.col(label)
     return [F.count_if(flagged & (y == 1)).alias("tp"), F.count_if(flagged & (y == 0)).alias("fp"), F.count_if(~flagged & (y == 1)).alias("fn"), F.count_if(~flagged & (y == 0)).alias("tn")]
@@ -60,17 +82,18 @@ def threshold_metrics(df: DataFrame, label: str, score: str, threshold: float, b
     return _rates(df.groupBy(*by).agg(*confusion(label, F.col(score) >= threshold)), by)
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """ROC-AUC (ties count half), average precision over distinct thresholds (no interpolation)
     and Brier score (scores clipped to 0..1)."""
-    run = running_counts(df, label, score, by)
+    run = running_counts(df, label, score, by, weight=weight)
     n, pos, neg = F.col("n").cast("double"), F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     above = (F.col("pos_ge") - F.col("pos")).cast("double")  # positives strictly above
     auc = F.sum(neg * (above + pos / 2)) / F.max(F.col("pos_all").cast("double") * (F.col("n_all") - F.col("pos_all")))
     ap = F.sum(pos / F.col("pos_all") * F.col("pos_ge") / F.col("n_ge"))
     curve = run.groupBy(*by).agg(auc.alias("roc_auc"), ap.alias("pr_auc"))
     clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))
-    brier = df.groupBy(*by).agg(F.avg(F.pow(clipped - F.col(label), F.lit(2.0))).alias("brier"))
+    w = F.col(weight) if weight else F.lit(1)
+    brier = df.groupBy(*by).agg((F.sum(w * F.pow(clipped - F.col(label), F.lit(2.0))) / F.sum(w)).alias("brier"))
     return curve.join(brier, list(by)) if by else curve.join(F.broadcast(brier))
 
 
@@ -96,23 +119,27 @@ def precision_at_top(df: DataFrame, key: str, label: str, score: str, fraction:
     return ranked.where(F.col("_rank") <= k).groupBy(*by).agg(F.count("*").alias("k"), F.avg(label).alias("precision"))
 
 
-def cost_threshold(df: DataFrame, label: str, score: str, ratio: float, steps: int = 400) -> DataFrame:
-    """The threshold of least ``ratio * FN + FP`` among ``steps + 1`` quantiles and one above all
+def cost_threshold(df: DataFrame, label: str, score: str, ratio: float, steps: int = 400, by: Sequence[str] = ()) -> DataFrame:
+    """For each group the threshold of least ``ratio * FN + FP`` among ``steps + 1`` quantiles and one above all
     scores; ties go to the higher.  Also the Bayes threshold 1 / (1 + ratio)."""
-    q = df.agg(F.array_sort(F.array_distinct(F.concat(F.percentile(score, F.array(*[F.lit(i / steps) for i in range(steps + 1)])), F.array(F.lit(1 + 1e-9))))).alias("q"))
+    by, df = list(by) or ["_all"], df if by else df.withColumn("_all", F.lit(1))
+    cuts = [i / steps for i in range(steps + 1)]
+    q = exact_percentiles(df, score, cuts, by)
+    q = q.select(*by, F.array_sort(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(steps + 1)], F.lit(1 + 1e-9)))).alias("q"))
     # each distinct score counts for the candidates up to it: its place among them, then sums from the top
-    placed = score_counts(df, label, score).join(F.broadcast(q)).select("n", "pos", F.size(F.filter("q", lambda t: t <= F.col("s"))).alias("k"))
-    sums = placed.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    grid = q.select(F.posexplode("q").alias("i", "t")).select((F.col("i") + 1).alias("k"), "t").join(sums, "k", "left").fillna(0, ["n", "pos"])
-    whole = Window.partitionBy(F.lit(1))  # at most steps + 2 rows
+    placed = score_counts(df, label, score, by).join(q, by).select(*by, "n", "pos", F.size(F.filter("q", lambda t: t <= F.col("s"))).alias("k"))
+    sums = placed.groupBy(*by, "k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    grid = q.select(*by, F.posexplode("q").alias("i", "t")).select(*by, (F.col("i") + 1).alias("k"), "t").join(sums, [*by, "k"], "left").fillna(0, ["n", "pos"])
+    whole = Window.partitionBy(*by)  # at most steps + 2 rows
     above = whole.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumns({"flagged": F.sum("n").over(above), "tp": F.sum("pos").over(above), "all": F.sum("pos").over(whole)})
     cost = ratio * (F.col("all") - F.col("tp")) + F.col("flagged") - F.col("tp")
-    return grid.select(cost.alias("cost"), F.col("t").alias("threshold")).orderBy(F.asc("cost"), F.desc("threshold")).limit(1).select("threshold", "cost", F.lit(1 / (1 + ratio)).alias("bayes"))
+    best = grid.select(*by, cost.alias("cost"), F.col("t").alias("threshold")).groupBy(*by).agg(F.min(F.struct("cost", (-F.col("threshold")).alias("less"))).alias("m"))
+    return best.select(*[c for c in by if c != "_all"], (-F.col("m.less")).alias("threshold"), F.col("m.cost").alias("cost"), F.lit(1 / (1 + ratio)).alias("bayes"))
 
 
 def capacity_threshold(df: DataFrame, score: str, fraction: float, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(score, 1 - fraction).alias("threshold"))
+    return exact_percentiles(df, score, [1 - fraction], by, ["threshold"])
 
 
 def reliability_table(df: DataFrame, key: str, label: str, score: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
@@ -151,40 +178,64 @@ def worst_segments(groups: DataFrame, k: int = 8, least: int = 50) -> tuple[Data
     return big.where("positives > 0").orderBy("recall", "attribute", "value").limit(k), big.orderBy(F.desc("fpr"), "attribute", "value").limit(k)
 
 
-def bootstrap_sample(df: DataFrame, key: str, label: str, replicates: int, seed: str = "b") -> DataFrame:
-    """Rows with a ``replicate`` and a ``weight``: how often a class-stratified resample draws them.
+def bootstrap_sample(df: DataFrame, key: str, label: str, replicates: int, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """Rows of each group ``by`` with a ``replicate`` and a ``weight``: how often a class-stratified resample draws them.
 
     Draw i of replicate r in a class of n rows takes the row floor(u * n) + 1, with u from
     md5(seed, r, class, i): the same on every engine and whatever the partitioning.
     """
     from .model import stratum_numbers
 
-    rows = stratum_numbers(df, key, [label])
-    sizes = rows.select(label, "_row", "_size")
-    draws = sizes.select(label, "_size", F.col("_row").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    strata = [*by, label]
+    rows = stratum_numbers(df, key, strata)
+    sizes = rows.select(*strata, "_row", "_size")
+    draws = sizes.select(*strata, "_size", F.col("_row").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", label, "i")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    taken = draws.select(label, "replicate", (F.floor(u * F.col("_size")) + 1).alias("_row")).groupBy(label, "replicate", "_row").agg(F.count("*").alias("weight"))
-    return rows.drop("_size").join(taken, [label, "_row"]).drop("_row")
+    taken = draws.select(*strata, "replicate", (F.floor(u * F.col("_size")) + 1).alias("_row")).groupBy(*strata, "replicate", "_row").agg(F.count("*").alias("weight"))
+    return rows.drop("_size").join(taken, [*strata, "_row"]).drop("_row")
 
 
-def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b") -> DataFrame:
-    """Percentile intervals of recall and precision at a fixed threshold."""
-    sample = bootstrap_sample(df, key, label, replicates, seed)
+def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """Percentile intervals of recall and precision at a fixed threshold, for each group."""
+    sample = bootstrap_sample(df, key, label, replicates, seed, by)
     hit, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
-    per = sample.groupBy("replicate").agg(total(hit & y).alias("tp"), total(hit & ~y).alias("fp"), total(~hit & y).alias("fn"))
-    per = per.select(safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
-    out = per.agg(*[F.percentile(m, q).alias(f"{m}_{n}") for m in ("recall", "precision") for n, q in (("low", 0.025), ("high", 0.975))])
+    per = sample.groupBy(*by, "replicate").agg(total(hit & y).alias("tp"), total(hit & ~y).alias("fp"), total(~hit & y).alias("fn"))
+    per = per.select(*by, safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    out = per.groupBy(*by).agg(*[F.percentile(m, q).alias(f"{m}_{n}") for m in ("recall", "precision") for n, q in (("low", 0.025), ("high", 0.975))])
     return out
 
 
-def paired_bootstrap(df: DataFrame, key: str, label: str, score_a: str, score_b: str, threshold: float, replicates: int = 50, seed: str = "b") -> DataFrame:
-    """Interval of the recall of b less that of a on the same resamples."""
-    sample = bootstrap_sample(df, key, label, replicates, seed).where(F.col(label) == 1)
+def metrics_with_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """Every metric of each group with its value and percentile interval: ``by, metric, value, low, high``.
+    The threshold is held fixed; replicates go through the same operators as one more group."""
+    names = ("accuracy", "precision", "recall", "f1", "f2", "fpr", "flag_rate", "roc_auc", "pr_auc", "brier")
+    sample = bootstrap_sample(df, key, label, replicates, seed, by).unionByName(df.withColumns({"replicate": F.lit(0), "weight": F.lit(1).cast("long")}))
+    group = [*by, "replicate"]
+    flagged, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
+    total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
+    rates = _rates(sample.groupBy(*group).agg(total(flagged & y).alias("tp"), total(flagged & ~y).alias("fp"), total(~flagged & y).alias("fn"), total(~flagged & ~y).alias("tn")), group)
+    both = rates.join(ranking_metrics(sample, label, score, group, "weight"), group)
+    long = unpivot(both, names, group, "metric", "x", "double")
+    drawn = F.when(F.col("replicate") > 0, F.col("x"))
+    return long.groupBy(*by, "metric").agg(F.max(F.when(F.col("replicate") == 0, F.col("x"))).alias("value"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+
+
+def success_criterion(intervals: DataFrame, base_rate: DataFrame, flag_rate: str, by: Sequence[str], times: float = 2.0) -> DataFrame:
+    """Whether a scorer is clearly better than chance: the lower bound of precision exceeds ``times`` the base rate
+    and that of recall ``times`` the flag rate."""
+    met = intervals.join(base_rate, list(by))
+    good, caught = F.col("precision_low") > times * F.col("base_rate"), F.col("recall_low") > times * F.col(flag_rate)
+    return met.select(*by, good.alias("precision_ok"), caught.alias("recall_ok"), (good & caught).alias("success"))
+
+
+def paired_bootstrap(df: DataFrame, key: str, label: str, score_a: str, score_b: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """Interval of the recall of b less that of a on the same resamples of each group."""
+    sample = bootstrap_sample(df, key, label, replicates, seed, by).where(F.col(label) == 1)
     w = F.col("weight")
     share = lambda s: F.sum(F.when(F.col(s) >= threshold, w).otherwise(0)) / F.sum(w)
-    per = sample.groupBy("replicate").agg((share(score_b) - share(score_a)).alias("d"))
-    return per.agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+    per = sample.groupBy(*by, "replicate").agg((share(score_b) - share(score_a)).alias("d"))
+    return per.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
 
 
 def comparison(df: DataFrame, label: str, scores: Sequence[str], fraction: float) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 # Most earlier claims that a recorded bin allows.
 HISTORY_CAPS = {"none": 0, "1": 1, "2 to 4": 4}
 
@@ -50,12 +52,101 @@ def term_check(month_start: Column, term_from: Column, term_to: Column) -> Colum
     return F.when(inside, "PASS").when(outside, "FAIL").otherwise("UNKNOWN")
 
 
+def _matches(pairs: Column, claim: Column) -> Column:
+    """1 if every field takes one of its values; else 0 or -1 as the first field that does not is absent or differs."""
+    own = lambda kv: F.when(F.try_element_at(claim, kv["key"]).isNull(), 0).when(F.array_contains(kv["value"], F.try_element_at(claim, kv["key"])), 1).otherwise(-1)
+    return F.aggregate(pairs, F.lit(1), lambda acc, kv: F.when(acc != 1, acc).otherwise(own(kv)))
+
+
+def exclusions_check(items: Column, claim: Column) -> Column:
+    """FAIL if all of some item's ``when`` holds; else UNKNOWN where a field is absent or there are no items."""
+    found = F.transform(items, lambda item: _matches(F.map_entries(item["when"]), claim))
+    return F.when(items.isNull() | (F.size(items) == 0), "UNKNOWN").when(F.array_contains(found, 1), "FAIL").when(F.array_contains(found, 0), "UNKNOWN").otherwise("PASS")
+
+
+# The checks, their categories, and those that are about the claim's own record.
+CHECKS = {
+    "PV01_POLICY_IDENTIFIED": "applicability",
+    "PV02_POLICY_TYPE_CONSISTENT": "applicability",
+    "PV03_INCIDENT_IN_COVERAGE_PERIOD": "effective_date",
+    "PV04_CLAIM_TIMELINE": "reporting",
+    "PV05_DEDUCTIBLE_MATCHES_POLICY": "coverage_limits",
+    "PV06_COVERAGE_CONDITIONS": "coverage_conditions",
+    "PV07_EXCLUSIONS": "exclusions",
+    "PV08_COVERAGE_LIMITS": "coverage_limits",
+    "PV09_REPORTING_REQUIREMENT": "reporting",
+}
+CLAIM_RECORD_CHECKS = ("PV02_POLICY_TYPE_CONSISTENT", "PV04_CLAIM_TIMELINE")
+
+
+def claim_record_results() -> dict[str, Column]:
+    """PV02 and PV04: the policy type agrees with its parts, and the dates and policy-day bins agree."""
+    from .rules import RULES
+
+    passed = {r.id[:3]: r.check() for r in RULES if r.id != "V05B_POLICYTYPE_KNOWN_ALIAS"}
+    timeline = passed["V06"] & passed["V09"] & passed["V10"]
+    return {"PV02_POLICY_TYPE_CONSISTENT": verdict(F.coalesce(passed["V05"], F.lit(True))), "PV04_CLAIM_TIMELINE": verdict(F.coalesce(timeline, F.lit(True)))}
+
+
+def verify_policy(claims: DataFrame, documents: DataFrame, key: str, policy_key: str, fields: Sequence[str]) -> DataFrame:
+    """The nine checks of each claim: ``key, check_id, level, category, result``.
+
+    ``documents`` has one row per policy: ``effective_from, effective_to`` (open if null) of the version that
+    applies, ``deductible, conditions`` (``id, requires``), ``exclusions`` (``id, when``) and ``max_months``.
+    Without a document only the claim's own record can be judged; what cannot be told is UNKNOWN.  The
+    claimed amount is not recorded, so limits are always UNKNOWN.  Claims have the columns of the schema.
+    """
+    terms = ["effective_from", "effective_to", "deductible", "conditions", "exclusions", "max_months"]
+    docs = documents.select(policy_key, F.struct(*terms).alias("_doc"))
+    own = claims.join(docs, policy_key, "left").withColumn("_values", F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]))
+    months = F.array(*[F.lit(m) for m in S.MONTHS])
+    index = lambda c: F.nullif(F.array_position(months, F.col(c)), F.lit(0).cast("long"))
+    start = F.make_date("Year", index("Month").cast("int"), F.lit(1))
+    doc, low, high = F.col("_doc"), F.col("_doc.effective_from"), F.col("_doc.effective_to")
+    early, late = F.coalesce(low, F.lit("0001-01-01").cast("date")), F.coalesce(high, F.lit("9999-12-31").cast("date"))
+    dated = doc.isNotNull() & start.isNotNull() & (low.isNotNull() | high.isNotNull())
+    lag = F.pmod(index("MonthClaimed") - index("Month"), F.lit(12))
+    results = claim_record_results() | {
+        "PV01_POLICY_IDENTIFIED": F.when(doc.isNotNull(), "PASS").otherwise("UNKNOWN"),
+        "PV03_INCIDENT_IN_COVERAGE_PERIOD": F.when(dated, term_check(start, early, late)).when(F.col("Days_Policy_Accident") == "none", "UNKNOWN").otherwise("PASS"),
+        "PV05_DEDUCTIBLE_MATCHES_POLICY": verdict(doc["deductible"] == F.col("Deductible")),
+        "PV06_COVERAGE_CONDITIONS": conditions_check(doc["conditions"], F.col("_values")),
+        "PV07_EXCLUSIONS": exclusions_check(doc["exclusions"], F.col("_values")),
+        "PV08_COVERAGE_LIMITS": F.lit("UNKNOWN"),
+        "PV09_REPORTING_REQUIREMENT": verdict(lag <= doc["max_months"]),
+    }
+    cells = [F.struct(F.lit(c).alias("check_id"), F.lit("claim_record" if c in CLAIM_RECORD_CHECKS else "policy_condition").alias("level"), F.lit(CHECKS[c]).alias("category"), results[c].alias("result")) for c in CHECKS]
+    return own.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+
+
+def failures_by_level(checks: DataFrame, key: str) -> DataFrame:
+    """Failed checks of each claim, those of its own record and those of policy conditions apart."""
+    listed = lambda level: F.array_join(F.array_sort(F.collect_set(F.when((F.col("result") == "FAIL") & (F.col("level") == level), F.col("check_id")))), ",")
+    return checks.groupBy(key).agg(listed("claim_record").alias("claim_record_failures"), listed("policy_condition").alias("policy_condition_failures"))
+
+
+def reference_lookup(claims: DataFrame, policies: DataFrame, clauses: DataFrame, key: str, policy_key: str, coverage: str, limits: Sequence[str]) -> DataFrame:
+    """Each claim with its policy's ``clauses`` (ids in order, by coverage) and ``limits`` (a map of the
+    columns that are recorded); ``found`` tells whether there is a policy."""
+    ids = clauses.groupBy(coverage).agg(F.array_sort(F.collect_set("clause_id")).alias("clauses"))
+    filled = F.map_filter(F.create_map(*[x for c in limits for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull())
+    have = policies.select(policy_key, coverage, filled.alias("limits"), F.lit(True).alias("found")).join(ids, coverage, "left")
+    return claims.select(key, policy_key).join(have, policy_key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def reference_consistency(df: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
+    """``test, n, violations`` of Boolean tests over a reference table; null counts as a violation."""
+    cells = [F.struct(F.lit(n).alias("test"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in tests.items()]
+    long = df.select(F.explode(F.array(*cells)).alias("t")).select("t.*")
+    return long.groupBy("test").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("violations"))
+
+
 def conditions_check(items: Column, claim: Column) -> Column:
     """All of ``requires`` (field -> allowed values) hold for a claim given as a map; a field that is
     absent, or no items, leaves it UNKNOWN."""
     def one(item):
         pairs = F.map_entries(item["requires"])
-        return F.aggregate(pairs, F.lit(1), lambda acc, kv: F.least(acc, F.when(F.try_element_at(claim, kv["key"]).isNull(), 0).when(F.array_contains(kv["value"], F.try_element_at(claim, kv["key"])), 1).otherwise(-1)))
+        return _matches(pairs, claim)
 
     worst = F.array_min(F.transform(items, one))
     return F.when(worst.isNull() | (worst == 0), "UNKNOWN").when(worst > 0, "PASS").otherwise("FAIL")
@@ -71,7 +162,7 @@ def clause_checks(claims: DataFrame, clauses: DataFrame, claim_key: str, base_po
     """
     values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
     own = claims.withColumn("_m", values)
-    met = own.join(F.broadcast(clauses.where("test is not null and test.type is not null").withColumnRenamed("base_policy", "_bp")), F.col(base_policy) == F.col("_bp"))
+    met = own.join(clauses.where("test is not null and test.type is not null").withColumnRenamed("base_policy", "_bp"), F.col(base_policy) == F.col("_bp"))
     has = set(claims.columns)
     kind, result = F.col("test.type"), F.lit("UNKNOWN")
     result = F.when(kind == "field_not_in", verdict(~F.array_contains(F.col("test.values"), F.try_element_at(F.col("_m"), F.col("test.field")))))

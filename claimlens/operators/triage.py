@@ -46,15 +46,17 @@ def tool_status(ok: Column, status: Column) -> Column:
 
 
 def similar_elevated() -> Column:
-    return _true((F.col("frauds") >= 2) & (F.col("neighbour_rate") >= 2 * F.col("base_rate")))
+    base = F.when(F.coalesce("base_rate", F.lit(0.0)) != 0, F.col("base_rate")).otherwise(F.lit(1.0))  # unknown: as if all were
+    return _true((F.col("frauds") >= 2) & (F.coalesce("neighbour_rate", F.lit(0.0)) >= 2 * base))
 
 
 def conflicts() -> Column:
     """Evidence that disagrees, as a list."""
     enough = F.col("k") >= 5
+    rate, base = (F.coalesce(c, F.lit(0.0)) for c in ("neighbour_rate", "base_rate"))
     return _listed(
-        ((F.col("risk_band") == "high") & enough & (F.col("neighbour_rate") <= F.col("base_rate")), "high band, neighbours at or below base"),
-        ((F.col("risk_band") == "low") & enough & (F.col("neighbour_rate") >= 0.4), "low band, neighbours elevated"),
+        ((F.col("risk_band") == "high") & enough & (rate <= base), "high band, neighbours at or below base"),
+        ((F.col("risk_band") == "low") & enough & (rate >= 0.4), "low band, neighbours elevated"),
         ((F.col("risk_band") == "low") & _some("warning_flags"), "low band, warning flags"),
         (F.col("risk_band").isin("low", "medium") & _some("policy_fails"), "band below high, policy failed"),
         (F.col("history_contradiction"), "history contradicts the claim"),
@@ -132,36 +134,77 @@ def triage(df: DataFrame, key: str) -> DataFrame:
     return d.select(key, "decision", F.col("category").alias("flag_category"), "fraud_probability", "risk_band", investigation_status().alias("investigation_status"), completeness().alias("completeness"), F.array_join(reason_codes(F.col("decision")), ",").alias("reason_codes"), F.array_join(conflicts(), "; ").alias("conflicts"), F.array_join(missing_information(), "; ").alias("missing"))
 
 
-def apply_guardrails(df: DataFrame, proposed: str = "proposed") -> DataFrame:
-    """Correct proposed decisions in a fixed order: ``decision, category`` and ``interventions``."""
-    e = with_evidence(df)
+# Codes that are no risk signal of their own, and those that justify a flag in the medium band.
+LOW_RISK_CODES = ("LOW_MODEL_RISK", "POLICY_TERMS_UNVERIFIED", "CLAIM_HISTORY_UNAVAILABLE", "SIMILAR_CLAIMS_NO_FRAUD", "SIMULATED_DATA_USED", "NO_MATERIAL_CONCERNS")
+MEDIUM_BAND_CODES = ("POLICY_CONDITION_FAILED", "CLAIM_RECORD_CONTRADICTION", "HISTORY_CONTRADICTION")
+
+
+def apply_guardrails(df: DataFrame, proposed: str = "proposed", concrete: Sequence[str] = MEDIUM_BAND_CODES) -> DataFrame:
+    """Correct proposed decisions in a fixed order: ``decision, category`` and ``interventions`` (names in
+    the order in which they applied).
+
+    No proposal, or one that is not allowed, gives way to the rule-based decision, and so do a request
+    without a claim-level reason and a fraud flag that rests on no risk signal.  A category that a
+    step sets stays; a flag without one gets ``flag_category``.
+    """
+    e = decide(df).withColumnsRenamed({"decision": "_rule", "category": "_rule_category"})
     label = F.regexp_replace(F.upper(F.trim(F.col(proposed))), "[ -]", "_")
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in S.DECISION_ALIASES.items() for x in kv]), label), label)
-    e = e.withColumns({"decision": label, "interventions": F.array().cast("array<string>")})
-    blocked, failed = _true(F.col("blocking")), _some("tools_failed")
-    now = F.col("decision")
+    e = e.withColumns({"decision": label, "category": F.lit(None).cast("string"), "interventions": F.array().cast("array<string>")})
+    now, rule, none = F.col("decision"), (F.col("_rule"), F.col("_rule_category")), F.lit(None).cast("string")
+    blocked, grounds = _true(F.col("blocking")), _true(F.col("blocking")) | _some("record_fails")
+    flagged = lambda name: (F.lit(FLAG), F.lit(name))
+    codes = reason_codes(now)
+    baseless = (F.size(F.array_except(codes, F.array(*map(F.lit, LOW_RISK_CODES)))) == 0) | ((F.col("risk_band") == "medium") & ~F.arrays_overlap(codes, F.array(*map(F.lit, concrete))))
     steps = [
-        ("label not allowed", ~now.isin(*S.DECISIONS) | now.isNull(), F.lit(FLAG)),
-        ("blocking validation", blocked & (now != INFO), F.lit(INFO)),
-        ("request without grounds", (now == INFO) & ~blocked & ~_some("record_fails") & (F.size(missing_information()) == 0), F.lit(OK)),
-        ("high risk may not be approved", (now == OK) & (F.col("risk_band") == "high"), F.lit(FLAG)),
-        ("approval needs a score", (now == OK) & F.col("risk_band").isNull(), F.lit(FLAG)),
-        ("approval needs a consistent record", (now == OK) & _some("record_fails"), F.lit(INFO)),
-        ("approval needs policy and tools", (now == OK) & (_some("policy_fails") | failed), F.lit(FLAG)),
-        ("fraud flag without evidence", (now == FLAG) & F.col("risk_band").isNotNull() & ~fraud_evidence() & ~_some("policy_fails") & ~failed & (F.col("risk_band") != "high"), F.lit(OK)),
+        ("fallback", now.isNull(), rule),
+        ("allowed_decisions", ~now.isin(*S.DECISIONS), rule),
+        ("blocking_validation", blocked & (now != INFO), (F.lit(INFO), none)),
+        ("request_info_not_claim_level", (now == INFO) & ~grounds, rule),
+        ("high_risk_not_approve", (now == OK) & (F.col("risk_band") == "high"), flagged("FRAUD_RISK")),
+        ("approve_needs_score", (now == OK) & F.col("risk_band").isNull(), flagged("SYSTEM_FAILURE")),
+        ("approve_needs_consistent_claim", (now == OK) & _some("record_fails"), (F.lit(INFO), none)),
+        ("approve_needs_policy_pass", (now == OK) & _some("policy_fails"), flagged("POLICY_CONDITION")),
+        ("approve_needs_tools", (now == OK) & _some("tools_failed"), flagged("SYSTEM_FAILURE")),
+        (None, (now == FLAG) & F.col("category").isNull(), (now, flag_category())),
+        ("unsupported_fraud_flag", (now == FLAG) & (F.col("category") == "FRAUD_RISK") & baseless, rule),
     ]
-    for name, applies, to in steps:
-        hit = _true(applies)
-        e = e.withColumn("_hit", hit).withColumns({"decision": F.when(F.col("_hit"), to).otherwise(now), "interventions": F.when(F.col("_hit"), F.concat("interventions", F.array(F.lit(name)))).otherwise(F.col("interventions"))}).drop("_hit")
-    return e.withColumn("category", F.when(F.col("decision") == FLAG, flag_category()))
+    for name, applies, (decision, category) in steps:
+        e = e.withColumn("_hit", _true(applies))
+        change = {"decision": F.when(F.col("_hit"), decision).otherwise(now), "category": F.when(F.col("_hit"), category).otherwise(F.col("category"))}
+        if name:
+            change["interventions"] = F.when(F.col("_hit"), F.concat("interventions", F.array(F.lit(name)))).otherwise(F.col("interventions"))
+        e = e.withColumns(change)
+    return e.withColumn("category", F.when(now == FLAG, F.col("category"))).drop("_hit", "_rule", "_rule_category")
+
+
+def source_summary(df: DataFrame, statuses: str, required: Sequence[str], blocking: str) -> DataFrame:
+    """Completeness over the required sources, from a map ``statuses`` (source -> status): ``completed``
+    (sorted), ``fraction`` (to 3 places), ``investigation_status`` and ``gaps`` (sources that were not
+    run or failed).  A source is done if it completed, in part or not at all for want of data."""
+    have = lambda s: F.coalesce(F.try_element_at(F.col(statuses), s), F.lit("not_run"))
+    wanted = F.array(*[F.lit(s) for s in sorted(required)])
+    done = F.filter(wanted, lambda s: have(s).isin("completed", "partial", "unavailable"))
+    gaps = F.concat(F.transform(F.filter(wanted, lambda s: have(s) == "not_run"), lambda s: F.concat(s, F.lit(" was not run"))), F.transform(F.array_sort(F.map_keys(F.map_filter(F.col(statuses), lambda k, v: v == "failed"))), lambda s: F.concat(s, F.lit(" failed"))))
+    out = df.withColumns({"completed": done, "gaps": gaps})
+    share = F.round(F.size("completed") / len(required), 3) if required else F.lit(1.0)
+    status = F.when(_true(F.col(blocking)), "blocked").when(F.size("completed") < len(required), "incomplete").otherwise("complete")
+    return out.withColumns({"fraction": share, "investigation_status": status})
+
+
+def label_simulated(fact: Column, simulated: Column, label: str = "simulated reference data", most: int = 400) -> Column:
+    """Facts drawn from simulated data say so at their end, within ``most`` characters."""
+    mark = f" ({label})"
+    return F.when(_true(simulated) & ~F.contains(F.lower(fact), F.lit(label)), F.concat(F.substring(fact, 1, most - len(mark)), F.lit(mark))).otherwise(fact)
 
 
 def grounded_facts(facts: DataFrame, sources: DataFrame, key: str, source_columns: Sequence[str]) -> DataFrame:
     """Facts (``key, source, fact``) whose every number occurs in the cited source's JSON, a percentage
-    also as its fraction; facts on a source that is absent are not grounded."""
+    also as its fraction, and every rule or flag id too; facts on a source that is absent are not
+    grounded."""
     long = sources.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.to_json(c).alias("json")) for c in source_columns])).alias("s")).select(key, "s.*")
     met = facts.join(long, [key, "source"], "left")
-    numbers = F.regexp_extract_all("fact", F.lit(r"-?\d+(?:\.\d+)?%?"), 0)
+    numbers = F.regexp_extract_all("fact", F.lit(r"(?<![\w.])-?\d+(?:\.\d+)?%?"), 0)
     have = F.transform(F.regexp_extract_all("json", F.lit(r"-?\d+(?:\.\d+)?"), 0), lambda x: x.cast("double"))
 
     def known(n: Column) -> Column:
@@ -169,7 +212,9 @@ def grounded_facts(facts: DataFrame, sources: DataFrame, key: str, source_column
         close = lambda x: (F.abs(x - value) < 1e-9) | (F.round(x, 2) == value) | (pct & (F.abs(x * 100 - value) < 0.5))
         return F.exists(have, close)
 
-    return met.withColumn("grounded", F.col("json").isNotNull() & F.forall(numbers, known)).drop("json")
+    ids = F.regexp_extract_all("fact", F.lit(r"\b(?:RF\d{2}|V\d{2}B?)(?:_[A-Z0-9_]+)?\b"), 0)
+    named = F.forall(ids, lambda i: F.contains(F.col("json"), i))
+    return met.withColumn("grounded", F.col("json").isNotNull() & F.forall(numbers, known) & named).drop("json")
 
 
 def factor_report(df: DataFrame, factors: Sequence[str], label: str) -> DataFrame:

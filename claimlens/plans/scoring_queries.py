@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import evaluate, metrics, model, policy, rules, similar, triage
 from ..sources import adapters as A
-from .claims_queries import CASES, r6, wilson
+from . import claims_queries
+from .claims_queries import CASES, CLAIMS, r6, wilson
 from .registry import query
 
 T = 0.4
@@ -54,10 +56,11 @@ def precision_at_top(spark, d):
     return r6(metrics.precision_at_top(df, "case_id", "label", "s", 0.1, ["split"]))
 
 
-@query("g07_cost_threshold", f"WITH {CASES}, s AS (SELECT label, round(score, 2)::DOUBLE AS s FROM cases WHERE split = 'real_test'), q AS (SELECT DISTINCT t FROM (SELECT unnest(quantile_cont(s, [i / 400.0::DOUBLE FOR i IN range(0, 401)])) AS t FROM s UNION ALL SELECT 1 + 1e-9)), x AS (SELECT t, 10 * (count(*) FILTER (s < t AND label = 1)) + count(*) FILTER (s >= t AND label = 0) AS cost FROM q, s GROUP BY t) SELECT round(t, 6) AS threshold, cost::BIGINT AS cost, round(1 / 11.0::DOUBLE, 6) AS bayes FROM x ORDER BY x.cost, t DESC LIMIT 1")
+@query("g07_cost_threshold", f"""WITH {CASES}, s AS (SELECT split, label, round(score, 2)::DOUBLE AS s FROM cases), q AS (SELECT DISTINCT split, t FROM (SELECT split, unnest(quantile_cont(s, [i / 400.0::DOUBLE FOR i IN range(0, 401)])) AS t FROM s GROUP BY split UNION ALL SELECT DISTINCT split, 1 + 1e-9 FROM s)),
+ x AS (SELECT q.split, t, 10 * (count(*) FILTER (s < t AND label = 1)) + count(*) FILTER (s >= t AND label = 0) AS cost FROM q JOIN s ON s.split = q.split GROUP BY 1, 2) SELECT split, round(t, 6) AS threshold, cost::BIGINT AS cost, round(1 / 11.0::DOUBLE, 6) AS bayes FROM x QUALIFY row_number() OVER (PARTITION BY split ORDER BY x.cost, t DESC) = 1""")
 def cost_threshold(spark, d):
-    df = A.cases(spark, d).where("split = 'real_test'").withColumn("s", F.round("score", 2).cast("double"))
-    return r6(metrics.cost_threshold(df, "label", "s", 10).withColumn("cost", F.col("cost").cast("long")))
+    df = A.cases(spark, d).withColumn("s", F.round("score", 2).cast("double"))
+    return r6(metrics.cost_threshold(df, "label", "s", 10, by=["split"]).withColumn("cost", F.col("cost").cast("long")))
 
 
 @query("g08_capacity_threshold", f"WITH {CASES} SELECT split, round(quantile_cont(score::DOUBLE, 0.9), 6) AS threshold FROM cases GROUP BY split")
@@ -99,18 +102,45 @@ def _numbered(seed: str, table: str, key: str, strata: str) -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY {strata} ORDER BY {_H.format(s=seed, k=key)}, {key}) AS _row, count(*) OVER (PARTITION BY {strata}) AS _size FROM {table}"
 
 
-@query("g13_bootstrap_ci", f"""WITH {CASES}, t AS (SELECT * FROM cases WHERE split = 'real_test'), n AS ({_numbered('s', 't', 'case_id', 'label')}),
- dr AS (SELECT label, rep, floor(('0x' || substr(md5('b:' || rep || ':' || label || ':' || _row), 1, 8))::BIGINT / 4294967296.0::DOUBLE * _size) + 1 AS _row FROM n, range(1, 21) x(rep)),
- m AS (SELECT dr.rep, count(*) FILTER (score >= {T} AND n.label = 1) AS tp, count(*) FILTER (score >= {T} AND n.label = 0) AS fp, count(*) FILTER (score < {T} AND n.label = 1) AS fn FROM dr JOIN n ON n.label = dr.label AND n._row = dr._row GROUP BY 1),
- q AS (SELECT tp::DOUBLE / (tp + fn) AS r, tp::DOUBLE / (tp + fp) AS p FROM m) SELECT round(quantile_cont(r, 0.025), 6) AS recall_low, round(quantile_cont(r, 0.975), 6) AS recall_high, round(quantile_cont(p, 0.025), 6) AS precision_low, round(quantile_cont(p, 0.975), 6) AS precision_high FROM q""")
+_DRAWS = f"""n AS ({_numbered('s', 'cases', 'case_id', 'split, label')}),
+ dr AS (SELECT split, label, rep, floor(('0x' || substr(md5('b:' || rep || ':' || label || ':' || _row), 1, 8))::BIGINT / 4294967296.0::DOUBLE * _size) + 1 AS _row FROM n, range(1, 21) x(rep)),
+ bs AS (SELECT dr.rep, n.* FROM dr JOIN n ON n.split = dr.split AND n.label = dr.label AND n._row = dr._row)"""
+
+
+@query("g13_bootstrap_ci", f"""WITH {CASES}, {_DRAWS}, m AS (SELECT split, rep, count(*) FILTER (score >= {T} AND label = 1) AS tp, count(*) FILTER (score >= {T} AND label = 0) AS fp, count(*) FILTER (score < {T} AND label = 1) AS fn FROM bs GROUP BY 1, 2),
+ q AS (SELECT split, {ratio('tp', 'tp + fn')} AS r, {ratio('tp', 'tp + fp')} AS p FROM m) SELECT split, round(quantile_cont(r, 0.025), 6) AS recall_low, round(quantile_cont(r, 0.975), 6) AS recall_high, round(quantile_cont(p, 0.025), 6) AS precision_low, round(quantile_cont(p, 0.975), 6) AS precision_high FROM q GROUP BY split""")
 def bootstrap(spark, d):
-    return r6(metrics.bootstrap_rate_ci(A.cases(spark, d).where("split = 'real_test'"), "case_id", "label", "score", T, 20))
+    return r6(metrics.bootstrap_rate_ci(A.cases(spark, d), "case_id", "label", "score", T, 20, by=["split"]))
 
 
-@query("g14_paired_bootstrap")
+@query("g14_paired_bootstrap", f"""WITH {CASES}, {_DRAWS}, m AS (SELECT split, rep, avg((1 - score >= {T})::INT) - avg((score >= {T})::INT) AS d FROM bs WHERE label = 1 GROUP BY 1, 2)
+ SELECT split, round(avg(d), 6) AS mean_diff, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM m GROUP BY split""")
 def paired(spark, d):
-    df = A.cases(spark, d).where("split = 'real_test'").withColumn("other", 1 - F.col("score"))
-    return metrics.paired_bootstrap(df, "case_id", "label", "score", "other", T, 20)
+    df = A.cases(spark, d).withColumn("other", 1 - F.col("score"))
+    return r6(metrics.paired_bootstrap(df, "case_id", "label", "score", "other", T, 20, by=["split"]))
+
+
+_CI_RATES = {"accuracy": ratio("tp + tn", "tp + fp + fn + tn"), "precision": "p", "recall": "r", "f1": ratio("2 * p * r", "p + r"), "f2": ratio("5 * p * r", "4 * p + r"), "fpr": ratio("fp", "fp + tn"), "flag_rate": ratio("tp + fp", "tp + fp + fn + tn")}
+_CI_ROWS = " UNION ALL ".join([f"SELECT split, rep, '{k}' AS metric, {v} AS x FROM u" for k, v in _CI_RATES.items()] + [f"SELECT split, rep, '{k}', {k} FROM z" for k in ("roc_auc", "pr_auc", "brier")])
+
+
+@query("g15_metrics_with_ci", f"""WITH {CASES}, {_DRAWS}, a AS (SELECT split, label, round(score, 2)::DOUBLE AS s, score, rep FROM bs UNION ALL SELECT split, label, round(score, 2)::DOUBLE, score, 0 FROM cases),
+ g AS (SELECT split, rep, {_CM.replace('score', 's')} FROM a GROUP BY 1, 2), u AS (SELECT *, {ratio('tp', 'tp + fp')} AS p, {ratio('tp', 'tp + fn')} AS r FROM g),
+ d AS (SELECT split, rep, s, count(*) AS n, sum(label) AS p FROM a GROUP BY 1, 2, 3), c AS (SELECT *, sum(n) OVER w AS ng, sum(p) OVER w AS pg, sum(n) OVER v AS na, sum(p) OVER v AS pa FROM d WINDOW w AS (PARTITION BY split, rep ORDER BY s DESC), v AS (PARTITION BY split, rep)),
+ z AS (SELECT c.split, c.rep, (sum((n - p) * (pg - p + p / 2.0::DOUBLE)) / max(pa::DOUBLE * (na - pa)))::DOUBLE AS roc_auc, sum(p::DOUBLE / pa * pg / ng) AS pr_auc, (SELECT avg((least(1, greatest(0, s)) - label) ** 2) FROM a WHERE a.split = c.split AND a.rep = c.rep) AS brier FROM c GROUP BY 1, 2),
+ l AS ({_CI_ROWS}) SELECT split, metric, round(max(x) FILTER (rep = 0), 6) AS value, round(quantile_cont(x, 0.025) FILTER (rep > 0), 6) AS low, round(quantile_cont(x, 0.975) FILTER (rep > 0), 6) AS high FROM l GROUP BY 1, 2""")
+def with_intervals(spark, d):
+    df = A.cases(spark, d).withColumn("s", F.round("score", 2).cast("double"))
+    return r6(metrics.metrics_with_ci(df, "case_id", "label", "s", T, 20, by=["split"]))
+
+
+@query("g17_success_criterion", f"""WITH {CASES}, {_DRAWS}, m AS (SELECT split, rep, count(*) FILTER (score >= {T} AND label = 1) AS tp, count(*) FILTER (score >= {T} AND label = 0) AS fp, count(*) FILTER (score < {T} AND label = 1) AS fn FROM bs GROUP BY 1, 2),
+ q AS (SELECT split, quantile_cont({ratio('tp', 'tp + fn')}, 0.025) AS r, quantile_cont({ratio('tp', 'tp + fp')}, 0.025) AS p FROM m GROUP BY split), b AS (SELECT split, avg(label) AS base, avg((score >= {T})::INT) AS flag FROM cases GROUP BY split)
+ SELECT split, p > 1.05 * base AS precision_ok, r > 1.05 * flag AS recall_ok, p > 1.05 * base AND r > 1.05 * flag AS success FROM q JOIN b USING (split)""")
+def success(spark, d):
+    c = A.cases(spark, d)
+    base = c.groupBy("split").agg(F.avg("label").alias("base_rate"), F.avg((F.col("score") >= T).cast("int")).alias("flag_rate"))
+    return metrics.success_criterion(metrics.bootstrap_rate_ci(c, "case_id", "label", "score", T, 20, by=["split"]), base, "flag_rate", ["split"], 1.05)
 
 
 @query("g16_comparison", f"WITH {CASES}, l AS (SELECT 'score' AS model, label, score::DOUBLE AS p FROM cases UNION ALL SELECT 'lines', label, coalesce(n_lines, 0)::DOUBLE FROM cases), t AS (SELECT model, quantile_cont(p, 0.8) AS t FROM l GROUP BY 1), g AS (SELECT l.model, count(*) FILTER (p >= t AND label = 1) AS tp, count(*) FILTER (p >= t AND label = 0) AS fp, count(*) FILTER (p < t AND label = 1) AS fn, count(*) FILTER (p < t AND label = 0) AS tn FROM l JOIN t ON t.model = l.model GROUP BY 1) {_metrics_sql('model', 'g')}")
@@ -348,11 +378,59 @@ def triaged(spark, d):
     return r6(triage.triage(_evidence(spark, d), "case_id").select("case_id", "decision", "flag_category", "reason_codes", "investigation_status", "completeness"))
 
 
-@query("j10_guardrails")
+_PROPOSED = "CASE WHEN case_id % 11 = 0 THEN NULL WHEN case_id % 5 = 0 THEN 'flag' WHEN case_id % 5 = 1 THEN 'deny' WHEN case_id % 5 = 2 THEN 'more info' ELSE 'approve' END"
+_FRAUD = "(band = 'high' OR hc OR (band = 'low' AND (wf OR fr >= 2)))"
+_FLAGCAT = f"CASE WHEN band = 'high' THEN 'FRAUD_RISK' WHEN band IS NULL THEN 'SYSTEM_FAILURE' WHEN {_FRAUD} THEN 'FRAUD_RISK' WHEN pf THEN 'POLICY_CONDITION' WHEN tf THEN 'SYSTEM_FAILURE' ELSE 'FRAUD_RISK' END"
+_BASELESS = f"((band = 'low' AND NOT (blk OR wf OR rf OR pf OR fr >= 2 OR hc OR tf OR coalesce({_CONF}, false))) OR (band = 'medium' AND NOT (pf OR rf OR hc)))"
+_STEPS = [
+    ("fallback", "x IS NULL", "dec", "cat"), ("allowed_decisions", "x NOT IN ('APPROVE', 'FLAG_FOR_INVESTIGATION', 'REQUEST_MORE_INFORMATION')", "dec", "cat"),
+    ("blocking_validation", "blk AND x <> 'REQUEST_MORE_INFORMATION'", "'REQUEST_MORE_INFORMATION'", "NULL"), ("request_info_not_claim_level", "x = 'REQUEST_MORE_INFORMATION' AND NOT (blk OR rf)", "dec", "cat"),
+    ("high_risk_not_approve", "x = 'APPROVE' AND band = 'high'", "'FLAG_FOR_INVESTIGATION'", "'FRAUD_RISK'"), ("approve_needs_score", "x = 'APPROVE' AND band IS NULL", "'FLAG_FOR_INVESTIGATION'", "'SYSTEM_FAILURE'"),
+    ("approve_needs_consistent_claim", "x = 'APPROVE' AND rf", "'REQUEST_MORE_INFORMATION'", "NULL"), ("approve_needs_policy_pass", "x = 'APPROVE' AND pf", "'FLAG_FOR_INVESTIGATION'", "'POLICY_CONDITION'"),
+    ("approve_needs_tools", "x = 'APPROVE' AND tf", "'FLAG_FOR_INVESTIGATION'", "'SYSTEM_FAILURE'"), ("", "x = 'FLAG_FOR_INVESTIGATION' AND y IS NULL", "x", _FLAGCAT),
+    ("unsupported_fraud_flag", f"x = 'FLAG_FOR_INVESTIGATION' AND y = 'FRAUD_RISK' AND {_BASELESS}", "dec", "cat"),
+]
+_GUARDED = f"w0 AS (SELECT *, CASE {_PROPOSED} WHEN 'flag' THEN 'FLAG_FOR_INVESTIGATION' WHEN 'more info' THEN 'REQUEST_MORE_INFORMATION' WHEN 'approve' THEN 'APPROVE' WHEN 'deny' THEN 'DENY' END AS x, NULL::VARCHAR AS y, []::VARCHAR[] AS i FROM dc)"
+for _n, (_name, _when, _x, _y) in enumerate(_STEPS):
+    _hit = f"coalesce({_when}, false)"
+    _GUARDED += f", w{_n + 1} AS (SELECT * REPLACE (CASE WHEN {_hit} THEN {_x} ELSE x END AS x, CASE WHEN {_hit} THEN {_y} ELSE y END AS y, CASE WHEN {_hit} AND '{_name}' <> '' THEN list_append(i, '{_name}') ELSE i END AS i) FROM w{_n})"
+
+
+@query("j10_guardrails", f"WITH {CASES}, {_EV}, {_DEC}, {_GUARDED} SELECT case_id, x AS decision, CASE WHEN x = 'FLAG_FOR_INVESTIGATION' THEN y END AS category, array_to_string(i, '; ') AS interventions FROM w{len(_STEPS)}")
 def guardrails(spark, d):
     k = F.col("case_id") % 5
-    e = _evidence(spark, d).withColumn("proposed", F.when(k == 0, "flag").when(k == 1, "deny").when(k == 2, "more info").otherwise("approve"))
-    return triage.apply_guardrails(e).groupBy("decision", "category", F.array_join("interventions", "; ").alias("interventions")).agg(F.count("*").alias("n"))
+    proposed = F.when(F.col("case_id") % 11 == 0, None).when(k == 0, "flag").when(k == 1, "deny").when(k == 2, "more info").otherwise("approve")
+    e = _evidence(spark, d).withColumn("proposed", proposed)
+    return triage.apply_guardrails(e).select("case_id", "decision", "category", F.array_join("interventions", "; ").alias("interventions"))
+
+
+_SRC = "st AS (SELECT *, case_id % 50 = 0 AS blk, CASE case_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'partial' END AS a, CASE case_id % 3 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'completed' END AS b FROM cases), dn AS (SELECT *, coalesce(a IN ('completed', 'partial'), false)::INT + coalesce(b IN ('completed', 'unavailable'), false)::INT AS k FROM st)"
+
+
+@query("j04_sources", f"WITH {CASES}, {_SRC} SELECT case_id, round(k / 2.0::DOUBLE, 3) AS fraction, CASE WHEN blk THEN 'blocked' WHEN k < 2 THEN 'incomplete' ELSE 'complete' END AS investigation_status, concat_ws('; ', CASE WHEN a IS NULL THEN 'fraud_score was not run' END, CASE WHEN b IS NULL THEN 'history was not run' END, CASE WHEN a = 'failed' THEN 'fraud_score failed' END) AS gaps FROM dn")
+def sources(spark, d):
+    k = F.col("case_id")
+    a = F.when(k % 4 == 0, "completed").when(k % 4 == 1, "failed").when(k % 4 == 2, "partial")
+    b = F.when(k % 3 == 0, "unavailable").when(k % 3 == 1, "completed")
+    both = F.map_filter(F.create_map(F.lit("fraud_score"), a, F.lit("history"), b), lambda _, v: v.isNotNull())
+    out = triage.source_summary(A.cases(spark, d).select("case_id", both.alias("statuses"), (k % 50 == 0).alias("blocking")), "statuses", ["fraud_score", "history"], "blocking")
+    return out.select("case_id", "fraction", "investigation_status", F.array_join("gaps", "; ").alias("gaps"))
+
+
+@query("j12_label_simulated", f"WITH {CASES} SELECT case_id, CASE WHEN case_id % 2 = 0 THEN nation || ' of ' || segment || ' (simulated reference data)' ELSE nation || ' of ' || segment END AS fact FROM cases")
+def labelled(spark, d):
+    c = A.cases(spark, d)
+    return c.select("case_id", triage.label_simulated(F.concat_ws(" of ", "nation", "segment"), F.col("case_id") % 2 == 0).alias("fact"))
+
+
+@query("j11_grounding", f"WITH {CASES} SELECT case_id, CASE case_id % 4 WHEN 3 THEN false WHEN 2 THEN case_id % 8 = 2 ELSE true END AS grounded FROM cases WHERE report_date IS NOT NULL AND n_lines < 90")
+def grounding(spark, d):
+    c = A.cases(spark, d).where("report_date is not null and n_lines < 90")
+    k = F.col("case_id") % 4
+    fact = F.when(k == 0, F.concat(F.col("n_lines").cast("string"), F.lit(" lines"))).when(k == 1, "no number").when(k == 2, F.when(F.col("case_id") % 8 == 2, "RF01 fired").otherwise("RF02 fired")).otherwise(F.concat((F.col("n_lines") + 900).cast("string"), F.lit(" lines")))
+    facts = c.select("case_id", F.lit("score").alias("source"), fact.alias("fact"))
+    out = c.select("case_id", F.struct(F.col("n_lines").alias("lines"), F.lit("RF01_A").alias("flag")).alias("score"))
+    return triage.grounded_facts(facts, out, "case_id", ["score"]).select("case_id", "grounded")
 
 
 _LO2, _HI2 = wilson("p", "n")
@@ -372,10 +450,10 @@ def stratified(spark, d):
     return r6(evaluate.stratified_sample(A.cases(spark, d), "case_id", "label", 100, 3).select("case_id", "weight"))
 
 
-@query("k02_band_sample")
+@query("k02_band_sample", f"""WITH {CASES}, {_EV}, n AS ({_numbered('k2', '(SELECT * FROM ev WHERE band IS NOT NULL)', 'case_id', 'band, label')}), z AS (SELECT band, CASE band WHEN 'medium' THEN 34 ELSE 33 END AS q, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM ev WHERE band IS NOT NULL GROUP BY 1),
+ t AS (SELECT band, q, n, least(p, greatest(ceil(q / 2.0), q - n)) AS tp FROM z) SELECT case_id, n.band AS risk_band, n.label FROM n JOIN t ON t.band = n.band WHERE _row <= CASE WHEN n.label = 1 THEN tp ELSE least(t.n, q - tp) END""")
 def band_sample(spark, d):
-    e = _evidence(spark, d)
-    return evaluate.band_sample(e, "case_id", "risk_band", "label", 100).groupBy("risk_band", "label").agg(F.count("*").alias("n"))
+    return evaluate.band_sample(_evidence(spark, d), "case_id", "risk_band", "label", 100).select("case_id", "risk_band", "label")
 
 
 @query("k03_open_runs", "SELECT event_id, user_id FROM events WHERE NOT (event_id % 3 = 0)")
@@ -427,6 +505,29 @@ def modes(spark, d):
     return evaluate.compare_modes(x.select("case_id", "decision"), x.select("case_id", F.col("model_only").alias("decision")), "case_id", "decision")
 
 
+@query("k10_mode_deltas", f"WITH {CASES}, {_EV}, {_DEC}, l AS (SELECT 'l' AS m, dec AS x, label FROM dc UNION ALL SELECT 'r', mo, label FROM dc), c AS (SELECT 'recall' AS metric, m, avg((x = 'FLAG_FOR_INVESTIGATION')::INT) AS v FROM l WHERE label = 1 GROUP BY 2 UNION ALL SELECT 'false_flag_rate', m, avg((x = 'FLAG_FOR_INVESTIGATION')::INT) FROM l WHERE label = 0 GROUP BY 2 UNION ALL SELECT 'approve_rate', m, avg((x = 'APPROVE')::INT) FROM l GROUP BY 2 UNION ALL SELECT 'info_rate', m, avg((x = 'REQUEST_MORE_INFORMATION')::INT) FROM l GROUP BY 2) SELECT metric, round(max(v) FILTER (m = 'l'), 6) AS \"left\", round(max(v) FILTER (m = 'r'), 6) AS \"right\", round(max(v) FILTER (m = 'r') - max(v) FILTER (m = 'l'), 6) AS delta FROM c GROUP BY 1")
+def deltas(spark, d):
+    x = decide(spark, d).join(A.cases(spark, d).select("case_id", "label"), "case_id")
+    return r6(evaluate.mode_deltas(x.select("label", "decision"), x.select("label", F.col("model_only").alias("decision")), "label", "decision"))
+
+
+@query("k04_flags_by_category", f"WITH {CASES}, {_EV}, {_DEC} SELECT cat AS category, count(*) AS n, count(*) FILTER (label = 1) AS positives FROM dc WHERE dec = 'FLAG_FOR_INVESTIGATION' GROUP BY 1")
+def by_category(spark, d):
+    x = decide(spark, d).join(A.cases(spark, d).select("case_id", "label"), "case_id")
+    return evaluate.flags_by_category(x, "label", "decision", "category")
+
+
+@query("k12_judge_means", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, round(avg(user_id % 5 + 1), 6) AS mean_clarity FROM events GROUP BY 1")
+def judged(spark, d):
+    return r6(evaluate.judge_means(A.read(spark, d, "events").withColumn("clarity", F.col("user_id") % 5 + 1), "event_type", ["value", "clarity"]))
+
+
+@query("l08_verification_rows", f"WITH {CASES}, {_LAGX}, {_CHECKS} SELECT case_id, check_id, result FROM ck")
+def verification_rows(spark, d):
+    m = _checks(spark, d).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("check_id", "result"))).alias("checks"))
+    return evaluate.verification_rows(m, ["case_id"], "checks")
+
+
 @query("k11_usage", "SELECT count(*) AS n_runs, round(avg(value), 6) AS mean_value FROM events WHERE event_id % 3 > 0")
 def usage(spark, d):
     return r6(evaluate.usage(A.read(spark, d, "events").withColumn("calls", F.col("event_id") % 3), "calls", ["value"]))
@@ -481,7 +582,13 @@ def listing(spark, d):
     return evaluate.history_listing(e, "event_type", ["click", "view"], "o", True, "ts", "event_id", 40).select("event_id", "event_type")
 
 
-@query("e19_rules_only")
+_ANY = " OR ".join(f"coalesce(({claims_queries._in_sql(f)}), false)" for f in rules.RED_FLAGS if f.severity == "warning")
+_WEIGHED = " + ".join(f"coalesce(({claims_queries._in_sql(f)}), false)::INT * {rules.WEIGHTS[f.severity]}" for f in rules.RED_FLAGS)
+
+
+@query("e19_rules_only", f"WITH {CLAIMS}, r AS (SELECT split, \"FraudFound_P\" AS label, ({_WEIGHED})::DOUBLE AS s, ({_ANY}) AS warned FROM claims), {_CURVE} SELECT split, round((sum((n - p) * (pg - p + p / 2.0::DOUBLE)) / max(pa::DOUBLE * (na - pa)))::DOUBLE, 6) AS roc_auc, round(sum(p::DOUBLE / pa * pg / ng), 6) AS pr_auc, (SELECT round(avg(warned::INT), 6) FROM r WHERE r.split = c.split) AS warned FROM c GROUP BY split")
 def rules_only(spark, d):
-    c = A.claims(spark, d).select("split", "FraudFound_P", rules.red_flag_score().cast("double").alias("s"))
-    return r6(metrics.ranking_metrics(c, "FraudFound_P", "s", ["split"]).drop("brier"))
+    warned = C.any_of([rules.condition_mask(f.when) for f in rules.RED_FLAGS if f.severity == "warning"])
+    c = A.claims(spark, d).select("split", "FraudFound_P", rules.red_flag_score().cast("double").alias("s"), warned.cast("int").alias("w"))
+    curve = metrics.ranking_metrics(c, "FraudFound_P", "s", ["split"]).drop("brier")
+    return r6(curve.join(c.groupBy("split").agg(F.avg("w").alias("warned")), "split"))

@@ -2,12 +2,11 @@
 
 import pytest
 
-from claimlens.plans import claims_queries, scoring_queries  # noqa: F401
+from claimlens.plans import claims_queries, scoring_queries, verification_queries  # noqa: F401
 from claimlens.plans.registry import ORACLES, QUERIES
 
 from .helpers import assert_same
 
-SLOW = {"h04_families", "h13_adversarial", "h15_utility", "h10_calibrate"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -17,7 +16,7 @@ def test_query_matches_sql(name, spark, sf_dir, duck):
     assert_same(QUERIES[name](spark, sf_dir), duck, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_other_queries_give_rows(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
