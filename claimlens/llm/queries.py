@@ -138,3 +138,51 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
 """
+
+ORACLES["op10_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400)
+), dup AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1
+), runs AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS new FROM dup
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM runs) GROUP BY doc_id, k
+), parts AS (
+  SELECT s.doc_id, a, b, substr(x, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS kept FROM spans s JOIN d ON d.doc_id = s.doc_id WINDOW w AS (PARTITION BY s.doc_id ORDER BY a)
+), cut AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY a) AS kept, max(b) AS tail FROM parts GROUP BY doc_id
+)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN x ELSE kept || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id
+"""
+
+
+def _url_sql(rounds: int = 10, damping: float = 0.85, threshold: float = 0.075) -> str:
+    """The rules and both walks, each round a step of its own."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lambda u: lower.format(f"coalesce(regexp_extract({u}, '^(?s).*?://([^/?#]*)', 1), '')")
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
+    steps = ""
+    for i in range(rounds):
+        steps += f""", r{i + 1} AS (SELECT s.host, {1 - damping!r}::DOUBLE * s.trusted + {damping}::DOUBLE * coalesce(t.x, 0) AS trust, {1 - damping!r}::DOUBLE * s.blocked + {damping}::DOUBLE * coalesce(b.x, 0) AS distrust FROM seeds s
+  LEFT JOIN (SELECT dst, sum(trust / n_out) AS x FROM links JOIN r{i} ON host = src GROUP BY dst) t ON t.dst = s.host LEFT JOIN (SELECT src, sum(distrust / n_in) AS x FROM links JOIN r{i} ON host = dst GROUP BY src) b ON b.src = s.host)"""
+    return f"""
+WITH rules(v, h, p) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS k, page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '^(?s).*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+fit AS (SELECT k, h || p AS rule, v FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(h || p) DESC) = 1),
+j AS (SELECT u.k, page_id, host, path, rule, v FROM u LEFT JOIN fit ON fit.k = u.k),
+raw AS (SELECT DISTINCT host AS src, unnest(regexp_extract_all(html, '(?i)(?:href|src)\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1)) AS target FROM u),
+pairs AS (SELECT DISTINCT src, {host("CASE WHEN starts_with(target, '//') THEN 'http:' || target ELSE target END")} AS dst FROM raw),
+links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n_out, count(*) OVER (PARTITION BY dst) AS n_in FROM pairs WHERE src <> '' AND dst <> '' AND src <> dst),
+own AS (SELECT host, avg(coalesce((v = 'allow')::INT, 0)) AS trusted, avg(coalesce((v = 'block')::INT, 0)) AS blocked FROM j WHERE host <> '' GROUP BY host),
+seeds AS (SELECT * FROM own UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM links WHERE dst NOT IN (SELECT host FROM own)),
+r0 AS (SELECT host, trusted AS trust, blocked AS distrust FROM seeds){steps}
+SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN round(distrust, 12) >= {threshold} AND round(distrust, 12) > round(trust, 12) THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN r{rounds} r ON r.host = j.host
+"""
+
+
+ORACLES["op4_url_filter"] = _url_sql()

@@ -109,5 +109,7 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = 0.075, damping:
     nameless = judged.where("host = ''").select("*", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     ranked = join_hot(named, ranks, "host", "left").select(*judged.columns, "trust", "distrust").union(nameless)
     out = ranked.select("page_id", "host", "path", F.col("match.rule").alias("rule"), F.col("match.verdict").alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
+    # at 12 places the order of sums does not matter
+    bad, good = F.round("distrust", 12), F.round("trust", 12)
+    method = F.when((bad >= threshold) & (bad > good), "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("verdict", method))

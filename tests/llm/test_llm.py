@@ -309,6 +309,42 @@ def test_pieces_round_trip_and_best_score(spark):
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first().text == ""
 
 
+def test_sentencepiece_query_matches_brute_force(spark, sf_dir):
+    """Every document of the query's table: the ids decode to the text and reach the largest total, word by word."""
+    path = queries.default_model()
+    vocabulary = pieces.Vocabulary.load(path)
+    score, longest = dict(zip(vocabulary.pieces, vocabulary.scores)), max(map(len, vocabulary.pieces))
+    ids, floor = dict(zip(vocabulary.ids, vocabulary.scores)), min(vocabulary.scores) - 10.0
+    docs = queries.read(spark, sf_dir, "documents")
+    rows = {r.doc_id: r for r in queries.op9_sentencepiece(spark, sf_dir).collect()}
+    known = {}
+
+    def best(word):
+        if word not in known:
+            raw, top = word.encode(), [0.0]
+            starts = [i for i in range(len(raw) + 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
+            for end in range(1, len(raw) + 1):
+                options = [top[a] + score[raw[a:end]] for a in range(max(0, end - longest), end) if raw[a:end] in score]
+                if end in starts:
+                    options.append(top[starts[starts.index(end) - 1]] + floor)
+                top.append(max(options, default=-np.inf))
+            known[word] = top[-1]
+        return known[word]
+
+    coded = {r.doc_id: r for r in pieces.encode(docs.where("n_chars < 2500"), path).collect()}
+    assert len(rows) == docs.count()
+    for r in docs.collect():
+        text = r.text or ""
+        assert rows[r.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        if r.doc_id in coded and "▁" not in text and text:
+            mine = coded[r.doc_id].ids
+            assert rows[r.doc_id].n_pieces == len(mine) and rows[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, mine)).encode()).hexdigest()
+            words = re.findall("▁*[^▁]+|▁+", "▁" + text.replace(" ", "▁"))
+            total = sum(ids[i] for i in mine if i in ids)
+            odd = len({i for i in mine if i not in ids})
+            assert odd or total == pytest.approx(sum(map(best, words)))
+
+
 def test_long_words_are_cut_like_short_ones(spark):
     vocabulary = pieces.Vocabulary.load(queries.default_model())
     machine, rng = pieces.automaton(vocabulary), random.Random(2)
@@ -334,6 +370,59 @@ def test_languages(spark, sf_dir):
     assert langid.predict_language(spark.createDataFrame([(1, "abc")], EMPTY), {}).first().lang_pred == "und"
 
 
+def brute_languages(train, texts, dimensions=1024):
+    """Language and cosine of each text, gram by gram."""
+    L = langid.letter_vectors(dimensions).astype(float)
+    slots = langid._slots()
+
+    def vector(text):
+        codes = [0]
+        for c in text or "":
+            s = int(slots[ord(c)])
+            if s or codes[-1]:
+                codes.append(s)
+        codes += [0] if codes[-1] else []
+        out = np.zeros(dimensions)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            out += np.roll(L[a], 2) * np.roll(L[b], 1) * L[c]
+        return out
+
+    total = {}
+    for text, lang in train:
+        if text is not None and lang is not None:
+            v = vector(text)
+            total[lang] = total.get(lang, 0) + np.rint(v / np.sqrt(max(np.linalg.norm(v), 1e-12)) * 1024)
+    unit = {k: v / max(np.linalg.norm(v), 1e-12) for k, v in total.items()}
+    out = []
+    for text in texts:
+        v = vector(text)
+        if not any(slots[ord(c)] for c in text or ""):
+            out.append(("und", 0.0))
+        else:
+            best = min((-round(float(v @ u) / max(np.linalg.norm(v), 1e-12), 12), k) for k, u in unit.items())
+            out.append((best[1], min(1.0, max(0.0, -best[0]))))
+    return out
+
+
+def test_language_query_matches_brute_force(spark, tmp_path):
+    """The query op1 on a small table with nulls, blanks, repeats, ties, a long text and clashing columns."""
+    rng = random.Random(4)
+    words = {"aa": "lorem dolor amet ipsum sit".split(), "bb": "größe straße für über weiß".split(), "cc": "kala talo mökki järvi".split()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(1, 30))), k) for i, k in enumerate(rng.choice(list(words)) for _ in range(60))]
+    rows += [(60, None, "aa"), (61, "", "bb"), (62, "12 ..", None), (63, "x", None), rows[0], rows[0], (64, "dolor größe " * 4000, None), (None, "lorem", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("zz"), "score": F.lit(9), "n_letters": F.lit("q")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op1_language_id(spark, str(tmp_path)).select("doc_id", "lang_pred", "score", "held_out").collect()), key=str)
+    import zlib
+
+    held = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5 == 0
+    # a null doc_id is not known to be held out: it teaches nothing
+    want = brute_languages([(t, k) for i, t, k in rows if held(i) is False], [t for _, t, _ in rows])
+    want = sorted(((i, lang, pytest.approx(score, abs=1e-9), held(i)) for (i, _, _), (lang, score) in zip(rows, want)), key=lambda r: str((r[0], r[1], r[2].expected, r[3])))
+    assert got == want and {g[1] for g in got} == {"aa", "bb", "cc", "und"}
+    assert queries.op1_language_id(spark, str(tmp_path)).where("false").count() == 0
+
+
 def test_bundles_add_bound_letters():
     import pyarrow as pa
 
@@ -355,6 +444,42 @@ def test_quality(spark, sf_dir):
     assert [r.score for r in quality.quality_scores(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()] == [0.5, 0.5]
 
 
+def test_quality_query_matches_brute_force(spark, sf_dir):
+    """The fitted score again from its parts: normal equations solved at once, pool-adjacent-violators by loops."""
+    docs, labels = queries.read(spark, sf_dir, "documents"), queries.read(spark, sf_dir, "labels").where(~queries.held_out())
+    rows = {r.doc_id: np.array(r.statistics) for r in quality.describe(docs).collect()}
+    known = sorted((r.doc_id, r.quality) for r in labels.distinct().collect() if r.quality in (0, 1) and r.doc_id in rows)
+    import zlib
+
+    x = np.array([rows[i] for i, _ in known])
+    y = np.array([v for _, v in known], float)
+    fold = np.array([zlib.crc32(f"calibrate {i}".encode()) % 5 for i, _ in known])
+    model = quality.FourierRidge(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), 192, 0.02)
+    t = model.transform(x[fold != 0])
+    model.weights = np.linalg.solve(t.T @ t + np.eye(t.shape[1]), t.T @ y[fold != 0])
+    blocks = []  # mean, weight, first and last raw score
+    for raw, label in sorted(zip(model.raw(x[fold == 0]), y[fold == 0])):
+        blocks.append([label, 1, raw, raw])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            b, a = blocks.pop(), blocks.pop()
+            blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
+    at, value = zip(*[(p, b[0]) for b in blocks for p in (b[2], b[3])])
+    got = {r.doc_id: r.score for r in queries.op6_quality(spark, sf_dir).collect()}
+    want = dict(zip(rows, np.clip(np.interp(model.raw(np.array(list(rows.values()))), at, value), 0, 1)))
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_quality_edges(spark):
+    texts = [(i, ("Good words stand here. " if i % 2 else "x# $ zz 9 ") * (1 + i % 7)) for i in range(120)]
+    docs = spark.createDataFrame([*texts, texts[0], (200, None), (None, "Good words.")], EMPTY).withColumns({"label": F.lit("q"), "score": F.lit(3), "quality": F.lit(0)})
+    marks = [(i, i % 2) for i in range(100)] + [(0, 1), (5, 5), (6, None), (999, 1), (7, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = quality.quality_scores(docs, labels).collect()
+    assert len(got) == 123 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[119] > 0.5 > by[118] and quality.quality_scores(docs.where("false"), labels).count() == 0
+
+
 def test_licenses(spark):
     texts = ["x\nreleased UNDER the MIT license\ny", "Released under the BSD license.", None, "", "\n".join(["Licensed under CC BY-NC 4.0."] * 2) + "\nLicensed under the Apache License, version 2.0"]
     got = [tuple(r)[1:] for r in licenses.scan_licenses(frame(spark, texts, True)).orderBy("doc_id").collect()]
