@@ -66,6 +66,21 @@ def exact_percentiles(df: DataFrame, column: str, shares: Sequence[float], by: S
     return found.select(*by, *inside)
 
 
+def even_percentiles(df: DataFrame, column: str, steps: int, by: Sequence[str]) -> DataFrame:
+    """The ``steps + 1`` percentiles 0, 1 / steps, .. of each group as the array ``q``, interpolated as in
+    ``exact_percentiles``; each distinct value meets only the percentiles next to its ranks."""
+    run = running_counts(df.where(F.col(column).isNotNull()).withColumn("_none", F.lit(0)), "_none", column, by)
+    below, upto = F.col("n_all") - F.col("n_ge"), F.col("n_all") - F.col("n_ge") + F.col("n")
+    gap = F.greatest(F.col("n_all") - 1, F.lit(1)) / F.lit(steps)
+    first, last = F.greatest(F.floor((below - 1) / gap), F.lit(0)), F.when(F.col("n_all") == 1, steps).otherwise(F.least(F.ceil(upto / gap), F.lit(steps)))
+    near = run.select(*by, "s", below.alias("_from"), upto.alias("_to"), "n_all", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("i"))
+    rank = F.col("i") / F.lit(float(steps)) * (F.col("n_all") - 1)
+    at = lambda r: F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("s").cast("double")))
+    ends = near.groupBy(*by, "i", "n_all").agg(at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (rank - F.floor(rank))
+    return ends.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
 def confusion(label: str, flagged: Column) -> list[Column]:
     y = F.col(label)
     return [F.count_if(flagged & (y == 1)).alias("tp"), F.count_if(flagged & (y == 0)).alias("fp"), F.count_if(~flagged & (y == 1)).alias("fn"), F.count_if(~flagged & (y == 0)).alias("tn")]
@@ -123,9 +138,7 @@ def cost_threshold(df: DataFrame, label: str, score: str, ratio: float, steps: i
     """For each group the threshold of least ``ratio * FN + FP`` among ``steps + 1`` quantiles and one above all
     scores; ties go to the higher.  Also the Bayes threshold 1 / (1 + ratio)."""
     by, df = list(by) or ["_all"], df if by else df.withColumn("_all", F.lit(1))
-    cuts = [i / steps for i in range(steps + 1)]
-    q = exact_percentiles(df, score, cuts, by)
-    q = q.select(*by, F.array_sort(F.array_distinct(F.array(*[F.col(f"p{i}") for i in range(steps + 1)], F.lit(1 + 1e-9)))).alias("q"))
+    q = even_percentiles(df, score, steps, by).select(*by, F.array_sort(F.array_distinct(F.concat("q", F.array(F.lit(1 + 1e-9))))).alias("q"))
     # each distinct score counts for the candidates up to it: its place among them, then sums from the top
     placed = score_counts(df, label, score, by).join(q, by).select(*by, "n", "pos", F.size(F.filter("q", lambda t: t <= F.col("s"))).alias("k"))
     sums = placed.groupBy(*by, "k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))

@@ -230,3 +230,19 @@ def test_adversarial_validation_scores_the_surplus(spark):
     assert sorted(r.id for r in out) == list(range(90)) and all(r.p is not None for r in out)
     surplus = [r for r in out if r.fold is None]
     assert len(surplus) == 30 and {r.is_right for r in surplus} == {1}
+
+
+def test_percentiles_match_numpy(spark):
+    import numpy as np
+
+    from claimlens.operators import metrics
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([0.5], 300), "c": np.concatenate([np.zeros(900), rng.random(7)]), "d": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)], "g string, v double")
+    got = {r.g: r for r in metrics.exact_percentiles(df, "v", [0.0, 0.1, 0.5, 0.975, 1.0], ["g"]).collect()}
+    many = {r.g: r.q for r in metrics.even_percentiles(df, "v", 40, ["g"]).collect()}
+    assert set(got) == set(many) == set(groups)
+    for k, vs in groups.items():
+        assert list(got[k])[1:] == pytest.approx(list(np.percentile(vs, [0, 10, 50, 97.5, 100])))
+        assert many[k] == pytest.approx(list(np.percentile(vs, np.arange(41) * 2.5)))
