@@ -38,8 +38,7 @@ def _vectors(batches):
             raw = None
             if values is not None and len(values) and not values.null_count:
                 v = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # no negative zero
-                norm = np.sqrt(v @ v) if np.isfinite(v).all() else 0.0
-                raw = v.tobytes() if norm > 0 and np.isfinite(norm) else None
+                raw = v.tobytes() if np.isfinite(v).all() and v.any() else None
             rows.append(raw)
         present = [r for r in rows if r is not None]
         data = np.frombuffer(b"".join(present), np.uint8)
@@ -140,6 +139,7 @@ def _compare(threshold: float, most_rows: int = 2048):
             if len(mine) < 2:
                 continue
             x = np.frombuffer(b"".join(raw[i] for i in mine)).reshape(len(mine), -1)
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # so squares neither overflow nor vanish
             norm = np.linalg.norm(x, axis=1)
             for a in range(0, len(mine), most_rows):
                 for b in range(a, len(mine), most_rows):
@@ -208,17 +208,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> D
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with
     nothing; vectors of different width never link.  Equal vectors link with each other.
-    Rows with a null vec_id come back with zero links, null component and kept false;
-    repeated rows of one vec_id are one vector.  Other columns are ignored.
+    Rows with a null vec_id come back as one, with zero links, null component and kept false;
+    repeated rows of one vec_id are one vector, and of several vectors under one vec_id that with
+    the least hash counts.  Other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
     kind = "vec_id long, cls long, cls2 long, size int, vector binary"
     found = materialise(rows.mapInArrow(_vectors, kind), "vectors")
-    ids = found.where("vector is not null and vec_id is not null").select("vec_id", "cls", "cls2").distinct()
+    ids = found.where("vector is not null and vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("cls", "cls2")).alias("m")).select("vec_id", "m.*")
     classes = ids.groupBy("cls", "cls2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    member = materialise(ids.join(classes, ["cls", "cls2"]).select("vec_id", "rep", "many"), "members")
-    leads = member.where("vec_id = rep").select("vec_id", "many")
-    reps = materialise(found.join(leads.select("vec_id"), "vec_id", "left_semi").where("vector is not null").dropDuplicates(["vec_id"]).select("vec_id", "size", "vector"), "representatives")
+    member = materialise(ids.join(classes, ["cls", "cls2"]).select("vec_id", "cls", "cls2", "rep", "many"), "members")
+    leads = member.where("vec_id = rep").select("vec_id", "cls", "cls2", "many")
+    reps = materialise(found.join(leads.select("vec_id", "cls", "cls2"), ["vec_id", "cls", "cls2"], "left_semi").where("vector is not null").dropDuplicates(["vec_id"]).select("vec_id", "size", "vector"), "representatives")
     pairs = materialise(near_pairs(reps, threshold, **options), "pairs")
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(leads.select(F.col("vec_id").alias("b"), "many"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))

@@ -256,6 +256,40 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_recall_in_deep_trees(spark):
+    """Planted pairs near the threshold, dense groups, trees of depth 9: recall against all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+
+    def near(v, cosine):
+        w = rng.normal(size=v.shape)
+        w -= (w * v).sum(axis=1, keepdims=True) * v
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        c = np.asarray(cosine)[:, None]
+        return c * v + np.sqrt(1 - c * c) * w
+
+    group = near(np.repeat(base[:3], 150, axis=0), rng.uniform(0.96, 0.999, 450))
+    x = np.concatenate([base, near(base[500:2500], rng.uniform(0.945, 0.97, 2000)), group])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, leaf=12).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.95).sum(axis=1) - 1
+    lone = np.arange(500, 2500)  # pairs outside the dense groups
+    recall, pairs = sum(got.values()) / want.sum(), sum(got[i] for i in lone) / want[lone].sum()
+    print(f"recall {recall:.4f} of {want.sum() // 2} pairs, {pairs:.4f} outside dense groups")
+    assert 0.95 <= min(recall, pairs) and all(got[i] <= want[i] for i in got)
+
+
+def test_embeddings_edges(spark):
+    big = [(1, [1e200] * 4), (2, [2e200] * 4), (3, [1e-200] * 4), (4, [1.0] * 4), (5, [float("inf"), 1.0, 1.0, 1.0])]
+    rows = [*big, (6, [1.0, 0.0, 0.0, 0.0]), (6, [0.0, 1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0, 0.1]), (8, [0.0, 1.0, 0.0, 0.1]), (None, [1.0] * 4), (None, None), (4, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cls": F.lit("x"), "size": F.lit(1), "vector": F.lit(None).cast("string")})
+    got = sorted((tuple(r) for r in embed_dedup.near_duplicates(df).collect()), key=lambda r: r[0] or 0)
+    assert got[0] == (None, 0, None, False) and got[1:5] == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False)]
+    assert got[5] == (5, 0, 5, True) and got[6][1] == 1 and got[7][1] + got[8][1] == 1 and len(got) == 9
+
+
 def test_embeddings_of_many_widths(spark):
     rows = [(3 * w + i, [1.0 * (w % 5), 1.0, *[float(i == 2)] * 9][: w + 1]) for w in range(1, 9) for i in range(3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
