@@ -87,7 +87,7 @@ def test_ingest(spark, tmp_path):
     path = tmp_path / "claims.csv"
     line = ",".join(str(VALID[c]) for c in S.COLUMNS)
     path.write_text("﻿" + ",".join(S.COLUMNS) + "\n" + line + "\n", encoding="utf-8")
-    assert ingest.read_claims(spark, str(path)).first().Month == "Oct"
+    assert ingest.read_claims(spark, str(path)).first().Month == VALID["Month"]
     path.write_text(",".join(reversed(S.COLUMNS)) + "\n" + line + "\n")
     with pytest.raises(ValueError):
         ingest.read_claims(spark, str(path))
