@@ -73,8 +73,9 @@ def feature_pipeline(nominal: Sequence[str], numeric: Sequence[str], kind: str =
     return Pipeline(stages=stages)
 
 
-def fit_scorer(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], label: str, family: str = "logistic", weight: str | None = None, seed: int = 1):
-    """A fitted pipeline: ``logistic``, ``forest`` or ``boosted``."""
+def fit_scorer(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], label: str, family: str = "logistic", weight: str | None = None, seed: int = 1, held: str | None = None):
+    """A fitted pipeline: ``logistic``, ``forest`` or ``boosted``.  Boosted trees learn only from rows whose boolean column
+    ``held`` is false, if it is given, and stop when its other rows gain no more."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
@@ -82,7 +83,7 @@ def fit_scorer(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], la
     model = {
         "logistic": lambda: LogisticRegression(maxIter=50, regParam=1e-3, **common),
         "forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=8, maxBins=64, seed=seed, **common),
-        "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=seed, **common),
+        "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=4, maxBins=64, stepSize=0.2, seed=seed, **common, **({"validationIndicatorCol": held} if held else {})),
     }[family]()
     return Pipeline(stages=[*feature_pipeline(nominal, numeric, "linear" if family == "logistic" else "tree").getStages(), model]).fit(df)
 
@@ -151,21 +152,26 @@ def score_claims(df: DataFrame, p: str, high: float, medium: float) -> DataFrame
     return df.withColumns({"fraud_probability": c, "risk_band": risk_bands(c, high, medium), "predicted": F.when(c.isNotNull(), (c >= high).cast("long"))})
 
 
-def adversarial_validation(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, folds: int = 3, seed: int = 1) -> DataFrame:
-    """Probability that a row belongs to ``right``, for all rows of both splits: ``key, fold, is_right, p``.
-
-    The fold models learn from as many rows of each split; those rows get an out-of-fold value.  The
-    surplus of the larger split is learned by no model: it gets the mean of all of them and a null ``fold``.
-    """
+def _adversarial_models(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, folds: int, seed: int):
+    """As many rows of each split with their ``fold``, the surplus of the larger split, and one model for each fold left out."""
     guard_features([*nominal, *numeric])
     both = df.where(F.col(split).isin(left, right)).withColumn("is_right", (F.col(split) == right).cast("int"))
     least = both.groupBy("is_right").count().agg(F.min("count")).first()[0] or 0
     numbered = stratum_numbers(both, key, ["is_right"])
     rows = numbered.where(F.col("_row") <= least).withColumn("fold", F.pmod("_row", F.lit(folds))).drop("_row", "_size")
     rest = numbered.where(F.col("_row") > least).drop("_row", "_size")
+    return rows, rest, [fit_scorer(rows.where(F.col("fold") != k), nominal, numeric, "is_right", "boosted", seed=seed) for k in range(folds)]
+
+
+def adversarial_validation(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, folds: int = 3, seed: int = 1) -> DataFrame:
+    """Probability that a row belongs to ``right``, for all rows of both splits: ``key, fold, is_right, p``.
+
+    The fold models learn from as many rows of each split; those rows get an out-of-fold value.  The
+    surplus of the larger split is learned by no model: it gets the mean of all of them and a null ``fold``.
+    """
+    rows, rest, models = _adversarial_models(df, key, split, left, right, nominal, numeric, folds, seed)
     out = None
-    for k in range(folds):
-        model = fit_scorer(rows.where(F.col("fold") != k), nominal, numeric, "is_right", "boosted", seed=seed)
+    for k, model in enumerate(models):
         part = score(model, rows.where(F.col("fold") == k)).select(key, "fold", "is_right", "p")
         out = part if out is None else out.unionByName(part)
         rest = score(model, rest, f"_p{k}")
@@ -173,6 +179,56 @@ def adversarial_validation(df: DataFrame, key: str, split: str, left: str, right
     return out.unionByName(rest.select(key, F.lit(None).cast(out.schema["fold"].dataType).alias("fold"), "is_right", mean.alias("p")))
 
 
+def importance_shares(models: Sequence, features: Sequence[str], spark) -> DataFrame:
+    """``feature, share``: the mean of the models' importances, which sum to 1 (or 0 where no tree splits)."""
+    found = sum(m.stages[-1].featureImportances.toArray() for m in models)
+    total = float(found.sum())
+    return spark.createDataFrame([(f, float(x) / total if total else 0.0) for f, x in zip(features, found)], "feature string, share double")
+
+
+def adversarial_importance(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, folds: int = 3, seed: int = 1) -> DataFrame:
+    """``feature, share`` of the fold models that tell ``right`` from ``left``."""
+    _, _, models = _adversarial_models(df, key, split, left, right, nominal, numeric, folds, seed)
+    return importance_shares(models, [*nominal, *numeric], df.sparkSession)
+
+
+def adversarial_drop_top(df: DataFrame, key: str, split: str, left: str, right: str, nominal, numeric, ranked: Sequence[str], k: int = 3, folds: int = 3, seed: int = 1) -> DataFrame:
+    """``step, dropped, auc_mean``: the mean AUC over folds after the first 1..k of ``ranked`` are left out; at
+    least one feature stays."""
+    from .metrics import ranking_metrics
+
+    out = None
+    for step in range(1, min(k, len(ranked), len([*nominal, *numeric]) - 1) + 1):
+        gone = set(ranked[:step])
+        left_in = [[c for c in side if c not in gone] for side in (nominal, numeric)]
+        scored = adversarial_validation(df, key, split, left, right, *left_in, folds, seed).where("fold is not null")
+        part = ranking_metrics(scored, "is_right", "p", ["fold"]).agg(F.lit(step).alias("step"), F.lit(ranked[step - 1]).alias("dropped"), F.avg("roc_auc").alias("auc_mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def data_mix(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[float, float, bool]], key: str, split: str, label: str, nominal, numeric, family: str = "boosted", seeds: Sequence[int] = (1, 2), real: str = "real_train", other: str = "synthetic") -> DataFrame:
+    """PR-AUC on ``valid`` for each mix ``(fraction, weight, include real)``: rows of training data, mean and deviation over
+    seeds, the value of the scores averaged over seeds, and ``chosen`` for the best mean among mixes with real rows (the first of equals)."""
+    from .metrics import ranking_metrics
+
+    scored = rows = None
+    for number, (fraction, weight, with_real) in enumerate(mixes):
+        head = (F.lit(number).alias("mix"), F.lit(float(fraction)).alias("fraction"), F.lit(float(weight)).alias("weight"), F.lit(with_real).alias("include_real"))
+        for at, seed in enumerate(seeds):
+            train = training_data(df, key, split, fraction, weight, with_real, real, other, f"s{seed}")
+            part = score(fit_scorer(train, nominal, numeric, label, family, "weight", seed), valid).select(F.lit(number).alias("mix"), F.lit(seed).alias("seed"), key, label, "p")
+            scored = part if scored is None else scored.unionByName(part)
+            if not at:  # every seed takes as many rows
+                size = train.agg(*head, F.count("*").alias("train_rows"), F.count_if(F.col(split) == other).alias("synthetic_rows"))
+                rows = size if rows is None else rows.unionByName(size)
+    per = ranking_metrics(scored, label, "p", ["mix", "seed"]).groupBy("mix").agg(F.avg("pr_auc").alias("pr_auc_mean"), F.stddev_pop("pr_auc").alias("pr_auc_sd"))
+    mean = ranking_metrics(scored.groupBy("mix", key, label).agg(F.avg("p").alias("p")), label, "p", ["mix"]).select("mix", F.col("pr_auc").alias("pr_auc_seed_mean"))
+    table = rows.join(per, "mix").join(mean, "mix")
+    best = table.where("include_real").agg(F.max_by("mix", F.struct("pr_auc_mean", -F.col("mix"))).alias("_best"))  # one row
+    return table.join(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col("mix") == F.col("_best"), F.lit(False))).drop("_best")
+
+
 def utility_experiment(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[str, float, float, bool]], key: str, split: str, label: str, nominal, numeric, family: str = "logistic") -> DataFrame:
     """Metrics on real validation rows of a scorer trained on each mix ``(name, fraction, weight,
     include real)``."""
@@ -186,6 +242,22 @@ def utility_experiment(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[st
     return ranking_metrics(scored, label, "p", ["mix"])
 
 
+def utility_differences(scored: DataFrame, key: str, label: str, reference: str, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """PR-AUC of each ``mix`` less that of ``reference`` on the same resamples: ``by, mix, mean_diff, low, high``.
+
+    ``scored`` holds each ``mix`` with ``p`` for the same rows.  The resamples are drawn once and joined to every mix.
+    """
+    from .metrics import bootstrap_sample, ranking_metrics
+
+    own = scored.where(F.col("mix") == reference).select(*by, key, label)
+    drawn = bootstrap_sample(own, key, label, replicates, seed, by).select(key, "replicate", "weight")
+    group = [*by, "replicate"]
+    per = ranking_metrics(scored.select(*by, "mix", key, label, "p").join(drawn, key), label, "p", [*group, "mix"], "weight").select(*group, "mix", "pr_auc")
+    base = per.where(F.col("mix") == reference).select(*group, F.col("pr_auc").alias("_base"))
+    diff = per.where(F.col("mix") != reference).join(base, group).withColumn("d", F.col("pr_auc") - F.col("_base"))
+    return diff.groupBy(*by, "mix").agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
+
+
 def linear_contributions(df: DataFrame, key: str, features: Sequence[str], coefficients: Mapping[str, float], means: Mapping[str, float] | None = None) -> DataFrame:
     """``key, feature, contribution``: (x - mean) * coefficient; means of the table unless given."""
     if means is None:

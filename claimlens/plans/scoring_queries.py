@@ -206,6 +206,35 @@ def utility(spark, d):
     return model.utility_experiment(df, df.where("split = 'real_validation'"), mixes, "case_id", "split", "label", ["priority", "segment"], ["amount"])
 
 
+@query("h07_data_mix")
+def data_mix(spark, d):
+    df = A.cases(spark, d).withColumn("amount", F.col("amount").cast("double"))
+    mixes = [(0.0, 1.0, True), (1.0, 0.3, True), (1.0, 1.0, False)]
+    return model.data_mix(df, df.where("split = 'real_validation'"), mixes, "case_id", "split", "label", ["priority", "segment"], ["amount"], "logistic")
+
+
+@query("h13_importance")
+def adversarial_importance(spark, d):
+    df = A.cases(spark, d).withColumn("amount", F.col("amount").cast("double"))
+    return model.adversarial_importance(df, "case_id", "split", "real_train", "synthetic", ["priority", "segment"], ["amount"], 2)
+
+
+@query("h14_drop_top")
+def drop_top(spark, d):
+    df = A.cases(spark, d).withColumn("amount", F.col("amount").cast("double"))
+    return model.adversarial_drop_top(df, "case_id", "split", "real_train", "synthetic", ["priority", "segment"], ["amount"], ["amount"], 1, 2)
+
+
+@query("h16_utility_differences", f"""WITH {CASES}, {_DRAWS}, l AS (SELECT split, rep, 'score' AS mix, label, round(score, 2)::DOUBLE AS s FROM bs UNION ALL SELECT split, rep, 'lines', label, coalesce(n_lines, 0)::DOUBLE FROM bs),
+ d AS (SELECT split, rep, mix, s, count(*) AS n, sum(label) AS p FROM l GROUP BY 1, 2, 3, 4), c AS (SELECT *, sum(n) OVER w AS ng, sum(p) OVER w AS pg, sum(p) OVER (PARTITION BY split, rep, mix) AS pa FROM d WINDOW w AS (PARTITION BY split, rep, mix ORDER BY s DESC)),
+ z AS (SELECT split, rep, mix, sum(p::DOUBLE / pa * pg / ng) AS v FROM c GROUP BY 1, 2, 3) SELECT a.split, a.mix, round(avg(a.v - b.v), 6) AS mean_diff, round(quantile_cont(a.v - b.v, 0.025), 6) AS low, round(quantile_cont(a.v - b.v, 0.975), 6) AS high FROM z a JOIN z b USING (split, rep) WHERE a.mix = 'lines' AND b.mix = 'score' GROUP BY 1, 2""")
+def differences(spark, d):
+    c = A.cases(spark, d)
+    p = {"score": F.round("score", 2).cast("double"), "lines": F.coalesce("n_lines", F.lit(0)).cast("double")}
+    long = c.select("split", "case_id", "label", F.explode(F.array(*[F.struct(F.lit(m).alias("mix"), x.alias("p")) for m, x in p.items()])).alias("m")).select("split", "case_id", "label", "m.*")
+    return r6(model.utility_differences(long, "case_id", "label", "score", 20, by=["split"]))
+
+
 _COEF = {"amount": 0.00001, "lines": -0.2, "delay": 0.001}
 _CON = "x AS (SELECT case_id, amount::DOUBLE AS amount, coalesce(n_lines, 0)::DOUBLE AS lines, coalesce(date_diff('day', event_date, report_date), 0)::DOUBLE AS delay FROM cases), m AS (SELECT avg(amount) AS a, avg(lines) AS l, avg(delay) AS d FROM x), con AS (SELECT case_id, 'amount' AS label, (amount - a) * 0.00001 AS c FROM x, m UNION ALL SELECT case_id, 'timing', (lines - l) * -0.2 + (delay - d) * 0.001 FROM x, m)"
 
@@ -258,7 +287,21 @@ def max_matching_all(spark, d):
     return similar.max_matching(df.where("split = 'synthetic'"), df.where("split = 'real_train'"), "case_id", ["priority", "segment", "nation", "n_lines"])
 
 
-_MC = ["p_brand", "p_type", "p_size", "p_container"]
+_DCR = "SELECT q.case_id, min(((q.priority <> r.priority)::INT + (q.segment <> r.segment)::INT + abs(q.a - r.a)) / 3) AS dcr FROM s q, s r WHERE q.split = '{q}' AND r.split = 'real_train' GROUP BY 1"
+_PAIRINGS = ("synthetic", "real_validation")
+
+
+@query("f03_dcr_quantiles", f"WITH {CASES}, s AS (SELECT case_id, split, priority, segment, (amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()) AS a FROM cases), x AS ({' UNION ALL '.join(f'SELECT {chr(39)}{q}{chr(39)} AS pairing, dcr::DOUBLE AS dcr FROM (' + _DCR.format(q=q) + ')' for q in _PAIRINGS)}) SELECT pairing, {', '.join(f'round(quantile_cont(dcr, {q}), 6) AS p{round(100 * q)}' for q in (0.01, 0.05, 0.25, 0.5))}, round(avg((dcr = 0)::INT), 6) AS zero_share FROM x GROUP BY 1")
+def dcr_quantiles(spark, d):
+    df = similar.scaled(A.cases(spark, d), ["amount"])
+    parts = [similar.gower_dcr_grouped(df.where(F.col("split") == q), df.where("split = 'real_train'"), "case_id", ["priority", "segment"], "amount").withColumn("pairing", F.lit(q)) for q in _PAIRINGS]
+    return r6(similar.dcr_quantiles(parts[0].unionByName(parts[1]), ["pairing"]))
+
+
+@query("f04_matching_counts", "SELECT q.p_partkey, count(*) FILTER (q.p_partkey <> r.p_partkey AND (q.p_brand = r.p_brand)::INT + (q.p_type = r.p_type)::INT + (q.p_size = r.p_size)::INT >= 2) AS n FROM part q, part r GROUP BY 1")
+def matching_counts(spark, d):
+    p = A.read(spark, d, "part")
+    return similar.matching_counts(p, p, "p_partkey", ["p_brand", "p_type", "p_size"], 1)
 
 
 @query("f06_similar", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS u FROM v) SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_dot_product(q.u, r.u), 4) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u, r.u) DESC, r.vec_id) AS rank FROM n q JOIN n r ON q.vec_id <> r.vec_id AND q.label = r.label WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5")
@@ -274,6 +317,16 @@ def neighbours(spark, d):
     return similar.neighbour_summary(near, v, "vec_id", "y", 0.1)
 
 
+_NEAR10 = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), n AS (SELECT vec_id, label, vec_id % 3 AS third, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS u FROM v), t AS (SELECT q.vec_id AS query, q.label AS ql, q.third AS qt, r.label, r.third FROM n q JOIN n r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u, r.u) DESC, r.vec_id) <= 10)"
+
+
+@query("f08_differing_fields", f"WITH {_NEAR10}, l AS (SELECT query, 'label' AS field, ql::VARCHAR AS own, label::VARCHAR AS value FROM t UNION ALL SELECT query, 'third', qt::VARCHAR, third::VARCHAR FROM t), g AS (SELECT query, field, own, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY query, field) AS total FROM l GROUP BY 1, 2, 3, 4), m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query, field ORDER BY n DESC, value) = 1) SELECT query, field, own, value, n FROM m WHERE n >= floor((total + 1) / 2) AND value <> own")
+def differing(spark, d):
+    v = A.read(spark, d, "embeddings").withColumn("third", F.col("vec_id") % 3)
+    q = v.where("vec_id % 20 = 0")
+    return similar.differing_fields(similar.similar_claims(q, v, "vec_id", "embedding", 10), q, v, "vec_id", ["label", "third"])
+
+
 # --- policies and history ------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +26,20 @@ def append_once(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return fresh
 
 
-def stream_triage(spark: SparkSession, source: str, schema: T.StructType, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "PolicyNumber"):
+def stream_triage(spark: SparkSession, source: str, schema: T.StructType, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: str = "PolicyNumber", context: Sequence[tuple[DataFrame, Sequence[str]]] = ()):
     """JSON claims in ``source`` to recommendations in ``sink``: rules, flags and score are stateless
-    columns of the stream; each batch is appended once."""
+    columns of the stream; each batch is appended once.
+
+    ``context`` holds static tables (policy, history, neighbours) with the columns they are joined by; each has one row a
+    key at most, and a claim without one keeps nulls.
+    """
     stream = spark.readStream.schema(schema).json(source)
     checked = rules.run_rules(stream)
     rows = checked.withColumns({"blocking": rules.blocking_failures(checked), "warning_flags": F.size(F.filter(rules.fired_flags(), lambda f: f["severity"] == "warning")).cast("long")})
 
+    for table, by in context:
+        rows = rows.join(table, list(by), "left")
+
     def each(batch: DataFrame, _: int) -> None:
         append_once(triage.triage(score(batch), key), sink, [key])
 

@@ -1,6 +1,7 @@
 """Rules on one valid claim, changed one field at a time; ingestion, models, streams."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,62 @@ def test_percentiles_match_numpy(spark):
     for k, vs in groups.items():
         assert list(got[k])[1:] == pytest.approx(list(np.percentile(vs, [0, 10, 50, 97.5, 100])))
         assert many[k] == pytest.approx(list(np.percentile(vs, np.arange(41) * 2.5)))
+
+
+def test_core_does_not_import_the_training_operators():
+    from pathlib import Path
+
+    root = Path(similar.__file__).parents[1]
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert not re.search(r"^\s*(from|import) .*\bllm\b", path.read_text(), re.M), path
+
+
+def test_matching_counts_with_copies_and_nulls(spark):
+    rows = [(i, "ab"[i % 2], None if i % 7 == 0 else "xyz"[i % 3], i % 4) for i in range(40)] + [(100 + i, "a", "x", 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c int")
+    q = df.where("id % 5 <> 1")
+    for misses in (0, 1, 2):
+        want = {r[0]: sum(s[0] != r[0] and sum(x == y for x, y in zip(r[1:], s[1:])) >= 3 - misses for s in rows) for r in rows if r[0] % 5 != 1}
+        assert {r.id: r.n for r in similar.matching_counts(q, df, "id", ["a", "b", "c"], misses).collect()} == want
+    assert similar.matching_counts(q, df.limit(0), "id", ["a", "b", "c"], 1).agg(F.sum("n")).first()[0] == 0
+
+
+def test_dcr_quantiles_match_numpy(spark):
+    import numpy as np
+
+    values = [0.0, 0.0, 0.1, 0.25, 0.7, None]
+    got = similar.dcr_quantiles(spark.createDataFrame([(v,) for v in values], "dcr double")).first().asDict()
+    for q in (1, 5, 25, 50):
+        assert abs(got[f"p{q}"] - np.percentile([v for v in values if v is not None], q)) < 1e-12
+    assert abs(got["zero_share"] - 0.4) < 1e-12
+
+
+def test_drop_top_and_importances(spark):
+    rows = [(i, "r" if i % 2 else "s", "ab"[i // 2 % 2], float(i % 2) * 10 + i % 5, float(i * 37 % 11)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, split string, a string, x double, y double")
+    shares = {r.feature: r.share for r in model.adversarial_importance(df, "id", "split", "r", "s", ["a"], ["x", "y"], 2).collect()}
+    assert max(shares, key=shares.get) == "x" and abs(sum(shares.values()) - 1) < 1e-9
+    out = model.adversarial_drop_top(df, "id", "split", "r", "s", ["a"], ["x", "y"], ["x", "y", "a"], 3, 2).orderBy("step").collect()
+    assert [(r.step, r.dropped) for r in out] == [(1, "x"), (2, "y")] and out[0].auc_mean < 0.9
+
+
+def test_data_mix_and_early_stopping(spark):
+    rows = [(i, "real_train" if i % 3 else "synthetic", int(i % 4 == 0), float(i % 4 == 0) + (i * 37 % 10) / 8, "ab"[i % 2]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, split string, y int, x double, a string")
+    out = model.data_mix(df, df, [(0.0, 1.0, True), (0.5, 0.3, True), (1.0, 1.0, False)], "id", "split", "y", ["a"], ["x"], "logistic").orderBy("mix").collect()
+    assert [(r.train_rows, r.synthetic_rows) for r in out] == [(160, 0), (200, 40), (80, 80)]
+    assert sum(r.chosen for r in out) == 1 and not out[2].chosen and all(0 < r.pr_auc_mean <= 1 and r.pr_auc_sd >= 0 for r in out)
+    stopped = model.fit_scorer(df.withColumn("held", F.col("id") % 5 == 0), ["a"], ["x"], "y", "boosted", held="held").stages[-1]
+    assert 1 <= stopped.getNumTrees <= 20
+
+
+def test_stream_joins_static_tables(spark, tmp_path):
+    claims = tmp_path / "claims"
+    claims.mkdir()
+    (claims / "a.json").write_text("\n".join(json.dumps({**VALID, "PolicyNumber": i}) for i in range(4)))
+    policies = spark.createDataFrame([(1, "high"), (2, "low")], "PolicyNumber long, risk_band string")
+    score = lambda df: df.withColumn("fraud_probability", F.lit(0.1))
+    jobs.stream_triage(spark, str(claims), S.CLAIMS, score, str(tmp_path / "out"), str(tmp_path / "cp"), context=[(policies, ["PolicyNumber"])]).awaitTermination()
+    got = {r.PolicyNumber: (r.decision, r.flag_category) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE"), 1: ("FLAG_FOR_INVESTIGATION", "FRAUD_RISK"), 2: ("APPROVE", None), 3: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE")}
