@@ -94,6 +94,21 @@ def compare_modes(left: DataFrame, right: DataFrame, key: str, decision: str) ->
     return met.where(~F.col("before").eqNullSafe(F.col("after"))).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def changed_decisions(left: DataFrame, right: DataFrame, key: str, decision: str, category: str, checks: str, previous: str, other: str = "judgement") -> DataFrame:
+    """``key, before, after, category_before, category_after, cause`` of the keys whose decision or category differs between two modes.
+
+    The cause names the checks (a map of ``right``) that fail and the previous claims found; ``other`` where there
+    are neither.  A null category counts as none and a key that only one mode holds is left out.
+    """
+    was = left.select(key, F.col(decision).alias("before"), F.coalesce(category, F.lit("")).alias("category_before"))
+    now = right.select(key, F.col(decision).alias("after"), F.coalesce(category, F.lit("")).alias("category_after"), checks, previous)
+    met = was.join(now, key).where(~F.col("before").eqNullSafe(F.col("after")) | (F.col("category_before") != F.col("category_after")))
+    failed = F.array_sort(F.map_keys(F.map_filter(F.coalesce(checks, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda _, v: v == "FAIL")))
+    found = F.when(F.col(previous) > 0, F.array(F.concat(F.col(previous).cast("long").cast("string"), F.lit(" previous claims")))).otherwise(F.array().cast("array<string>"))
+    causes = F.concat(failed, found)
+    return met.select(key, "before", "after", "category_before", "category_after", F.when(F.size(causes) > 0, F.array_join(causes, ", ")).otherwise(other).alias("cause"))
+
+
 def mode_deltas(left: DataFrame, right: DataFrame, label: str, decision: str) -> DataFrame:
     """Recall, false-flag, approval and request rates under two modes, and right less left."""
     parts = left.select(label, F.lit("left").alias("mode"), decision).unionByName(right.select(label, F.lit("right").alias("mode"), decision))

@@ -558,6 +558,15 @@ def modes(spark, d):
     return evaluate.compare_modes(x.select("case_id", "decision"), x.select("case_id", F.col("model_only").alias("decision")), "case_id", "decision")
 
 
+@query("k10_changed", f"""WITH {CASES}, {_EV}, {_DEC}, {_LAGX}, {_CHECKS}, f AS (SELECT case_id, string_agg(check_id, ', ' ORDER BY check_id) FILTER (result = 'FAIL') AS failed FROM ck GROUP BY 1)
+ SELECT case_id, dec AS before, mo AS after, coalesce(cat, '') AS category_before, '' AS category_after, coalesce(nullif(concat_ws(', ', failed, CASE WHEN case_id % 5 > 0 THEN (case_id % 5)::VARCHAR || ' previous claims' END), ''), 'judgement') AS cause FROM dc LEFT JOIN f USING (case_id) WHERE dec IS DISTINCT FROM mo OR coalesce(cat, '') <> ''""")
+def changed(spark, d):
+    x = decide(spark, d)
+    m = _checks(spark, d).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("check_id", "result"))).alias("checks"))
+    on = x.select("case_id", F.col("model_only").alias("decision"), F.lit(None).cast("string").alias("category"), (F.col("case_id") % 5).alias("n_previous")).join(m, "case_id", "left")
+    return evaluate.changed_decisions(x, on, "case_id", "decision", "category", "checks", "n_previous")
+
+
 @query("k10_mode_deltas", f"WITH {CASES}, {_EV}, {_DEC}, l AS (SELECT 'l' AS m, dec AS x, label FROM dc UNION ALL SELECT 'r', mo, label FROM dc), c AS (SELECT 'recall' AS metric, m, avg((x = 'FLAG_FOR_INVESTIGATION')::INT) AS v FROM l WHERE label = 1 GROUP BY 2 UNION ALL SELECT 'false_flag_rate', m, avg((x = 'FLAG_FOR_INVESTIGATION')::INT) FROM l WHERE label = 0 GROUP BY 2 UNION ALL SELECT 'approve_rate', m, avg((x = 'APPROVE')::INT) FROM l GROUP BY 2 UNION ALL SELECT 'info_rate', m, avg((x = 'REQUEST_MORE_INFORMATION')::INT) FROM l GROUP BY 2) SELECT metric, round(max(v) FILTER (m = 'l'), 6) AS \"left\", round(max(v) FILTER (m = 'r'), 6) AS \"right\", round(max(v) FILTER (m = 'r') - max(v) FILTER (m = 'l'), 6) AS delta FROM c GROUP BY 1")
 def deltas(spark, d):
     x = decide(spark, d).join(A.cases(spark, d).select("case_id", "label"), "case_id")
