@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import discard, materialise
 
 SLOTS = 256  # 0: space, 1-26: a-z, the rest: other letters by code point
-MAX_LANGUAGES = 2_000
+MAX_LANGUAGES = 2_000  # prototypes that go to the tasks at once: 16 MB
 _COLUMNS = 4_096
 _SIZE = 512 << 10
 
@@ -108,18 +109,32 @@ def _profiler(n: int, dimensions: int):
     return run
 
 
-def language_prototypes(labelled: DataFrame, n: int = 3, dimensions: int = 1024) -> dict[str, np.ndarray]:
+def _unit(rows) -> dict[str, np.ndarray]:
+    """Unit vectors by name, in the order of the names."""
+    return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted((r[0], np.array(r[1])) for r in rows)}
+
+
+def language_prototypes(labelled: DataFrame, n: int = 3, dimensions: int = 1024, most: int = MAX_LANGUAGES) -> dict[str, np.ndarray] | DataFrame:
     """Unit prototype of each ``lang`` of ``labelled`` (columns ``text`` and ``lang``; rows
     with a null in either are skipped).  The sums are built per task and added in Spark;
-    the driver gets one vector per language, at most ``MAX_LANGUAGES``."""
+    the driver gets one vector per language.  If there are more than ``most`` languages, the prototypes stay a
+    written table (``lang``, ``v``), which ``predict_language`` works off in lots."""
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     summed = rows.mapInArrow(K.lean(_profiler(n, dimensions)), "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     vectors = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "total"))), lambda x: x["total"]).alias("v"))
-    found = vectors.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
-    got = {r[0]: np.array(r[1]) for r in found}
-    return {k: v / max(np.linalg.norm(v), 1e-12) for k, v in sorted(got.items())}
+    found = vectors.limit(most + 1).collect()
+    return _unit(found) if len(found) <= most else materialise(vectors, "prototypes")
+
+
+def _closest(texts: pa.Array, matrix: np.ndarray, n: int, dimensions: int):
+    """For each text the number and cosine of the closest row of ``matrix``, and its letters."""
+    vectors, letters = bundles(texts, n, dimensions)
+    norm = np.linalg.norm(vectors, axis=1)
+    if not len(matrix):
+        return np.zeros(len(norm), int), np.zeros(len(norm)), letters
+    cosine = np.round(vectors @ matrix.T / np.maximum(norm, 1e-12)[:, None], 12)
+    best = np.argmax(cosine, axis=1)
+    return best, cosine[np.arange(len(best)), best], letters
 
 
 def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int, count_letters: bool):
@@ -129,17 +144,10 @@ def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int, count
     def run(batches):
         for batch in batches:
             for part in K.slices(batch, size=_SIZE):
-                vectors, letters = bundles(part.column("text"), n, dimensions)
-                norm = np.linalg.norm(vectors, axis=1)
-                if names:
-                    cosine = np.round(vectors @ matrix.T / np.maximum(norm, 1e-12)[:, None], 12)
-                    best = np.argmax(cosine, axis=1)
-                    score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-                else:
-                    best, score = np.zeros(len(norm), int), np.zeros(len(norm))
+                best, cosine, letters = _closest(part.column("text"), matrix, n, dimensions)
                 blank = (letters == 0) | (not names)
-                lang = [None if b else names[i] for b, i in zip(blank, best)]
-                columns = [pa.array(["und" if x is None else x for x in lang], pa.string()), pa.array(np.where(blank, 0.0, score))]
+                lang = ["und" if b else names[i] for b, i in zip(blank, best)]
+                columns = [pa.array(lang, pa.string()), pa.array(np.where(blank, 0.0, np.clip(cosine, 0, 1)))]
                 kept = [part.column(i) for i in range(part.num_columns)]
                 names_ = [*part.schema.names, "lang_pred", "lang_score"]
                 if count_letters:
@@ -150,14 +158,50 @@ def _predictor(prototypes: dict[str, np.ndarray], n: int, dimensions: int, count
     return run
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, carry=("doc_id", "text"), count_letters: bool = False) -> DataFrame:
+def _better(lot: dict[str, np.ndarray], n: int, dimensions: int):
+    """The last three columns (name, cosine, letters) of each row, where the lot holds a closer prototype."""
+    names, matrix = list(lot), np.array(list(lot.values()))
+
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch, size=_SIZE):
+                best, cosine, letters = _closest(part.column("text"), matrix, n, dimensions)
+                before = zip(part.column(part.num_columns - 3).to_pylist(), part.column(part.num_columns - 2).to_pylist())
+                now = [min((-c, names[i]), (-d, name)) if name is not None else (-c, names[i]) for i, c, (name, d) in zip(best, cosine.tolist(), before)]
+                columns = [pa.array([x[1] for x in now], pa.string()), pa.array([-x[0] for x in now], pa.float64()), pa.array(letters, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], *columns], names=part.schema.names)
+
+    return run
+
+
+def _predict_in_lots(docs: DataFrame, prototypes: DataFrame, n: int, count_letters: bool, most: int) -> DataFrame:
+    """One pass over the documents for each lot of about ``most`` prototypes, written before the next lot is fetched."""
+    lots = -(-prototypes.count() * 11 // (most * 10))  # a tenth more lots: hashes do not deal evenly
+    now = docs.withColumns({"lang_pred": F.lit(None).cast("string"), "lang_score": F.lit(None).cast("double"), "n_letters": F.lit(0).cast("long")})
+    before = None
+    for i in range(lots):
+        lot = _unit(prototypes.where(F.pmod(F.xxhash64("lang"), F.lit(lots)) == i).collect())
+        if lot:
+            dimensions = len(next(iter(lot.values())))
+            now = materialise(now.mapInArrow(K.lean(_better(lot, n, dimensions)), now.schema), "closest")
+            discard(before)
+            before = now
+    blank = F.col("n_letters") == 0
+    found = [F.when(blank, "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(blank, 0.0).otherwise(F.greatest(F.least("lang_score", F.lit(1.0)), F.lit(0.0))).alias("lang_score")]
+    return now.select(*docs.columns, *found, *["n_letters"] * count_letters)
+
+
+def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray] | DataFrame, n: int = 3, carry=("doc_id", "text"), count_letters: bool = False, most: int = MAX_LANGUAGES) -> DataFrame:
     """The columns ``carry`` of ``docs`` with ``lang_pred`` and ``lang_score`` (cosine, 0 to 1), and ``n_letters``
-    where ``count_letters`` is set.
+    where ``count_letters`` is set.  A carried column of one of these names gives way to the new one.
 
     Only ``text`` decides.  ``und`` with score 0 where the text is null or has no letter,
-    or where nothing was learned.  Equal cosines go to the name that sorts first.
+    or where nothing was learned.  Equal cosines go to the name that sorts first.  A table of ``prototypes`` is worked
+    off in lots of about ``most``; the result is the same.
     """
+    docs = docs.select(*[c for c in carry if c not in ("lang_pred", "lang_score") and (c != "n_letters" or not count_letters)])
+    if isinstance(prototypes, DataFrame):
+        return _predict_in_lots(docs, prototypes, n, count_letters, most)
     dimensions = len(next(iter(prototypes.values()), np.zeros(1024)))
-    docs = docs.select(*carry)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(K.lean(_predictor(prototypes, n, dimensions, count_letters)), f"{kind}, lang_pred string, lang_score double" + ", n_letters long" * count_letters)

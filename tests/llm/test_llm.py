@@ -404,6 +404,20 @@ def test_languages(spark, sf_dir):
     assert langid.predict_language(spark.createDataFrame([(1, "abc")], EMPTY), {}).first().lang_pred == "und"
 
 
+def test_languages_in_lots(spark, sf_dir):
+    """More languages than go to the tasks at once: the same result, ties and blanks included."""
+    docs = queries.read(spark, sf_dir, "documents")
+    train = docs.select("text", "lang")
+    train = train.union(train.where("lang = 'en'").withColumn("lang", F.lit("aa"))).union(train.where("lang = 'de'").withColumn("lang", F.lit("zz")))
+    rows = docs.select("doc_id", "text").limit(60).union(spark.createDataFrame([(-1, None), (-2, "12 .."), (None, "x"), (None, "x")], EMPTY))
+    rows = rows.withColumns({"lang_pred": F.lit(1), "n_letters": F.lit("q")})
+    one, lots = langid.language_prototypes(train), langid.language_prototypes(train, most=2)
+    assert isinstance(one, dict) and len(one) == lots.count() > 4
+    get = lambda p: sorted(map(str, langid.predict_language(rows, p, carry=rows.columns, count_letters=True, most=2).collect()))
+    assert get(lots) == get(one) and any("'aa'" in r for r in get(one)) and not any("'zz'" in r for r in get(one))
+    assert langid.predict_language(rows.where("false"), lots, most=2).count() == 0
+
+
 def brute_languages(train, texts, dimensions=1024):
     """Language and cosine of each text, gram by gram."""
     L = langid.letter_vectors(dimensions).astype(float)
