@@ -262,19 +262,19 @@ def local_examples(spark, d):
 # --- similarity ----------------------------------------------------------------------------
 
 
-@query("f02_gower", f"WITH {CASES}, s AS (SELECT case_id, split, priority, segment, (amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()) AS a FROM cases) SELECT q.case_id, round(min(((q.priority <> r.priority)::INT + (q.segment <> r.segment)::INT + abs(q.a - r.a)) / 3), 6) AS dcr FROM s q, s r WHERE q.split = 'synthetic' AND q.case_id % 20 = 5 AND r.split = 'real_train' GROUP BY 1")
+@query("f02_gower", f"WITH {CASES}, s AS (SELECT case_id, split, priority, segment, (amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()) AS a FROM cases) SELECT q.case_id, round(min(((q.priority <> r.priority)::INT + (q.segment <> r.segment)::INT + abs(q.a - r.a)) / 3), 6) AS dcr FROM s q, s r WHERE q.case_id % 20 = 0 AND r.split = 'synthetic' GROUP BY 1")
 def gower(spark, d):
     df = similar.scaled(A.cases(spark, d), ["amount"])
-    return r6(similar.gower_dcr(df.where("split = 'synthetic' and case_id % 20 = 5"), df.where("split = 'real_train'"), "case_id", ["priority", "segment"], ["amount"]))
+    return r6(similar.gower_dcr(df.where("case_id % 20 = 0"), df.where("split = 'synthetic'"), "case_id", ["priority", "segment"], ["amount"]))
 
 
-@query("f04_max_matching", f"WITH {CASES} SELECT q.case_id, max((q.priority = r.priority)::INT + (q.segment = r.segment)::INT + (q.nation = r.nation)::INT + (q.n_lines IS NOT DISTINCT FROM r.n_lines)::INT) AS most FROM cases q, cases r WHERE q.split = 'synthetic' AND q.case_id % 20 = 5 AND r.split = 'real_train' GROUP BY 1")
+@query("f04_max_matching", f"WITH {CASES} SELECT q.case_id, max((q.priority = r.priority)::INT + (q.segment = r.segment)::INT + (q.nation = r.nation)::INT + (q.n_lines IS NOT DISTINCT FROM r.n_lines)::INT) AS most FROM cases q, cases r WHERE q.case_id % 20 = 0 AND r.split = 'synthetic' GROUP BY 1")
 def max_matching(spark, d):
     df = A.cases(spark, d)
-    return similar.max_matching(df.where("split = 'synthetic' and case_id % 20 = 5"), df.where("split = 'real_train'"), "case_id", ["priority", "segment", "nation", "n_lines"])
+    return similar.max_matching(df.where("case_id % 20 = 0"), df.where("split = 'synthetic'"), "case_id", ["priority", "segment", "nation", "n_lines"])
 
 
-# for every synthetic row; the two above keep the sample of queries that their SQL states
+# the two above search for the ids divisible by 20 (all real) among all synthetic rows, these for every synthetic row among the real ones
 @query("f02_gower_all", f"WITH {CASES}, s AS (SELECT case_id, split, priority, segment, (amount - min(amount) OVER ()) / (max(amount) OVER () - min(amount) OVER ()) AS a FROM cases) SELECT q.case_id, round(min(((q.priority <> r.priority)::INT + (q.segment <> r.segment)::INT + abs(q.a - r.a)) / 3), 6) AS dcr FROM s q, s r WHERE q.split = 'synthetic' AND r.split = 'real_train' GROUP BY 1")
 def gower_all(spark, d):
     df = similar.scaled(A.cases(spark, d), ["amount"])
