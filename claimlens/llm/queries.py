@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, jaccard, langid, licenses, passages, pieces, quality, suffix, urls
+from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, passages, pieces, quality, suffix, urls
 
 
 def default_model() -> str:
@@ -71,9 +71,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup)}
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.lloyd(read(spark, sf_dir, "embeddings"))
 
-ORACLES = {"op3_license_scan": licenses.oracle()}
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup, op13_centroid_clustering)}
+
+ORACLES = {"op3_license_scan": licenses.oracle(), "op13_centroid_clustering": clusters.oracle()}
 
 ORACLES["op2_embedding_dedup"] = """
 WITH RECURSIVE v AS (
