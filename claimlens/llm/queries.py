@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, passages, pieces, quality, suffix, urls
+from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, packing, passages, pieces, quality, suffix, urls
 
 
 def default_model() -> str:
@@ -15,6 +15,13 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def default_tokenizer() -> str:
+    """Path of the public tokenizer file with word ends (an installed package gives it)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,11 +78,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_substrings(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.lloyd(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup, op11_best_fit_packing, op13_centroid_clustering)}
 
 ORACLES = {"op3_license_scan": licenses.oracle(), "op13_centroid_clustering": clusters.oracle()}
 
