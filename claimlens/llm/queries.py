@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, packing, passages, pieces, quality, suffix, urls
+from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, packing, passages, phrases, pieces, quality, suffix, urls
 
 
 def default_model() -> str:
@@ -82,13 +82,17 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.lloyd(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup, op11_best_fit_packing, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_embedding_dedup, op3_license_scan, op4_url_filter, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_decontaminate, op9_sentencepiece, op10_suffix_dedup, op11_best_fit_packing, op12_phrase_mining, op13_centroid_clustering)}
 
-ORACLES = {"op3_license_scan": licenses.oracle(), "op13_centroid_clustering": clusters.oracle()}
+ORACLES = {"op3_license_scan": licenses.oracle(), "op13_centroid_clustering": clusters.oracle(), "op12_phrase_mining": phrases.ORACLE}
 
 ORACLES["op2_embedding_dedup"] = """
 WITH RECURSIVE v AS (
