@@ -123,6 +123,34 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(ok, F.greatest(F.lit(0.0), centre - half)), F.when(ok, F.least(F.lit(1.0), centre + half))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: moved up by eight, then Stirling's series (13 digits)."""
+    up = x + 8.0
+    risen = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda acc, i: acc + F.ln(x + i))
+    tail, power = F.lit(0.0), 1 / up
+    for divisor in (12.0, -360.0, 1260.0, -1680.0, 1188.0):  # of 1/up, 1/up^3, ..
+        tail, power = tail + power / divisor, power / (up * up)
+    return (up - 0.5) * F.ln(up) - up + 0.5 * F.ln(2 * F.pi()) + tail - risen
+
+
+def chi2_survival(chi2: Column, dof: Column) -> Column:
+    """P(X >= chi2) of the chi-square distribution, the regularised upper incomplete gamma function of dof/2 and chi2/2.
+
+    Below dof/2 + 1 one less its series, above it its continued fraction (from the back), each with as many steps as
+    either needs near the middle.  1 without degrees of freedom or for chi2 <= 0; null for nulls.
+    """
+    a, z = dof.cast("double") / 2, F.greatest(chi2.cast("double"), F.lit(0.0)) / 2
+    steps = (60 + 14 * F.sqrt(a)).cast("int")
+    front = F.exp(a * F.ln(z) - z - log_gamma(a))
+    grow = lambda s, n: F.struct((s["term"] * z / (a + n)).alias("term"), (s["total"] + s["term"] * z / (a + n)).alias("total"))
+    start = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), steps), start, grow, lambda s: s["total"])
+    back = F.aggregate(F.sequence(steps, F.lit(1)), F.lit(0.0), lambda tail, n: n * (n - a) / (z + 2 * n + 1 - a - tail))
+    upper = F.when(z < a + 1, 1 - front * series).otherwise(front / (z + 1 - a - back))
+    known = chi2.isNotNull() & dof.isNotNull()
+    return F.when(known & ((dof <= 0) | (chi2 <= 0)), 1.0).when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), upper)))
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

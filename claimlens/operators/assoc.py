@@ -41,7 +41,7 @@ def _margins(counts: DataFrame) -> DataFrame:
 
 
 def association_ranking(df: DataFrame, columns: Sequence[str], target: str, smoothing: float = 0.5) -> DataFrame:
-    """Per column: levels, chi2 (no correction), dof, Cramer's V, information value and its band.
+    """Per column: levels, chi2 (no correction), dof, its p-value, Cramer's V, information value and its band.
 
     chi2 = n * (sum o^2 / (r c) - 1) needs no cells of zero; V is 0 below two levels.
     """
@@ -57,7 +57,8 @@ def association_ranking(df: DataFrame, columns: Sequence[str], target: str, smoo
     small = F.least(F.col("levels"), F.col("classes")) - 1
     v = F.when(small > 0, F.sqrt(F.greatest(F.col("phi2"), F.lit(0.0)) / small)).otherwise(0.0)
     band = F.when(F.col("iv") <= 0.02, "negligible").when(F.col("iv") <= 0.1, "weak").when(F.col("iv") <= 0.3, "medium").when(F.col("iv") <= 0.5, "strong").otherwise("very strong")
-    return out.select("column", "levels", (F.greatest(F.col("phi2"), F.lit(0.0)) * F.col("n")).alias("chi2"), ((F.col("levels") - 1) * (F.col("classes") - 1)).alias("dof"), v.alias("cramers_v"), "iv", band.alias("strength"))
+    chi2, dof = F.greatest(F.col("phi2"), F.lit(0.0)) * F.col("n"), (F.col("levels") - 1) * (F.col("classes") - 1)
+    return out.select("column", "levels", chi2.alias("chi2"), dof.alias("dof"), C.chi2_survival(chi2, dof).alias("p_value"), v.alias("cramers_v"), "iv", band.alias("strength"))
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -119,7 +120,7 @@ def functional_dependency(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def tvd_and_chi2(df: DataFrame, columns: Sequence[str], split: str, left: str, right: str) -> DataFrame:
-    """Per column: distance and chi2 of two splits as a two-row table, with its dof."""
+    """Per column: distance and chi2 of two splits as a two-row table, with its dof and p-value."""
     long = unpivot(df.where(F.col(split).isin(left, right)), columns, [split], kind="string").where("value is not null")
     wide = long.groupBy("column", "value").agg(F.count_if(F.col(split) == left).alias("l"), F.count_if(F.col(split) == right).alias("r"))
     sums = wide.groupBy("column").agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"))
@@ -127,7 +128,8 @@ def tvd_and_chi2(df: DataFrame, columns: Sequence[str], split: str, left: str, r
     l, r, tl, tr = (F.col(c).cast("double") for c in ("l", "r", "tl", "tr"))
     cell = lambda o, t: o * o / ((l + r) * t)
     out = m.groupBy("column").agg((0.5 * F.sum(F.abs(l / tl - r / tr))).alias("tvd"), ((F.sum(cell(l, tl) + cell(r, tr)) - 1) * F.max(tl + tr)).alias("chi2"), (F.count("*") - 1).alias("dof"))
-    return out.withColumn("chi2", F.greatest("chi2", F.lit(0.0)))
+    out = out.withColumn("chi2", F.greatest("chi2", F.lit(0.0)))
+    return out.withColumn("p_value", C.chi2_survival(F.col("chi2"), F.col("dof")))
 
 
 def rate_agreement(df: DataFrame, columns: Sequence[str], split: str, left: str, right: str, target: str, min_n: int = 30) -> DataFrame:

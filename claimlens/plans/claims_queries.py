@@ -311,7 +311,13 @@ def rates_by_origin(spark, d):
 _CONT = f"l AS ({long(CATS, ['label'])}), o AS (SELECT \"column\" AS c, value AS v, label AS y, count(*) AS n FROM l GROUP BY 1, 2, 3), r AS (SELECT c, v, sum(n) AS r FROM o GROUP BY 1, 2), q AS (SELECT c, y, sum(n) AS q FROM o GROUP BY 1, 2), t AS (SELECT c, sum(n) AS t, count(DISTINCT v) AS k, count(DISTINCT y) AS m FROM o GROUP BY 1), x AS (SELECT o.c, o.v, o.y, n::DOUBLE AS n, r::DOUBLE AS r, q::DOUBLE AS q, t::DOUBLE AS t, k, m FROM o JOIN r ON r.c = o.c AND r.v = o.v JOIN q ON q.c = o.c AND q.y = o.y JOIN t ON t.c = o.c)"
 
 
-@query("e06_association", f"WITH {CASES}, {_CONT}, chi AS (SELECT c, any_value(k) AS k, any_value(m) AS m, greatest(sum(n * n / (r * q)) - 1, 0) AS phi, any_value(t) AS t FROM x GROUP BY c), w AS (SELECT c, v, sum(n) FILTER (y = 1) AS a, sum(n) FILTER (y = 0) AS b FROM o GROUP BY 1, 2), s AS (SELECT c, sum(a) AS ta, sum(b) AS tb, count(*) AS k FROM w GROUP BY 1), iv AS (SELECT w.c, sum(((a + .5) / (ta + .5 * k) - (b + .5) / (tb + .5 * k)) * ln(((a + .5) / (ta + .5 * k))::DOUBLE / ((b + .5) / (tb + .5 * k))))::DOUBLE AS iv FROM w JOIN s ON s.c = w.c GROUP BY 1) SELECT chi.c AS \"column\", k AS levels, round(phi * t, 6) AS chi2, (k - 1) * (m - 1) AS dof, round(sqrt(phi / least(k - 1, m - 1)), 6) AS cramers_v, round(iv, 6) AS iv, CASE WHEN iv <= 0.02 THEN 'negligible' WHEN iv <= 0.1 THEN 'weak' ELSE 'more' END AS strength FROM chi JOIN iv ON iv.c = chi.c")
+def p_value(chi2: str, dof: str) -> str:
+    """Chi-square survival as one less the sum of a power series, each term by its logarithm."""
+    a, z = f"({dof} / 2.0::DOUBLE)", f"(({chi2})::DOUBLE / 2)"
+    return f"CASE WHEN {dof} = 0 OR {chi2} <= 0 THEN 1.0::DOUBLE ELSE greatest(0.0, 1 - list_sum([exp(({a} + i) * ln({z}) - {z} - lgamma({a} + i + 1)) FOR i IN range(0, ({z} + 20 * sqrt({z} + {a}) + 200)::BIGINT)])) END"
+
+
+@query("e06_association", f"WITH {CASES}, {_CONT}, chi AS (SELECT c, any_value(k) AS k, any_value(m) AS m, greatest(sum(n * n / (r * q)) - 1, 0) AS phi, any_value(t) AS t FROM x GROUP BY c), w AS (SELECT c, v, sum(n) FILTER (y = 1) AS a, sum(n) FILTER (y = 0) AS b FROM o GROUP BY 1, 2), s AS (SELECT c, sum(a) AS ta, sum(b) AS tb, count(*) AS k FROM w GROUP BY 1), iv AS (SELECT w.c, sum(((a + .5) / (ta + .5 * k) - (b + .5) / (tb + .5 * k)) * ln(((a + .5) / (ta + .5 * k))::DOUBLE / ((b + .5) / (tb + .5 * k))))::DOUBLE AS iv FROM w JOIN s ON s.c = w.c GROUP BY 1) SELECT chi.c AS \"column\", k AS levels, round(phi * t, 6) AS chi2, (k - 1) * (m - 1) AS dof, round({p_value('phi * t', '((k - 1) * (m - 1))')}, 6) AS p_value, round(sqrt(phi / least(k - 1, m - 1)), 6) AS cramers_v, round(iv, 6) AS iv, CASE WHEN iv <= 0.02 THEN 'negligible' WHEN iv <= 0.1 THEN 'weak' ELSE 'more' END AS strength FROM chi JOIN iv ON iv.c = chi.c")
 def association(spark, d):
     return r6(assoc.association_ranking(A.cases(spark, d), CATS, "label"))
 
@@ -341,7 +347,7 @@ def dependency(spark, d):
     return assoc.functional_dependency(A.read(spark, d, "customer"), "c_custkey", "c_nationkey")
 
 
-@query("e12_tvd_chi2", f"WITH {CASES}, l AS ({long(CATS, ['split'])}), w AS (SELECT \"column\" AS c, value, (count(*) FILTER (split = 'real_train'))::DOUBLE AS l, (count(*) FILTER (split = 'synthetic'))::DOUBLE AS r FROM l WHERE split IN ('real_train', 'synthetic') GROUP BY 1, 2), s AS (SELECT c, sum(l) AS tl, sum(r) AS tr FROM w GROUP BY 1) SELECT w.c AS \"column\", round(0.5 * sum(abs(l / tl - r / tr)), 6) AS tvd, round((sum(l * l / ((l + r) * tl) + r * r / ((l + r) * tr)) - 1) * any_value(tl + tr), 6) AS chi2, count(*) - 1 AS dof FROM w JOIN s ON s.c = w.c GROUP BY 1")
+@query("e12_tvd_chi2", f"WITH {CASES}, l AS ({long(CATS, ['split'])}), w AS (SELECT \"column\" AS c, value, (count(*) FILTER (split = 'real_train'))::DOUBLE AS l, (count(*) FILTER (split = 'synthetic'))::DOUBLE AS r FROM l WHERE split IN ('real_train', 'synthetic') GROUP BY 1, 2), s AS (SELECT c, sum(l) AS tl, sum(r) AS tr FROM w GROUP BY 1), z AS (SELECT w.c AS \"column\", 0.5 * sum(abs(l / tl - r / tr)) AS tvd, (sum(l * l / ((l + r) * tl) + r * r / ((l + r) * tr)) - 1) * any_value(tl + tr) AS chi2, count(*) - 1 AS dof FROM w JOIN s ON s.c = w.c GROUP BY 1) SELECT \"column\", round(tvd, 6) AS tvd, round(chi2, 6) AS chi2, dof, round({p_value('chi2', 'dof')}, 6) AS p_value FROM z")
 def tvd_chi2(spark, d):
     return r6(assoc.tvd_and_chi2(A.cases(spark, d), CATS, "split", "real_train", "synthetic"))
 

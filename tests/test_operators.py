@@ -306,3 +306,27 @@ def test_stream_joins_static_tables(spark, tmp_path):
     jobs.stream_triage(spark, str(claims), S.CLAIMS, score, str(tmp_path / "out"), str(tmp_path / "cp"), context=[(policies, ["PolicyNumber"])]).awaitTermination()
     got = {r.PolicyNumber: (r.decision, r.flag_category) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE"), 1: ("FLAG_FOR_INVESTIGATION", "FRAUD_RISK"), 2: ("APPROVE", None), 3: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE")}
+
+
+def test_chi2_survival_equals_known_values(spark, duck):
+    """Closed forms (dof 2 and 4), tabulated points, and a power series in SQL, to 1e-9."""
+    import math
+
+    from claimlens.functions.columns import chi2_survival
+    from claimlens.plans.claims_queries import p_value
+
+    grid = [(x, k) for k in (1, 2, 3, 4, 7, 30, 301, 10_000) for x in (0.0, 1e-8, 0.3, 1.0, 5.0, k - 0.5, k + 0.0, k + 1.0, 1.3 * k + 5, 3.0 * k)]
+    df = spark.createDataFrame([(float(x), k) for x, k in grid], "x double, k long")
+    found = {(r.x, r.k): r.p for r in df.withColumn("p", chi2_survival(F.col("x"), F.col("k"))).collect()}
+    for (x, k), p in found.items():
+        expected = duck.sql(f"SELECT {p_value(f'{x!r}::DOUBLE', k)}").fetchall()[0][0]
+        assert abs(p - expected) < 1e-9, (x, k, p, expected)
+        if k == 2:
+            assert abs(p - math.exp(-x / 2)) < 1e-12
+        if k == 4:
+            assert abs(p - math.exp(-x / 2) * (1 + x / 2)) < 1e-12
+        if k == 1:
+            assert abs(p - math.erfc(math.sqrt(x / 2))) < 1e-11
+    edge = spark.createDataFrame([(0.0, 0, 1.0), (3.0, 0, 1.0), (-1e-12, 5, 1.0), (None, 3, None), (2.0, None, None), (1e6, 4, 0.0), (11.070497693516351, 5, 0.05)], "x double, k long, e double")
+    for r in edge.withColumn("p", chi2_survival(F.col("x"), F.col("k"))).collect():
+        assert r.p == r.e or abs(r.p - r.e) < 1e-9
