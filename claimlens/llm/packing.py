@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents become token ids (each distinct word of a slice is encoded once), and only longer ones are cut.  The pieces are
+Documents become token ids (a task encodes each distinct word once), and only longer ones are cut.  The pieces are
 dealt out by hash to leaves, so each leaf has a fair sample of all lengths, and every leaf packs its own pieces best fit,
 longest first.  Nearly full bins are done.  The others go up a tree as items of their own: each node packs the
 underfull bins of its children best fit once more, until one root is left.
@@ -27,6 +27,7 @@ from . import kernels as K
 from .shared import discard, materialise
 
 SLICE, LEAF, FAN = 8 << 20, 1 << 15, 16
+PLAIN, MARK = K.lut([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]), K.lut(b".,;:!?")
 _PLACED = pa.schema([("row", pa.int64()), ("leaf", pa.int64()), ("fill", pa.int32()), ("number", pa.int64()), ("at", pa.int32())])
 _STEP = pa.schema([("child", pa.int64()), ("fill", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("node", pa.int64()), ("new_fill", pa.int32()), ("new_low", pa.int64()), ("shift", pa.int32())])
 
@@ -40,49 +41,69 @@ def _tokenizer(path: str):
     return found
 
 
-def word_ids(path: str, words: list[str], lot: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words back to back, and how many each has.  Words go to the tokenizer in lots, one on a line."""
-    ids, many = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    lots = [words[i : i + lot] for i in range(0, len(words), lot)]
-    for at in range(0, len(lots), 256):
-        for own, found in zip(lots[at : at + 256], _tokenizer(path).encode_batch(["\n".join(w) for w in lots[at : at + 256]], add_special_tokens=False)):
-            end = np.cumsum([len(w) + 1 for w in own])
-            first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ids.append(np.array(found.ids, np.uint32))
-            many.append(np.bincount(np.searchsorted(end, first, "right"), minlength=len(own)))
-    return np.concatenate(ids), np.concatenate(many)
-
-
-def token_ids(path: str, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
+class Words:
+    """Ids of the words that a task has met; begun anew once it has met very many."""
+
+    def __init__(self, path: str, most: int = 400_000):
+        self.path, self.most, self.known = path, most, {}
+        self.ids, self.start, self.many = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def codes(self, words: list[str], lot: int = 256) -> np.ndarray:
+        """For each of these different words its place in ``start`` and ``many``."""
+        if len(self.known) > self.most:
+            self.__init__(self.path, self.most)
+        fresh = [w for w in words if w not in self.known]
+        ids, many = [self.ids], [self.many]
+        lots = [fresh[i : i + lot] for i in range(0, len(fresh), lot)]  # words go to the tokenizer one on a line
+        for at in range(0, len(lots), 64):
+            for own, found in zip(lots[at : at + 64], _tokenizer(self.path).encode_batch(["\n".join(w) for w in lots[at : at + 64]], add_special_tokens=False)):
+                end = np.cumsum([len(w) + 1 for w in own])
+                first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+                ids.append(np.array(found.ids, np.uint32))
+                many.append(np.bincount(np.searchsorted(end, first, "right"), minlength=len(own)))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.ids, self.many = np.concatenate(ids), np.concatenate(many)
+        self.start = np.cumsum(self.many) - self.many
+        return np.array([self.known[w] for w in words], np.int64)
+
+
+def token_ids(words: Words, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts back to back, ``end`` after each, and the offset of each text.
 
-    White space never lies within a token nor changes what stands beside it, so a text's ids are those of its words.
+    White space never lies within a token nor changes what stands beside it, nor does the border between an ASCII letter or
+    digit and one of ``.,;:!?``; so a text's ids are those of its words.  The case of ASCII letters counts for nothing in words without other letters
+    (beside a combining mark it may).
     """
     data, off = K.flat(texts)
-    start, stop, first = K.words(data, off, K.SPACE)
+    plain, mark = PLAIN[data], MARK[data]
+    cuts = np.union1d(off, np.flatnonzero((plain[:-1] & mark[1:]) | (mark[:-1] & plain[1:])) + 1)
+    start, stop, first = K.words(data, cuts, K.SPACE)
+    first = first[np.searchsorted(cuts, off)]
     size = stop - start
     border = np.concatenate(([0], np.cumsum(size)))
-    letters = data[K.ranges(start, size)]
-    words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(border.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
-    ids, many = word_ids(path, words.dictionary.to_pylist())
-    code = words.indices.to_numpy(zero_copy_only=False)
-    count = many[code]
+    letters = data[~K.SPACE[data]]
+    if len(start):
+        ascii_only = np.maximum.reduceat(letters, border[:-1]) < 0x80
+        letters = np.where(np.repeat(ascii_only, size), K.LOWER[letters], letters)
+    coded = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(border), pa.py_buffer(letters)]).dictionary_encode()
+    code = words.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    count = words.many[code]
     total = np.concatenate(([0], np.cumsum(count)))[first]
     total = total + np.arange(len(total))  # an end after each text
     out = np.full(total[-1], end, np.uint32)
     kept = np.ones(len(out), bool)
     kept[total[1:] - 1] = False
-    out[kept] = ids[K.ranges((np.cumsum(many) - many)[code], count)]
+    out[kept] = words.ids[K.ranges(words.start[code], count)]
     return out, total
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     @K.lean
     def run(batches):
-        row = TaskContext.get().partitionId() << 33
+        row, words = TaskContext.get().partitionId() << 33, Words(path)
         for batch in batches:
             for part in K.slices(batch, size=SLICE):
-                ids, off = token_ids(path, part.column("text"))
+                ids, off = token_ids(words, part.column("text"))
                 many = -(-np.diff(off) // capacity)
                 doc = np.repeat(np.arange(part.num_rows), many)
                 piece = K.ranges(np.zeros(len(many), np.int64), many)

@@ -69,9 +69,13 @@ def test_ids_are_those_of_whole_texts(sf_dir):
 
     hard = [None, "", " \n", "word", "ä́ ̈x", "A B C\x85D\x1cE", "it's IT'S 'S 's", "<|endoftext|> <|startoftext|>x", "12 345", "日本語 のテキスト", "👍🏽👍 é", "İstanbul ΣΑΣ", "\x00 \x01a", "-- -- --a--", "x" * 5000]
     given = hard + texts(100) + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
-    ids, off = packing.token_ids(PATH, pa.array(given, pa.string()))
-    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == whole_ids(given)
-    assert packing.token_ids(PATH, pa.array([], pa.string()))[0].tolist() == []
+    rng = random.Random(8)
+    given += ["".join(rng.choice("aJjTsK09.,;:!?'-| \u0301\u030c\u0307\u0331éİ日\n)") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    words = packing.Words(PATH, 1500)
+    for again in range(3):  # with an empty memory of words, a full one, and one that begins anew
+        ids, off = packing.token_ids(words, pa.array(given, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == whole_ids(given)
+    assert packing.token_ids(words, pa.array([], pa.string()))[0].tolist() == []
 
 
 @pytest.mark.parametrize("seed", range(4))
