@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -192,21 +192,49 @@ def clause_report(checks: DataFrame, labels: DataFrame, claim_key: str, label: s
     return met.groupBy("check_id").agg(F.count_if(F.col("result") == "PASS").alias("n_pass"), F.count_if(fail).alias("n_fail"), F.count_if(F.col("result") == "UNKNOWN").alias("n_unknown"), (100 * F.avg(fail.cast("double"))).alias("fail_pct"), F.avg(F.when(fail, F.col(label))).alias("fail_rate"))
 
 
-def claim_history(claims: DataFrame, history: DataFrame | None, key: str, entity: str, on_date: str, hist_key: str, hist_date: str, years: float = 3.0) -> DataFrame:
+def claim_history(claims: DataFrame, history: DataFrame | None, key: str, entity: str, on_date: str, hist_key: str, hist_date: str, years: float = 3.0, listed: bool = True, chunk: int = 256) -> DataFrame:
     """Earlier claims of the same entity in ``[date - int(365.25 * years) days, date)``, the claim
     itself left out: ``n_previous, previous`` (ids in date order) and ``status``.  Without a source or
-    a key the history is unavailable, which is not an empty one."""
-    base = claims.select(key, entity, on_date)
+    a key the history is unavailable, which is not an empty one.
+
+    No pairs of claims are formed.  Earlier claims are counted by day, and the running count of an entity (one row a day, so no more than
+    the calendar has) gives the places at which a claim's window begins and ends in the entity's list.  The list lies in chunks of
+    ``chunk`` ids, and a day with claims fetches the chunks of its own window only.  Without ``listed`` just the count is made.
+    """
+    base = claims.select(key, entity, on_date).distinct()
+    none = F.lit(None).cast("string")
     if history is None:
-        return base.select(key, F.lit(None).cast("long").alias("n_previous"), F.lit(None).cast("string").alias("previous"), F.lit("unavailable").alias("status"))
+        return base.select(key, F.lit(None).cast("long").alias("n_previous"), none.alias("previous"), F.lit("unavailable").alias("status"))
     days = int(365.25 * years)
-    h = history.select(F.col(entity).alias("_e"), F.col(hist_key).alias("_k"), F.col(hist_date).alias("_d"))
-    inside = (F.col(entity) == F.col("_e")) & (F.col("_d") >= F.date_sub(F.col(on_date), days)) & (F.col("_d") < F.col(on_date)) & (F.col(key) != F.col("_k"))
-    met = base.join(h, inside, "left")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_d", "_k")))), lambda x: x["_k"].cast("string")), ",")
+    h = history.select(F.col(entity).alias("_e"), F.col(hist_key).alias("_k"), F.to_date(hist_date).alias("_d")).where("_e is not null and _k is not null and _d is not null")
+    per_day = h.groupBy("_e", "_d").agg(F.count("*").alias("_n"))
+    points = base.select(F.col(entity).alias("_e"), F.to_date(on_date).alias("_to")).where("_e is not null and _to is not null").distinct()
+    marks = points.select("_e", F.col("_to").alias("_d")).union(points.select("_e", F.date_sub("_to", days)))
+    line = per_day.union(marks.withColumn("_n", F.lit(0).cast("long"))).groupBy("_e", "_d").agg(F.sum("_n").alias("_n"))
+    sofar = Window.partitionBy("_e").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    line = line.select("_e", "_d", F.coalesce(F.sum("_n").over(sofar), F.lit(0)).alias("_before"))
+    at = lambda day, name: line.select("_e", F.col("_d").alias(day), F.col("_before").alias(name))
+    spans = points.withColumn("_from", F.date_sub("_to", days)).join(at("_from", "_low"), ["_e", "_from"]).join(at("_to", "_high"), ["_e", "_to"]).select("_e", "_to", "_low", "_high")
     known = F.col(entity).isNotNull() & F.col(on_date).isNotNull()
-    out = met.groupBy(key, entity, on_date).agg(F.count("_k").alias("n"), listed.alias("l"))
-    return out.select(key, F.when(known, F.col("n")).alias("n_previous"), F.when(known, F.col("l")).alias("previous"), F.when(known, "available").otherwise("unavailable").alias("status"))
+    status = F.when(known, "available").otherwise("unavailable").alias("status")
+    met = lambda table: base.join(table, (F.col(entity) == F.col("_e")) & (F.to_date(on_date) == F.col("_to")), "left").drop("_e", "_to")
+    if not listed:
+        own = h.withColumnRenamed("_k", "_own").groupBy("_own", "_e", "_d").agg(F.count("*").alias("_n"))
+        mine = base.join(own, (F.col(key) == F.col("_own")) & (F.col(entity) == F.col("_e")) & (F.col("_d") >= F.date_sub(on_date, days)) & (F.col("_d") < F.to_date(on_date)))
+        mine = mine.groupBy(F.col(key).alias("_own"), F.col(entity).alias("_oe"), F.col(on_date).alias("_od")).agg(F.sum("_n").alias("_mine"))
+        out = met(spans).join(mine, (F.col(key) == F.col("_own")) & (F.col(entity) == F.col("_oe")) & (F.col(on_date) == F.col("_od")), "left")
+        n = F.col("_high") - F.col("_low") - F.coalesce("_mine", F.lit(0))
+        return out.select(key, F.when(known, n).alias("n_previous"), none.alias("previous"), status)
+    inside = F.row_number().over(Window.partitionBy("_e", "_d").orderBy("_k")) - 1
+    placed = h.withColumn("_i", inside).join(line, ["_e", "_d"]).select("_e", "_k", (F.col("_before") + F.col("_i")).alias("_place")).withColumn("_chunk", F.expr(f"_place div {chunk}"))
+    chunks = placed.groupBy("_e", "_chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_k"))), lambda x: x["_k"].cast("string")).alias("_ids"))
+    wanted = spans.where("_high > _low").withColumn("_chunk", F.explode(F.sequence(F.expr(f"_low div {chunk}"), F.expr(f"(_high - 1) div {chunk}"))))
+    first = F.greatest(F.col("_low") - F.col("_chunk") * chunk, F.lit(0))
+    last = F.least(F.col("_high") - F.col("_chunk") * chunk, F.lit(chunk))
+    parts = wanted.join(chunks, ["_e", "_chunk"]).select("_e", "_to", "_chunk", F.slice("_ids", (first + 1).cast("int"), (last - first).cast("int")).alias("_ids"))
+    lists = parts.groupBy("_e", "_to").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_ids"))), lambda x: x["_ids"])).alias("_ids"))
+    ids = F.filter(F.coalesce("_ids", F.array().cast("array<string>")), lambda x: x != F.col(key).cast("string"))
+    return met(lists).select(key, F.when(known, F.size(ids).cast("long")).alias("n_previous"), F.when(known, F.array_join(ids, ",")).alias("previous"), status)
 
 
 def history_contradiction(found: Column, recorded: Column, caps: Mapping[str, int] = HISTORY_CAPS) -> Column:

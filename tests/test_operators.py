@@ -330,3 +330,43 @@ def test_chi2_survival_equals_known_values(spark, duck):
     edge = spark.createDataFrame([(0.0, 0, 1.0), (3.0, 0, 1.0), (-1e-12, 5, 1.0), (None, 3, None), (2.0, None, None), (1e6, 4, 0.0), (11.070497693516351, 5, 0.05)], "x double, k long, e double")
     for r in edge.withColumn("p", chi2_survival(F.col("x"), F.col("k"))).collect():
         assert r.p == r.e or abs(r.p - r.e) < 1e-9
+
+
+def test_history_window_equals_all_pairs(spark):
+    import datetime
+    import random
+
+    from claimlens.operators import policy
+
+    rng, day = random.Random(3), datetime.date(2020, 1, 1)
+    rows = [(i, rng.choice(["a", "b", "c", None]), day + datetime.timedelta(rng.randint(0, 60)) if rng.random() < 0.95 else None) for i in range(200)]
+    old = [(i, e, d) for i, e, d in rows if rng.random() < 0.8] + [(5, "a", day), (5, "b", day), (1000, "a", day), (1000, "a", day), (None, "a", day)]
+    claims = spark.createDataFrame(rows, "case_id long, entity_id string, on_day date")
+    history = spark.createDataFrame(old, "old_id long, entity_id string, old_day date")
+    days = int(365.25 * 0.05)
+    expected = {}
+    for i, e, d in rows:
+        near = sorted((od, o) for o, oe, od in old if None not in (e, d, o, oe, od) and oe == e and d - datetime.timedelta(days) <= od < d and o != i)
+        expected[i] = (len(near), ",".join(str(o) for _, o in near), "available") if e and d else (None, None, "unavailable")
+    for chunk in (1, 3, 256):
+        found = policy.claim_history(claims, history, "case_id", "entity_id", "on_day", "old_id", "old_day", 0.05, chunk=chunk)
+        assert {r[0]: tuple(r[1:]) for r in found.collect()} == expected
+    counted = policy.claim_history(claims, history, "case_id", "entity_id", "on_day", "old_id", "old_day", 0.05, listed=False)
+    assert {r.case_id: (r.n_previous, r.status) for r in counted.collect()} == {i: (n, s) for i, (n, _, s) in expected.items()}
+
+
+def test_history_of_one_entity_with_many_claims_is_linear(spark):
+    """100,000 claims of one entity with 1,825 to 5,475 before each: the plan forms no pairs."""
+    import time
+
+    from claimlens.operators import policy
+
+    claims = spark.range(100_000).select("id", F.lit(7).alias("entity_id"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 20_000).cast("int")).alias("on_day"))
+    took = time.time()
+    out = policy.claim_history(claims, claims, "id", "entity_id", "on_day", "id", "on_day", 3.0, listed=False)
+    total = out.agg(F.sum("n_previous"), F.max("n_previous")).first()
+    expected = sum(5 * min(d, 1095) for d in range(20_000)) * 5
+    assert (total[0], total[1]) == (expected, 5 * 1095)
+    assert time.time() - took < 60
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
