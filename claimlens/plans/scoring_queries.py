@@ -287,6 +287,14 @@ def max_matching_all(spark, d):
     return similar.max_matching(df.where("split = 'synthetic'"), df.where("split = 'real_train'"), "case_id", ["priority", "segment", "nation", "n_lines"])
 
 
+_BEST = "SELECT q.case_id, max((q.priority = r.priority)::INT + (q.segment = r.segment)::INT + (q.nation = r.nation)::INT + (q.n_lines IS NOT DISTINCT FROM r.n_lines)::INT) AS most FROM cases q, cases r WHERE q.split = 'synthetic' AND r.split = 'real_train' GROUP BY 1"
+
+
+@query("f04_histogram", f"WITH {CASES}, b AS ({_BEST}), c AS (SELECT m.most, count(b.most) AS n FROM range(5) m(most) LEFT JOIN b ON b.most = m.most GROUP BY 1) SELECT most::INT AS most, n, round(n::DOUBLE / sum(n) OVER (), 6) AS share, round((sum(n) OVER (ORDER BY most DESC))::DOUBLE / sum(n) OVER (), 6) AS at_least FROM c")
+def matching_histogram(spark, d):
+    return r6(similar.matching_histogram(max_matching_all(spark, d), 4))
+
+
 _DCR = "SELECT q.case_id, min(((q.priority <> r.priority)::INT + (q.segment <> r.segment)::INT + abs(q.a - r.a)) / 3) AS dcr FROM s q, s r WHERE q.split = '{q}' AND r.split = 'real_train' GROUP BY 1"
 _PAIRINGS = ("synthetic", "real_validation")
 

@@ -135,8 +135,6 @@ def test_guards(spark):
         model.guard_features(["PolicyNumber"])
     with pytest.raises(ValueError):
         similar.real_rows_only(spark.createDataFrame([("synthetic",)], "split string"), "split")
-    with pytest.raises(ValueError):
-        similar.bounded(spark.range(10), 5)
 
 
 def test_matching_bands_find_all_pairs(spark):
@@ -370,3 +368,75 @@ def test_history_of_one_entity_with_many_claims_is_linear(spark):
     assert time.time() - took < 60
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_top_k_is_exact_and_compares_less_than_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    data = np.concatenate([centres[rng.integers(0, 12, 900)] + 0.15 * rng.normal(size=(900, 16)), np.repeat(centres[:1], 40, axis=0), np.zeros((3, 16))])
+    rows = [(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(data)] + [(2000, None, "a"), (2001, [1.0, None] * 8, "a"), (2002, [1.0], "a"), (2003, data[0].tolist(), None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, a string")
+    unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
+    cosine = np.round(unit @ unit.T, 12)
+    for options in ({}, {"same": "a"}, {"block": 50}, {"pivots": 1}, {"pivots": 5, "block": 200}):
+        tally = []
+        out = similar.similar_claims(df.where("id % 3 = 0"), df, "id", "v", 7, tally=tally, **options)
+        found = {}
+        for r in out.collect():
+            found.setdefault(r["query"], {})[r["rank"]] = (r.neighbour, r.similarity)
+        if not options:
+            found.pop(2001, None)
+        assert set(found) >= set(range(0, len(data), 3))
+        for i in range(0, len(data), 3):
+            others = [j for j in range(len(data)) if j != i and (not options.get("same") or j % 2 == i % 2)] + ([2003] if "same" not in options else [])
+            value = lambda j: cosine[i, j if j < len(data) else 0]
+            best = sorted((-value(j), j) for j in others)[:7]
+            assert [found[i][k + 1][1] for k in range(7)] == pytest.approx([-s for s, _ in best], abs=1.01e-4)
+            clear = [j for s, j in best if s < best[-1][0] - 1e-6]
+            assert set(clear) <= {j for j, _ in found[i].values()}
+        if not options:
+            assert sum(tally) < 0.5 * (len(data) + 1) * len(found)
+    assert similar.similar_claims(df, df.limit(0), "id", "v", 3).count() == 0
+    assert similar.similar_claims(df.limit(0), df, "id", "v", 3).count() == 0
+
+
+def test_top_k_breaks_ties_by_the_smaller_id(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "id long, v array<double>")
+    out = similar.similar_claims(df, df, "id", "v", 3, block=4)
+    assert all(r.neighbour == [x for x in range(30) if x != r["query"]][r["rank"] - 1] for r in out.collect())
+
+
+def test_nearest_number_of_skewed_amounts(spark):
+    """Log-normal numbers, one tuple that holds half of all, out-of-range queries and tuples that nobody shares."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    amounts = rng.lognormal(0, 2, 3000) / 300
+    rows = [(i, "a" if i % 2 else "abcdefg"[i % 7], None if i % 13 == 0 else "xy"[i % 3 % 2], float(x)) for i, x in enumerate(amounts)]
+    rows += [(4000, "zz", "zz", 0.3), (4001, "zz", "x", 5.0), (4002, "a", "zz", -3.0), (4003, "a", "x", None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, x double")
+    q, r = df.where("id % 4 = 0 or id >= 4000"), df.where("id % 4 = 1")
+    want = {i: d for i, d in similar.gower_dcr(q, r, "id", ["a", "b"], ["x"]).collect()}
+    for buckets in (1, 64):
+        got = {i: d for i, d in similar.gower_dcr_grouped(q, r, "id", ["a", "b"], "x", buckets).collect()}
+        assert got.keys() == want.keys() and all(got[i] == want[i] or abs(got[i] - want[i]) < 1e-12 for i in want)
+
+
+def test_most_matching_columns_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    names = list("abcdefg")
+    data = [(i, *[rng.choice([None, *"uvwxyz"[: 2 + c]]) for c in range(7)]) for i in range(160)] + [(900, *["?"] * 7)]
+    df = spark.createDataFrame(data, "id int, " + ", ".join(f"{c} string" for c in names))
+    q, r = df.where("id % 3 = 0"), df.where("id % 3 = 1")
+    want = {x[0]: max(sum(a == b for a, b in zip(x[1:], y[1:])) for y in data if y[0] % 3 == 1) for x in data if x[0] % 3 == 0}
+    best = similar.max_matching(q, r, "id", names)
+    assert {i: m for i, m in best.collect()} == want and want[900] == 0
+    assert similar.max_matching(q, r.limit(0), "id", names).count() == 0
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    line = {x.most: x for x in similar.matching_histogram(best, 7).collect()}
+    assert sum(x.n for x in line.values()) == len(want) and line[0].at_least == 1.0 and line[0].n == 1
