@@ -30,6 +30,23 @@ def policy_in_force(claims: DataFrame, policies: DataFrame, claim_key: str, poli
     return out.select(claim_key, "version", reason.alias("reason"))
 
 
+def version_in_force(versions: Column, day: Column) -> Column:
+    """Of an array of structs with ``effective_from`` and ``effective_to`` (dates, open if null) the only one, else the first
+    whose closed interval holds the day; null if none does.  Nothing is exploded."""
+    holds = lambda v: (v["effective_from"].isNull() | (v["effective_from"] <= day)) & (v["effective_to"].isNull() | (v["effective_to"] >= day))
+    return F.when(F.size(versions) == 1, versions[0]).when(day.isNotNull(), F.try_element_at(F.filter(versions, holds), F.lit(1)))
+
+
+def document_terms(documents: DataFrame, policy_key: str) -> DataFrame:
+    """Policy documents as read (``policy_id, versions``) with what the checks compare: ``policy_key, versions``, each a struct of
+    ``version``, dates, ``deductible, conditions, exclusions`` and ``max_months``.  A date that is none counts as open."""
+    date = lambda c: F.try_to_date(c, "yyyy-MM-dd")
+    one = lambda v: F.struct(
+        v["version"].alias("version"), date(v["effective_from"]).alias("effective_from"), date(v["effective_to"]).alias("effective_to"), v["deductible"].alias("deductible"),
+        v["conditions"].alias("conditions"), v["exclusions"].alias("exclusions"), v["reporting_requirements"]["max_months_after_accident"].alias("max_months"))
+    return documents.select(F.col("policy_id").alias(policy_key), F.transform("versions", one).alias("versions"))
+
+
 def retrieve_policy(claims: DataFrame, policies: DataFrame, policy_key: str, categories: Sequence[str]) -> DataFrame:
     """Claims with ``status`` (found, partial or unavailable) and the categories that are missing."""
     have = policies.select(policy_key, *[F.col(c).alias(f"_{c}") for c in categories], F.lit(True).alias("_found"))
@@ -93,15 +110,21 @@ def verify_policy(claims: DataFrame, documents: DataFrame, key: str, policy_key:
 
     ``documents`` has one row per policy: ``effective_from, effective_to`` (open if null) of the version that
     applies, ``deductible, conditions`` (``id, requires``), ``exclusions`` (``id, when``) and ``max_months``.
+    Instead it may have ``versions`` as ``document_terms`` gives them; the one in force in the month of the accident is
+    picked inside the row, and a document without such a version has no terms.
     Without a document only the claim's own record can be judged; what cannot be told is UNKNOWN.  The
     claimed amount is not recorded, so limits are always UNKNOWN.  Claims have the columns of the schema.
     """
     terms = ["effective_from", "effective_to", "deductible", "conditions", "exclusions", "max_months"]
-    docs = documents.select(policy_key, F.struct(*terms).alias("_doc"))
+    versioned = "versions" in documents.columns
+    docs = documents.select(policy_key, (F.col("versions") if versioned else F.struct(*terms)).alias("_doc"))
     own = claims.join(docs, policy_key, "left").withColumn("_values", F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]))
     months = F.array(*[F.lit(m) for m in S.MONTHS])
     index = lambda c: F.nullif(F.array_position(months, F.col(c)), F.lit(0).cast("long"))
     start = F.make_date("Year", index("Month").cast("int"), F.lit(1))
+    if versioned:
+        bare = F.from_json(F.lit("{}"), own.schema["_doc"].dataType.elementType)
+        own = own.withColumn("_doc", F.when(F.col("_doc").isNotNull(), F.coalesce(version_in_force(F.col("_doc"), start), bare)))
     doc, low, high = F.col("_doc"), F.col("_doc.effective_from"), F.col("_doc.effective_to")
     early, late = F.coalesce(low, F.lit("0001-01-01").cast("date")), F.coalesce(high, F.lit("9999-12-31").cast("date"))
     dated = doc.isNotNull() & start.isNotNull() & (low.isNotNull() | high.isNotNull())
