@@ -198,23 +198,41 @@ def label_simulated(fact: Column, simulated: Column, label: str = "simulated ref
     return F.when(_true(simulated) & ~F.contains(F.lower(fact), F.lit(label)), F.concat(F.substring(fact, 1, most - len(mark)), F.lit(mark))).otherwise(fact)
 
 
+# Words with which a fact may cite a source whose data are unavailable.
+ABSENCE = r"(?i)unavailable|not available|no (?:authori[sz]ed|linked)|cannot|could not|unknown|not (?:configured|recorded|on file)|missing"
+NUMBER = r"(?<![\w.])\d+(?:\.\d+)?"
+
+
 def grounded_facts(facts: DataFrame, sources: DataFrame, key: str, source_columns: Sequence[str]) -> DataFrame:
-    """Facts (``key, source, fact``) whose every number occurs in the cited source's JSON, a percentage
-    also as its fraction, and every rule or flag id too; facts on a source that is absent are not
-    grounded."""
-    long = sources.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.to_json(c).alias("json")) for c in source_columns])).alias("s")).select(key, "s.*")
+    """Facts (``key, source, fact``) with ``grounded``, from one struct column for each source.
+
+    The source must have run (its field ``ok`` is true); one whose ``status`` is unavailable grounds only words of absence.  Every
+    number of the fact must occur in the source's JSON: rounded to the decimals that the fact states, or a percentage as its
+    fraction (two decimals more), or a fraction as its percentage (two decimals less).  Every rule or flag id must occur too.
+    Facts on an absent source are not grounded.
+    """
+    fields = {c: set(sources.schema[c].dataType.names) for c in source_columns}
+    ran = lambda c: F.coalesce(F.col(f"{c}.ok"), F.lit(False)) if "ok" in fields[c] else F.lit(False)
+    status = lambda c: F.col(f"{c}.status").cast("string") if "status" in fields[c] else F.lit(None).cast("string")
+    cells = [F.struct(F.lit(c).alias("source"), F.to_json(c).alias("_json"), ran(c).alias("_ran"), status(c).alias("_status")) for c in source_columns]
+    long = sources.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
     met = facts.join(long, [key, "source"], "left")
-    numbers = F.regexp_extract_all("fact", F.lit(r"(?<![\w.])-?\d+(?:\.\d+)?%?"), 0)
-    have = F.transform(F.regexp_extract_all("json", F.lit(r"-?\d+(?:\.\d+)?"), 0), lambda x: x.cast("double"))
+    have = F.transform(F.regexp_extract_all("_json", F.lit(f"({NUMBER})"), 1), lambda x: x.cast("double"))
 
     def known(n: Column) -> Column:
-        pct, value = F.endswith(n, F.lit("%")), F.regexp_replace(n, "%", "").try_cast("double")
-        close = lambda x: (F.abs(x - value) < 1e-9) | (F.round(x, 2) == value) | (pct & (F.abs(x * 100 - value) < 0.5))
-        return F.exists(have, close)
-
-    ids = F.regexp_extract_all("fact", F.lit(r"\b(?:RF\d{2}|V\d{2}B?)(?:_[A-Z0-9_]+)?\b"), 0)
-    named = F.forall(ids, lambda i: F.contains(F.col("json"), i))
-    return met.withColumn("grounded", F.col("json").isNotNull() & F.forall(numbers, known) & named).drop("json")
+        percent, text = F.endswith(n, F.lit("%")), F.regexp_replace(n, "%", "")
+        value, decimals = text.cast("double"), F.when(F.contains(text, F.lit(".")), F.length(F.substring_index(text, ".", -1))).otherwise(0)
+        places = lambda x, d: F.floor(x * F.pow(F.lit(10.0), d) + 0.5)
+        near = lambda v, d: F.exists(have, lambda x: places(x, d) == places(v, d))
+        as_fraction = percent & near(value / 100, decimals + 2)
+        as_percent = ~percent & (value <= 1) & (decimals > 0) & near(value * 100, F.greatest(decimals - 2, F.lit(0)))
+        return near(value, decimals) | as_fraction | as_percent
+
+    numbers = F.regexp_extract_all("fact", F.lit(f"({NUMBER}%?)"), 1)
+    ids = F.regexp_extract_all("fact", F.lit(r"\b((?:RF\d{2}|V\d{2}B?)(?:_[A-Z0-9_]+)?)\b"), 1)
+    named = F.forall(ids, lambda i: F.contains(F.col("_json"), i))
+    there = _true(F.col("_ran")) & (~_true(F.col("_status") == "unavailable") | F.col("fact").rlike(ABSENCE))
+    return met.withColumn("grounded", there & F.forall(numbers, known) & named).drop("_json", "_ran", "_status")
 
 
 def factor_report(df: DataFrame, factors: Sequence[str], label: str) -> DataFrame:

@@ -484,13 +484,38 @@ def labelled(spark, d):
     return c.select("case_id", triage.label_simulated(F.concat_ws(" of ", "nation", "segment"), F.col("case_id") % 2 == 0).alias("fact"))
 
 
-@query("j11_grounding", f"WITH {CASES} SELECT case_id, CASE case_id % 4 WHEN 3 THEN false WHEN 2 THEN case_id % 8 = 2 ELSE true END AS grounded FROM cases WHERE report_date IS NOT NULL AND n_lines < 90")
+# what each fact states: its text, and in SQL the value and decimals that it must find, by case_id % 10
+_RATE = "round(score::DOUBLE, 4)::DECIMAL(6, 4)"
+_STATED = [
+    ("coalesce(n_lines, 0)::DOUBLE", 0), ("NULL::DOUBLE", 0), ("NULL::DOUBLE", 0), ("(coalesce(n_lines, 0) + 900)::DOUBLE", 0), ("round(score::DOUBLE, 2)::DECIMAL(6, 2)::DOUBLE", 2),
+    ("round(score::DOUBLE, 3)::DECIMAL(6, 3)::DOUBLE + 0.002::DOUBLE", 3), ("round(100 * score::DOUBLE, 1)::DECIMAL(6, 1)::DOUBLE", 1), ("round(100 * score::DOUBLE, 0)::DECIMAL(6, 0)::DOUBLE + 2", 0), ("(coalesce(n_lines, 0) / 100.0)::DECIMAL(6, 2)::DOUBLE", 2), ("NULL::DOUBLE", 0),
+]
+
+
+def _places(x: str, d: str) -> str:
+    return f"floor({x} * pow(10::DOUBLE, {d}) + 0.5::DOUBLE)"
+
+
+def _near(v: str, d: str) -> str:
+    return f"(coalesce({_places('n_lines::DOUBLE', d)} = {_places(v, d)}, false) OR {_places('rate::DOUBLE', d)} = {_places(v, d)})"
+
+
+_VALUE, _DECIMALS = (f"CASE case_id % 10 {' '.join(f'WHEN {i} THEN {s[j]}' for i, s in enumerate(_STATED))} END" for j in (0, 1))
+
+
+@query("j11_grounding", f"""WITH {CASES}, s AS (SELECT *, {_RATE} AS rate, {_VALUE} AS v, {_DECIMALS} AS dec, case_id % 10 IN (6, 7) AS pct FROM cases)
+ SELECT case_id, case_id % 13 > 0 AND (case_id % 17 > 0 OR case_id % 10 = 9) AND (case_id % 10 <> 2 OR case_id % 20 = 2) AND (v IS NULL OR {_near('v', 'dec')} OR (pct AND {_near('v / 100', '(dec + 2)')}) OR (NOT pct AND v <= 1 AND dec > 0 AND {_near('v * 100', 'greatest(dec - 2, 0)')})) AS grounded FROM s""")
 def grounding(spark, d):
-    c = A.cases(spark, d).where("report_date is not null and n_lines < 90")
-    k = F.col("case_id") % 4
-    fact = F.when(k == 0, F.concat(F.col("n_lines").cast("string"), F.lit(" lines"))).when(k == 1, "no number").when(k == 2, F.when(F.col("case_id") % 8 == 2, "RF01 fired").otherwise("RF02 fired")).otherwise(F.concat((F.col("n_lines") + 900).cast("string"), F.lit(" lines")))
+    c = A.cases(spark, d).withColumns({"rate": F.round(F.col("score").cast("double"), 4).cast("decimal(6,4)"), "lines": F.coalesce("n_lines", F.lit(0))})
+    k, score = F.col("case_id"), F.col("score").cast("double")
+    said = lambda x, kind: F.when(F.col("case_id").isNotNull(), x.cast(kind).cast("string"))
+    texts = [
+        F.concat(said(F.col("lines"), "long"), F.lit(" lines")), F.lit("no number"), F.when(k % 20 == 2, "RF01_A fired").otherwise("RF02 fired"), F.concat(said(F.col("lines") + 900, "long"), F.lit(" lines")), F.concat(F.lit("rate "), said(F.round(score, 2), "decimal(6,2)")),
+        F.concat(F.lit("rate "), said(F.round(score, 3) + 0.002, "decimal(6,3)")), F.concat(said(F.round(100 * score, 1), "decimal(6,1)"), F.lit("% risk")), F.concat(said(F.round(100 * score, 0) + 2, "decimal(6,0)"), F.lit("% risk")), F.concat(F.lit("a share of "), said(F.col("lines") / 100, "decimal(6,2)")), F.lit("history not available"),
+    ]
+    fact = F.coalesce(*[F.when(k % 10 == i, x) for i, x in enumerate(texts)])
     facts = c.select("case_id", F.lit("score").alias("source"), fact.alias("fact"))
-    out = c.select("case_id", F.struct(F.col("n_lines").alias("lines"), F.lit("RF01_A").alias("flag")).alias("score"))
+    out = c.select("case_id", F.struct((k % 13 > 0).alias("ok"), F.when(k % 17 == 0, "unavailable").otherwise("completed").alias("status"), F.col("n_lines").alias("lines"), "rate", F.lit("RF01_A").alias("flag")).alias("score"))
     return triage.grounded_facts(facts, out, "case_id", ["score"]).select("case_id", "grounded")
 
 

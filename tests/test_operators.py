@@ -151,10 +151,18 @@ def test_matching_bands_find_all_pairs(spark):
 
 
 def test_grounding(spark):
-    src = spark.createDataFrame([(1, (0.25, 7))], "id int, score struct<p:double,n:int>")
-    facts = spark.createDataFrame([(1, "score", "rate 25% of 7"), (1, "score", "9 hits"), (1, "none", "7")], "id int, source string, fact string")
-    got = {(r.source, r.fact): r.grounded for r in triage.grounded_facts(facts, src, "id", ["score"]).collect()}
-    assert got == {("score", "rate 25% of 7"): True, ("score", "9 hits"): False, ("none", "7"): False}
+    source = {"ok": True, "status": "completed", "p": 0.1234, "n": 5, "flags": ["RF01_PH_FAULT"]}
+    rows = [(1, source, source | {"ok": False}, source | {"status": "unavailable"})]
+    shape = "struct<ok:boolean,status:string,p:double,n:int,flags:array<string>>"
+    src = spark.createDataFrame(rows, f"id int, score {shape}, failed {shape}, history {shape}")
+    expected = {
+        ("score", "probability 0.123"): True, ("score", "probability 0.1234"): True, ("score", "probability 0.124"): False, ("score", "12.3% risk"): True, ("score", "12% risk"): True, ("score", "12.7% risk"): False,
+        ("score", "rate 0.05"): True, ("score", "5 claims"): True, ("score", "9 hits"): False, ("score", "RF01_PH_FAULT fired"): True, ("score", "RF02 fired"): False, ("score", "fine"): True, ("score", "x5y and v1.5"): True,
+        ("failed", "5 claims"): False, ("failed", "unavailable"): False, ("history", "5 claims"): False, ("history", "history is not on file"): True, ("history", "5 are missing"): True, ("none", "5"): False,
+    }
+    facts = spark.createDataFrame([(1, s, f) for s, f in expected], "id int, source string, fact string")
+    got = {(r.source, r.fact): r.grounded for r in triage.grounded_facts(facts, src, "id", ["score", "failed", "history"]).collect()}
+    assert got == expected
 
 
 def test_guardrails(spark):
