@@ -41,14 +41,15 @@ class Slice:
         data = K.LOWER[data]
         start, end, first = K.words(data, off, BETWEEN)
         border = np.concatenate(([0], np.cumsum(end - start)))
-        letters = data[K.ranges(start, end - start)]
+        letters = data[~BETWEEN[data]]
         coded = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(border), pa.py_buffer(letters)]).dictionary_encode()
-        self.words, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         lang = part.column("lang").cast(pa.large_string()).fill_null("und").dictionary_encode()
         self.langs = lang.dictionary
-        self.lang = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(first)).astype(np.int64)
+        self.lang = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(first))
         self.size = len(self.words) + 1
-        self.pairs, self.pair = np.unique(self.lang * self.size + self.code, return_inverse=True)
+        self.pairs, self.pair = np.unique(self.lang.astype(np.int64) * self.size + self.code, return_inverse=True)
+        self.pair = self.pair.astype(np.int32)
         raw, at = K.flat(self.words)
         of_word = K.span_hashes(raw, at[:-1], at[1:])
         of_lang = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], K.U64)
@@ -58,23 +59,22 @@ class Slice:
             bit = self.pair_key & K.U64(len(common) * 64 - 1)
             kept = ((common[(bit >> K.U64(6)).astype(np.int64)] >> (bit & K.U64(63))) & K.U64(1)).astype(bool)[self.pair]
         n = len(start)
-        piece = np.cumsum(BREAK[data], dtype=np.int64)[start] if n else start
+        piece = np.cumsum(BREAK[data], dtype=np.int32)[start] if n else start
         link = (piece[1:] == piece[:-1]) & kept[1:]
         inner = first[(first > 0) & (first < n)]
         link[inner - 1] = False
         ends = np.append(np.flatnonzero(~link), n - 1)
         self.left = np.where(kept, ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, 0) if n else start
-        self.left = np.minimum(self.left, depth)
+        self.left = np.minimum(self.left, depth).astype(np.int16)
 
     def at(self, place: np.ndarray, ahead: int) -> np.ndarray:
         return self.code[place + ahead]
 
     def hashes(self, place: np.ndarray, depth: int) -> np.ndarray:
         """Hash of the first ``depth`` words from each place."""
-        key = self.pair_key[self.pair]
-        out = key[place]
+        out = self.pair_key[self.pair[place]]
         for ahead in range(1, depth):
-            out = K.mix(out * K.U64(K._P) + key[place + ahead])
+            out = K.mix(out * K.U64(K._P) + self.pair_key[self.pair[place + ahead]])
         return out
 
 
@@ -86,7 +86,7 @@ class Prefixes:
 
     def states(self, s: Slice) -> list[np.ndarray]:
         """For each level and place the number of the prefix that begins there, or -1."""
-        out, state = [], s.lang
+        out, state = [], s.lang.astype(np.int64)
         for ahead, (above, words, _) in enumerate(self.levels):
             code = pc.fill_null(pc.index_in(pa.array(words, pa.large_string()), value_set=s.words), -1).to_numpy().astype(np.int64)
             up = pc.fill_null(pc.index_in(pa.array(above, pa.large_string()), value_set=s.langs), -1).to_numpy().astype(np.int64) if ahead == 0 else np.array(above, np.int64)
@@ -112,16 +112,16 @@ class Prefixes:
             yield from ((lang, own, n) for (lang, own), n in zip(paths, counts))
 
 
-def _slices(batches, common, depth):
+def _slices(batches, common, depth, size):
     for batch in batches:
-        for part in K.slices(batch, size=SLICE):
+        for part in K.slices(batch, size=size):
             yield Slice(part, common, depth)
 
 
 def _word_counts():
     @K.lean
     def run(batches):
-        for s in _slices(batches, None, 1):
+        for s in _slices(batches, None, 1, 2 * SLICE):
             counts = np.bincount(s.pair, minlength=len(s.pairs))
             yield K.table(_COUNT, s.langs.take(pa.array(s.pairs // s.size)), s.words.take(pa.array(s.pairs % s.size)), s.pair_key.view(np.int64), counts)
             total = np.bincount(s.lang, minlength=len(s.langs))
@@ -135,7 +135,7 @@ def _extension_counts(hot: Prefixes, common, depth):
 
     @K.lean
     def run(batches):
-        for s in _slices(batches, common, depth):
+        for s in _slices(batches, common, depth, SLICE):
             state = hot.states(s)[-1]
             place = np.flatnonzero((state >= 0) & (s.left > ahead))
             found, at, counts = np.unique(state[place] * s.size + s.at(place, ahead), return_index=True, return_counts=True)
@@ -150,8 +150,8 @@ def _suffixes(hot: Prefixes, borders: np.ndarray, common, depth):
 
     @K.lean
     def run(batches):
-        for s in _slices(batches, common, depth):
-            known = np.zeros(len(s.code), np.int64)
+        for s in _slices(batches, common, depth, SLICE):
+            known = np.zeros(len(s.code), np.int16)
             for state in hot.states(s):
                 known += state >= 0
             place = np.flatnonzero((s.left > known) & (s.left > 1))
@@ -160,10 +160,10 @@ def _suffixes(hot: Prefixes, borders: np.ndarray, common, depth):
             for d in range(1, depth + 1):
                 mine = np.flatnonzero(known == d)
                 group[mine] = np.searchsorted(borders, s.hashes(place[mine], d), "right")
-            columns = [np.where(left > d, s.code[np.minimum(place + d, len(s.code) - 1)] + 1, 0) for d in range(depth)]
-            keys = [s.lang[place]]
+            columns = [np.where(left > d, s.code[np.minimum(place + d, len(s.code) - 1)] + 1, 0).astype(np.int32) for d in range(depth)]
+            keys = [s.lang[place].astype(np.int64)]
             for c in columns:  # pairs of columns to one number each
-                keys = keys[:-1] + [keys[-1] * s.size + c] if len(keys[-1]) and keys[-1].max() < (1 << 62) // s.size else [*keys, c]
+                keys = keys[:-1] + [keys[-1] * s.size + c] if len(keys[-1]) and keys[-1].max() < (1 << 62) // s.size else [*keys, c.astype(np.int64)]
             order = np.lexsort((*keys[::-1], group))
             new = K.group_starts(group[order], *[k[order] for k in keys]) if len(order) else np.zeros(0, bool)
             n = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -191,23 +191,33 @@ def _gathered(table: pa.Table, depth: int):
     """Languages, words and columns of all packed suffixes of a group, under common codes."""
     langs, words = (table.column(c).combine_chunks() for c in ("langs", "words"))
     of_lang, of_word = langs.flatten().dictionary_encode(), words.flatten().dictionary_encode()
-    lang_code, word_code = (c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in (of_lang, of_word))
-    parts = []
-    for cells, a, b in zip(table.column("cells"), np.diff(langs.offsets).cumsum() - np.diff(langs.offsets), np.diff(words.offsets).cumsum() - np.diff(words.offsets)):
+    lang_code, word_code = (c.indices.to_numpy(zero_copy_only=False) for c in (of_lang, of_word))
+    sizes = np.array([int.from_bytes(memoryview(c.as_buffer())[:8], "little") for c in table.column("cells")], np.int64)
+    columns = [np.empty(sizes.sum(), np.int64 if i == 2 else np.int32) for i in range(depth + 3)]
+    starts = [np.cumsum(np.diff(x.offsets)) - np.diff(x.offsets) for x in (langs, words)]
+    for cells, n, end, a, b in zip(table.column("cells"), sizes.tolist(), np.cumsum(sizes).tolist(), *starts):
         raw = memoryview(cells.as_buffer())
-        n = int.from_bytes(raw[:8], "little")
-        own = [K._unplanes(raw[8 + 4 * n * i :], n, "<u4").astype(np.int64) for i in range(depth + 3)]
-        own[0] = lang_code[a + own[0]]
-        own[3:] = [np.where(c > 0, word_code[np.minimum(b + c - 1, len(word_code) - 1)] + 1, 0) for c in own[3:]]
-        parts.append(own)
-    return of_lang.dictionary, of_word.dictionary, [np.concatenate([p[i] for p in parts]) for i in range(depth + 3)]
+        for i, column in enumerate(columns):
+            own = K._unplanes(raw[8 + 4 * n * i :], n, "<u4")
+            if i == 0:
+                own = lang_code[a + own]
+            elif i > 2:
+                own = np.where(own > 0, word_code[np.minimum(b + own.astype(np.int64) - 1, len(word_code) - 1)] + 1, 0)
+            column[end - n : end] = own
+    return of_lang.dictionary, of_word.dictionary, columns
 
 
 def _subtree(least: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         """The tree of a group's suffixes, one level after the other; nodes with too small a total are cut with all below."""
+        try:
+            return grow(table)
+        finally:
+            K.give_back()
+
+    def grow(table: pa.Table) -> pa.Table:
         langs, words, (node, known, n, *columns) = _gathered(table, depth)
-        size, out = len(words) + 1, []
+        node, size, out = node.astype(np.int64), len(words) + 1, []
         alive = np.arange(len(node))
         for d in range(1, depth + 1):
             alive = alive[columns[d - 1][alive] > 0]
