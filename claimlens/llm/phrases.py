@@ -179,24 +179,34 @@ def _suffixes(hot: Prefixes, borders: np.ndarray, common, depth):
                 own[3:] = np.split(which[1:], depth)
                 rows[0].append(int(group[a]))
                 rows[1].append(s.langs.take(pa.array(langs)))
-                rows[2].append(s.words.take(pa.array(words[1:] - 1)))
-                rows[3].append((b - a).item().to_bytes(8, "little") + b"".join(K._planes(c.astype("<u4")) for c in own))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, r)]), pa.int32()), pa.concat_arrays(r or [pa.array([], pa.large_string())]).cast(pa.string())) for r in rows[1:3]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *lists, pa.array(rows[3], pa.binary())], names=["part", "langs", "words", "cells"])
+                rows[2].append(_squeezed("\n".join(s.words.take(pa.array(words[1:] - 1)).to_pylist()).encode()))  # no word holds a line break
+                rows[3].append(_squeezed((b - a).item().to_bytes(8, "little") + b"".join(K._planes(c.astype("<u4")) for c in own)))
+            langs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows[1])]), pa.int32()), pa.concat_arrays(rows[1] or [pa.array([], pa.large_string())]).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), langs, *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["part", "langs", "words", "cells"])
 
     return run
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _released(blob: pa.BinaryScalar) -> bytes:
+    raw = memoryview(blob.as_buffer())
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
+
+
 def _gathered(table: pa.Table, depth: int):
     """Languages, words and columns of all packed suffixes of a group, under common codes."""
-    langs, words = (table.column(c).combine_chunks() for c in ("langs", "words"))
+    langs = table.column("langs").combine_chunks()
+    words = pc.split_pattern(pa.array([_released(w) for w in table.column("words")], pa.large_string()), "\n")
     of_lang, of_word = langs.flatten().dictionary_encode(), words.flatten().dictionary_encode()
     lang_code, word_code = (c.indices.to_numpy(zero_copy_only=False) for c in (of_lang, of_word))
-    sizes = np.array([int.from_bytes(memoryview(c.as_buffer())[:8], "little") for c in table.column("cells")], np.int64)
+    blobs = [_released(c) for c in table.column("cells")]
+    sizes = np.array([int.from_bytes(c[:8], "little") for c in blobs], np.int64)
     columns = [np.empty(sizes.sum(), np.int64 if i == 2 else np.int32) for i in range(depth + 3)]
     starts = [np.cumsum(np.diff(x.offsets)) - np.diff(x.offsets) for x in (langs, words)]
-    for cells, n, end, a, b in zip(table.column("cells"), sizes.tolist(), np.cumsum(sizes).tolist(), *starts):
-        raw = memoryview(cells.as_buffer())
+    for raw, n, end, a, b in zip(map(memoryview, blobs), sizes.tolist(), np.cumsum(sizes).tolist(), *starts):
         for i, column in enumerate(columns):
             own = K._unplanes(raw[8 + 4 * n * i :], n, "<u4")
             if i == 0:
@@ -235,7 +245,7 @@ def _subtree(least: int, depth: int):
                 at = np.flatnonzero(new & whole & (total[which] >= least))
                 path = [words.take(pa.array(columns[i][alive[at]] - 1)) for i in range(d)]
                 lang = langs.take(pa.array(lang_of[alive[at]]))
-                out.append(K.table(_PHRASE, lang, pc.binary_join_element_wise(*path, " "), pa.array(np.full(len(at), d), pa.int32()), total[which[at]]))
+                out.append(K.table(_PHRASE, lang, pc.binary_join_element_wise(*path, pa.scalar(" ", pa.large_string())).cast(pa.string()), pa.array(np.full(len(at), d), pa.int32()), total[which[at]]))
             else:
                 lang_of = np.empty(len(node), np.int64)
                 lang_of[alive] = key // size
@@ -272,7 +282,7 @@ def phrase_counts(docs: DataFrame, depth: int = 4, least: int = 30, budget: int
         found = scrap[-1].select("above", "word", "n")
         loads.append(scrap[-1].where((F.col("n") <= budget) | F.lit(ahead + 1 == depth)).select("key", "n"))
     borders = _borders(loads, max(1, -(-total // budget)), budget)
-    packed = rows.mapInArrow(_suffixes(hot, borders, common, depth), "part int, langs array<string>, words array<string>, cells binary")
+    packed = rows.mapInArrow(_suffixes(hot, borders, common, depth), "part int, langs array<string>, words binary, cells binary")
     tree = packed.groupBy("part").applyInArrow(_subtree(least, depth), "lang string, phrase string, n_words int, a long")
     known = [(lang, " ".join(w), len(w), n) for lang, w, n in hot.phrases() if len(w) > 1 and n >= least]
     out = tree.union(spark.createDataFrame(known, "lang string, phrase string, n_words int, a long"))
