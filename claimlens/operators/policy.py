@@ -106,7 +106,12 @@ def claim_record_results() -> dict[str, Column]:
 
 
 def verify_policy(claims: DataFrame, documents: DataFrame, key: str, policy_key: str, fields: Sequence[str]) -> DataFrame:
-    """The nine checks of each claim: ``key, check_id, level, category, result``.
+    """The nine checks of each claim, a row each: ``key, check_id, level, category, result``."""
+    return policy_results(claims, documents, policy_key, fields).select(key, F.explode("checks").alias("c")).select(key, "c.*")
+
+
+def policy_results(claims: DataFrame, documents: DataFrame, policy_key: str, fields: Sequence[str]) -> DataFrame:
+    """The claims with ``document_found`` and their nine ``checks`` as an array of ``check_id, level, category, result``.
 
     ``documents`` has one row per policy: ``effective_from, effective_to`` (open if null) of the version that
     applies, ``deductible, conditions`` (``id, requires``), ``exclusions`` (``id, when``) and ``max_months``.
@@ -139,7 +144,7 @@ def verify_policy(claims: DataFrame, documents: DataFrame, key: str, policy_key:
         "PV09_REPORTING_REQUIREMENT": verdict(lag <= doc["max_months"]),
     }
     cells = [F.struct(F.lit(c).alias("check_id"), F.lit("claim_record" if c in CLAIM_RECORD_CHECKS else "policy_condition").alias("level"), F.lit(CHECKS[c]).alias("category"), results[c].alias("result")) for c in CHECKS]
-    return own.select(key, F.explode(F.array(*cells)).alias("c")).select(key, "c.*")
+    return own.withColumns({"document_found": doc.isNotNull(), "checks": F.array(*cells)}).drop("_doc", "_values")
 
 
 def failures_by_level(checks: DataFrame, key: str) -> DataFrame:

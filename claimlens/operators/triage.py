@@ -4,6 +4,8 @@ The evidence of a claim is one row: ``blocking`` (Boolean), ``risk_band``, ``fra
 ``warning_flags`` (count), ``record_fails`` and ``policy_fails`` (counts), ``unknown_checks``,
 ``k, frauds, neighbour_rate, base_rate`` of the neighbours, ``history_status``,
 ``history_contradiction``, ``strong_driver`` and ``tools_failed``.  Absent columns count as null.
+Where it is known which sources were required, ``required_failed`` counts those of them that failed and ``open_sources`` those that are
+not done (``with_sources`` gives both); else every failed tool counts as required.
 """
 
 from __future__ import annotations
@@ -19,12 +21,25 @@ EVIDENCE = {
     "blocking": "boolean", "risk_band": "string", "fraud_probability": "double", "warning_flags": "long", "record_fails": "long", "policy_fails": "long",
     "unknown_checks": "long", "k": "long", "frauds": "long", "neighbour_rate": "double", "base_rate": "double", "history_status": "string",
     "history_contradiction": "boolean", "strong_driver": "boolean", "tools_failed": "long", "simulated": "boolean",
+    "required_failed": "long", "open_sources": "long",
 }
 FLAG, INFO, OK = "FLAG_FOR_INVESTIGATION", "REQUEST_MORE_INFORMATION", "APPROVE"
 
 
 def with_evidence(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.lit(None).cast(t) for c, t in EVIDENCE.items() if c not in df.columns})
+    out = df.withColumns({c: F.lit(None).cast(t) for c, t in EVIDENCE.items() if c not in df.columns and c != "required_failed"})
+    return out if "required_failed" in df.columns else out.withColumn("required_failed", F.col("tools_failed"))
+
+
+def with_sources(df: DataFrame, statuses: str, required: Sequence[str]) -> DataFrame:
+    """``tools_failed, required_failed`` and ``open_sources`` from a map ``statuses`` (source -> status)."""
+    have = lambda s: F.coalesce(F.try_element_at(F.col(statuses), s), F.lit("not_run"))
+    wanted = F.array(*[F.lit(s) for s in required]).cast("array<string>")
+    count = lambda found: F.size(found).cast("long")
+    return df.withColumns({
+        "tools_failed": count(F.filter(F.map_values(statuses), lambda s: s == "failed")), "required_failed": count(F.filter(wanted, lambda s: have(s) == "failed")),
+        "open_sources": count(F.filter(wanted, lambda s: ~have(s).isin("completed", "partial", "unavailable"))),
+    })
 
 
 def _true(c: Column) -> Column:
@@ -80,7 +95,7 @@ def completeness() -> Column:
 
 
 def investigation_status() -> Column:
-    return F.when(_true(F.col("blocking")), "blocked").when(_some("tools_failed") | F.col("risk_band").isNull(), "incomplete").otherwise("complete")
+    return F.when(_true(F.col("blocking")), "blocked").when(F.coalesce(F.col("open_sources") > 0, _some("tools_failed") | F.col("risk_band").isNull()), "incomplete").otherwise("complete")
 
 
 def fraud_evidence() -> Column:
@@ -93,7 +108,7 @@ def fraud_evidence() -> Column:
 def flag_category() -> Column:
     return (
         F.when(F.col("risk_band") == "high", "FRAUD_RISK").when(F.col("risk_band").isNull(), "SYSTEM_FAILURE").when(fraud_evidence(), "FRAUD_RISK")
-        .when(_some("policy_fails"), "POLICY_CONDITION").when(_some("tools_failed"), "SYSTEM_FAILURE").otherwise("FRAUD_RISK")
+        .when(_some("policy_fails"), "POLICY_CONDITION").when(_some("required_failed"), "SYSTEM_FAILURE").otherwise("FRAUD_RISK")
     )
 
 
@@ -101,7 +116,7 @@ def decide(df: DataFrame) -> DataFrame:
     """The rule-based ``decision`` and ``category`` of each claim."""
     e = with_evidence(df)
     asks = _true(F.col("blocking")) | _some("record_fails")
-    category = F.when(asks, None).when(F.col("risk_band").isNull(), "SYSTEM_FAILURE").when(F.col("risk_band") == "high", "FRAUD_RISK").when(_some("policy_fails"), "POLICY_CONDITION").when(_some("tools_failed"), "SYSTEM_FAILURE")
+    category = F.when(asks, None).when(F.col("risk_band").isNull(), "SYSTEM_FAILURE").when(F.col("risk_band") == "high", "FRAUD_RISK").when(_some("policy_fails"), "POLICY_CONDITION").when(_some("required_failed"), "SYSTEM_FAILURE")
     e = e.withColumn("category", category)
     return e.withColumn("decision", F.when(asks, INFO).when(F.col("category").isNotNull(), FLAG).otherwise(OK))
 
@@ -165,7 +180,7 @@ def apply_guardrails(df: DataFrame, proposed: str = "proposed", concrete: Sequen
         ("approve_needs_score", (now == OK) & F.col("risk_band").isNull(), flagged("SYSTEM_FAILURE")),
         ("approve_needs_consistent_claim", (now == OK) & _some("record_fails"), (F.lit(INFO), none)),
         ("approve_needs_policy_pass", (now == OK) & _some("policy_fails"), flagged("POLICY_CONDITION")),
-        ("approve_needs_tools", (now == OK) & _some("tools_failed"), flagged("SYSTEM_FAILURE")),
+        ("approve_needs_tools", (now == OK) & _some("required_failed"), flagged("SYSTEM_FAILURE")),
         (None, (now == FLAG) & F.col("category").isNull(), (now, flag_category())),
         ("unsupported_fraud_flag", (now == FLAG) & (F.col("category") == "FRAUD_RISK") & baseless, rule),
     ]
