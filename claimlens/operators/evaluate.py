@@ -160,7 +160,7 @@ def accept_reviews(reviews: DataFrame, recommendations: DataFrame, reviewed: Dat
     met = met.withColumns({"overrides": overrides, "refusal": refusal})
     if reviewed is not None:
         met = met.join(reviewed.select("run_id", F.lit(True).alias("_done")).distinct(), "run_id", "left").withColumn("refusal", F.coalesce("refusal", F.when(F.col("_done"), "already reviewed"))).drop("_done")
-    first = F.row_number().over(Window.partitionBy("run_id", F.col("refusal").isNull()).orderBy("review_id"))
+    first = F.row_number().over(Window.partitionBy(F.when(F.col("refusal").isNull(), F.col("run_id")), F.when(F.col("refusal").isNotNull(), F.col("review_id"))).orderBy("review_id"))  # a refused review is alone
     met = met.withColumn("_n", first)
     return met.withColumn("status", F.coalesce("refusal", F.when(F.col("_n") > 1, "already reviewed"), F.lit("accepted"))).drop("_n", "refusal", "recommended")
 

@@ -30,10 +30,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder.  A session without a JVM of its own (Spark Connect) leaves an empty table there."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
+        return
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table that ``materialise`` wrote and nothing reads any more."""
-    path = getattr(df, "written_to", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "written_to", None):
+        remove(df.sparkSession, path)

@@ -185,7 +185,7 @@ def test_streams(spark, tmp_path):
     score = lambda df: df.withColumns({"risk_band": F.lit("low"), "fraud_probability": F.lit(0.1)})
     for n in ("1", "2"):  # the second run sees the same files again and adds nothing
         jobs.stream_triage(spark, str(claims), S.CLAIMS, score, str(tmp_path / "out"), str(tmp_path / f"cp{n}")).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
+    out = jobs.sink(spark, str(tmp_path / "out"), "PolicyNumber", "bigint").read()
     assert out.count() == 3 and out.where("decision = 'REQUEST_MORE_INFORMATION'").count() == 1
     rec = spark.createDataFrame([("r1", "APPROVE"), ("r2", "APPROVE")], "run_id string, decision string")
     rec.write.parquet(str(tmp_path / "rec"))
@@ -194,7 +194,7 @@ def test_streams(spark, tmp_path):
     rows = [(1, "r1", "DENY", " "), (2, "r1", "DENY", "seen"), (3, "r1", "APPROVE", ""), (4, "r2", "APPROVE", "")]
     (reviews / "a.json").write_text("\n".join(json.dumps(dict(zip(("review_id", "run_id", "decision", "reason"), r))) for r in rows))
     jobs.stream_reviews(spark, str(reviews), str(tmp_path / "rec"), str(tmp_path / "audit"), str(tmp_path / "cp3")).awaitTermination()
-    got = {r.review_id: r.status for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
+    got = {r.review_id: r.status for r in jobs.reviews(spark, str(tmp_path / "audit")).read().collect()}
     assert got == {1: "override without reason", 2: "accepted", 3: "already reviewed", 4: "accepted"}
 
 
