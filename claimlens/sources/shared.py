@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,14 +20,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Delete at its end all tables that ``materialise`` writes within it, but those given to ``keep``.
+
+    A result is lazy, so whoever asks for it opens the scope, consumes the result inside, and is left with no intermediate table.
+    """
+    written: list[DataFrame] = []
+    _scopes.append(written)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_to)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(written)
+        for df in written:
+            if df.written_to not in kept:
+                discard(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the
-    lineage, and a lost executor costs no recomputation of what came before."""
+    lineage, and a lost executor costs no recomputation of what came before.  Within a ``scratch`` the table goes at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 

@@ -448,3 +448,18 @@ def test_most_matching_columns_equal_all_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     line = {x.most: x for x in similar.matching_histogram(best, 7).collect()}
     assert sum(x.n for x in line.values()) == len(want) and line[0].at_least == 1.0 and line[0].n == 1
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    from pathlib import Path
+
+    from claimlens.sources.shared import materialise, scratch
+
+    with scratch() as keep:
+        gone = materialise(spark.range(3), "gone")
+        with scratch() as inner:
+            kept, lost = inner(materialise(gone.select("id"), "kept")), materialise(spark.range(1), "lost")
+        assert not Path(lost.written_to).exists() and gone.count() == 3
+        last = keep(materialise(kept, "last"))
+    assert last.count() == 3
+    assert not Path(gone.written_to).exists() and not Path(kept.written_to).exists() and Path(last.written_to).exists()
