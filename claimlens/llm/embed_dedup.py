@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, materialise
+from .shared import components, dealt, discard, join_hot, materialise
 
 _VECTOR = pa.schema([("vec_id", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64()), ("size", pa.int32()), ("vector", pa.binary())])
 _LEAF = pa.schema([("leaf", pa.int64()), ("vec_id", pa.int64()), ("vector", pa.binary())])
@@ -192,15 +192,18 @@ def _near_pairs(vectors, widths, threshold, trees, leaf, spill, sample, most_lea
         depth = max(0, math.ceil(math.log2(max(1, many / leaf))))
         margin = spill * math.sqrt(max(0.0, 2 - 2 * threshold)) / math.sqrt(width)
         forests[width] = Forest(_unit([bytes(r[0]) for r in rows]), trees, depth, margin, seed)
-    crowded = vectors.mapInArrow(_assign(forests, False), "leaf long, vec_id long, vector binary").groupBy("leaf").count().where(F.col("count") > most_leaf)
+    leaves = materialise(vectors.mapInArrow(_assign(forests, False), "leaf long, vec_id long, vector binary").groupBy("leaf").count(), "leaves")
+    crowded = leaves.where(F.col("count") > most_leaf)
+    copies = F.when(F.col("count") > most_leaf, F.ceil(F.col("count") / (most_leaf / 2))).otherwise(1)
+    size = int(leaves.agg(F.coalesce(F.sum(F.col("count") * copies), F.lit(0))).first()[0]) * 8 * max(widths, default=0)
     placed = vectors.mapInArrow(_assign(forests, True), "leaf long, vec_id long, vector binary").join(crowded, "leaf", "left")
     blocks = F.ceil(F.coalesce("count", F.lit(0)) / (most_leaf / 2))
     own = F.pmod(F.xxhash64("vec_id"), F.greatest(blocks, F.lit(1)))
     other = F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = placed.withColumn("own", own).withColumn("other", other)
+    placed = placed.withColumn("own", own).withColumn("other", other)
     key = F.when(F.col("count").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(key.alias("leaf"), "vec_id", "vector").repartition("leaf")
-    return dealt.mapInArrow(_compare(threshold), "a long, b long").distinct()
+    met = dealt(placed.select(key.alias("leaf"), "vec_id", "vector"), "leaf", size)
+    return met.mapInArrow(_compare(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> DataFrame:
@@ -216,16 +219,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, **options) -> D
     kind = "vec_id long, cls long, cls2 long, size int, vector binary"
     found = materialise(rows.mapInArrow(_vectors, kind), "vectors")
     ids = found.where("vector is not null and vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("cls", "cls2")).alias("m")).select("vec_id", "m.*")
-    classes = ids.groupBy("cls", "cls2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    member = materialise(ids.join(classes, ["cls", "cls2"]).select("vec_id", "cls", "cls2", "rep", "many"), "members")
+    ids = materialise(ids, "ids")
+    classes = ids.groupBy("cls", F.col("cls2").alias("_cls2")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
+    member = join_hot(ids, classes, "cls").where("cls2 = _cls2").select("vec_id", "cls", "cls2", "rep", "many")  # a vector may have very many copies
+    member = materialise(member, "members")
+    discard(ids)
     leads = member.where("vec_id = rep").select("vec_id", "cls", "cls2", "many")
     reps = materialise(found.join(leads.select("vec_id", "cls", "cls2"), ["vec_id", "cls", "cls2"], "left_semi").where("vector is not null").dropDuplicates(["vec_id"]).select("vec_id", "size", "vector"), "representatives")
     pairs = materialise(near_pairs(reps, threshold, **options), "pairs")
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(leads.select(F.col("vec_id").alias("b"), "many"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
+    links = join_hot(both, leads.select(F.col("vec_id").alias("b"), "many"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("others"))
     graph = components(pairs)
     per_class = leads.select(F.col("vec_id").alias("rep")).join(links, "rep", "left").join(graph.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = member.join(per_class, "rep").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = join_hot(member, per_class, "rep").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = found.select("vec_id").distinct().join(known, "vec_id", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

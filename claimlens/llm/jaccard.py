@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, discard, join_hot, materialise
+from .shared import components, dealt, discard, join_hot, materialise
 
 RARE = 16  # tokens in more classes than this count as frequent
 MAX_FREQUENT = 1_000_000  # frequent tokens sent to the tasks: 12 MB at most
@@ -368,11 +368,11 @@ def _all_pairs(members: DataFrame, most_rows: int) -> DataFrame:
     """Pairs that may link.  Lists of more than ``most_rows`` are dealt out in blocks, and each two blocks meet
     under a key of their own."""
     shares = members.groupBy("key").agg(F.ceil(F.count("*") / most_rows).alias("shares"))
-    dealt = join_hot(members, shares, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "shares"))
-    dealt = dealt.select("key", F.struct("cls", "n", "light", "most", "label").alias("m"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
-    dealt = materialise(dealt, "blocks")
-    left = dealt.where("own <= other").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("m").alias("a"))
-    right = dealt.where("other <= own").select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("m").alias("b"))
+    parts = join_hot(members, shares, "key").withColumn("own", F.pmod(F.xxhash64("cls"), "shares"))
+    parts = parts.select("key", F.struct("cls", "n", "light", "most", "label").alias("m"), "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("other"))
+    parts = materialise(parts, "blocks")
+    left = parts.where("own <= other").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.col("m").alias("a"))
+    right = parts.where("other <= own").select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.col("m").alias("b"))
     return left.join(right, ["key", "i", "j"]).where(_partner("a", "b") & ((F.col("i") < F.col("j")) | (F.col("a.cls") < F.col("b.cls"))))
 
 
@@ -450,7 +450,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     frequent = spark.sparkContext.broadcast((token, df))
     keyed = docs.mapInArrow(K.lean(_first_tokens(size, percent, boundary, frequent, naming)), "key long, cls long, size long, kind long")
     # members of lists that are known to be long meet nobody here: they are dealt out by their class
-    keyed = keyed.repartition(F.when(F.col("kind").bitwiseAND(LONG) > 0, F.col("cls")).otherwise(F.col("key")))
+    # 32 bytes for about the share of a set's tokens that a partner may lack, and its subsets
+    keyed = dealt(keyed, F.when(F.col("kind").bitwiseAND(LONG) > 0, F.col("cls")).otherwise(F.col("key")), 32 * int(total) * (100 - percent) // 100)
     met = materialise(keyed.mapInArrow(K.lean(_meet(percent, rare, complete)), "key long, a long, b long, na int, nb int, shared int, room int"), "met")
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -465,6 +466,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     ends = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = ends.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = ends.join(lowest, "label").select("cls", "component_id")
-    out = signed.join(named, "cls", "left")
+    out = join_hot(signed, named, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))

@@ -177,7 +177,11 @@ def _better(lot: dict[str, np.ndarray], n: int, dimensions: int):
 def _predict_in_lots(docs: DataFrame, prototypes: DataFrame, n: int, count_letters: bool, most: int) -> DataFrame:
     """One pass over the documents for each lot of about ``most`` prototypes, written before the next lot is fetched."""
     lots = -(-prototypes.count() * 11 // (most * 10))  # a tenth more lots: hashes do not deal evenly
-    now = docs.withColumns({"lang_pred": F.lit(None).cast("string"), "lang_score": F.lit(None).cast("double"), "n_letters": F.lit(0).cast("long")})
+    # work columns of their own names, last: a carried column may be called like a result
+    own = ["_lot_pred", "_lot_score", "_lot_letters"]
+    while set(own) & set(docs.columns):
+        own = [f"_{c}" for c in own]
+    now = docs.select("*", F.lit(None).cast("string").alias(own[0]), F.lit(None).cast("double").alias(own[1]), F.lit(0).cast("long").alias(own[2]))
     before = None
     for i in range(lots):
         lot = _unit(prototypes.where(F.pmod(F.xxhash64("lang"), F.lit(lots)) == i).collect())
@@ -186,9 +190,9 @@ def _predict_in_lots(docs: DataFrame, prototypes: DataFrame, n: int, count_lette
             now = materialise(now.mapInArrow(K.lean(_better(lot, n, dimensions)), now.schema), "closest")
             discard(before)
             before = now
-    blank = F.col("n_letters") == 0
-    found = [F.when(blank, "und").otherwise(F.col("lang_pred")).alias("lang_pred"), F.when(blank, 0.0).otherwise(F.greatest(F.least("lang_score", F.lit(1.0)), F.lit(0.0))).alias("lang_score")]
-    return now.select(*docs.columns, *found, *["n_letters"] * count_letters)
+    pred, score, letters = map(F.col, own)
+    found = [F.when(letters == 0, "und").otherwise(pred).alias("lang_pred"), F.when(letters == 0, 0.0).otherwise(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))).alias("lang_score")]
+    return now.select(*docs.columns, *found, *[letters.alias("n_letters")] * count_letters)
 
 
 def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray] | DataFrame, n: int = 3, carry=("doc_id", "text"), count_letters: bool = False, most: int = MAX_LANGUAGES) -> DataFrame:

@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, materialise, shared_dir  # noqa: F401  (the operators take them from here)
+from ..sources.shared import discard, materialise, scratch, shared_dir  # noqa: F401  (the operators take them from here)
+from . import kernels as K
 
 
-def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 1000) -> DataFrame:
+def dealt(df: DataFrame, key: str | Column, size: int, each: int = 64 << 20) -> DataFrame:
+    """``df`` dealt out by ``key``: to as many partitions as the session asks for, or more if ``size`` bytes would
+    otherwise put over ``each`` into one task."""
+    usual, wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)
+    return df.repartition(wanted, key) if wanted > usual else df.repartition(key)
+
+
+def crowd_of(big: DataFrame, key: str, least: int = 1000) -> list[tuple]:
+    """``(key, shares)`` of the keys with more than a thousandth of the rows of ``big`` (and more than ``least``): fewer than 1,000."""
+    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    bound = max(least, (total or 0) // 1000)
+    return [(r[0], -(-r[1] // bound)) for r in counts.where(F.col("_n") > bound).collect()] if (most or 0) > bound else []
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", least: int = 1000, crowd: list[tuple] | None = None) -> DataFrame:
     """``big`` joined with ``small`` by ``key``, where keys with more than a thousandth of the rows of ``big`` (and
     more than ``least``) are dealt out in shares, each with its own copy of their rows of ``small``.
 
-    Fewer than a thousand keys can hold so many, so the table of them is broadcast.  ``big``
-    is read twice and should be a written table; a null key is dealt out like any other.
+    Fewer than a thousand keys can hold so many, so the table of them is broadcast (``crowd_of`` gives it for several
+    joins).  ``big`` is read twice and should be a written table; a null key is dealt out like any other.
     """
-    counts = big.groupBy(key).agg(F.count("*").alias("_n"))
-    bound = max(least, big.count() // 1000)
-    crowd = [(r[0], -(-r[1] // bound)) for r in counts.where(F.col("_n") > bound).collect()]  # fewer than 1,000 rows
+    crowd = crowd_of(big, key, least) if crowd is None else crowd
     if not crowd:
         return big.join(small, key, how)
     crowd = F.broadcast(big.sparkSession.createDataFrame(crowd, f"_hot {big.schema[key].dataType.simpleString()}, _shares long"))
@@ -27,33 +43,64 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "inner", lea
     return many.join(few, [key, "_share"], how).drop("_share")
 
 
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _forest(batches):
+    """Edges of a task's lots to edges that join the same nodes: each node with the smallest that its lot connects it to."""
+    buffer = K.Buffer(2)
+    for batch in batches:
+        if buffer.add(K.ints(batch, "u"), K.ints(batch, "v")):
+            yield _stars(*buffer.take())
+    if (rest := buffer.take()) is not None:
+        yield _stars(*rest)
+
+
+def _stars(u: np.ndarray, v: np.ndarray):
+    nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = both[: len(u)], both[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        if (root[a] == root[b]).all():
+            break
+    moved = root < np.arange(len(nodes))
+    return K.table(_EDGE, nodes[moved], nodes[root[moved]])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label the nodes of an undirected graph (columns ``a`` and ``b``, long) with the
     smallest node that can be reached: columns ``node`` and ``component``.
 
-    Alternates two contractions until nothing changes: every node hands its neighbours
+    Each task first replaces its edges by those of a forest.  Then two contractions alternate until every edge leads from a node to its label:
+    every node hands its neighbours
     that are larger than itself to the smallest neighbour (large star), then hands all
     its smaller neighbours to the smallest of them (small star).  Both are one grouped
-    minimum and one join on the node; the number of edges never grows, and the rounds
+    minimum and one join on the node, in which nodes with very many edges are dealt out; the number of edges never grows, and the rounds
     grow with the logarithm of the graph; labels only ever fall, so they end.  Self-loops and repeated edges are harmless;
     null ends are ignored; no edges give an empty table.
     """
-    now = materialise(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    found = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = materialise(found.mapInArrow(K.lean(_forest), "u long, v long").distinct(), "edges")
     while True:
+        # done once no node hangs on two others, nor on one that hangs itself
+        roles = now.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(now.select("v", F.lit(0), F.lit(1)))
+        if not roles.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below + above > 1").limit(1).count():
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialise(join_hot(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = materialise(small, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = join_hot(large, small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = materialise(small.mapInArrow(K.lean(_forest), "u long, v long").distinct(), "edges")
         discard(now)
+        discard(large)
         now = after
-        if state == before:
-            break
-        before = state
-    inner = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    inner = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return inner.union(now.select("v", "v").distinct())
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import dealt_texts, join_hot, materialise, own_places, texts
+from .shared import dealt, dealt_texts, join_hot, materialise, own_places, texts
 
 GRAM = 32
 LOT_ROWS = 5_000
@@ -374,22 +374,25 @@ def repeated_spans(docs: DataFrame, length: int = 200, hot: int = 2_500) -> Data
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    return _repeated_spans(dealt_texts(docs), docs, length, hot)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _repeated_spans(dealt_texts(docs), docs, length, hot, int(size))
 
 
-def _repeated_spans(dealt: DataFrame, docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """All columns of ``dealt`` go to the tasks: both joins then read one exchange."""
+def _repeated_spans(placed: DataFrame, docs: DataFrame, length: int, hot: int, size: int) -> DataFrame:
+    """All columns of ``placed`` go to the tasks: both joins then read one exchange.  ``size`` is the bytes of all texts: about
+    an anchor of 32 bytes for each 16 of them, and at worst, if all repeats, ten bytes around for each."""
     scanned = texts(docs).where("doc_id is not null")
     anchors = scanned.mapInArrow(K.lean(_anchors(length)), "key long, gram long, doc_id long, pos int, many int")
-    hits = materialise(anchors.repartition("key").mapInArrow(K.lean(_repeated(hot)), "gram long, doc_id long, pos int"), "hits")
+    hits = materialise(dealt(anchors, "key", 2 * size).mapInArrow(K.lean(_repeated(hot)), "gram long, doc_id long, pos int"), "hits")
     crowd = hits.where("doc_id is null").select("gram", F.lit(True).alias("hot"))
     if crowd.count() <= MOST_HOT:
         marked = hits.where("doc_id is not null").join(F.broadcast(crowd), "gram", "left")
     else:
         marked = join_hot(hits, crowd, "gram", "left").where("doc_id is not null")
     marked = marked.select("doc_id", F.when(F.col("hot"), -F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"))
-    near = dealt.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select(*dealt.columns, "anchors")
-    return near.mapInArrow(K.lean(_around(length)), _AROUND_SQL).repartition("key").mapInArrow(K.lean(_spans(length)), "doc_id long, start int, end int")
+    near = placed.join(marked.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("anchors")), "doc_id").select(*placed.columns, "anchors")
+    around = near.mapInArrow(K.lean(_around(length)), _AROUND_SQL)
+    return dealt(around, "key", 10 * size, 256 << 20).mapInArrow(K.lean(_spans(length)), "doc_id long, start int, end int")
 
 
 def _cut(carry):
@@ -433,17 +436,17 @@ def dedup_substrings(docs: DataFrame, length: int = 200, hot: int = 2_500, carry
     ignored.  Every row comes back once.  Rows with one doc_id and one text are one place; different
     texts under one doc_id are places of their own, like different documents.
     """
-    places, _ = own_places(docs, carry)
+    places, size = own_places(docs, carry)
     given = ("_given",) if "_given" in places.columns else ()
-    out = _dedup(places, docs, length, hot, (*carry, *given))
+    out = _dedup(places, docs, length, hot, (*carry, *given), size)
     return out if not given else out.withColumn("doc_id", F.coalesce("_given", "doc_id")).drop("_given")
 
 
-def _dedup(places: DataFrame, docs: DataFrame, length: int, hot: int, carry: tuple[str, ...]) -> DataFrame:
-    dealt = dealt_texts(places, carry)
-    found = _repeated_spans(dealt, places, length, hot).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+def _dedup(places: DataFrame, docs: DataFrame, length: int, hot: int, carry: tuple[str, ...], size: int) -> DataFrame:
+    placed = dealt_texts(places, carry)
+    found = _repeated_spans(placed, places, length, hot, size).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     none = F.array().cast("array<int>")
-    joined = dealt.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), *carry)
+    joined = placed.join(found, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", none).alias("starts"), F.coalesce("ends", none).alias("ends"), *carry)
     own = [F.lit(None).cast("long").alias(c) if c == "_given" else F.col(c) for c in carry]
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text", none.alias("starts"), none.alias("ends"), *own)
     kind = "".join(f", {c} {places.schema[c].dataType.simpleString()}" for c in carry)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, join_hot, materialise
+from .shared import crowd_of, discard, join_hot, materialise
 
 # Fixed values: (verdict, host, path prefix).
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -73,15 +73,17 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     score keeps its meaning whatever the number of hosts.  Trust divides among the hosts that
     one links to, distrust among those that link to one.
     """
-    links = links.join(links.groupBy("src").agg(F.count("*").alias("n_out")), "src").join(links.groupBy("dst").agg(F.count("*").alias("n_in")), "dst")
-    links = materialise(links.select("src", "dst", "n_out", "n_in"), "links")
+    by_src, by_dst = crowd_of(links, "src"), crowd_of(links, "dst")  # hosts with very many links are dealt out
+    counted = join_hot(links, links.groupBy("src").agg(F.count("*").alias("n_out")), "src", crowd=by_src)
+    counted = join_hot(counted, links.groupBy("dst").agg(F.count("*").alias("n_in")), "dst", crowd=by_dst)
+    links = materialise(counted.select("src", "dst", "n_out", "n_in"), "links")
     base = seeds.select("host", ((1 - damping) * F.col("trusted")).alias("t0"), ((1 - damping) * F.col("blocked")).alias("b0"))
     now = seeds.select("host", F.col("trusted").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust"))
     now = materialise(now, "ranks")
     # without links the first round is the last that changes anything
     for _ in range(rounds if links.limit(1).count() else min(rounds, 1)):
-        forward = links.join(now, links.src == now.host).select(F.col("dst").alias("host"), (damping * F.col("trust") / F.col("n_out")).alias("trust"), F.lit(0.0).alias("distrust"))
-        backward = links.join(now, links.dst == now.host).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") / F.col("n_in")).alias("distrust"))
+        forward = join_hot(links, now.withColumnRenamed("host", "src"), "src", crowd=by_src).select(F.col("dst").alias("host"), (damping * F.col("trust") / F.col("n_out")).alias("trust"), F.lit(0.0).alias("distrust"))
+        backward = join_hot(links, now.withColumnRenamed("host", "dst"), "dst", crowd=by_dst).select(F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") / F.col("n_in")).alias("distrust"))
         flow = forward.union(backward).union(base.select("host", F.col("t0"), F.col("b0"))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         before, now = now, materialise(flow, "ranks")
         discard(before)

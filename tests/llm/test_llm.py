@@ -301,6 +301,25 @@ def test_embeddings_of_many_widths(spark):
         embed_dedup.MAX_WIDTHS = few
 
 
+def test_hot_classes_are_dealt_out(spark):
+    """More than half of all vectors, texts and links hang on one."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 2600)] + [(3000 + i, rng.normal(size=3).tolist()) for i in range(40)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9999).collect()}
+    assert len(found) == len(rows) and found[1234][0] >= 2599 and {found[i] for i in range(2600)} == {found[0]} and found[0][1] == 0
+    texts = ["one two three four five six"] * 2300 + ["", None] + [f"w{i} a b c d e" for i in range(50)]
+    out = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), EMPTY))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: 0 if i < 2300 else i for i in range(len(texts))}
+    star = spark.range(1, 2400).select(F.lit(9000).cast("long").alias("a"), F.col("id").alias("b"))
+    assert {r.component for r in shared.components(star.union(star)).collect()} == {1}
+
+
+def test_partitions_follow_the_bytes(spark):
+    df, usual = spark.range(10), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shared.dealt(df, "id", 1 << 20).rdd.getNumPartitions() <= usual
+    assert shared.dealt(df, "id", (usual + 3) << 26).rdd.getNumPartitions() == usual + 3
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (300, 200), (300, 250)]
     got = {r.node: r.component for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -416,6 +435,9 @@ def test_languages_in_lots(spark, sf_dir):
     get = lambda p: sorted(map(str, langid.predict_language(rows, p, carry=rows.columns, count_letters=True, most=2).collect()))
     assert get(lots) == get(one) and any("'aa'" in r for r in get(one)) and not any("'zz'" in r for r in get(one))
     assert langid.predict_language(rows.where("false"), lots, most=2).count() == 0
+    clash = rows.withColumnsRenamed({"lang_pred": "_lot_pred"}).withColumns({"lang_score": F.lit("s"), "_lot_score": F.lit(2), "_lot_letters": F.lit("t")})
+    plain = lambda p: sorted(map(str, langid.predict_language(clash, p, carry=clash.columns, most=2).collect()))
+    assert plain(lots) == plain(one) and "n_letters='q'" in plain(lots)[0] and "_lot_letters='t'" in plain(lots)[0]
 
 
 def brute_languages(train, texts, dimensions=1024):
