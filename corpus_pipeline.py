@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import decontam, jaccard, langid, pieces, suffix
 from claimlens.llm.queries import default_model, held_out, read
-from claimlens.llm.shared import discard, materialise
+from claimlens.llm.shared import discard, materialise, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.05
@@ -86,7 +86,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:  # a stage leaves its result alone
+            docs = keep(materialise(stage(spark, docs, sf_dir), name))
         discard(before)
         before = docs
     return docs
