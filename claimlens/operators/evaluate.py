@@ -65,6 +65,42 @@ def process_metrics(df: DataFrame, by: str, latency: str) -> DataFrame:
     return out.join(F.broadcast(df.agg(F.count("*").alias("_t")))).select(by, "n", (F.col("n") / F.col("_t")).alias("share"), "mean", "p50", "p95")
 
 
+def process_report(runs: DataFrame, tools: Sequence[str], label: str = "label") -> DataFrame:
+    """``metric, name, value`` over the first run of each claim (total cost over all runs): use of tools, reason codes, conflicts,
+    flags by category and their true ones by band, steps, fallbacks, guardrails, grounding, latency, tokens and cost.
+
+    ``runs`` have ``run_index, decision, flag_category, risk_band``, the label, the arrays ``tools_called, auto_tools, reason_codes, conflicts`` and
+    ``interventions``, and ``error, agent_steps, max_steps_reached, decided_by, llm_failures, grounding_removed, n_evidence, latency_s,
+    input_tokens, output_tokens, cost_usd``.  A null array is empty.
+    """
+    first = runs.where("run_index = 0")
+    some = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    rate = lambda c: F.avg(c.cast("double"))
+    num = lambda c: F.col(c).cast("double")
+    whole = {
+        "claims": F.count("*"), "errors": F.count("error"), "claims_with_conflicts": F.count_if(F.size(some("conflicts")) > 0), "mean_tool_calls": F.avg(F.size(some("tools_called"))), "mean_agent_steps": F.avg("agent_steps"),
+        "max_steps_hits": F.count_if(F.col("max_steps_reached")), "fallback_rate": rate(F.coalesce(F.col("decided_by") == "rule_fallback", F.lit(False))), "llm_failure_claims": F.count_if(F.col("llm_failures") > 0),
+        "claims_with_grounding_removals": F.count_if(F.col("grounding_removed") > 0), "evidence_items_removed": F.sum("grounding_removed"), "mean_evidence_kept": F.avg("n_evidence"),
+        "mean_input_tokens": F.avg("input_tokens"), "mean_output_tokens": F.avg("output_tokens"), "mean_cost_usd": F.avg("cost_usd"),
+    }
+    flag = F.col("decision") == FLAG
+    use = {("tool_use_rate", t): rate(F.array_contains(some("tools_called"), t)) for t in tools} | {("auto_run_rate", t): rate(F.array_contains(some("auto_tools"), t)) for t in tools}
+    cells = {(m, ""): c for m, c in whole.items()} | use
+    row = first.agg(*[c.cast("double").alias(f"m{i}") for i, c in enumerate(cells.values())])
+    spread = row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(n).alias("name"), F.col(f"m{i}").alias("value")) for i, (m, n) in enumerate(cells)])).alias("x")).select("x.*")
+    named = [  # what occurs by name: one pass over all of it
+        (F.lit(True), "reason_code_counts", some("reason_codes")), (F.lit(True), "guardrail_interventions", some("interventions")), (flag, "flag_categories", F.array("flag_category")),
+        (flag & (F.col("flag_category") == "FRAUD_RISK"), "fraud_risk_flags_by_band", F.array("risk_band")), (flag & (F.col("flag_category") == "FRAUD_RISK") & (F.col(label) == 1), "fraud_risk_hits_by_band", F.array("risk_band")),
+    ]
+    under = lambda m: lambda x: F.struct(F.lit(m).alias("metric"), x.alias("name"))
+    items = F.flatten(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.transform(names, under(m))).otherwise(F.array().cast("array<struct<metric:string,name:string>>")) for c, m, names in named]))
+    counts = first.select(F.explode(items).alias("x")).where("x.name is not null").groupBy("x.metric", "x.name").agg(F.count("*").cast("double").alias("value"))
+    late = exact_percentiles(first.withColumn("_all", F.lit(1)), "latency_s", [0.5, 0.95], ["_all"], ["latency_p50_s", "latency_p95_s"])
+    late = late.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.lit("").alias("name"), F.col(c).cast("double").alias("value")) for c in ("latency_p50_s", "latency_p95_s")])).alias("x")).select("x.*")
+    cost = runs.agg(F.sum(num("cost_usd")).alias("value")).select(F.lit("total_cost_usd").alias("metric"), F.lit("").alias("name"), "value")
+    return spread.unionByName(counts).unionByName(late).unionByName(cost)
+
+
 def code_counts(df: DataFrame, codes: str) -> DataFrame:
     return df.select(F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
@@ -75,6 +111,12 @@ def consistency(df: DataFrame, key: str, decision: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_keys"), F.count_if(F.col("k") == 1).alias("n_stable"), F.avg((F.col("k") == 1).cast("double")).alias("share"))
 
 
+def unstable_keys(df: DataFrame, key: str, decision: str) -> DataFrame:
+    """The keys with several runs that did not always get one decision: ``key, runs, decisions`` (sorted)."""
+    per = df.groupBy(key).agg(F.count("*").alias("runs"), F.array_sort(F.collect_set(decision)).alias("d"))
+    return per.where((F.col("runs") > 1) & (F.size("d") > 1)).select(key, "runs", F.array_join("d", ",").alias("decisions"))
+
+
 def manual_review_sample(df: DataFrame, key: str, strata: Sequence[str], per: int, n: int, seed: str = "k8") -> DataFrame:
     """``per`` rows of each stratum, topped up in md5 order to ``n`` rows."""
     rows = stratum_numbers(df, key, strata, seed)

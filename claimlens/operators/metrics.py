@@ -2,12 +2,13 @@
 
 Curves are built on distinct scores: rows are first counted by score, and the running counts of
 those go through ``running_counts``, which sorts by range over all tasks and adds the totals of
-the earlier ranges.  Ranks of rows number the rows of one score in one task.
+the earlier ranges.  Ranks of rows number the rows of one score likewise, by ranges of the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,13 +119,36 @@ def recall_at_precision(df: DataFrame, label: str, score: str, least: float, by:
     return run.groupBy(*by).agg(F.coalesce(F.max(F.when(ok, F.col("pos_ge") / F.col("pos_all"))), F.lit(0.0)).alias("recall"))
 
 
+MOST_TIES = 100_000  # rows of one score that one task may number
+
+
+def _ties(df: DataFrame, key: str, score: str, by: Sequence[str], buckets: int = 64) -> DataFrame:
+    """``_tie``: the number of each row among those of its score and group, by the numeric ``key``.
+
+    The rows of a score that more than ``MOST_TIES`` have are numbered within ``buckets`` ranges of the key, and the counts
+    of the lower ranges are added.  Such scores are fewer than the rows over ``MOST_TIES``.
+    """
+    group = [*by, score]
+    crowded = df.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > MOST_TIES)
+    borders = F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000)
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in group])
+    cuts = df.alias("d").join(F.broadcast(crowded).alias("c"), same("d", "c"), "left_semi").groupBy(*group).agg(borders.alias("_borders"))
+    rows = df.alias("d").join(F.broadcast(cuts).alias("c"), same("d", "c"), "left").select("d.*", F.coalesce(F.size(F.filter("c._borders", lambda x: x < F.col(f"d.{key}"))), F.lit(0)).alias("_range"))
+    rows = rows.withColumn("_range", F.greatest("_range", F.lit(0)))  # no borders: one range
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(key))
+    lower = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    offsets = offsets.select(*group, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
+    met = rows.withColumn("_i", inside).alias("r").join(offsets.alias("o"), same("r", "o") & (F.col("r._range") == F.col("o._range")))
+    return met.select("r.*", "o._lower").withColumn("_tie", F.col("_i") + F.col("_lower")).drop("_i", "_range", "_lower")
+
+
 def _numbered(df: DataFrame, key: str, score: str, by: Sequence[str], descending: bool = True) -> DataFrame:
     """Row number by score within each group (ties by key), from running counts of distinct scores."""
-    ties = F.row_number().over(Window.partitionBy(*by, score).orderBy(key))
     counts = running_counts(df.withColumn("_one", F.lit(0)), "_one", score, by)
     before = F.col("n_ge") - F.col("n") if descending else F.col("n_all") - F.col("n_ge")
     counts = counts.select(*by, F.col("s").alias(score), before.alias("_before"), F.col("n_all").alias("_all"))
-    return df.withColumn("_tie", ties).join(counts, [*by, score]).withColumn("_rank", F.col("_before") + F.col("_tie")).drop("_before", "_tie")
+    return _ties(df, key, score, by).join(counts, [*by, score]).withColumn("_rank", F.col("_before") + F.col("_tie")).drop("_before", "_tie")
 
 
 def precision_at_top(df: DataFrame, key: str, label: str, score: str, fraction: float, by: Sequence[str] = ()) -> DataFrame:

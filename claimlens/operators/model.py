@@ -105,37 +105,99 @@ def seed_ensemble(models: Sequence, df: DataFrame, key: str) -> DataFrame:
 
 
 def compare_families(train: DataFrame, valid: DataFrame, nominal, numeric, label: str, key: str, families=("logistic", "forest", "boosted")) -> DataFrame:
-    """ROC-AUC, PR-AUC and Brier score of each family on the validation rows."""
-    from .metrics import ranking_metrics
+    """ROC-AUC, PR-AUC and Brier score of each family on the validation rows, and the precision of its top 10 %."""
+    from .metrics import precision_at_top, ranking_metrics
 
     scored = None
     for family in families:
         part = score(fit_scorer(train, nominal, numeric, label, family), valid).select(F.lit(family).alias("model"), key, label, "p")
         scored = part if scored is None else scored.unionByName(part)
-    return ranking_metrics(scored, label, "p", ["model"])
+    top = precision_at_top(scored, key, label, "p", 0.1, ["model"]).select("model", F.col("precision").alias("precision_top10"))
+    return ranking_metrics(scored, label, "p", ["model"]).join(top, "model")
 
 
-def calibrate(df: DataFrame, key: str, label: str, p: str, folds: int = 5):
-    """Cross-fitted Platt and isotonic calibration: ``(rows with calibrated, name)``, where the
-    kind with the lower out-of-fold Brier score wins."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def _logit(p: Column) -> Column:
+    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    return F.ln(clipped / (1 - clipped))
+
+
+def fit_calibrator(df: DataFrame, label: str, p: str, kind: str) -> DataFrame:
+    """A calibrator as a small table ``kind, low, high, at_low, at_high``.
+
+    ``isotonic``: intervals of the score between the fit's break points with the values at their ends, the first and last open.  ``platt``: one row
+    with slope and intercept of the logit as ``at_low`` and ``at_high``.  ``none``: one row that changes nothing.
+    """
+    spark, shape = df.sparkSession, "kind string, low double, high double, at_low double, at_high double"
+    rows = df.where(F.col(p).isNotNull() & F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
+    if kind == "none" or not rows.limit(1).count():
+        return spark.createDataFrame([("none", None, None, None, None)], shape)
+    if kind == "platt":
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorAssembler
+
+        fit = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=1000, tol=1e-10).fit(VectorAssembler(inputCols=["_l"], outputCol="_x").transform(rows.withColumn("_l", _logit(F.col("_p")))))
+        slope = float(fit.coefficients[0]) if len(fit.coefficients) else 0.0
+        return spark.createDataFrame([("platt", None, None, slope, float(fit.intercept))], shape)
     from pyspark.ml.regression import IsotonicRegression
 
-    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(p)))
-    rows = stratum_numbers(df, key, [label]).withColumn("_fold", F.pmod("_row", F.lit(folds))).drop("_row", "_size").withColumn("_logit", F.ln(clipped / (1 - clipped)))
-    rows = VectorAssembler(inputCols=["_logit"], outputCol="_x").transform(rows.withColumn("_y", F.col(label).cast("double")))
-    out = None
+    fit = IsotonicRegression(featuresCol="_p", labelCol="_y").fit(rows)
+    return break_points(spark, list(map(float, fit.boundaries)), list(map(float, fit.predictions)))
+
+
+def break_points(spark, x: Sequence[float], y: Sequence[float]) -> DataFrame:
+    """An isotonic calibrator from rising break points and their values."""
+    ends = [(None, x[0], y[0], y[0]), *[(a, b, c, d) for a, b, c, d in zip(x[:-1], x[1:], y[:-1], y[1:]) if a < b], (x[-1], None, y[-1], y[-1])]
+    return spark.createDataFrame([("isotonic", *e) for e in ends], "kind string, low double, high double, at_low double, at_high double")
+
+
+def apply_calibrator(df: DataFrame, p: str, calibrator: DataFrame, name: str = "calibrated", cells: int = 256) -> DataFrame:
+    """``df`` with the calibrated score, linear between break points.  A null score stays null.
+
+    Intervals and rows meet under the cells of 0..1 that an interval overlaps, so a row meets those of its own cell only.
+    """
+    kind = calibrator.select("kind").first()[0]
+    if kind == "none":
+        return df.withColumn(name, F.col(p).cast("double"))
+    if kind == "platt":
+        line = F.broadcast(calibrator.select(F.col("at_low").alias("_a"), F.col("at_high").alias("_b")))  # one row
+        return df.join(line).withColumn(name, 1 / (1 + F.exp(-(F.col("_a") * _logit(F.col(p)) + F.col("_b"))))).drop("_a", "_b")
+    cell = lambda c: F.when(c.isNotNull(), F.least(F.greatest(F.floor(c * cells), F.lit(0)), F.lit(cells - 1)).cast("int"))
+    spread = calibrator.select("low", "high", "at_low", "at_high", F.explode(F.sequence(F.coalesce(cell(F.col("low")), F.lit(0)), F.coalesce(cell(F.col("high")), F.lit(cells - 1)))).alias("_cell"))
+    spread = spread.select("_cell", *[F.col(c).alias(f"_{c}") for c in ("low", "high", "at_low", "at_high")])
+    x = F.col(p).cast("double")
+    inside = (F.col("_low").isNull() | (x > F.col("_low"))) & (F.col("_high").isNull() | (x <= F.col("_high")))
+    met = df.withColumn("_own", cell(x)).join(spread, (F.col("_own") == F.col("_cell")) & inside, "left")
+    value = F.when(F.col("_low").isNull() | F.col("_high").isNull(), F.col("_at_low")).otherwise(F.col("_at_low") + (F.col("_at_high") - F.col("_at_low")) * (x - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return met.withColumn(name, value).select(*df.columns, name)
+
+
+def _folded(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
+    return stratum_numbers(df, key, [label]).withColumn("_fold", F.pmod("_row", F.lit(folds))).drop("_row", "_size")
+
+
+def calibration_report(df: DataFrame, key: str, label: str, p: str, folds: int = 5, kinds: Sequence[str] = ("none", "platt", "isotonic")) -> DataFrame:
+    """``kind, brier, chosen``: the Brier score of each kind on rows that its fit has not seen, and of the scores as they are; the
+    lowest of the kinds that change something is chosen."""
+    rows, out = _folded(df, key, label, folds), None
+    for kind in kinds:
+        for k in range(folds if kind != "none" else 1):
+            held = rows if kind == "none" else rows.where(F.col("_fold") == k)
+            part = apply_calibrator(held, p, fit_calibrator(rows.where(F.col("_fold") != k), label, p, kind), "_c").select(F.lit(kind).alias("kind"), F.pow(F.col("_c") - F.col(label), F.lit(2.0)).alias("e"))
+            out = part if out is None else out.unionByName(part)
+    each = out.groupBy("kind").agg(F.avg("e").alias("brier"))
+    best = each.where("kind <> 'none'").agg(F.min_by("kind", F.struct("brier", F.col("kind") != "platt")).alias("_best"))
+    return each.join(F.broadcast(best)).select("kind", "brier", F.coalesce(F.col("kind") == F.col("_best"), F.lit(False)).alias("chosen"))
+
+
+def calibrate(df: DataFrame, key: str, label: str, p: str, folds: int = 5):
+    """Cross-fitted calibration: ``(rows with calibrated, name)``, where the kind with the lower out-of-fold Brier score wins
+    (``fit_calibrator`` of that kind then serves new rows)."""
+    best = calibration_report(df, key, label, p, folds).where("chosen").first()["kind"]
+    rows, out = _folded(df, key, label, folds), None
     for k in range(folds):
-        fit, held = rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)
-        platt = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_pp", rawPredictionCol="_rr", predictionCol="_dd").fit(fit)
-        iso = IsotonicRegression(featuresCol="_logit", labelCol="_y", predictionCol="isotonic").fit(fit)
-        part = iso.transform(platt.transform(held)).withColumn("platt", vector_to_array("_pp")[1]).select(*df.columns, "platt", "isotonic")
+        part = apply_calibrator(rows.where(F.col("_fold") == k), p, fit_calibrator(rows.where(F.col("_fold") != k), label, p, best)).select(*df.columns, "calibrated")
         out = part if out is None else out.unionByName(part)
-    brier = out.agg(*[F.avg(F.pow(F.col(c) - F.col(label), F.lit(2.0))).alias(c) for c in ("platt", "isotonic")]).first()
-    best = "platt" if brier["platt"] <= brier["isotonic"] else "isotonic"
-    return out.withColumn("calibrated", F.col(best)).drop("platt", "isotonic"), best
+    return out, best
 
 
 def risk_bands(p: Column, high: float, medium: float) -> Column:

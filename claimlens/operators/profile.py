@@ -34,9 +34,12 @@ def frequency_table(df: DataFrame, columns: Sequence[str], split: str, target: s
 
 def describe(df: DataFrame, column: str, by: str) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum per group."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("lowest"), q.alias("q"), F.max(column).alias("highest"))
-    return out.select(by, "n", "mean", "sd", "lowest", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "highest")
+    from .metrics import exact_percentiles
+
+    out = df.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("lowest"), F.max(column).alias("highest"))
+    quartiles = exact_percentiles(df, column, [0.25, 0.5, 0.75], [by], ["q25", "q50", "q75"]).withColumnRenamed(by, "_by")
+    met = out.join(quartiles, F.col(by).eqNullSafe(F.col("_by")), "left")  # none for a group of nulls
+    return met.select(by, "n", "mean", "sd", "lowest", "q25", "q50", "q75", "highest")
 
 
 def tvd_table(df: DataFrame, columns: Sequence[str], split: str, reference: str) -> DataFrame:

@@ -175,6 +175,24 @@ def calibrate(spark, d):
     return out.withColumn("kind", F.lit(best))
 
 
+_POINTS = ([0.0, 0.1, 0.25, 0.6, 0.95], [0.02, 0.05, 0.3, 0.55, 0.9])
+_STEPS_SQL = " ".join(f"WHEN s <= {b!r} THEN {c!r}::DOUBLE + ({d!r}::DOUBLE - {c!r}::DOUBLE) * (s - {a!r}::DOUBLE) / ({b!r}::DOUBLE - {a!r}::DOUBLE)" for a, b, c, d in zip(_POINTS[0], _POINTS[0][1:], _POINTS[1], _POINTS[1][1:]))
+
+
+@query("h10_apply", f"WITH {CASES}, p AS (SELECT *, CASE WHEN case_id % 9 > 0 THEN score::DOUBLE END AS s FROM cases), c AS (SELECT *, CASE WHEN s IS NULL THEN NULL WHEN s <= 0.0 THEN 0.02 {_STEPS_SQL} ELSE 0.9 END AS c FROM p) SELECT split, count(c) AS n, round(avg(c), 6) AS mean, round(max(c), 6) AS highest, round(avg((c - label) ** 2), 6) AS brier, round(avg((s - label) ** 2), 6) AS uncalibrated FROM c GROUP BY 1")
+def apply_calibration(spark, d):
+    c = A.cases(spark, d).withColumn("s", F.when(F.col("case_id") % 9 > 0, F.col("score").cast("double")))
+    out = model.apply_calibrator(c, "s", model.break_points(spark, *_POINTS))
+    square = lambda p: F.avg(F.pow(F.col(p) - F.col("label"), F.lit(2.0)))
+    return r6(out.groupBy("split").agg(F.count("calibrated").alias("n"), F.avg("calibrated").alias("mean"), F.max("calibrated").alias("highest"), square("calibrated").alias("brier"), square("s").alias("uncalibrated")))
+
+
+@query("h10_platt", f"WITH {CASES}, l AS (SELECT *, greatest(0.000001, least(0.999999, score::DOUBLE)) AS q FROM cases), c AS (SELECT case_id, 1 / (1 + exp(-(1.5 * ln(q / (1 - q)) - 0.25))) AS c FROM l) SELECT case_id, round(c, 6) AS calibrated FROM c")
+def apply_platt(spark, d):
+    line = spark.createDataFrame([("platt", None, None, 1.5, -0.25)], "kind string, low double, high double, at_low double, at_high double")
+    return r6(model.apply_calibrator(A.cases(spark, d).withColumn("s", F.col("score").cast("double")), "s", line).select("case_id", "calibrated"))
+
+
 _P12 = "round(amount::DOUBLE / 300007, 6)"
 
 
@@ -569,6 +587,35 @@ def code_counts(spark, d):
     return evaluate.code_counts(e.select(triage.reason_codes(F.col("decision")).alias("codes")), "codes")
 
 
+_RUNS = """runs AS (SELECT event_id, event_id % 3 AS run_index, list_filter([CASE WHEN event_id % 2 = 0 THEN 'fraud_score' END, CASE WHEN event_id % 5 = 0 THEN 'claim_history' END], lambda x: x IS NOT NULL) AS tools_called, CASE WHEN event_id % 7 > 0 THEN list_filter([CASE WHEN event_id % 4 = 0 THEN 'claim_history' END], lambda x: x IS NOT NULL) ELSE []::VARCHAR[] END AS auto_tools,
+ CASE event_type WHEN 'view' THEN 'APPROVE' WHEN 'signup' THEN 'REQUEST_MORE_INFORMATION' ELSE 'FLAG_FOR_INVESTIGATION' END AS decision, CASE WHEN event_type = 'click' THEN 'POLICY_CONDITION' ELSE 'FRAUD_RISK' END AS flag_category, CASE WHEN value < 5 THEN 'low' WHEN value < 20 THEN 'medium' ELSE 'high' END AS risk_band, event_id % 2 AS label, user_id, event_type, value FROM events), f AS (SELECT * FROM runs WHERE run_index = 0)"""
+_MEASURES = {
+    "claims": "count(*)", "errors": "count(*) FILTER (event_type = 'error')", "claims_with_conflicts": "count(*) FILTER (event_id % 11 = 0)", "mean_tool_calls": "avg(len(tools_called))", "mean_agent_steps": "avg(event_id % 6)", "max_steps_hits": "count(*) FILTER (event_id % 6 = 5)", "fallback_rate": "avg((event_id % 13 = 0)::INT)",
+    "llm_failure_claims": "count(*) FILTER (event_id % 17 = 0)", "claims_with_grounding_removals": "count(*) FILTER (event_id % 4 > 0)", "evidence_items_removed": "sum(event_id % 4)", "mean_evidence_kept": "avg(event_id % 8)", "mean_input_tokens": "avg(100 + event_id % 50)", "mean_output_tokens": "avg(20 + event_id % 30)", "mean_cost_usd": "avg((event_id % 100) / 1000.0::DOUBLE)",
+    "latency_p50_s": "quantile_cont(value, 0.5)", "latency_p95_s": "quantile_cont(value, 0.95)",
+}
+_REPORT = " UNION ALL ".join([f"SELECT '{m}' AS metric, '' AS name, round(({x})::DOUBLE, 6) AS value FROM f" for m, x in _MEASURES.items()] + [f"SELECT '{m}', '{t}', round(avg(list_contains({c}, '{t}')::INT), 6) FROM f" for m, c in (("tool_use_rate", "tools_called"), ("auto_run_rate", "auto_tools")) for t in ("fraud_score", "claim_history")] + [
+    "SELECT 'reason_code_counts', event_type, count(*)::DOUBLE FROM f GROUP BY 2", "SELECT 'guardrail_interventions', 'fallback', count(*)::DOUBLE FROM f WHERE event_id % 13 = 0", "SELECT 'flag_categories', flag_category, count(*)::DOUBLE FROM f WHERE decision = 'FLAG_FOR_INVESTIGATION' GROUP BY 2",
+    "SELECT 'fraud_risk_flags_by_band', risk_band, count(*)::DOUBLE FROM f WHERE decision = 'FLAG_FOR_INVESTIGATION' AND flag_category = 'FRAUD_RISK' GROUP BY 2", "SELECT 'fraud_risk_hits_by_band', risk_band, count(*)::DOUBLE FROM f WHERE decision = 'FLAG_FOR_INVESTIGATION' AND flag_category = 'FRAUD_RISK' AND label = 1 GROUP BY 2", "SELECT 'total_cost_usd', '', round(sum((event_id % 100) / 1000.0::DOUBLE), 6) FROM runs"])
+
+
+@query("k06_report", f"WITH {_RUNS} {_REPORT}")
+def process_report(spark, d):
+    k, kind = F.col("event_id"), F.col("event_type")
+    some = lambda *pairs: F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs]))
+    runs = A.read(spark, d, "events").select(
+        (k % 3).alias("run_index"), some((k % 2 == 0, "fraud_score"), (k % 5 == 0, "claim_history")).alias("tools_called"), F.when(k % 7 > 0, some((k % 4 == 0, "claim_history"))).alias("auto_tools"), F.array(kind).alias("reason_codes"), some((k % 11 == 0, "c")).alias("conflicts"), some((k % 13 == 0, "fallback")).alias("interventions"),
+        F.when(kind == "view", "APPROVE").when(kind == "signup", "REQUEST_MORE_INFORMATION").otherwise("FLAG_FOR_INVESTIGATION").alias("decision"), F.when(kind == "click", "POLICY_CONDITION").otherwise("FRAUD_RISK").alias("flag_category"), F.when(F.col("value") < 5, "low").when(F.col("value") < 20, "medium").otherwise("high").alias("risk_band"), (k % 2).alias("label"),
+        F.when(kind == "error", "x").alias("error"), (k % 6).alias("agent_steps"), (k % 6 == 5).alias("max_steps_reached"), F.when(k % 13 == 0, "rule_fallback").alias("decided_by"), F.when(k % 17 == 0, 1).alias("llm_failures"), (k % 4).alias("grounding_removed"), (k % 8).alias("n_evidence"), F.col("value").alias("latency_s"), (100 + k % 50).alias("input_tokens"), (20 + k % 30).alias("output_tokens"), ((k % 100) / 1000.0).alias("cost_usd"),
+    )
+    return r6(evaluate.process_report(runs, ["fraud_score", "claim_history"]))
+
+
+@query("k07_unstable", "SELECT user_id, count(*) AS runs, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS decisions FROM events GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT event_type) > 1")
+def unstable(spark, d):
+    return evaluate.unstable_keys(A.read(spark, d, "events"), "user_id", "event_type")
+
+
 @query("k07_consistency", "WITH p AS (SELECT user_id, count(*) AS r, count(DISTINCT event_type) AS k FROM events GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS n_keys, count(*) FILTER (k = 1) AS n_stable, round(avg((k = 1)::INT), 6) AS share FROM p")
 def consistency(spark, d):
     return r6(evaluate.consistency(A.read(spark, d, "events"), "user_id", "event_type"))

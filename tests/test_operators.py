@@ -463,3 +463,50 @@ def test_scratch_deletes_what_is_not_kept(spark):
         last = keep(materialise(kept, "last"))
     assert last.count() == 3
     assert not Path(gone.written_to).exists() and not Path(kept.written_to).exists() and Path(last.written_to).exists()
+
+
+def test_calibrators_are_fitted_once_and_applied_to_any_rows(spark):
+    import math
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, p, int(rng.random() < p * p)) for i, p in enumerate(rng.random() for _ in range(1500))]
+    df = spark.createDataFrame(rows, "id long, p double, y int")
+    iso = model.fit_calibrator(df, "y", "p", "isotonic")
+    blocks = []  # pool adjacent violators by hand
+    for _, p, y in sorted(rows, key=lambda r: r[1]):
+        blocks.append([y, 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n = blocks.pop()
+            blocks[-1][0] += s
+            blocks[-1][1] += n
+    fitted = [s / n for s, n in blocks for _ in range(n)]
+    got = {r.id: r.calibrated for r in model.apply_calibrator(df, "p", iso).collect()}
+    assert all(abs(got[r[0]] - v) < 1e-9 for r, v in zip(sorted(rows, key=lambda r: r[1]), fitted))
+    other = model.apply_calibrator(spark.createDataFrame([(-1.0,), (2.0,), (None,), (0.5,)], "p double"), "p", iso, cells=7).collect()
+    assert other[0].calibrated == fitted[0] and other[1].calibrated == fitted[-1] and other[2].calibrated is None and 0.1 < other[3].calibrated < 0.4
+    table = model.fit_calibrator(df, "y", "p", "platt")
+    line, platt = table.first(), model.apply_calibrator(df, "p", table, "c").where("id = 3").first()
+    logit = math.log(platt.p / (1 - platt.p))
+    assert abs(platt.c - 1 / (1 + math.exp(-(line.at_low * logit + line.at_high)))) < 1e-12 and 1.0 < line.at_low < 3.0
+    report = {r.kind: r for r in model.calibration_report(df, "id", "y", "p", 3).collect()}
+    assert sum(r.chosen for r in report.values()) == 1 and not report["none"].chosen and min(report["platt"].brier, report["isotonic"].brier) < report["none"].brier
+    out, best = model.calibrate(df, "id", "y", "p", 3)
+    assert report[best].chosen and out.count() == len(rows)
+
+
+def test_many_rows_of_one_score_are_numbered_by_ranges(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 10 < 9, 0.5).otherwise(F.col("id") / 3000).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.when(F.col("id") % 2 == 0, "a").alias("g"))
+    runs = [lambda: metrics.lift_table(df, "id", "y", "s"), lambda: metrics.reliability_table(df, "id", "y", "s"), lambda: metrics.precision_at_top(df.where("g = 'a'"), "id", "y", "s", 0.3, ["g"])]
+    plain = [sorted(map(str, f().collect())) for f in runs]
+    monkeypatch.setattr(metrics, "MOST_TIES", 50)
+    assert [sorted(map(str, f().collect())) for f in runs] == plain
+
+
+def test_runs_with_a_cut_last_line_resume(spark, tmp_path):
+    lines = [json.dumps({"case": i, "run_index": 0, "decision": "APPROVE"}) for i in range(5)]
+    (tmp_path / "runs.jsonl").write_text("\n".join(lines)[:-12])
+    runs, damaged = ingest.read_runs(spark, str(tmp_path / "runs.jsonl"), "case long, run_index long, decision string")
+    assert sorted(r["case"] for r in runs.collect()) == [0, 1, 2, 3] and damaged.first().n_damaged == 1
+    wanted = spark.range(6).select(F.col("id").alias("case"), F.lit(0).cast("long").alias("run_index"))
+    assert sorted(r["case"] for r in evaluate.open_runs(wanted, runs, ["case", "run_index"]).collect()) == [4, 5]
