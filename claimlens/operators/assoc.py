@@ -96,6 +96,14 @@ def interaction_table(df: DataFrame, row: str, col: str, target: str) -> DataFra
     return out.select(row, col, "n", "positives", (F.col("positives") / F.col("n")).alias("rate"), low.alias("ci_low"), high.alias("ci_high"))
 
 
+def interaction_by_origin(df: DataFrame, row: str, col: str, target: str, split: str, left: str, right: str) -> DataFrame:
+    """``interaction_table`` of two splits side by side; a cell that one lacks has nulls there."""
+    cells = df.where(F.col(split).isin(left, right)).groupBy(row, col)
+    side = lambda s, n: [F.count_if(F.col(split) == s).alias(f"n_{n}"), F.avg(F.when(F.col(split) == s, F.col(target))).alias(f"rate_{n}")]
+    out = cells.agg(*side(left, "left"), *side(right, "right"))
+    return out.withColumn("difference", F.col("rate_right") - F.col("rate_left"))
+
+
 def mine_conditions(df: DataFrame, columns: Sequence[str], target: str, min_support: float = 0.01, min_lift: float = 1.2, max_order: int = 2) -> DataFrame:
     """Single and paired ``column=value`` conditions whose Wilson lower bound exceeds the base
     rate and whose lift reaches the minimum.  Pairs are formed inside the row, without a self-join."""
@@ -119,6 +127,19 @@ def functional_dependency(df: DataFrame, x: str, y: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_values"), F.max("k").alias("most"), (F.max("k") <= 1).alias("holds"))
 
 
+def dependency_strength(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """For each pair ``x, y``: ``n_values`` of x, the ``most`` values of y that one has, whether y follows from x (``holds``), and
+    Cramer's V.  Rows with a null in either count in neither."""
+    cells = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("string").alias("vx"), F.col(b).cast("string").alias("vy")) for a, b in pairs]
+    counts = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("vx is not null and vy is not null").groupBy("x", "y", "vx", "vy").agg(F.count("*").alias("n"))
+    rows, cols = counts.groupBy("x", "y", "vx").agg(F.sum("n").alias("r"), F.count("*").alias("k")), counts.groupBy("x", "y", "vy").agg(F.sum("n").alias("c"))
+    n = F.col("n").cast("double")
+    phi = counts.join(rows, ["x", "y", "vx"]).join(cols, ["x", "y", "vy"]).groupBy("x", "y").agg((F.sum(n * n / (F.col("r").cast("double") * F.col("c"))) - 1).alias("phi2"))
+    wide = rows.groupBy("x", "y").agg(F.count("*").alias("n_values"), F.max("k").alias("most")).join(cols.groupBy("x", "y").agg(F.count("*").alias("ky")), ["x", "y"]).join(phi, ["x", "y"])
+    small = F.least("n_values", "ky") - 1
+    return wide.select("x", "y", "n_values", "most", (F.col("most") <= 1).alias("holds"), F.when(small > 0, F.sqrt(F.greatest(F.col("phi2"), F.lit(0.0)) / small)).otherwise(0.0).alias("v"))
+
+
 def tvd_and_chi2(df: DataFrame, columns: Sequence[str], split: str, left: str, right: str) -> DataFrame:
     """Per column: distance and chi2 of two splits as a two-row table, with its dof and p-value."""
     long = unpivot(df.where(F.col(split).isin(left, right)), columns, [split], kind="string").where("value is not null")

@@ -176,6 +176,11 @@ def verification_rows(df: DataFrame, keys: Sequence[str], checks: str) -> DataFr
     return df.select(*keys, F.explode(checks).alias("check_id", "result"))
 
 
+def investigation_rows(df: DataFrame, keys: Sequence[str], statuses: str) -> DataFrame:
+    """The audit store's table of investigations: one row for each source of a map column ``statuses`` that was run."""
+    return df.select(*keys, F.explode(statuses).alias("source", "status"))
+
+
 def usage(df: DataFrame, calls: str, columns: Sequence[str]) -> DataFrame:
     """Means over the runs that made calls."""
     return df.where(F.col(calls) > 0).agg(F.count("*").alias("n_runs"), *[F.avg(c).alias(f"mean_{c}") for c in columns])

@@ -338,6 +338,18 @@ def top_contributions(long: DataFrame, key: str, k: int, labels: Mapping[str, st
     return summed.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("direction", F.when(F.col("contribution") >= 0, "increases").otherwise("decreases"))
 
 
+def contribution_reasons(long: DataFrame, key: str, k: int = 3, labels: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per key: ``increases`` and ``decreases``, the k largest contributions of each direction as labels in order, and
+    ``reason``, a sentence on the largest of each.  A contribution of zero is in neither."""
+    ranked = top_contributions(long.where("contribution <> 0"), key, 1 << 30, labels).where("contribution <> 0")  # a few labels a key
+    side = Window.partitionBy(key, "direction").orderBy("rank")
+    ranked = ranked.withColumn("_n", F.row_number().over(side)).where(F.col("_n") <= k)
+    names = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") == d, F.struct("_n", "label")))), lambda x: x["label"])
+    out = ranked.groupBy(key).agg(names("increases").alias("increases"), names("decreases").alias("decreases"))
+    said = lambda c, text: F.when(F.size(c) > 0, F.concat(F.col(c)[0], F.lit(text)))
+    return out.withColumn("reason", F.concat_ws("; ", said("increases", " raises the score most"), said("decreases", " lowers it most")))
+
+
 def global_importance(long: DataFrame, key: str) -> DataFrame:
     """Mean absolute contribution per feature, after summing signed within each row."""
     per = long.groupBy(key, "feature").agg(F.sum("contribution").alias("c"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,35 @@ def domain_ok(name: str) -> Column:
     return F.coalesce(inside, F.lit(True))
 
 
+#: What several checks compare.  ``run_rules`` computes each once as a column of the table; elsewhere it is an expression.
+SHARED: dict[str, Callable[[], Column]] = {
+    "_lag": lambda: C.lag_months(F.col("Month"), F.col("MonthClaimed")), "_alias": lambda: F.coalesce(C.all_of([F.col(k) == v for k, v in ALIAS.items()]), F.lit(False)),
+    "_to_accident": lambda: C.place(F.col("Days_Policy_Accident"), POLICY_DAYS), "_to_claim": lambda: C.place(F.col("Days_Policy_Claim"), POLICY_DAYS),
+    "_young": lambda: F.col("Age").isNotNull() & (F.col("Age") != 0) & (F.col("Age") <= 20),
+}
+_as_columns: list[bool] = []
+
+
+def shared(name: str) -> Column:
+    return F.col(name) if _as_columns else SHARED[name]()
+
+
+@contextmanager
+def shared_columns():
+    """Within it the checks read what they share from the columns of the table."""
+    _as_columns.append(True)
+    try:
+        yield
+    finally:
+        _as_columns.pop()
+
+
 def _lag() -> Column:
-    return C.lag_months(F.col("Month"), F.col("MonthClaimed"))
+    return shared("_lag")
 
 
 def _alias() -> Column:
-    return F.coalesce(C.all_of([F.col(k) == v for k, v in ALIAS.items()]), F.lit(False))
+    return shared("_alias")
 
 
 def _mismatch() -> Column:
@@ -72,7 +96,7 @@ def _in(name: str, values: Sequence) -> Column:
 
 
 def _young() -> Column:
-    return F.col("Age").isNotNull() & (F.col("Age") != 0) & (F.col("Age") <= 20)
+    return shared("_young")
 
 
 def _years() -> Column:
@@ -89,7 +113,7 @@ RULES: tuple[Rule, ...] = (
     Rule("V06_CLAIM_AFTER_ACCIDENT", "warning", lambda: passes((_lag() == 0) & (F.col("WeekOfMonthClaimed") < F.col("WeekOfMonth"))), "Claimed in week {WeekOfMonthClaimed} of {MonthClaimed}, accident in week {WeekOfMonth} of {Month}."),
     Rule("V07_REPORTING_DELAY", "info", lambda: passes(_lag() >= 6), "Accident in {Month}, claim in {MonthClaimed}: six months or more."),
     Rule("V08_EARLY_POLICY_INCIDENT", "warning", lambda: ~(_in("Days_Policy_Accident", ["none", "1 to 7"]) | _in("Days_Policy_Claim", ["none"])), "Incident at the start of the policy: {Days_Policy_Accident} and {Days_Policy_Claim} days."),
-    Rule("V09_POLICY_DAYS_ORDER", "warning", lambda: passes(C.place(F.col("Days_Policy_Claim"), POLICY_DAYS) < C.place(F.col("Days_Policy_Accident"), POLICY_DAYS)), "Days to claim {Days_Policy_Claim} are fewer than days to accident {Days_Policy_Accident}."),
+    Rule("V09_POLICY_DAYS_ORDER", "warning", lambda: passes(shared("_to_claim") < shared("_to_accident")), "Days to claim {Days_Policy_Claim} are fewer than days to accident {Days_Policy_Accident}."),
     Rule("V10_POLICY_DAYS_VS_LAG", "warning", lambda: passes(_in("Days_Policy_Claim", ["none", "8 to 15", "15 to 30"]) & (_lag() >= 2)), "Claim {Days_Policy_Claim} days into the policy, yet {Month} to {MonthClaimed}."),
     Rule("V11_VEHICLE_VS_DRIVER_AGE", "info", lambda: passes(_young() & (_years() > F.col("Age") - 16)), "Holder aged {Age} with a vehicle aged {AgeOfVehicle}."),
     Rule("V12_YOUNG_HOLDER_HISTORY", "info", lambda: passes(_young() & (_in("PastNumberOfClaims", ["more than 4"]) | _in("NumberOfCars", ["5 to 8", "more than 8"]))), "Holder aged {Age} with {PastNumberOfClaims} claims and {NumberOfCars}."),
@@ -134,7 +158,8 @@ def catalogue(spark, rules: Sequence[Rule] = RULES, flags: Sequence[RedFlag] = R
 
 def run_rules(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The table with one Boolean column per rule: true where it passes."""
-    return df.withColumns({r.id: r.check() for r in rules})
+    with shared_columns():
+        return df.withColumns({n: c() for n, c in SHARED.items()}).withColumns({r.id: r.check() for r in rules}).drop(*SHARED)
 
 
 def _message(rule: Rule, columns: Sequence[str]) -> Column:
@@ -158,9 +183,9 @@ def _message(rule: Rule, columns: Sequence[str]) -> Column:
 
 def validate(df: DataFrame, id_column: str, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Long form: ``claim_id, rule_id, severity, passed, message`` (null where it passes)."""
-    results = []
+    df, results = run_rules(df, rules), []
     for r in rules:
-        ok = r.check()
+        ok = F.col(r.id)
         results.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), ok.alias("passed"), F.when(~ok, _message(r, df.columns)).alias("message")))
     return df.select(F.col(id_column).alias("claim_id"), F.explode(F.array(*results)).alias("r")).select("claim_id", "r.*")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import columns as C
 from ..operators import assoc, profile, rules
 from ..sources import adapters as A
@@ -115,6 +118,22 @@ def validate(spark, d):
     return out.select("claim_id", "rule_id", "passed", F.when((F.col("rule_id") == "V07_REPORTING_DELAY") & F.col("message").isNotNull(), "message").alias("message"))
 
 
+def _message_sql(r) -> str:
+    """The rule's message with the claim's values, as SQL."""
+    absent = ", ".join(f"CASE WHEN c.\"{x}\" IS NULL THEN '{x}' END" for x in S.COLUMNS)
+    special = {"missing_fields": f"concat_ws(', ', {absent})", "invalid_values": "''", "expected_holder_bin": f"coalesce({_BIN}, '?')"}
+    pieces = re.split(r"\{(\w+)\}", r.message)
+    return " || ".join(special.get(x) or f"coalesce(c.\"{x}\"::VARCHAR, '?')" if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(pieces) if i % 2 or x)
+
+
+_MESSAGES = " UNION ALL ".join(f"SELECT \"PolicyNumber\" AS claim_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, {_message_sql(r)} AS message FROM ruled c WHERE NOT {r.id}" for r in rules.RULES if r.id in RULE_SQL)
+
+
+@query("b14_messages", f"WITH {CLAIMS}, {_RULED} {_MESSAGES}")
+def messages(spark, d):
+    return rules.validate(A.claims(spark, d), "PolicyNumber").where("not passed").select("claim_id", "rule_id", "severity", "message")
+
+
 @query("b15_blocking", f'WITH {CLAIMS}, {_RULED} SELECT NOT (V01_REQUIRED_FIELDS AND V02_DOMAIN_VALUES AND V03_AGE_MISSING) AS blocking, count(*) AS n FROM ruled GROUP BY 1')
 def blocking(spark, d):
     df = rules.run_rules(A.claims(spark, d))
@@ -332,6 +351,11 @@ def interaction(spark, d):
     return r6(assoc.interaction_table(A.cases(spark, d), "priority", "segment", "label"))
 
 
+@query("e08_by_origin", f"WITH {CASES}, g AS (SELECT priority, segment, count(*) FILTER (split = 'real_train') AS n_left, avg(label) FILTER (split = 'real_train') AS a, count(*) FILTER (split = 'synthetic') AS n_right, avg(label) FILTER (split = 'synthetic') AS b FROM cases WHERE split IN ('real_train', 'synthetic') GROUP BY 1, 2) SELECT priority, segment, n_left, round(a, 6) AS rate_left, n_right, round(b, 6) AS rate_right, round(b - a, 6) AS difference FROM g")
+def interaction_by_origin(spark, d):
+    return r6(assoc.interaction_by_origin(A.cases(spark, d), "priority", "segment", "label", "split", "real_train", "synthetic"))
+
+
 @query("e09_mine_conditions", f"WITH {CASES}, i AS ({' UNION ALL '.join(f'''SELECT label, '{c}=' || {c} AS condition FROM cases''' for c in sorted(CATS))} UNION ALL {' UNION ALL '.join(f'''SELECT label, '{a}=' || {a} || ' & {b}=' || {b} FROM cases''' for a, b in (('nation', 'priority'), ('nation', 'segment'), ('priority', 'segment')))}), g AS (SELECT condition, count(*) AS n, sum(label)::BIGINT AS p FROM i GROUP BY 1), b AS (SELECT avg(label) AS base, count(*) AS t FROM cases), x AS (SELECT g.*, base, t, {_LO} AS lo FROM g, b) SELECT condition, n, p AS positives, round(p::DOUBLE / n, 6) AS rate, round(lo, 6) AS ci_low, round(p::DOUBLE / n / base, 6) AS lift FROM x WHERE n >= 0.001 * t AND lo > base AND p::DOUBLE / n / base >= 1.01")
 def mine(spark, d):
     return r6(assoc.mine_conditions(A.cases(spark, d), CATS, "label", 0.001, 1.01))
@@ -347,6 +371,15 @@ def dependency(spark, d):
     return assoc.functional_dependency(A.read(spark, d, "customer"), "c_custkey", "c_nationkey")
 
 
+_DEPENDS = [("segment", "priority"), ("nation", "segment"), ("priority", "split")]
+_DEP_SQL = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, {a} AS vx, {b} AS vy FROM cases" for a, b in _DEPENDS)
+
+
+@query("e11_strength", f"WITH {CASES}, p AS ({_DEP_SQL}), o AS (SELECT x, y, vx, vy, count(*)::DOUBLE AS n FROM p GROUP BY ALL), r AS (SELECT x, y, vx, sum(n) AS r, count(*) AS k FROM o GROUP BY ALL), c AS (SELECT x, y, vy, sum(n) AS c FROM o GROUP BY ALL), f AS (SELECT x, y, sum(n * n / (r * c)) - 1 AS phi FROM o JOIN r USING (x, y, vx) JOIN c USING (x, y, vy) GROUP BY ALL) SELECT x, y, count(*) AS n_values, max(k) AS most, max(k) <= 1 AS holds, round(sqrt(greatest(any_value(phi), 0) / (least(count(*), (SELECT count(*) FROM c c2 WHERE c2.x = r.x AND c2.y = r.y)) - 1)), 6) AS v FROM r JOIN f USING (x, y) GROUP BY x, y")
+def dependency_strength(spark, d):
+    return r6(assoc.dependency_strength(A.cases(spark, d), _DEPENDS))
+
+
 @query("e12_tvd_chi2", f"WITH {CASES}, l AS ({long(CATS, ['split'])}), w AS (SELECT \"column\" AS c, value, (count(*) FILTER (split = 'real_train'))::DOUBLE AS l, (count(*) FILTER (split = 'synthetic'))::DOUBLE AS r FROM l WHERE split IN ('real_train', 'synthetic') GROUP BY 1, 2), s AS (SELECT c, sum(l) AS tl, sum(r) AS tr FROM w GROUP BY 1), z AS (SELECT w.c AS \"column\", 0.5 * sum(abs(l / tl - r / tr)) AS tvd, (sum(l * l / ((l + r) * tl) + r * r / ((l + r) * tr)) - 1) * any_value(tl + tr) AS chi2, count(*) - 1 AS dof FROM w JOIN s ON s.c = w.c GROUP BY 1) SELECT \"column\", round(tvd, 6) AS tvd, round(chi2, 6) AS chi2, dof, round({p_value('chi2', 'dof')}, 6) AS p_value FROM z")
 def tvd_chi2(spark, d):
     return r6(assoc.tvd_and_chi2(A.cases(spark, d), CATS, "split", "real_train", "synthetic"))

@@ -267,6 +267,16 @@ def contributions(spark, d):
     return r6(model.top_contributions(_contributions(spark, d), "case_id", 1, {"lines": "timing", "delay": "timing"}).drop("rank"))
 
 
+_SIGNED = f"{_CON}, s AS (SELECT case_id, label, c, row_number() OVER (PARTITION BY case_id, c > 0 ORDER BY abs(c) DESC, label) AS k FROM con WHERE c <> 0)"
+_UP, _DOWN = (f"coalesce(string_agg(label, ',' ORDER BY k) FILTER (c {x} 0), '')" for x in "><")
+
+
+@query("h18_reasons", f"WITH {CASES}, {_SIGNED} SELECT case_id, {_UP} AS increases, {_DOWN} AS decreases, concat_ws('; ', max(label) FILTER (c > 0 AND k = 1) || ' raises the score most', max(label) FILTER (c < 0 AND k = 1) || ' lowers it most') AS reason FROM s GROUP BY 1")
+def reasons(spark, d):
+    out = model.contribution_reasons(_contributions(spark, d), "case_id", 3, {"lines": "timing", "delay": "timing"})
+    return out.select("case_id", F.array_join("increases", ",").alias("increases"), F.array_join("decreases", ",").alias("decreases"), "reason")
+
+
 @query("h19_importance", f"WITH {CASES}, {_CON} SELECT 'amount' AS feature, round(avg(abs((amount - a) * 0.00001)), 6) AS importance FROM x, m UNION ALL SELECT 'lines', round(avg(abs((lines - l) * -0.2)), 6) FROM x, m UNION ALL SELECT 'delay', round(avg(abs((delay - d) * 0.001)), 6) FROM x, m")
 def importance(spark, d):
     return r6(model.global_importance(_contributions(spark, d), "case_id"))
@@ -277,6 +287,13 @@ def local_examples(spark, d):
     return model.local_examples(A.cases(spark, d), "case_id", "label", "score", T).select("case", "case_id", "rank")
 
 
+@query("h20_explained", f"WITH {CASES}, {_SIGNED}, hx AS (SELECT case_id, score, CASE WHEN score >= {T} AND label = 1 THEN 'TP' WHEN score >= {T} THEN 'FP' WHEN label = 1 THEN 'FN' END AS \"case\" FROM cases), e AS (SELECT \"case\", case_id, row_number() OVER (PARTITION BY \"case\" ORDER BY CASE WHEN \"case\" = 'FN' THEN score ELSE -score END, case_id) AS rank FROM hx WHERE \"case\" IS NOT NULL QUALIFY rank <= 2) SELECT \"case\", e.case_id, rank, con.label AS factor, round(c, 6) AS contribution FROM e JOIN con ON con.case_id = e.case_id")
+def explained_examples(spark, d):
+    near = model.local_examples(A.cases(spark, d), "case_id", "label", "score", T).select("case", "case_id", F.col("rank").alias("place"))
+    top = model.top_contributions(_contributions(spark, d).join(F.broadcast(near.select("case_id")), "case_id", "left_semi"), "case_id", 5, {"lines": "timing", "delay": "timing"})
+    return r6(near.join(top, "case_id").select("case", "case_id", F.col("place").alias("rank"), F.col("label").alias("factor"), "contribution"))
+
+
 # --- similarity ----------------------------------------------------------------------------
 
 
@@ -352,6 +369,13 @@ def differing(spark, d):
     q = v.where("vec_id % 20 = 0")
     return similar.differing_fields(similar.similar_claims(q, v, "vec_id", "embedding", 10), q, v, "vec_id", ["label", "third"])
 
+@query("f08_shared_fields", f"WITH {_NEAR10}, g AS (SELECT query, bool_and(label IS NOT DISTINCT FROM ql) AS l, bool_and(third IS NOT DISTINCT FROM qt) AS t FROM t GROUP BY 1) SELECT query, concat_ws(',', CASE WHEN l THEN 'label' END, CASE WHEN t THEN 'third' END) AS shared FROM g")
+def shared_by_all(spark, d):
+    v = A.read(spark, d, "embeddings").withColumn("third", F.col("vec_id") % 3)
+    q = v.where("vec_id % 20 = 0")
+    return similar.shared_fields(similar.similar_claims(q, v, "vec_id", "embedding", 10), q, v, "vec_id", ["label", "third"])
+
+
 
 # --- policies and history ------------------------------------------------------------------
 
