@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from . import clusters, decontam, embed_dedup, jaccard, langid, licenses, packing, passages, phrases, pieces, quality, suffix, urls
 
 
-def default_model() -> str:
-    """Path of the public SentencePiece model (an installed package gives it)."""
+def vocabulary(name: str, spark: SparkSession | None = None) -> str:
+    """Path of a tokenizer's file: in the folder that ``spark.claimlens.tokenizers`` names, which all machines must have, or
+    else where an installed package of public tokenizers has it."""
+    folder = spark.conf.get("spark.claimlens.tokenizers", None) if spark else None
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
     import public_tokenizers
 
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+    return str(public_tokenizers.path(name))
 
 
-def default_tokenizer() -> str:
-    """Path of the public tokenizer file with word ends (an installed package gives it)."""
-    import public_tokenizers
+def default_model(spark: SparkSession | None = None) -> str:
+    """The public SentencePiece model."""
+    return vocabulary("piece_bpe_32k.model", spark)
+
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+def default_tokenizer(spark: SparkSession | None = None) -> str:
+    """The public tokenizer with word ends."""
+    return vocabulary("word_bpe_49k.json", spark)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +76,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
-    coded = pieces.encode(read(spark, sf_dir, "documents"), default_model(), decoded=True)
+    coded = pieces.encode(read(spark, sf_dir, "documents"), default_model(spark), decoded=True)
     ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
@@ -79,7 +86,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), default_tokenizer())
+    return packing.pack_documents(read(spark, sf_dir, "documents"), default_tokenizer(spark))
 
 
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:

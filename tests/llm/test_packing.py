@@ -140,6 +140,15 @@ def test_sequences_hold_the_ids(spark):
         assert r.ids == built
 
 
+def test_the_folder_of_tokenizers_is_a_setting(spark):
+    spark.conf.set("spark.claimlens.tokenizers", "/some/folder/")
+    try:
+        assert queries.default_tokenizer(spark) == "/some/folder/word_bpe_49k.json"
+    finally:
+        spark.conf.unset("spark.claimlens.tokenizers")
+    assert queries.default_tokenizer(spark) == PATH
+
+
 def test_query_packs_every_document(spark, sf_dir):
     out = queries.QUERIES["op11_best_fit_packing"](spark, sf_dir)
     docs = {r.doc_id: [r.text] for r in queries.read(spark, sf_dir, "documents").collect()}
