@@ -70,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, also where its doc_id is null or repeats."""
-    coded = pieces.encode(docs, default_model())
+    coded = pieces.encode(docs, default_model(spark))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
