@@ -13,15 +13,15 @@ from .rules import unpivot
 
 
 def base_rate(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row (per group): count and rate; small enough to go to every task."""
+    """One row (per group): count and rate."""
     return df.groupBy(*by).agg(F.count("*").alias("_n"), F.avg(target).alias("_base"))
 
 
 def rate_table(df: DataFrame, column: str, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Per value (null is one): n, positives, rate, Wilson interval and lift over the base."""
     out = df.groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"), F.sum(target).cast("long").alias("positives"))
-    base = F.broadcast(base_rate(df, target, by))
-    out = out.join(base, list(by)) if by else out.join(base)
+    base = base_rate(df, target, by)
+    out = out.join(base, list(by)) if by else out.join(F.broadcast(base))  # one row
     low, high = C.wilson(F.col("positives"), F.col("n"))
     rate = F.col("positives") / F.col("n")
     return out.select(*by, "value", "n", "positives", rate.alias("rate"), low.alias("ci_low"), high.alias("ci_high"), F.when(F.col("_base") > 0, rate / F.col("_base")).alias("lift"))

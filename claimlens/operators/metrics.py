@@ -7,9 +7,12 @@ the earlier ranges.  Ranks of rows number the rows of one score likewise, by ran
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,9 +235,55 @@ def bootstrap_sample(df: DataFrame, key: str, label: str, replicates: int, seed:
     return rows.drop("_size").join(taken, [*strata, "_row"]).drop("_row")
 
 
-def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+def _multinomial(n, counts: np.ndarray, *seed) -> np.ndarray:
+    """How often each cell is drawn in ``n`` draws with shares as ``counts``; the seed alone decides."""
+    return np.random.default_rng([zlib.crc32(repr(s).encode()) for s in seed]).multinomial(int(n), counts / counts.sum())
+
+
+def bootstrap_counts(df: DataFrame, label: str, scores: Sequence[str], replicates: int, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """A class-stratified resample by its counts: ``by, label, scores, replicate, weight`` of the distinct scores that are drawn.
+
+    A replicate costs the distinct scores and not the rows.  These are counted once and dealt into ranges by their hash; the rows of a class are split over
+    the ranges by one multinomial draw for each replicate (a row for each range), and those of a range over its scores by another, in the range's
+    task.  The seed, class, range and replicate decide each draw, so any partitioning gives the same counts.
+    """
+    strata, scores = [*by, label], list(scores)
+    cells = df.groupBy(*strata, *scores).agg(F.count("*").alias("_m"))
+    each = max(1000, 2_000_000 // replicates)  # cells of a range, whose draws one task holds
+    ranges = -(-cells.count() // each) or 1
+    cells = cells.withColumn("_b", F.pmod(F.xxhash64(*scores), F.lit(ranges)).cast("int"))
+    kind = lambda c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    named = ", ".join(kind(c) for c in strata)
+
+    def over_ranges(key, rows):
+        rows = rows.sort_values("_b", ignore_index=True)
+        drawn = [_multinomial(rows["_m"].sum(), rows["_m"].to_numpy(float), seed, key, "ranges", r) for r in range(1, replicates + 1)]
+        return pd.DataFrame({c: rows[c] for c in strata} | {"_b": rows["_b"], "_drawn": list(np.array(drawn).T)})
+
+    def over_scores(key, rows, drawn):
+        if not len(rows) or not len(drawn):
+            return pd.DataFrame({c: [] for c in [*strata, *scores, "replicate", "weight"]})
+        rows, out = rows.sort_values(scores, ignore_index=True), []
+        for r, n in enumerate(drawn["_drawn"].iloc[0], 1):
+            weight = _multinomial(n, rows["_m"].to_numpy(float), seed, key, r)
+            hit = np.flatnonzero(weight)
+            out.append(rows.loc[hit, [*strata, *scores]].assign(replicate=r, weight=weight[hit]))
+        return pd.concat(out, ignore_index=True)
+
+    split = cells.groupBy(*strata, "_b").agg(F.sum("_m").alias("_m")).groupBy(*strata).applyInPandas(over_ranges, f"{named}, _b int, _drawn array<long>")
+    group = [*strata, "_b"]
+    shape = f"{named}, {', '.join(kind(c) for c in scores)}, replicate int, weight long"
+    return cells.groupBy(*group).cogroup(split.groupBy(*group)).applyInPandas(over_scores, shape)
+
+
+def _resample(df: DataFrame, key: str, label: str, scores: Sequence[str], replicates: int, seed: str, by: Sequence[str], draw: str) -> DataFrame:
+    """``rows`` draws rows by md5, which SQL can follow; ``scores`` draws counts of distinct scores, for large tables."""
+    return bootstrap_counts(df, label, scores, replicates, seed, by) if draw == "scores" else bootstrap_sample(df, key, label, replicates, seed, by)
+
+
+def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Percentile intervals of recall and precision at a fixed threshold, for each group."""
-    sample = bootstrap_sample(df, key, label, replicates, seed, by)
+    sample = _resample(df, key, label, [score], replicates, seed, by, draw)
     hit, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     per = sample.groupBy(*by, "replicate").agg(total(hit & y).alias("tp"), total(hit & ~y).alias("fp"), total(~hit & y).alias("fn"))
@@ -243,11 +292,12 @@ def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold
     return out
 
 
-def metrics_with_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+def metrics_with_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Every metric of each group with its value and percentile interval: ``by, metric, value, low, high``.
     The threshold is held fixed; replicates go through the same operators as one more group."""
     names = ("accuracy", "precision", "recall", "f1", "f2", "fpr", "flag_rate", "roc_auc", "pr_auc", "brier")
-    sample = bootstrap_sample(df, key, label, replicates, seed, by).unionByName(df.withColumns({"replicate": F.lit(0), "weight": F.lit(1).cast("long")}))
+    used = [*by, label, score, "replicate", "weight"]
+    sample = _resample(df, key, label, [score], replicates, seed, by, draw).select(*used).unionByName(df.withColumns({"replicate": F.lit(0), "weight": F.lit(1).cast("long")}).select(*used))
     group = [*by, "replicate"]
     flagged, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
@@ -266,9 +316,9 @@ def success_criterion(intervals: DataFrame, base_rate: DataFrame, flag_rate: str
     return met.select(*by, good.alias("precision_ok"), caught.alias("recall_ok"), (good & caught).alias("success"))
 
 
-def paired_bootstrap(df: DataFrame, key: str, label: str, score_a: str, score_b: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+def paired_bootstrap(df: DataFrame, key: str, label: str, score_a: str, score_b: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Interval of the recall of b less that of a on the same resamples of each group."""
-    sample = bootstrap_sample(df, key, label, replicates, seed, by).where(F.col(label) == 1)
+    sample = _resample(df.where(F.col(label) == 1), key, label, [score_a, score_b], replicates, seed, by, draw)
     w = F.col("weight")
     share = lambda s: F.sum(F.when(F.col(s) >= threshold, w).otherwise(0)) / F.sum(w)
     per = sample.groupBy(*by, "replicate").agg((share(score_b) - share(score_a)).alias("d"))

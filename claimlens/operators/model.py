@@ -19,7 +19,7 @@ def stratum_numbers(df: DataFrame, key: str, strata: Sequence[str], seed: str =
     """``_row`` (1..n in md5 order) and ``_size`` of each stratum.
 
     A stratum may hold most of the table, so rows are numbered within ``buckets`` ranges of the
-    hash, and the counts of the lower ranges (one row each) are added.
+    hash, and the counts of the lower ranges (one row each) are added; they go to every task, so strata must be few, such as classes and splits.
     """
     h = md5_number(F.lit(seed), F.col(key).cast("string"))
     out = df.withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (4294967296 // buckets)).cast("int"))
@@ -304,6 +304,29 @@ def utility_experiment(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[st
     return ranking_metrics(scored, label, "p", ["mix"])
 
 
+def utility_seeds(df: DataFrame, valid: DataFrame, mixes: Sequence[tuple[str, float, float, bool]], key: str, split: str, label: str, nominal, numeric, family: str = "logistic", seeds: Sequence[int] = (1, 2, 3), masks: Mapping[str, Column] | None = None, real: str = "real_train", replicates: int = 50) -> DataFrame:
+    """``utility_experiment`` over several seeds of the sample and the fit: ``mix, metric, value, low, high, seed_mean, seed_sd``.
+
+    ``value`` and its percentile interval are those of the score averaged over the seeds.  ``masks`` (mix -> condition) keep only the
+    other rows that meet it, such as those that pass the rules; real rows always stay.
+    """
+    from .metrics import metrics_with_ci, ranking_metrics
+    from .rules import unpivot
+
+    names, scored = ("roc_auc", "pr_auc", "brier"), None
+    for name, fraction, weight, with_real in mixes:
+        rows = df.where((F.col(split) == real) | masks[name]) if masks and name in masks else df
+        for seed in seeds:
+            train = training_data(rows, key, split, fraction, weight, with_real, real, seed=f"s{seed}")
+            part = score(fit_scorer(train, nominal, numeric, label, family, "weight", seed), valid).select(F.lit(name).alias("mix"), F.lit(seed).alias("seed"), key, label, "p")
+            scored = part if scored is None else scored.unionByName(part)
+    per = unpivot(ranking_metrics(scored, label, "p", ["mix", "seed"]), names, ["mix", "seed"], "metric", "x", "double")
+    per = per.groupBy("mix", "metric").agg(F.avg("x").alias("seed_mean"), F.stddev_pop("x").alias("seed_sd"))
+    mean = scored.groupBy("mix", key, label).agg(F.avg("p").alias("p"))
+    wide = metrics_with_ci(mean, key, label, "p", 0.5, replicates, by=["mix"], draw="scores").where(F.col("metric").isin(*names))
+    return wide.join(per, ["mix", "metric"]).select("mix", "metric", "value", "low", "high", "seed_mean", "seed_sd")
+
+
 def utility_differences(scored: DataFrame, key: str, label: str, reference: str, replicates: int = 50, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
     """PR-AUC of each ``mix`` less that of ``reference`` on the same resamples: ``by, mix, mean_diff, low, high``.
 

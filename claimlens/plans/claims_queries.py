@@ -206,6 +206,22 @@ def codes(spark, d):
     return A.claims(spark, d).select("PolicyNumber", C.ordinal(F.col("VehiclePrice"), A.S.DOMAINS["VehiclePrice"]).alias("price_code"), F.round(sin, 6).alias("month_sin"), F.round(cos, 6).alias("month_cos"), C.nominal(F.col("MonthClaimed")).alias("month_nominal"))
 
 
+_LEVELS = ["BUILDING", "MACHINERY"]
+
+
+@query("c11_one_hot", f"WITH {CASES} SELECT case_id, (segment = 'BUILDING')::INT AS building, (segment = 'MACHINERY')::INT AS machinery, (segment NOT IN ('BUILDING', 'MACHINERY'))::INT AS other FROM cases")
+def one_hot(spark, d):
+    out = C.one_hot(A.cases(spark, d).select("case_id", "segment"), "segment", _LEVELS)
+    return out.select("case_id", *[F.col(f"`segment={v}`").cast("int").alias(v.lower()) for v in [*_LEVELS, "other"]])
+
+
+@query("a10_clause_table", "SELECT s_suppkey, unnest(CASE s_nationkey % 3 WHEN 0 THEN ['Collision'] WHEN 1 THEN ['Collision', 'Liability'] ELSE ['All Perils', 'Collision', 'Liability'] END) AS base_policy FROM supplier")
+def clause_table(spark, d):
+    k = F.col("s_nationkey") % 3
+    covers = F.when(k == 0, F.array(F.lit("Collision"))).when(k == 1, F.array(F.lit("Collision"), F.lit("Liability"))).otherwise(F.array(F.lit("All Perils"), F.lit("Collision"), F.lit("Liability")))
+    return ingest.clause_table(A.read(spark, d, "supplier").select("s_suppkey", covers.alias("coverage"))).select("s_suppkey", "base_policy")
+
+
 @query("c11_pooled_codes", f"WITH {CASES}, lv AS (SELECT nation AS value, row_number() OVER (ORDER BY nation) - 1 AS code FROM cases GROUP BY nation HAVING count(*) >= 590) SELECT coalesce(code, -1)::BIGINT AS code, count(*) AS n FROM cases LEFT JOIN lv ON nation = value GROUP BY 1")
 def pooled_codes(spark, d):
     df = A.cases(spark, d)

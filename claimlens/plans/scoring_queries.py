@@ -520,6 +520,13 @@ def sources(spark, d):
     return out.select("case_id", "fraction", "investigation_status", F.array_join("gaps", "; ").alias("gaps"))
 
 
+@query("j01_tool_status", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'not_run' WHEN event_id % 5 = 1 THEN 'failed' WHEN event_id % 3 = 0 THEN 'completed' WHEN event_id % 3 = 1 THEN 'completed' ELSE 'partial' END AS status FROM events")
+def tool_status(spark, d):
+    k = F.col("event_id")
+    said = F.when(k % 3 == 0, "found").when(k % 3 == 2, "partial")
+    return A.read(spark, d, "events").select("event_id", triage.tool_status(F.when(k % 5 > 0, k % 5 > 1), said).alias("status"))
+
+
 @query("j12_label_simulated", f"WITH {CASES} SELECT case_id, CASE WHEN case_id % 2 = 0 THEN nation || ' of ' || segment || ' (simulated reference data)' ELSE nation || ' of ' || segment END AS fact FROM cases")
 def labelled(spark, d):
     c = A.cases(spark, d)

@@ -510,3 +510,46 @@ def test_runs_with_a_cut_last_line_resume(spark, tmp_path):
     assert sorted(r["case"] for r in runs.collect()) == [0, 1, 2, 3] and damaged.first().n_damaged == 1
     wanted = spark.range(6).select(F.col("id").alias("case"), F.lit(0).cast("long").alias("run_index"))
     assert sorted(r["case"] for r in evaluate.open_runs(wanted, runs, ["case", "run_index"]).collect()) == [4, 5]
+
+
+def test_bootstrap_by_counts_of_scores(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 2], int(rng.random() < 0.3), round(rng.random(), 2)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g string, y int, s double")
+    drawn = metrics.bootstrap_counts(df, "y", ["s"], 20, "b", ["g"])
+    sizes = {(r.g, r.y): r["count"] for r in df.groupBy("g", "y").count().collect()}
+    totals = drawn.groupBy("g", "y", "replicate").agg(F.sum("weight").alias("n")).collect()
+    assert len(totals) == 4 * 20 and all(r.n == sizes[r.g, r.y] for r in totals)
+    held = {(r.g, r.y, r.s): r["count"] for r in df.groupBy("g", "y", "s").count().collect()}
+    got = drawn.groupBy("g", "y", "s").agg(F.sum("weight").alias("w")).collect()
+    assert all(abs(r.w - 20 * held[r.g, r.y, r.s]) < 6 * (20 * held[r.g, r.y, r.s]) ** 0.5 + 1 for r in got)
+    again = metrics.bootstrap_counts(df.repartition(7), "y", ["s"], 20, "b", ["g"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, drawn.collect()))
+    # the intervals are those of drawn rows but for chance, and the shuffle holds no row for each draw
+    wide = {d: {(r.g, r.metric): r for r in metrics.metrics_with_ci(df, "id", "y", "s", 0.4, 40, by=["g"], draw=d).collect()} for d in ("rows", "scores")}
+    for k, r in wide["rows"].items():
+        other = wide["scores"][k]
+        assert r.value == other.value and other.low <= r.value <= other.high and abs(r.low - other.low) < 0.04 and abs(r.high - other.high) < 0.04
+    pair = metrics.paired_bootstrap(df.withColumn("t", 1 - F.col("s")), "id", "y", "s", "t", 0.4, 20, by=["g"], draw="scores")
+    assert pair.count() == 2 and all(r.low <= r.mean_diff <= r.high for r in pair.collect())
+
+
+def test_utility_over_seeds_and_masks(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        y = int(rng.random() < 0.4)
+        origin = ("real_train", "synthetic", "real_validation")[i % 3]
+        noise = origin == "synthetic" and i % 2 == 1  # half of the synthetic rows tell the wrong label
+        rows.append((i, origin, y, (1 - y if noise else y) + rng.gauss(0, 0.8), noise, "c"))
+    df = spark.createDataFrame(rows, "id long, split string, y int, x double, noise boolean, c string")
+    mixes = [("all", 1.0, 1.0, False), ("clean", 1.0, 1.0, False)]
+    out = model.utility_seeds(df, df.where("split = 'real_validation'"), mixes, "id", "split", "y", ["c"], ["x"], seeds=(1, 2), masks={"clean": ~F.col("noise")}, replicates=20)
+    found = {(r.mix, r.metric): r for r in out.collect()}
+    assert len(found) == 6 and all(r.low <= r.value <= r.high for r in found.values())
+    assert found["clean", "roc_auc"].value > 0.7 and found["clean", "brier"].value < found["all", "brier"].value
+    assert abs(found["clean", "roc_auc"].seed_mean - found["clean", "roc_auc"].value) < 0.02
