@@ -1,7 +1,8 @@
 """Corpus pipeline: ``documents`` to token ids in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept;
-``run`` writes every stage's rows as Parquet into the shared folder and reads them back.
+``run`` writes every stage's rows as Parquet into the shared folder and reads them back.  Every stage gives no rows for a table without
+rows, and ignores columns other than those of ``documents``.
 """
 
 from __future__ import annotations
