@@ -62,10 +62,25 @@ def give_back() -> None:
         trim(0)
 
 
+CACHES: list = []  # what a module keeps between its tasks in a worker: functions that let it go
+_home: list[str] = []
+
+
+def arrive(home: str) -> None:
+    """A task of the module ``home`` begins in this worker: what other modules' tasks have left there goes."""
+    if _home and _home[-1] != home:
+        for clear in (_POWERS.clear, *CACHES):
+            clear()
+        give_back()
+    _home[:] = [home]
+
+
 def lean(run):
-    """The task function ``run``, giving back memory at its end."""
+    """The task function ``run``, giving back memory at its end, and before its beginning what another operator has kept."""
+    home = run.__module__
 
     def tidy(batches):
+        arrive(home)
         try:
             yield from run(batches)
         finally:

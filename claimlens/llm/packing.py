@@ -41,6 +41,9 @@ def _tokenizer(path: str):
     return found
 
 
+K.CACHES.append(_tokenizer.cache_clear)
+
+
 class Words:
     """Ids of the words that a task has met; begun anew once it has met very many."""
 

@@ -25,6 +25,7 @@ from . import kernels as K
 
 MARK = "▁".encode()
 LONG, STRETCH, BLOCK = 512, 1024, 1 << 16
+SLICE = 512 << 10
 
 
 class Vocabulary:
@@ -77,7 +78,7 @@ class Automaton:
             n += len(keys)
         piece_of = np.full(n, -1, np.int32)
         piece_of[at] = np.arange(len(pieces))
-        self.go = np.zeros((n, 256), np.int32)
+        self.go = np.zeros((n, 256), np.uint16 if n < 1 << 16 else np.int32)
         fail, link = np.zeros(n, np.int32), np.full(n, -1, np.int32)
         for depth, (above, byte, state) in enumerate(levels):
             if depth:  # the longest proper suffix lies in a shallower level, which is complete
@@ -101,6 +102,9 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
     return Automaton(vocabulary)
 
 
+K.CACHES.append(automaton.cache_clear)
+
+
 def viterbi(machine: Automaton, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray, long: int = LONG):
     """Best segmentation of each span of ``data``: the pieces' numbers back to back (-1 - byte
     for a byte of its own) and how many each span has.
@@ -341,7 +345,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
     def run(batches):
         machine = automaton(vocabulary)
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, size=SLICE):
                 ids, off = encode_texts(machine, vocabulary, part.column("text").to_pylist())
                 columns = [part.column("doc_id"), _lists(ids, off)]
                 if decoded:

@@ -750,3 +750,22 @@ def test_short_documents_of_each_language_are_kept(spark, sf_dir):
     # the added rows are all held out or few, so the prototypes are those of the table
     kept = {r.text for r in P.language_id(spark, docs.union(more), sf_dir).where("doc_id < 0").collect()}
     assert set(short) <= kept and not kept & set(bad[1:3]) and bad[4] not in kept
+
+
+def test_pipeline_stages_of_an_empty_table(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = queries.read(spark, sf_dir, "documents").where("false").withColumn("n_letters", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0, name
+        assert name == "encode" or out.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_a_worker_lets_go_of_other_operators_caches():
+    pieces.automaton(pieces.Vocabulary([b"a", b"ab"], [-1.0, -2.0], [3, 4], [-1] * 256, 0, {3: b"a", 4: b"ab"}))
+    kernels.arrive("claimlens.llm.pieces")
+    kernels.arrive("claimlens.llm.pieces")
+    assert pieces.automaton.cache_info().currsize
+    kernels.arrive("claimlens.llm.jaccard")
+    assert not pieces.automaton.cache_info().currsize and not kernels._POWERS
