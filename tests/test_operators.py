@@ -312,7 +312,7 @@ def test_stream_joins_static_tables(spark, tmp_path):
     policies = spark.createDataFrame([(1, "high"), (2, "low")], "PolicyNumber long, risk_band string")
     score = lambda df: df.withColumn("fraud_probability", F.lit(0.1))
     jobs.stream_triage(spark, str(claims), S.CLAIMS, score, str(tmp_path / "out"), str(tmp_path / "cp"), context=[(policies, ["PolicyNumber"])]).awaitTermination()
-    got = {r.PolicyNumber: (r.decision, r.flag_category) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {r.PolicyNumber: (r.decision, r.flag_category) for r in jobs.sink(spark, str(tmp_path / "out"), "PolicyNumber", "bigint").read().collect()}
     assert got == {0: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE"), 1: ("FLAG_FOR_INVESTIGATION", "FRAUD_RISK"), 2: ("APPROVE", None), 3: ("FLAG_FOR_INVESTIGATION", "SYSTEM_FAILURE")}
 
 
