@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.shared import materialise
 from .rules import unpivot
 
 
@@ -35,11 +36,12 @@ def running_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ()
 
     Buckets hold about equally many distinct scores, however these are spread; a window runs within
     each, and the totals of the higher buckets (at most ``buckets`` rows a group) are added.  Where the
-    borders lie does not change the result.
+    borders lie does not change the result, but they depend on the order in which sketches are merged, so they are
+    written once: a score lies in the same bucket wherever it is read.
     """
-    counts = score_counts(df, label, score, by, weight)
+    counts = materialise(score_counts(df, label, score, by, weight), "scores")
     borders = F.percentile_approx("s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000)
-    span = counts.groupBy(*by).agg(borders.alias("_borders"), F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
+    span = materialise(counts.groupBy(*by).agg(borders.alias("_borders"), F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all")), "borders")
     counts = counts.join(span, list(by)) if by else counts.join(F.broadcast(span))
     counts = counts.withColumn("_b", F.size(F.filter("_borders", lambda x: x <= F.col("s")))).drop("_borders")
     totals = counts.groupBy(*by, "_b").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_p"))
@@ -136,6 +138,7 @@ def _ties(df: DataFrame, key: str, score: str, by: Sequence[str], buckets: int =
     borders = F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 1000)
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in group])
     cuts = df.alias("d").join(F.broadcast(crowded).alias("c"), same("d", "c"), "left_semi").groupBy(*group).agg(borders.alias("_borders"))
+    cuts = materialise(cuts, "cuts")  # another merge of the sketches would cut elsewhere
     rows = df.alias("d").join(F.broadcast(cuts).alias("c"), same("d", "c"), "left").select("d.*", F.coalesce(F.size(F.filter("c._borders", lambda x: x < F.col(f"d.{key}"))), F.lit(0)).alias("_range"))
     rows = rows.withColumn("_range", F.greatest("_range", F.lit(0)))  # no borders: one range
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(key))
