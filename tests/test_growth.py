@@ -43,3 +43,19 @@ def test_gower_search_compares_no_blocks_of_all_rows(spark, sf_dir, duck, monkey
 
     monkeypatch.setattr(similar, "blocks", all_pairs)
     assert_same(QUERIES["f02_gower"](spark, sf_dir), duck, ORACLES["f02_gower"])
+
+
+def test_grounding_of_scores_that_end_in_a_half(spark, sf_dir, tmp_path):
+    import os
+    import shutil
+
+    import duckdb
+
+    for name in ("customer", "nation", "lineitem"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (list_extract([2250, 9250, 35750, 37250, 72500, 142500, 282500, 287500, 250250, 250750, 75, 725, 2325], o_orderkey // 10 % 13 + 1)::DOUBLE AS o_totalprice) FROM '{sf_dir}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    for name in os.listdir(tmp_path):
+        con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{tmp_path}/{name}'")
+    for name in ("j11_grounding", "g05_recall_at_precision"):
+        assert_same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
