@@ -125,6 +125,7 @@ def recall_at_precision(df: DataFrame, label: str, score: str, least: float, by:
 
 
 MOST_TIES = 100_000  # rows of one score that one task may number
+MOST_HELD = 250_000  # rows of a bootstrap that one task holds as a hash table
 
 
 def _ties(df: DataFrame, key: str, score: str, by: Sequence[str], buckets: int = 64) -> DataFrame:
@@ -238,6 +239,29 @@ def bootstrap_sample(df: DataFrame, key: str, label: str, replicates: int, seed:
     return rows.drop("_size").join(taken, [*strata, "_row"]).drop("_row")
 
 
+def bootstrap_cells(df: DataFrame, key: str, label: str, cells: Sequence[str], replicates: int, seed: str = "b", by: Sequence[str] = ()) -> DataFrame:
+    """The draws of ``bootstrap_sample`` as counts: ``by, label, cells, replicate, weight`` of the distinct ``cells`` that are drawn.
+
+    The numbered rows are written once, with one ``_place`` for all strata.  A draw is a place and a replicate; it meets its row in a hash
+    table of at most about ``MOST_HELD`` rows and is counted by cell in that task, so draws are shuffled once and never sorted.
+    """
+    from .model import stratum_numbers
+
+    strata = [*by, label]
+    own = materialise(df.select(key, *strata, *cells), "rows")
+    numbered = materialise(stratum_numbers(own, key, strata).drop(key), "numbered")
+    ends = Window.orderBy(*strata).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stratum
+    sizes = numbered.groupBy(*strata).agg(F.max("_size").alias("_size")).withColumn("_start", F.coalesce(F.sum("_size").over(ends), F.lit(0)))
+    placed = numbered.drop("_size").join(F.broadcast(sizes), strata)
+    draws = placed.select(label, "_row", "_size", "_start", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "replicate", label, "_row")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    draws = draws.select((F.col("_start") + F.floor(u * F.col("_size")) + 1).alias("_place"), "replicate")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // MOST_HELD))
+    rows = placed.select((F.col("_start") + F.col("_row")).alias("_place"), *strata, *cells).repartition(parts, "_place")
+    met = draws.repartition(parts, "_place").join(rows.hint("shuffle_hash"), "_place")
+    return met.groupBy(*strata, *cells, "replicate").agg(F.count("*").alias("weight"))
+
+
 def _multinomial(n, counts: np.ndarray, *seed) -> np.ndarray:
     """How often each cell is drawn in ``n`` draws with shares as ``counts``; the seed alone decides."""
     return np.random.default_rng([zlib.crc32(repr(s).encode()) for s in seed]).multinomial(int(n), counts / counts.sum())
@@ -281,13 +305,15 @@ def bootstrap_counts(df: DataFrame, label: str, scores: Sequence[str], replicate
 
 def _resample(df: DataFrame, key: str, label: str, scores: Sequence[str], replicates: int, seed: str, by: Sequence[str], draw: str) -> DataFrame:
     """``rows`` draws rows by md5, which SQL can follow; ``scores`` draws counts of distinct scores, for large tables."""
-    return bootstrap_counts(df, label, scores, replicates, seed, by) if draw == "scores" else bootstrap_sample(df, key, label, replicates, seed, by)
+    return bootstrap_counts(df, label, scores, replicates, seed, by) if draw == "scores" else bootstrap_cells(df, key, label, scores, replicates, seed, by)
 
 
 def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Percentile intervals of recall and precision at a fixed threshold, for each group."""
-    sample = _resample(df, key, label, [score], replicates, seed, by, draw)
     hit, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
+    if draw == "rows":  # a row counts by whether it is flagged
+        df, score, hit = df.withColumn("_hit", hit), "_hit", F.col("_hit")
+    sample = _resample(df, key, label, [score], replicates, seed, by, draw)
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     per = sample.groupBy(*by, "replicate").agg(total(hit & y).alias("tp"), total(hit & ~y).alias("fp"), total(~hit & y).alias("fn"))
     per = per.select(*by, safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), safe_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
@@ -297,10 +323,11 @@ def bootstrap_rate_ci(df: DataFrame, key: str, label: str, score: str, threshold
 
 def metrics_with_ci(df: DataFrame, key: str, label: str, score: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Every metric of each group with its value and percentile interval: ``by, metric, value, low, high``.
-    The threshold is held fixed; replicates go through the same operators as one more group."""
+    The threshold is held fixed; replicates go through the same operators as one more group, and all are counted by score and written once."""
     names = ("accuracy", "precision", "recall", "f1", "f2", "fpr", "flag_rate", "roc_auc", "pr_auc", "brier")
     used = [*by, label, score, "replicate", "weight"]
-    sample = _resample(df, key, label, [score], replicates, seed, by, draw).select(*used).unionByName(df.withColumns({"replicate": F.lit(0), "weight": F.lit(1).cast("long")}).select(*used))
+    whole = df.groupBy(*by, label, score).agg(F.count("*").alias("weight")).withColumn("replicate", F.lit(0))
+    sample = materialise(_resample(df, key, label, [score], replicates, seed, by, draw).select(*used).unionByName(whole.select(*used)), "sample")
     group = [*by, "replicate"]
     flagged, y, w = F.col(score) >= threshold, F.col(label) == 1, F.col("weight")
     total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
@@ -321,9 +348,11 @@ def success_criterion(intervals: DataFrame, base_rate: DataFrame, flag_rate: str
 
 def paired_bootstrap(df: DataFrame, key: str, label: str, score_a: str, score_b: str, threshold: float, replicates: int = 50, seed: str = "b", by: Sequence[str] = (), draw: str = "rows") -> DataFrame:
     """Interval of the recall of b less that of a on the same resamples of each group."""
+    w, flagged = F.col("weight"), lambda s: F.col(s) >= threshold
+    if draw == "rows":  # a row counts by which score flags it
+        df, score_a, score_b, flagged = df.withColumns({"_flag_a": flagged(score_a), "_flag_b": flagged(score_b)}), "_flag_a", "_flag_b", F.col
     sample = _resample(df.where(F.col(label) == 1), key, label, [score_a, score_b], replicates, seed, by, draw)
-    w = F.col("weight")
-    share = lambda s: F.sum(F.when(F.col(s) >= threshold, w).otherwise(0)) / F.sum(w)
+    share = lambda s: F.sum(F.when(flagged(s), w).otherwise(0)) / F.sum(w)
     per = sample.groupBy(*by, "replicate").agg((share(score_b) - share(score_a)).alias("d"))
     return per.groupBy(*by).agg(F.avg("d").alias("mean_diff"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
 

@@ -59,3 +59,11 @@ def test_grounding_of_scores_that_end_in_a_half(spark, sf_dir, tmp_path):
         con.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{tmp_path}/{name}'")
     for name in ("j11_grounding", "g05_recall_at_precision"):
         assert_same(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_draws_are_counted_by_cell_without_a_sort(spark):
+    df = spark.range(900).select(F.col("id"), (F.col("id") % 2).cast("string").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 11 / 10).alias("s"))
+    cells = metrics.bootstrap_cells(df, "id", "y", ["s"], 7, by=["g"])
+    want = metrics.bootstrap_sample(df, "id", "y", 7, by=["g"]).groupBy("g", "y", "s", "replicate").agg(F.sum("weight").alias("weight"))
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, want.collect()))
+    assert "SortMergeJoin" not in cells._jdf.queryExecution().executedPlan().toString()
