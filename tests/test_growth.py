@@ -67,3 +67,13 @@ def test_draws_are_counted_by_cell_without_a_sort(spark):
     want = metrics.bootstrap_sample(df, "id", "y", 7, by=["g"]).groupBy("g", "y", "s", "replicate").agg(F.sum("weight").alias("weight"))
     assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, want.collect()))
     assert "SortMergeJoin" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_of_a_vector_do_not_multiply_comparisons(spark):
+    rows = spark.range(2400).select((F.col("id") * 7 % 2400).alias("id"), F.array((F.col("id") % 5 + 1).cast("double"), (F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
+    tally = []
+    got = similar.similar_claims(rows.where("id % 100 = 0"), rows, "id", "v", 3, tally=tally)
+    every = {r.id: [x / sum(y * y for y in r.v) ** 0.5 for x in r.v] for r in rows.collect()}
+    order = lambda q: sorted((-round(sum(a * b for a, b in zip(every[q], v)), 9), i) for i, v in every.items() if i != q)[:3]
+    assert sorted((r.query, r["rank"], r.neighbour) for r in got.collect()) == sorted((q, k, i) for q in every if q % 100 == 0 for k, (_, i) in enumerate(order(q), 1))
+    assert sum(tally) <= 24 * 15 * 4  # queries by distinct vectors by k + 1
