@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import metrics, similar
+from claimlens.operators import metrics, model, similar
 from claimlens.plans import claims_queries, scoring_queries, verification_queries  # noqa: F401
 from claimlens.plans.registry import ORACLES, QUERIES
 
@@ -77,3 +78,37 @@ def test_copies_of_a_vector_do_not_multiply_comparisons(spark):
     order = lambda q: sorted((-round(sum(a * b for a, b in zip(every[q], v)), 9), i) for i, v in every.items() if i != q)[:3]
     assert sorted((r.query, r["rank"], r.neighbour) for r in got.collect()) == sorted((q, k, i) for q in every if q % 100 == 0 for k, (_, i) in enumerate(order(q), 1))
     assert sum(tally) <= 24 * 15 * 4  # queries by distinct vectors by k + 1
+
+
+def counted(df):
+    """``df``, and how many of its rows are computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+FITS = {
+    "data_mix": lambda df, valid: model.data_mix(df, valid, [(0.0, 1.0, True), (1.0, 0.5, True)], "id", "split", "y", ["a"], ["x"], "logistic"),
+    "utility_experiment": lambda df, valid: model.utility_experiment(df, valid, [("real", 0.0, 1.0, True), ("both", 1.0, 1.0, True)], "id", "split", "y", ["a"], ["x"]),
+    "utility_seeds": lambda df, valid: model.utility_seeds(df, valid, [("real", 0.0, 1.0, True), ("both", 1.0, 1.0, True)], "id", "split", "y", ["a"], ["x"], seeds=(1, 2), masks={"both": model.F.col("x") > 0.1}, replicates=3),
+    "compare_families": lambda df, valid: model.compare_families(df, valid, ["a"], ["x"], "y", "id", ("logistic", "forest")),
+    "adversarial_validation": lambda df, _: model.adversarial_validation(df, "id", "split", "real_train", "synthetic", ["a"], ["x"], 2),
+    "adversarial_drop_top": lambda df, _: model.adversarial_drop_top(df, "id", "split", "real_train", "synthetic", ["a"], ["x"], ["x"], 1, 2),
+    "calibrate": lambda df, _: model.calibrate(df, "id", "y", "x", 2)[0],
+    "calibration_report": lambda df, _: model.calibration_report(df, "id", "y", "x", 2),
+}
+
+
+@pytest.mark.parametrize("name", FITS)
+def test_fits_compute_what_they_are_given_once(spark, name):
+    rows = [(i, "real_train" if i % 3 else "synthetic", int(i % 4 == 0), min(0.9, (i * 37 % 10) / 20 + 0.3 * (i % 4 == 0)), "ab"[i % 2]) for i in range(240)]
+    given = spark.createDataFrame(rows, "id int, split string, y int, x double, a string")
+    (df, seen), (valid, seen_valid) = counted(given), counted(given)
+    assert FITS[name](df, valid).count() > 0
+    # numbering within strata reads its rows twice, for the sizes and for the rows
+    assert seen.value <= 480 and seen_valid.value <= 240
