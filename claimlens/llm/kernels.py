@@ -220,14 +220,14 @@ def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
 class Buffer:
     """Collects numpy columns and hands them out in lots of bounded size."""
 
-    def __init__(self, width: int):
-        self.parts, self.rows, self.width = [], 0, width
+    def __init__(self, width: int, most: int | None = None):
+        self.parts, self.rows, self.width, self.most = [], 0, width, most or BUFFER_ROWS
 
     def add(self, *columns) -> bool:
         if len(columns[0]):
             self.parts.append(columns)
             self.rows += len(columns[0])
-        return self.rows >= BUFFER_ROWS
+        return self.rows >= self.most
 
     def take(self):
         parts, self.parts, self.rows = self.parts, [], 0

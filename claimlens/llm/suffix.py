@@ -31,6 +31,8 @@ from .shared import dealt, dealt_texts, join_hot, materialise, own_places, texts
 
 GRAM = 32
 LOT_ROWS = 5_000
+SLICE_BYTES = 1 << 18  # of text at a time: a dozen arrays of 8 bytes for each of them stand beside it
+ANCHOR_ROWS = 300_000  # settled at a time
 MOST_HOT = 100_000  # hot grams that are broadcast: 2 MB
 _ANCHOR = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("many", pa.int32())])
 _HIT = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
@@ -79,9 +81,9 @@ def _anchors(length: int):
         return K.table(_ANCHOR, key, pa.array(h, pa.int64(), mask=key == h), doc, pos, np.where(new, K.run_lengths(new), 0).astype(np.int32))  # null: the gram is the key
 
     def run(batches):
-        seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(3)
+        seed, counter, buffer = TaskContext.get().partitionId() + 1, 0, K.Buffer(3, ANCHOR_ROWS)
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, size=SLICE_BYTES):
                 data, off = K.flat(part.column("text"))
                 at = anchor_places(data, off, length)
                 row = np.searchsorted(off, at, "right") - 1
@@ -153,7 +155,7 @@ def _around(length: int):
         seed, counter = TaskContext.get().partitionId() + 1, 0
         lots, rows = [], 0
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, size=SLICE_BYTES):
                 data, off = K.flat(part.column("text"))
                 places, ids = part.column("anchors"), K.ints(part, "doc_id")
                 row = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
@@ -400,7 +402,7 @@ def _cut(carry):
 
     def run(batches):
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, size=SLICE_BYTES):
                 data, off = K.flat(part.column("text"))
                 raw, lists = data.tobytes(), (part.column("starts"), part.column("ends"))
                 many = [np.diff(x.offsets.to_numpy()) for x in lists]

@@ -769,3 +769,24 @@ def test_a_worker_lets_go_of_other_operators_caches():
     assert pieces.automaton.cache_info().currsize
     kernels.arrive("claimlens.llm.jaccard")
     assert not pieces.automaton.cache_info().currsize and not kernels._POWERS
+
+
+def test_anchors_of_long_batches_take_little_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from claimlens.llm import kernels, suffix
+
+    monkeypatch.setattr(suffix, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 123, 4000, dtype=np.uint8)).decode() for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    kernels._POWERS.clear()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in suffix._anchors(200)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 50_000 and peak < 48 << 20
