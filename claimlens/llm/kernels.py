@@ -84,6 +84,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
+            _POWERS.clear()  # made again in milliseconds; in idle workers they would stand beside the others' work
             give_back()
 
     return tidy

@@ -31,6 +31,8 @@ from .shared import dealt, dealt_texts, join_hot, materialise, own_places, texts
 
 GRAM = 32
 LOT_ROWS = 5_000
+SORT_ROWS = 2_000  # surroundings sorted at a time, unless one gram has more: some ten arrays of 8 bytes for each of their bytes
+SHARED_ROWS = 1_000  # neighbours compared at a time: four arrays of 8 bytes for each of their bytes
 SLICE_BYTES = 1 << 18  # of text at a time: a dozen arrays of 8 bytes for each of them stand beside it
 ANCHOR_ROWS = 300_000  # settled at a time
 MOST_HOT = 100_000  # hot grams that are broadcast: 2 MB
@@ -230,8 +232,8 @@ def suffix_order(rank: np.ndarray, data: np.ndarray, start: np.ndarray, size: np
     else:
         order = _merge_sort(rank, _Prefixes(data), start, size)
     shared = np.zeros(n, np.int64)
-    for lot in range(1, n, 20_000):
-        at = np.arange(lot, min(n, lot + 20_000))
+    for lot in range(1, n, SHARED_ROWS):
+        at = np.arange(lot, min(n, lot + SHARED_ROWS))
         x, y = order[at - 1], order[at]
         most = np.where(rank[x] == rank[y], np.minimum(size[x], size[y]), 0)
         width = int(most.max(initial=0))
@@ -352,7 +354,7 @@ def _spans(length: int):
         border = np.flatnonzero(K.group_starts(key[rows]))
         at = 0
         while at < len(rows):
-            cut = border[np.searchsorted(border, at + LOT_ROWS, "right") - 1] if at + LOT_ROWS < len(rows) else len(rows)
+            cut = border[np.searchsorted(border, at + SORT_ROWS, "right") - 1] if at + SORT_ROWS < len(rows) else len(rows)
             cut = cut if cut > at else int(np.append(border, len(rows))[np.searchsorted(border, at, "right")])
             lot = rows[at:cut]
             at = cut

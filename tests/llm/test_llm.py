@@ -790,3 +790,27 @@ def test_anchors_of_long_batches_take_little_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows > 50_000 and peak < 48 << 20
+
+
+def test_repeated_strings_memory_of_a_task():
+    """A task that sorts 12,000 surroundings holds a few times their bytes, and leaves no table of powers in its idle worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n, size = np.random.default_rng(5), 12_000, 368
+    body = np.tile(rng.integers(97, 123, (n // 2, size), np.uint8), (2, 1))
+    body[n // 2 :, 300:] = 65  # each shares 300 bytes with another
+    key, zero = np.tile(np.arange(n // 2), 2), np.zeros(n, np.int64)
+    around = pa.array([x.tobytes() for x in body], pa.binary())
+    batch = kernels.table(suffix._AROUND, key, zero, np.arange(n), np.full(n, 168, np.int32), np.full(n, 168, np.int32), around, np.zeros(n, bool))
+    kernels._POWERS.clear()
+    tracemalloc.start()
+    try:
+        spans = list(kernels.lean(suffix._spans(200))(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = pa.Table.from_batches(spans).to_pandas().sort_values("doc_id")
+    assert found["doc_id"].tolist() == list(range(n)) and set(found["start"]) == {0} and set(found["end"]) == {300}
+    assert peak < 48 << 20 and not kernels._POWERS
