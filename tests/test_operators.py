@@ -555,3 +555,21 @@ def test_utility_over_seeds_and_masks(spark):
     assert len(found) == 6 and all(r.low <= r.value <= r.high for r in found.values())
     assert found["clean", "roc_auc"].value > 0.7 and found["clean", "brier"].value < found["all", "brier"].value
     assert abs(found["clean", "roc_auc"].seed_mean - found["clean", "roc_auc"].value) < 0.02
+
+
+def test_validate_puts_messages_together_after_the_unpivot(spark):
+    """Messages belong to the rows of their rules: within the generator, each claim would pay for all of them."""
+    from claimlens import schema as S
+    from claimlens.operators import rules
+
+    kinds = ", ".join(f"{c} {'long' if c in S.INTEGERS else 'string'}" for c in S.COLUMNS)
+    values = {"Age": 0, "PolicyNumber": 7, "Month": "Jan", "MonthClaimed": "Aug", "Make": "Unheard"}
+    df = spark.createDataFrame([tuple(values.get(c) for c in S.COLUMNS)], kinds)
+    out = rules.validate(df, "PolicyNumber")
+    got = {r.rule_id: r for r in out.collect()}
+    assert out.columns == ["claim_id", "rule_id", "severity", "passed", "message"] and list(got) == [r.id for r in rules.RULES]
+    assert all(r.claim_id == 7 and (r.message is None) == r.passed for r in got.values())
+    assert got["V02_DOMAIN_VALUES"].message == "Values outside the known sets: Make=Unheard."
+    assert got["V07_REPORTING_DELAY"].message == "Accident in Jan, claim in Aug: six months or more."
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate" in line and "Accident in" in line for line in plan.splitlines())
