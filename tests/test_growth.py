@@ -112,3 +112,21 @@ def test_fits_compute_what_they_are_given_once(spark, name):
     assert FITS[name](df, valid).count() > 0
     # numbering within strata reads its rows twice, for the sizes and for the rows
     assert seen.value <= 480 and seen_valid.value <= 240
+
+
+@pytest.mark.parametrize("name", ["i08_clause_types", "i08_clause_checks", "i03_reference_lookup"])
+def test_no_task_gathers_the_claims_of_a_policy_type(spark, sf_dir, duck, name):
+    """Few policy types hold all claims, so neither are claims shuffled by them nor broadcast themselves."""
+    key = {"i08_clause_types": "BasePolicy", "i08_clause_checks": "segment", "i03_reference_lookup": "coverage"}[name]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        for small in ("-1", before):
+            spark.conf.set(limit, small)
+            df = QUERIES[name](spark, sf_dir)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "Join [" in x and f"Join [{key}#" in x]
+            assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0], plan
+            assert_same(df, duck, ORACLES[name])
+    finally:
+        spark.conf.set(limit, before)
