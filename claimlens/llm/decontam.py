@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import discard, materialise
+from .shared import discard, in_small_batches, materialise
 
 _KEEP = bytes(c if not K.NOT_ALNUM[c] else 0x20 for c in K.LOWER_TABLE)  # lower-cased, the rest a space
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -200,7 +200,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_byt
             docs = materialise(passed, "clean")
             discard(written)
             written = docs
-        passed = docs.mapInArrow(K.lean(_clean(docs.sparkSession.sparkContext.broadcast(lot), window)), kind)
+        passed = in_small_batches(docs).mapInArrow(K.lean(_clean(docs.sparkSession.sparkContext.broadcast(lot), window)), kind)
     return docs if passed is None else passed
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import components, dealt, discard, join_hot, materialise
+from .shared import components, dealt, discard, in_small_batches, join_hot, materialise
 
 RARE = 16  # tokens in more classes than this count as frequent
 MAX_FREQUENT = 1_000_000  # frequent tokens sent to the tasks: 12 MB at most
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     that share it (of 10^10, about three do) go by the second half, so the driver holds only those that do.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     signed = materialise(docs.mapInArrow(K.lean(_signatures(size, (class_bits, frozenset()))), "doc_id long, n long, cls long, cls2 long"), "signatures")
     docs = docs.where("doc_id is not null")
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import discard, materialise
+from .shared import discard, in_small_batches, materialise
 
 SLOTS = 256  # 0: space, 1-26: a-z, the rest: other letters by code point
 MAX_LANGUAGES = 2_000  # prototypes that go to the tasks at once: 16 MB
@@ -119,7 +119,7 @@ def language_prototypes(labelled: DataFrame, n: int = 3, dimensions: int = 1024,
     with a null in either are skipped).  The sums are built per task and added in Spark;
     the driver gets one vector per language.  If there are more than ``most`` languages, the prototypes stay a
     written table (``lang``, ``v``), which ``predict_language`` works off in lots."""
-    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
+    rows = in_small_batches(labelled).select("text", "lang").where("text is not null and lang is not null")
     summed = rows.mapInArrow(K.lean(_profiler(n, dimensions)), "lang string, place int, total double").groupBy("lang", "place").agg(F.sum("total").alias("total"))
     vectors = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "total"))), lambda x: x["total"]).alias("v"))
     found = vectors.limit(most + 1).collect()
@@ -203,7 +203,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray] | DataFr
     or where nothing was learned.  Equal cosines go to the name that sorts first.  A table of ``prototypes`` is worked
     off in lots of about ``most``; the result is the same.
     """
-    docs = docs.select(*[c for c in carry if c not in ("lang_pred", "lang_score") and (c != "n_letters" or not count_letters)])
+    docs = in_small_batches(docs).select(*[c for c in carry if c not in ("lang_pred", "lang_score") and (c != "n_letters" or not count_letters)])
     if isinstance(prototypes, DataFrame):
         return _predict_in_lots(docs, prototypes, n, count_letters, most)
     dimensions = len(next(iter(prototypes.values()), np.zeros(1024)))

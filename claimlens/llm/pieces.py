@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import in_small_batches
 
 MARK = "▁".encode()
 LONG, STRETCH, BLOCK = 512, 1024, 1 << 16
@@ -352,7 +353,7 @@ def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
                     columns.append(pa.array([t.decode("utf-8", "replace") for t in decode_ids(vocabulary, ids, off)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "text"][: 2 + decoded])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.lean(run), "doc_id long, ids array<int>" + ", text string" * decoded)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(K.lean(run), "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -814,3 +815,35 @@ def test_repeated_strings_memory_of_a_task():
     found = pa.Table.from_batches(spans).to_pandas().sort_values("doc_id")
     assert found["doc_id"].tolist() == list(range(n)) and set(found["start"]) == {0} and set(found["end"]) == {300}
     assert peak < 48 << 20 and not kernels._POWERS
+
+
+@pytest.mark.parametrize("operator", [
+    lambda docs: langid.predict_language(docs, {"en": np.ones(1024)}),
+    lambda docs: decontam.clean_rows(docs, docs.limit(1).select(F.col("doc_id").alias("item_id"), F.lit("a b").alias("text"))),
+    lambda docs: pieces.encode(docs, queries.default_model()),
+    lambda docs: jaccard.jaccard_components(docs),
+    lambda docs: suffix.repeated_spans(docs),
+])
+def test_texts_reach_tasks_in_small_batches(spark, operator):
+    """Neither the JVM nor a Python worker holds thousands of long texts at once."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 4000).alias("text"))
+    before = spark.conf.get(limit)
+    spark.conf.unset(limit)
+    try:
+        operator(docs.limit(2))
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sum(r.n for r in sizes) > 12_000_000 and max(r.n for r in sizes) < 5 << 20
+
+
+def test_limit_of_batches_set_by_the_user_stays(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1m")
+    try:
+        shared.texts(spark.range(2).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.set(limit, before)
