@@ -35,6 +35,7 @@ from .shared import components, dealt, discard, in_small_batches, join_hot, mate
 RARE = 16  # tokens in more classes than this count as frequent
 MAX_FREQUENT = 1_000_000  # frequent tokens sent to the tasks: 12 MB at most
 RANGE_TOKENS = 3_000_000  # tokens that one counting group receives on average
+FEW_CLASSES = 200_000  # classes sent to the tasks: a few MB
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("cls2", pa.int64())])
 _COUNTS = pa.schema([("part", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())])
 _FREQUENT = pa.schema([("token", pa.int64()), ("df", pa.int64())])
@@ -168,7 +169,7 @@ def _frequent(rare: int):
 def frequent_tokens(docs: DataFrame, total: int, size: int, naming, rare: int = RARE, most: int = MAX_FREQUENT):
     """Tokens in more than ``rare`` classes, by prefix, with their counts; and whether that is all of
     them.  Counts cover all documents; if more than ``most`` tokens are frequent, the most
-    frequent are kept.  The choice orders tokens, it drops none."""
+    frequent are kept.  The choice orders tokens, it drops none: lists of the others that turn out long are told by their length."""
     parts = max(1, -(-total // RANGE_TOKENS))
     counted = docs.mapInArrow(K.lean(_token_counts(size, parts, naming)), "part int, tokens binary, counts binary").groupBy("part").applyInArrow(_frequent(rare), "token long, df long")
     top = counted.orderBy(F.desc("df"), "token").limit(most + 1).toPandas()
@@ -238,7 +239,9 @@ def _first_tokens(size: int, percent: int, boundary: int, frequent, naming):
 
 def _meet(percent: int, longest: int, complete: bool):
     """Pairs under equal keys in lists of at most ``longest``; members of longer lists and of those known
-    to be long as they are (``shared`` -1, ``b`` the kind, ``nb`` the place)."""
+    to be long as they are (``shared`` -1, ``b`` the kind, ``nb`` the place, ``room`` 1 for lists of a token).
+
+    ``room`` of a pair is how many common tokens may stand elsewhere: beyond the first ones and, if all long lists were known, in those.  Otherwise ``_with_hidden`` adds what long lists may hold."""
 
     def run(batches):
         got = K.gather(batches, ["key", "cls", "size", "kind"])
@@ -253,7 +256,7 @@ def _meet(percent: int, longest: int, complete: bool):
         big = (length > longest) | (kind & LONG > 0)
         if big.any():
             none = np.zeros(int(big.sum()), np.int32)
-            yield K.table(_MET, key[big], cls[big], np.where(kind[big] & 3 == LIGHT_IN_LIST, 1, 0), n[big].astype(np.int32), place[big].astype(np.int32), none - 1, none)
+            yield K.table(_MET, key[big], cls[big], np.where(kind[big] & 3 == LIGHT_IN_LIST, 1, 0), n[big].astype(np.int32), place[big].astype(np.int32), none - 1, none + (kind[big] & 3 != SUBSET))
         pick = ~big & (length > 1)
         key, cls, n, frequent, kind = (x[pick] for x in (key, cls, n, frequent, kind & 3))
         first = n - least_overlap(n, percent) + 1
@@ -266,9 +269,8 @@ def _meet(percent: int, longest: int, complete: bool):
             ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((kind[i] != LIGHT_IN_LIST) | (kind[j] != LIGHT_IN_LIST))
             i, j = i[ok], j[ok]
             if len(i):
-                # room: how many common tokens may lie beyond the rare first ones
-                room = np.maximum(n[i] - first[i], n[j] - first[j]) + np.minimum(frequent[i], frequent[j])
-                room = np.where((kind[i] == SUBSET) | (not complete), n[i] + n[j], room)
+                room = np.maximum(n[i] - first[i], n[j] - first[j]) + (np.minimum(frequent[i], frequent[j]) if complete else 0)
+                room = np.where(kind[i] == SUBSET, n[i] + n[j], room)
                 found.append((cls[i], cls[j], n[i], n[j], room))
         if found:
             a, b, na, nb, room = (np.concatenate([f[k] for f in found]) for k in range(5))
@@ -281,6 +283,13 @@ def _meet(percent: int, longest: int, complete: bool):
     return run
 
 
+def _with_hidden(pairs: DataFrame, met: DataFrame) -> DataFrame:
+    """``pairs`` with the common tokens in their ``room`` that may stand in long lists: as many as the set with fewer such first tokens has."""
+    hidden = materialise(met.where("shared < 0 and room > 0").groupBy("a").agg(F.count("*").alias("ha")), "hidden")
+    both = pairs.join(hidden, "a", "left").join(hidden.select(F.col("a").alias("b"), F.col("ha").alias("hb")), "b", "left")
+    return both.withColumn("room", F.col("room") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))).drop("ha", "hb")
+
+
 def _wanted_sets(size: int, bits, naming):
     def run(batches):
         wanted = bits.value
@@ -325,7 +334,10 @@ def _verify(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that link.  A pivot ``b`` may have any number of partners."""
+    """The pairs ``a, b`` that link.  A pivot ``b`` may have any number of partners.  Where few classes are in pairs, only their sets are shuffled."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    if ends.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+        sets = sets.join(F.broadcast(ends), "cls", "left_semi")
     left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tokens_b"))
     both = join_hot(pairs.select("a", "b"), right, "b").join(left, "a").select("a", "b", "tokens_a", "tokens_b")
@@ -455,6 +467,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, rounds
     met = materialise(keyed.mapInArrow(K.lean(_meet(percent, rare, complete)), "key long, a long, b long, na int, nb int, shared int, room int"), "met")
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-9)
     pairs = met.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("room").alias("room"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    if not complete:
+        pairs = _with_hidden(pairs, met)
     pairs = materialise(pairs.where(F.col("shared") + F.col("room") >= needed).select("a", "b"), "pairs")
     lists = met.where("shared < 0").select("key", F.col("a").alias("cls"), F.col("na").alias("n"), F.col("b").alias("light"), F.col("nb").alias("place"))
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(lists.select("cls")).distinct()

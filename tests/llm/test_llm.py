@@ -204,6 +204,22 @@ def test_jaccard(spark, options):
     assert [tuple(r) for r in got] == brute_components(texts)
 
 
+def test_jaccard_compares_no_more_sets_when_not_all_frequent_tokens_are_known(spark, monkeypatch):
+    """Texts that share a passage with a few others and a sentence with all: none of them may link."""
+    texts = [" ".join(["every text ends with one sentence of ten words here", f"passage {i // 8} that only eight texts have", *(f"{i}w{j}" for j in range(100))]) for i in range(64)]
+    linked, compared = jaccard._linked, []
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return linked(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_linked", counted)
+    for most in (1000, 2):
+        assert [tuple(r) for r in jaccard.jaccard_components(frame(spark, texts), boundary=12, most_frequent=most, rounds=0).orderBy("doc_id").collect()] == brute_components(texts)
+        assert compared.pop(0) == 0
+        compared.clear()
+
+
 def test_jaccard_of_long_texts_that_share_a_shingle(spark):
     """Texts of 2,000 words: a frequent shingle in all, near copies of a few."""
     rng = random.Random(9)

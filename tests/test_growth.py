@@ -70,6 +70,27 @@ def test_draws_are_counted_by_cell_without_a_sort(spark):
     assert "SortMergeJoin" not in cells._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffled(spark):
+    """Names of the shuffle files on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffled_files_go_with_the_table_they_were_for(spark):
+    import time
+
+    from claimlens.sources.shared import materialise
+
+    wide = spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("x")).repartition(7, "x")
+    before = shuffled(spark)
+    assert materialise(wide, "wide").count() == 20_000
+    for _ in range(50):  # deleted by a thread of its own
+        if not shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled(spark) - before
+
+
 def test_copies_of_a_vector_do_not_multiply_comparisons(spark):
     rows = spark.range(2400).select((F.col("id") * 7 % 2400).alias("id"), F.array((F.col("id") % 5 + 1).cast("double"), (F.col("id") % 3).cast("double"), F.lit(1.0)).alias("v"))
     tally = []
