@@ -101,6 +101,21 @@ def test_copies_of_a_vector_do_not_multiply_comparisons(spark):
     assert sum(tally) <= 24 * 15 * 4  # queries by distinct vectors by k + 1
 
 
+def test_queries_in_lots_find_the_same(spark, monkeypatch):
+    rows = spark.range(600).select("id", F.array(*[F.sin(F.col("id") * 7 + i) for i in range(6)]).alias("v"))
+    whole, tables, write = similar.similar_claims(rows.where("id % 2 = 0"), rows, "id", "v", 4), [], similar.materialise
+    monkeypatch.setattr(similar, "materialise", lambda df, name: tables.append(name) or write(df, name))
+    lots = similar.similar_claims(rows.where("id % 2 = 0"), rows, "id", "v", 4, pivots=4, block=16, most_rows=1)
+    assert tables.count("near") > 4  # both rounds in several lots
+    assert sorted(map(tuple, lots.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_chain_joins_written_sources(spark, sf_dir):
+    """Each source is shuffled once for the last join; what lies behind it has been written, and its shuffles are gone."""
+    for name in ("j13_chain", "j08_facts", "l08_sources"):
+        assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+
+
 def counted(df):
     """``df``, and how many of its rows are computed."""
     seen = df.sparkSession.sparkContext.accumulator(0)
