@@ -18,6 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SCORE = 0.05
 #: Texts of fewer letters cannot be judged; from so many on, three times the noise is asked for.
 SHORT_LETTERS, LONG_LETTERS, LONG_LANGUAGE_SCORE = 32, 128, 0.1
+MOST_SENT = 1_000_000  # ids that go to every task: some tens of MB
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= limit)).select(*COLUMNS)
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """``ids``, which go to every task unless they are many: the texts they are joined with then need no shuffle."""
+    return F.broadcast(ids) if ids.limit(MOST_SENT + 1).count() <= MOST_SENT else ids
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates.
 
@@ -44,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.jaccard_components(docs).where("doc_id is not null")
     each = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("_kept"), (F.count("*") > 1).alias("_again"))
     each = materialise(each.where("not _kept or _again"), "dropped")  # the fewer ids: most documents have no copy
-    out = docs.join(each.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    again = each.where("_kept and _again").select("doc_id")
+    out = docs.join(_sent(each.select("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
+    again = _sent(each.where("_kept and _again").select("doc_id"))
     if again.limit(1).count():
         rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
         once = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("m"))

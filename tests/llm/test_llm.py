@@ -220,6 +220,20 @@ def test_jaccard_compares_no_more_sets_when_not_all_frequent_tokens_are_known(sp
         compared.clear()
 
 
+def test_near_duplicates_shuffle_no_texts(spark):
+    import corpus_pipeline
+
+    docs = frame(spark, ["one text of some words", "one text of some words", "quite another text than that"]).selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert sorted(r.doc_id for r in out.collect()) == [0, 2]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_jaccard_of_long_texts_that_share_a_shingle(spark):
     """Texts of 2,000 words: a frequent shingle in all, near copies of a few."""
     rng = random.Random(9)
